@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, urlrules
+from . import ngramjoin, quality, secrets, urlrules
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = urlrules.judge_urls(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
     return got.select("page_id", "host", "path", "rule", "verdict")
@@ -23,5 +27,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_quality, op9_url_rules, op10_secret_scan)}
-ORACLE_SQL = {"op3_line_quality": quality.SQL, "op9_url_rules": urlrules.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_quality, op7_ngram_join, op9_url_rules, op10_secret_scan)}
+ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
