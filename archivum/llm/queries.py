@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngramjoin, quality, secrets, urlrules
+from . import ngramjoin, packing, quality, secrets, urlrules
 from .common import table
 
 
+def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first_quality(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_quality, op7_ngram_join, op9_url_rules, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op3_line_quality, op7_ngram_join, op9_url_rules, op10_secret_scan)}
 ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
