@@ -132,15 +132,21 @@ def _need(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil((nx + ny) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    both = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. Texts travel, as they are smaller
+    than their sets; a text that many pairs of a batch share is cut into shingles once."""
+    side = lambda k: texts.select(F.col("v").alias(k), F.col("text").alias(f"t{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            own = dict(zip(a, batch.column("ta").to_pylist(), strict=True)) | dict(zip(b, batch.column("tb").to_pylist(), strict=True))
+            with np.errstate(over="ignore"):
+                sets = dict(zip(own, shingle_sets(list(own.values()), words), strict=True))
             ok = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            for x, y in zip(a, b, strict=True):
+                x, y = sets[x], sets[y]
                 o = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * o >= percent * (len(x) + len(y) - o))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -148,16 +154,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def full_sets(src: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(v, s): the whole sets of the documents in ``wanted`` (v), as sorted 8-byte hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                got = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(got, pa.binary())], names=["v", "s"])
-
-    return written(src.join(wanted.withColumnRenamed("v", "doc"), "doc", "left_semi").mapInArrow(run, "v long, s binary"))
+def full_texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(v, text) of the documents in ``wanted`` (v)."""
+    return written(src.join(wanted.withColumnRenamed("v", "doc"), "doc", "left_semi").select(F.col("doc").alias("v"), "text"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,21 +168,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
 
     # postings of one document a class; only prefix shingles that two classes share stay
     own = sets.where("n > 0").join(reps.withColumnRenamed("rep", "doc"), ["digest", "doc"], "left_semi")
-    posts = written(own.select(F.col("doc").alias("v"), "n", "lvl", F.posexplode("prefix").alias("pos", "token")))
-    buckets = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "v", "n")).alias("m")).where("c > 1").select("token", F.col("m.pos").alias("cpos"), F.col("m.v").alias("cv"), F.col("m.n").alias("cn")))
-    met = posts.join(buckets, "token")
+    own = written(own.select(F.col("doc").alias("v"), "n", "lvl", "prefix"))
+    posts = own.select("v", "n", "lvl", F.posexplode("prefix").alias("pos", "token"))
+    shared = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    met = posts.join(shared, "token").select("token", "v", "n", "lvl", "pos")
     met = written(met.selectExpr("*", "row_number() OVER (PARTITION BY v ORDER BY pos) - 1 AS u"))
+    centres = written(met.groupBy("token").agg(F.min(F.struct("u", "pos", "v", "n")).alias("m")).select("token", F.col("m.u").alias("cu"), F.col("m.pos").alias("cpos"), F.col("m.v").alias("cv"), F.col("m.n").alias("cn")))
 
     # 4. every class against its best centre
     sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    c = {k: F.col(k) for k in ("n", "cn", "pos", "cpos", "u")}
-    bound = F.least(c["u"], c["cpos"]) + F.least(c["n"] - c["pos"], c["cn"] - c["cpos"])
-    star = met.where("v <> cv").where(sizes(c["n"], c["cn"]) & (bound >= _need(c["n"], c["cn"], percent)))
+    c = {k: F.col(k) for k in ("n", "cn", "pos", "cpos", "u", "cu")}
+    bound = F.least(c["u"], c["cu"]) + F.least(c["n"] - c["pos"], c["cn"] - c["cpos"])
+    star = met.join(centres, "token").where("v <> cv").where(sizes(c["n"], c["cn"]) & (bound >= _need(c["n"], c["cn"], percent)))
     star = star.groupBy("v", "cv").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", (-F.col("cv")).alias("b"))).alias("m"))
     star = written(star.select(F.col("v").alias("a"), (-F.col("m.b")).alias("b")))
     named = written(star.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-    known = full_sets(src, named, words)
-    first = connected_components(verified(star, known, percent))
+    known = full_texts(src, named)
+    first = connected_components(verified(star, known, words, percent))
 
     # 5. what is left between different components
     mine = written(met.select("token", "v", "n", "lvl", "pos", "u").join(first, "v", "left").withColumn("c", F.coalesce("c", "v")))
@@ -198,8 +199,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     pairs = pairs.groupBy(p["x_v"].alias("a"), p["y_v"].alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x_lvl", "y_lvl")).alias("l")).where("k >= l").select("a", "b")
     pairs = written(pairs)
     fresh = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(named, "v", "left_anti"))
-    more = full_sets(src, fresh, words)
-    links = verified(pairs, known.unionByName(more), percent)
+    more = full_texts(src, fresh)
+    links = verified(pairs, known.unionByName(more), words, percent)
     as_c = first.withColumnRenamed("c", "to")
     links = written(links).join(as_c.select(F.col("v").alias("a"), F.col("to").alias("ca")), "a", "left").join(as_c.select(F.col("v").alias("b"), F.col("to").alias("cb")), "b", "left")
     second = connected_components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
