@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngramjoin, packing, quality, secrets, urlrules
+from . import ann, langid, ngramjoin, packing, quality, secrets, urlrules
 from .common import table
 
 
@@ -18,6 +19,16 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identify(docs, langid.learn(docs))
+    return got.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -31,5 +42,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op3_line_quality, op7_ngram_join, op9_url_rules, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op3_line_quality, op4_ivf_pq_search, op6_language, op7_ngram_join, op9_url_rules, op10_secret_scan)}
 ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
