@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, ngramjoin, packing, quality, secrets, urlrules
+from . import ann, htmltext, langid, ngramjoin, packing, quality, secrets, urlrules
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.learn(pages))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = urlrules.judge_urls(table(spark, sf_dir, "pages"), urlrules.rule_table(spark))
     return got.select("page_id", "host", "path", "rule", "verdict")
@@ -42,5 +47,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op3_line_quality, op4_ivf_pq_search, op6_language, op7_ngram_join, op9_url_rules, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op3_line_quality, op4_ivf_pq_search, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan)}
 ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
