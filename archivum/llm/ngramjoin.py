@@ -11,11 +11,13 @@ without words or text the set is empty and links with nothing. Two documents lin
 3. A pair with overlap o shares at least l shingles of the prefixes of lengths n - o + l. Each
    class takes the l with the least estimated cost (list lengths, and verifications of at most
    lists / l candidates); a pair must then share the smaller l of both.
-4. In each prefix bucket the class with the fewest rare shingles is the centre. Each class is
-   verified against its best centre; what links is joined to components. Large groups of near
-   copies become one component without a pair of its members being listed.
+4. In each prefix bucket one class is the centre: first that with the fewest rare shingles, in
+   later rounds another. Classes are verified against the centres of their buckets in other
+   components; what links is joined. Large groups of near copies become one component without
+   all pairs of their members being listed.
 5. Only pairs of different components are then listed from the buckets, under length, role
-   (shorter index, longer probe prefix) and position bounds, and verified on the full sets.
+   (shorter index, longer probe prefix) and position bounds. Pairs that parity sketches of the
+   sets (1024 bits) can't rule out are verified on the full sets.
    Links inside a component can't change it, so no component is lost.
 
 Keys may be any integers. A null key has a null component; a repeated row gets the same answer
@@ -38,6 +40,7 @@ from .components import connected_components
 
 BUCKET_BITS, FREQUENT_BITS = 22, 18
 LEVELS, VERIFY_COST = 4, 50.0
+SKETCH_BITS, STAR_ROUNDS = 1024, 2
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0676A9A99)]
 
 
@@ -104,11 +107,13 @@ def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[n
         often[shared.value[0]] = shared.value[1]
         with np.errstate(over="ignore"):
             for batch in batches:
-                ns, digests, levels, prefixes = [], [], [], []
+                ns, digests, levels, prefixes, sketches = [], [], [], [], []
                 for s in shingle_sets(batch.column("text").to_pylist(), words):
                     n = len(s)
                     ns.append(n)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
+                    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     c = often[_bucket(s)]
                     if c.any():
                         order = np.lexsort((s, c))
@@ -121,10 +126,11 @@ def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[n
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(levels, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc", "n", "digest", "lvl", "prefix"]
+                    [batch.column("doc"), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(levels, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["doc", "n", "digest", "lvl", "prefix", "sketch"],
                 )
 
-    return src.mapInArrow(run, "doc long, n long, digest binary, lvl int, prefix array<long>")
+    return src.mapInArrow(run, "doc long, n long, digest binary, lvl int, prefix array<long>, sketch array<long>")
 
 
 def _need(nx: Column, ny: Column, percent: int) -> Column:
@@ -132,6 +138,15 @@ def _need(nx: Column, ny: Column, percent: int) -> Column:
     return F.ceil((nx + ny) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
+def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their parity sketches don't rule out: every bit in which two sketches
+    differ stands for at least one shingle that only one of the sets has."""
+    side = lambda k: own.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return both.where(apart <= F.col("na") + F.col("nb") - 2 * _need(F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. Texts travel, as they are smaller
     than their sets; a text that many pairs of a batch share is cut into shingles once."""
@@ -159,56 +174,70 @@ def full_texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(src.join(wanted.withColumnRenamed("v", "doc"), "doc", "left_semi").select(F.col("doc").alias("v"), "text"))
 
 
+def star_pairs(mine: DataFrame, percent: int, step: int) -> DataFrame:
+    """(a, b): classes and the centres of their buckets in other components. The first centre is
+    the one with the fewest shared shingles before the bucket's; later ones go by another hash."""
+    first = [F.col("u"), F.col("pos")] if step == 0 else [F.xxhash64("v", F.lit(step))]
+    best = mine.groupBy("token").agg(F.min(F.struct(*first, "v", "n", "c", F.col("u").alias("bu"), F.col("pos").alias("bpos"))).alias("m"))
+    best = written(best.select("token", F.col("m.v").alias("cv"), F.col("m.n").alias("cn"), F.col("m.c").alias("cc"), F.col("m.bu").alias("cu"), F.col("m.bpos").alias("cpos")))
+    bound = F.least("u", "cu") + F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
+    met = mine.join(best, "token").where("c <> cc").where((F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent) & (bound >= _need(F.col("n"), F.col("cn"), percent)))
+    return met.select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b")).distinct()
+
+
+def mixed_pairs(mine: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components that share enough prefix shingles."""
+    mixed = written(mine.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"))
+    rest = written(mine.join(mixed, "token"))
+    names = ("v", "n", "lvl", "pos", "u", "c")
+    x = rest.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)) + F.col("lvl")).select("token", *[F.col(k).alias(f"x_{k}") for k in names])
+    y = rest.select("token", *[F.col(k).alias(f"y_{k}") for k in names])
+    p = {k: F.col(k) for k in [*x.columns, *y.columns]}
+    bound = F.least(p["x_u"], p["y_u"]) + F.least(p["x_n"] - p["x_pos"], p["y_n"] - p["y_pos"])
+    ordered = (p["x_n"] < p["y_n"]) | ((p["x_n"] == p["y_n"]) & (p["x_v"] < p["y_v"]))
+    pairs = x.join(y, "token").where(ordered & (p["x_c"] != p["y_c"]) & (p["x_n"] * 100 >= p["y_n"] * percent) & (bound >= _need(p["x_n"], p["y_n"], percent)))
+    return pairs.groupBy(p["x_v"].alias("a"), p["y_v"].alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x_lvl", "y_lvl")).alias("l")).where("k >= l").select("a", "b")
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (v, c) after further links (a, b)."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(comp, "v", "left_anti").select("v", F.col("v").alias("c"))
+    comp = written(comp.unionByName(ends))
+    side = lambda k: comp.select(F.col("v").alias(k), F.col("c").alias(f"c{k}"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    step = connected_components(edges).select(F.col("v").alias("c"), F.col("c").alias("to"))
+    return written(comp.join(step, "c", "left").select("v", F.coalesce("to", "c").alias("c")))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key that links reach) of every row."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sets = written(ordered_prefixes(src, words, percent, frequent_buckets(src, words)))
     reps = written(sets.where("n > 0 AND doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep")))
 
     # postings of one document a class; only prefix shingles that two classes share stay
     own = sets.where("n > 0").join(reps.withColumnRenamed("rep", "doc"), ["digest", "doc"], "left_semi")
-    own = written(own.select(F.col("doc").alias("v"), "n", "lvl", "prefix"))
+    own = written(own.select(F.col("doc").alias("v"), "n", "lvl", "prefix", "sketch"))
     posts = own.select("v", "n", "lvl", F.posexplode("prefix").alias("pos", "token"))
     shared = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
     met = posts.join(shared, "token").select("token", "v", "n", "lvl", "pos")
     met = written(met.selectExpr("*", "row_number() OVER (PARTITION BY v ORDER BY pos) - 1 AS u"))
-    centres = written(met.groupBy("token").agg(F.min(F.struct("u", "pos", "v", "n")).alias("m")).select("token", F.col("m.u").alias("cu"), F.col("m.pos").alias("cpos"), F.col("m.v").alias("cv"), F.col("m.n").alias("cn")))
-
-    # 4. every class against its best centre
-    sizes = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    c = {k: F.col(k) for k in ("n", "cn", "pos", "cpos", "u", "cu")}
-    bound = F.least(c["u"], c["cu"]) + F.least(c["n"] - c["pos"], c["cn"] - c["cpos"])
-    star = met.join(centres, "token").where("v <> cv").where(sizes(c["n"], c["cn"]) & (bound >= _need(c["n"], c["cn"], percent)))
-    star = star.groupBy("v", "cv").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", (-F.col("cv")).alias("b"))).alias("m"))
-    star = written(star.select(F.col("v").alias("a"), (-F.col("m.b")).alias("b")))
-    named = written(star.select(F.explode(F.array("a", "b")).alias("v")).distinct())
-    known = full_texts(src, named)
-    first = connected_components(verified(star, known, words, percent))
-
-    # 5. what is left between different components
-    mine = written(met.select("token", "v", "n", "lvl", "pos", "u").join(first, "v", "left").withColumn("c", F.coalesce("c", "v")))
-    mixed = written(mine.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"))
-    rest = written(mine.join(mixed, "token"))
-    x = rest.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)) + F.col("lvl")).select("token", *[F.col(k).alias(f"x_{k}") for k in ("v", "n", "lvl", "pos", "u", "c")])
-    y = rest.select("token", *[F.col(k).alias(f"y_{k}") for k in ("v", "n", "lvl", "pos", "u", "c")])
-    p = {k: F.col(k) for k in [*x.columns, *y.columns]}
-    bound = F.least(p["x_u"], p["y_u"]) + F.least(p["x_n"] - p["x_pos"], p["y_n"] - p["y_pos"])
-    ordered = (p["x_n"] < p["y_n"]) | ((p["x_n"] == p["y_n"]) & (p["x_v"] < p["y_v"]))
-    pairs = x.join(y, "token").where(ordered & (p["x_c"] != p["y_c"]) & (p["x_n"] * 100 >= p["y_n"] * percent) & (bound >= _need(p["x_n"], p["y_n"], percent)))
-    pairs = pairs.groupBy(p["x_v"].alias("a"), p["y_v"].alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x_lvl", "y_lvl")).alias("l")).where("k >= l").select("a", "b")
-    pairs = written(pairs)
-    fresh = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(named, "v", "left_anti"))
-    more = full_texts(src, fresh)
-    links = verified(pairs, known.unionByName(more), words, percent)
-    as_c = first.withColumnRenamed("c", "to")
-    links = written(links).join(as_c.select(F.col("v").alias("a"), F.col("to").alias("ca")), "a", "left").join(as_c.select(F.col("v").alias("b"), F.col("to").alias("cb")), "b", "left")
-    second = connected_components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+
+    # 4. every class against the centres of its buckets; then what is left between components
+    known = spark.createDataFrame([], "v long, text string")
+    comp = spark.createDataFrame([], "v long, c long")
+    for step in range(STAR_ROUNDS + 1):
+        mine = written(met.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")))
+        pairs = star_pairs(mine, percent, step) if step < STAR_ROUNDS else mixed_pairs(mine, percent)
+        pairs = written(plausible(pairs, own, percent))
+        fresh = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(known.select("v"), "v", "left_anti"))
+        known = known.unionByName(full_texts(src, fresh))
+        comp = merged(comp, written(verified(pairs, known, words, percent)))
 
     # every class's component, then every document's
-    named_c = reps.join(as_c.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", F.coalesce("to", "rep").alias("c"))
-    named_c = written(named_c).join(second.select(F.col("v").alias("c"), F.col("c").alias("c2")), "c", "left").select("digest", "rep", F.coalesce("c2", "c").alias("c"))
-    named_c = written(named_c)
+    named_c = written(reps.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", F.coalesce("c", "rep").alias("c")))
     least = written(named_c.groupBy("c").agg(F.min("rep").alias("component")))
     answer = written(named_c.join(least, "c").select("digest", "component"))
     return sets.select("doc", "n", "digest").join(answer, "digest", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
