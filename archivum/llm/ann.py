@@ -20,6 +20,7 @@ give empty results. Other columns aren't read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import training_rows, written
+from .common import trained, written
 
 K, SAMPLE_ROWS, SUBSPACES, CODES = 20, 8192, 8, 256
 PROBE_SHARE, SHORTLIST, BLOCK = 0.75, 96, 512
@@ -95,6 +96,16 @@ class Index:
         return -np.partition(-s, k - 1, 1)[:, k - 1] if s.shape[1] >= k else np.full(len(q), -np.inf)
 
 
+def fitted(rows: list[dict]) -> Index | None:
+    """The index of a sample; vectors of its commonest length (the longer of two) count."""
+    if not rows:
+        return None
+    lengths = Counter(len(r["v"]) for r in rows)
+    dims = max(lengths, key=lambda n: (lengths[n], n))
+    rows = [r for r in rows if len(r["v"]) == dims]
+    return Index(np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows]))
+
+
 def usable(v: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return F.coalesce(v.isNotNull() & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -111,13 +122,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["id", "v"])
     out_type = "query_id long, rank int, vec_id long, score double"
-    some = training_rows(rows, "id", sample_rows, ["id", "v"])
-    if not some:
+    index = trained(rows, "id", sample_rows, ["id", "v"], fitted)
+    if index is None:
         return spark.createDataFrame([], out_type)
-    lengths = [len(r["v"]) for r in some]
-    dims = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    some = [r for r in some if len(r["v"]) == dims]
-    index = Index(np.array([r["id"] for r in some]), np.array([r["v"] for r in some]))
+    dims = index.dims
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

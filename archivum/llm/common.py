@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -66,6 +67,15 @@ def map_text(docs: DataFrame, text_col: str, keep: Sequence[str], fields: Sequen
     return src.mapInArrow(run, schema)
 
 
+def judged(docs: DataFrame, judge: Callable[[DataFrame, str, list[str]], DataFrame], text_col: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """All columns of ``docs`` with those that ``judge(src, text, keep)`` adds, and a function that
+    gives the input's columns back. Input columns go under names of their own meanwhile, so none
+    can clash with what is added."""
+    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
+    src = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in names.items()])
+    return judge(src, names[text_col], list(names.values())), lambda df: df.select(*[F.col(h).alias(c) for c, h in names.items()])
+
+
 def _arrow(t: T.DataType) -> pa.DataType:
     simple = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_(), T.DoubleType: pa.float64(), T.BinaryType: pa.binary()}
     return pa.list_(_arrow(t.elementType)) if isinstance(t, T.ArrayType) else simple[type(t)]
@@ -87,11 +97,23 @@ def double(name: str) -> T.StructField:
     return T.StructField(name, T.DoubleType())
 
 
-def training_rows(df: DataFrame, key: str, rows: int, cols: Sequence[str]) -> list:
+def sample(df: DataFrame, key: str, rows: int, cols: Sequence[str]) -> DataFrame:
     """A bounded sample for a classifier: the ``rows`` rows with the smallest hash of the key,
     the same rows on every run and for every partitioning."""
     rank = F.xxhash64(F.col(key).cast("string"), F.lit(11))
-    return df.select(*[F.col(c) for c in cols], rank.alias("__rank")).orderBy("__rank", *cols).limit(rows).collect()
+    return df.select(*[F.col(c) for c in cols], rank.alias("__rank")).orderBy("__rank", *cols).limit(rows).drop("__rank")
+
+
+def trained(df: DataFrame, key: str, rows: int, cols: Sequence[str], fit: Callable[[list[dict]], object]) -> object:
+    """What ``fit`` makes of the sample. It runs in one task, as the sample is small by its bound
+    and a task has a core of its own, which the driver may not have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
+
+    made = sample(df, key, rows, cols).mapInArrow(run, "model binary").first()
+    return pickle.loads(made[0]) if made else fit([])
 
 
 # --- byte-wise hashing of words, vectorised over a block of texts -----------------------------

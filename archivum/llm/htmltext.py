@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, long, map_text, string, training_rows
+from .common import hashed_words, long, map_text, string, trained
 from .neural import Adam, BiLstm, sigmoid
 
 ROWS, ROUNDS, HIDDEN = 240, 6, 16
@@ -265,15 +265,17 @@ def layouts(pages: list[list], rng: np.random.Generator) -> tuple[list, list]:
     return made, labels
 
 
+def fitted(rows: list[dict]) -> Labeller:
+    model = Labeller()
+    model.train(*layouts([blocks(r["h"]) for r in rows], np.random.default_rng(5)))
+    return model
+
+
 def learn(pages: DataFrame, key: str = "page_id", html_col: str = "html", rows: int = ROWS) -> Labeller:
     """A labeller trained on at most ``rows`` pages that name their article."""
     src = pages.select(F.col(f"`{key}`").alias("k"), F.col(f"`{html_col}`").cast("string").alias("h"))
     src = src.where(F.lower("h").rlike("<(article|main)[ >]"))
-    got = [blocks(r["h"]) for r in training_rows(src, "k", rows, ["k", "h"])]
-    model = Labeller()
-    made, labels = layouts(got, np.random.default_rng(5))
-    model.train(made, labels)
-    return model
+    return trained(src, "k", rows, ["k", "h"], fitted)
 
 
 def page_text(found: list, good: list[bool]) -> str:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, double, map_text, mix64, string, training_rows
+from .common import blocks_of, double, judged, map_text, mix64, string, trained
 
 ROWS, TOP, SLOT_BITS, HASHES = 800, 1000, 16, 3
 MIN_SCORE = 0.3
@@ -109,8 +109,8 @@ def held_out(key: Column) -> Column:
 def learn(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Filters:
     """Filters from a sample of at most ``rows`` labelled rows that aren't held out."""
     src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"))
-    got = training_rows(src.where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k"))), "k", rows, ["k", "t", "l"])
-    return Filters([(r["l"], r["t"]) for r in got])
+    src = src.where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k")))
+    return trained(src, "k", rows, ["k", "t", "l"], lambda got: Filters([(r["l"], r["t"]) for r in got]))
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -122,3 +122,10 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", keep: Se
         return {"lang_pred": names, "score": scores}
 
     return map_text(docs, text_col, keep, [string("lang_pred"), double("score")], per_batch)
+
+
+def keep_known(docs: DataFrame, filters: Filters, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` in a language that the filters know, with their columns unchanged:
+    ``und`` goes, and what explains less than ``min_score`` of its trigrams."""
+    got, back = judged(docs, lambda src, text, keep: identify(src, filters, text, keep))
+    return back(got.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)))

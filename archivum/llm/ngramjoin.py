@@ -243,6 +243,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     return sets.select("doc", "n", "digest").join(answer, "digest", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, that with the smallest id (one of its
+    copies, where its row is repeated). Rows without an id link with nothing and stay."""
+    label = jaccard_components(docs, words, percent)
+    first = written(label.where("doc_id = component_id").select("doc_id").distinct())
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__h", F.xxhash64("text")).dropDuplicates(["doc_id", "__h"])
+    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 #: DuckDB: exact all-pairs overlaps through an inverted index, then reachability.
 SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

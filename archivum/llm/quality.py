@@ -22,9 +22,8 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import boolean, long, map_text, string
+from .common import boolean, judged, long, map_text, string
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices and site furniture.
@@ -128,12 +127,8 @@ def line_first_quality(docs: DataFrame, text_col: str = "text", keep: Sequence[s
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text passes, with their columns unchanged."""
-    extra = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept"}
-    hidden = [(c, f"__in_{i}") for i, c in enumerate(docs.columns)]  # so that no input name meets a new one
-    assert not extra & {h for _, h in hidden}
-    src = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in hidden])
-    text = next(h for c, h in hidden if c == "text")
-    return line_first_quality(src, text, [h for _, h in hidden]).where("kept").select(*[F.col(h).alias(c) for c, h in hidden])
+    got, back = judged(docs, line_first_quality)
+    return back(got.where("kept"))
 
 
 def _like(column: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, langid, ngramjoin, packing, quality, secrets, urlrules
+from . import ann, htmltext, langid, ngramjoin, packing, pii, quality, secrets, urlrules
 from .common import table
 
 
@@ -15,6 +15,11 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal(docs, pii.learn(docs))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.line_first_quality(table(spark, sf_dir, "documents"))
 
@@ -47,5 +52,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op3_line_quality, op4_ivf_pq_search, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_personal_data, op3_line_quality, op4_ivf_pq_search, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan)}
 ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
