@@ -10,13 +10,14 @@ without words or text the set is empty and links with nothing. Two documents lin
 2. Documents with equal sets become one class; copies never meet again.
 3. A pair with overlap o shares at least l shingles of the prefixes of lengths n - o + l. Each
    class takes the l with the least estimated cost (list lengths, and verifications of at most
-   lists / l candidates); a pair must then share the smaller l of both.
+   lists / l candidates) for the least overlap of any partner; a pair must then share what its own
+   overlap asks for: o less the shingles behind the prefix, on the side that asks for less.
 4. In each prefix bucket one class is the centre: first that with the fewest rare shingles, in
    later rounds another. Classes are verified against the centres of their buckets in other
    components; what links is joined. Large groups of near copies become one component without
    all pairs of their members being listed.
-5. Only pairs of different components are then listed from the buckets, under length, role
-   (shorter index, longer probe prefix) and position bounds. Pairs that parity sketches of the
+5. Only pairs of different components are then listed from the buckets, under length,
+   position and shared-prefix bounds. Pairs that parity sketches of the
    sets (1024 bits) can't rule out are verified on the full sets.
    Links inside a component can't change it, so no component is lost.
 
@@ -190,13 +191,16 @@ def mixed_pairs(mine: DataFrame, percent: int) -> DataFrame:
     mixed = written(mine.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token"))
     rest = written(mine.join(mixed, "token"))
     names = ("v", "n", "lvl", "pos", "u", "c")
-    x = rest.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent) - F.lit(1e-9)) + F.col("lvl")).select("token", *[F.col(k).alias(f"x_{k}") for k in names])
-    y = rest.select("token", *[F.col(k).alias(f"y_{k}") for k in names])
+    x, y = (rest.select("token", *[F.col(k).alias(f"{side}_{k}") for k in names]) for side in "xy")
     p = {k: F.col(k) for k in [*x.columns, *y.columns]}
+    need = _need(p["x_n"], p["y_n"], percent)
     bound = F.least(p["x_u"], p["y_u"]) + F.least(p["x_n"] - p["x_pos"], p["y_n"] - p["y_pos"])
     ordered = (p["x_n"] < p["y_n"]) | ((p["x_n"] == p["y_n"]) & (p["x_v"] < p["y_v"]))
-    pairs = x.join(y, "token").where(ordered & (p["x_c"] != p["y_c"]) & (p["x_n"] * 100 >= p["y_n"] * percent) & (bound >= _need(p["x_n"], p["y_n"], percent)))
-    return pairs.groupBy(p["x_v"].alias("a"), p["y_v"].alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max(F.least("x_lvl", "y_lvl")).alias("l")).where("k >= l").select("a", "b")
+    pairs = x.join(y, "token").where(ordered & (p["x_c"] != p["y_c"]) & (p["x_n"] * 100 >= p["y_n"] * percent) & (bound >= need))
+    sides = [p[k] for k in ("x_v", "y_v", "x_n", "y_n", "x_lvl", "y_lvl")]
+    behind = lambda s: F.greatest(F.lit(0), F.ceil(p[f"{s}_n"] * percent / F.lit(100) - F.lit(1e-9)) - p[f"{s}_lvl"])  # noqa: E731  shingles behind the prefix
+    counted = pairs.groupBy(*sides).agg(F.count(F.lit(1)).alias("k"))
+    return counted.where(F.col("k") >= need - F.greatest(behind("x"), behind("y"))).select(p["x_v"].alias("a"), p["y_v"].alias("b"))
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
