@@ -1,0 +1,160 @@
+"""Model responses landed as text: payload, repair, attempts, conformance, stamps, audit."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import rules
+
+RESULT = "result map<string, string>"
+# The categories and sections that a record may name.
+SECTIONS = (
+    "people_subjects", "clothing_fashion", "objects_artifacts", "animals_pets", "setting_environment", "architecture_built", "events_occasions",
+    "photo_format", "written_elements_identifiers", "activities_actions", "emblems_symbols_context", "landscape_nature", "documents_records", "date_reference",
+)
+
+
+def payload(raw: Column) -> Column:
+    """The JSON text of a reply: a fence marked json, else any fence, else from the first brace to
+    the last, else all of it."""
+    s = rules.strip(F.coalesce(raw, F.lit("")))
+    marked = F.regexp_extract(s, r"(?is)```json\s*(.*?)\s*```", 1)
+    fenced = F.regexp_extract(s, r"(?s)```\s*(.*?)\s*```", 1)
+    braces = F.regexp_extract(s, r"(?s)\{.*\}", 0)
+    return rules.strip(F.when(s.rlike(r"(?is)```json.*```"), marked).when(s.rlike(r"(?s)```.*```"), fenced).when(braces != "", braces).otherwise(s))
+
+
+def without_marks(raw: Column) -> Column:
+    """Without list or diff marks at line starts: of a diff the new side, of a list its entries."""
+    lines = F.split(raw, "\n")
+    n = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
+    minus, plus = n(r"^\s*- "), n(r"^\s*\+ ")
+    bare = lambda x, sign: F.regexp_replace(x, rf"^(\s*)\{sign} (\s*[\"\[{{}}\]0-9\-tfn].*)$", "$1$2")
+    diff = F.transform(F.filter(lines, lambda x: ~x.rlike(r"^\s*- ")), lambda x: bare(x, "+"))
+    return F.when((minus >= 3) & (plus >= 3), F.array_join(diff, "\n")).when(minus >= 3, F.array_join(F.transform(lines, lambda x: bare(x, "-")), "\n")).otherwise(raw)
+
+
+def collapsed(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"(?:\[ ?\? ?\][\s,]*){5,}", "[illegible] ")
+
+
+def mended(text: str) -> str:
+    """Brackets that close the wrong way, colons after lists, trailing commas, and raw control
+    characters in strings put right; one pass with a stack of open brackets."""
+    out: list[str] = []
+    stack: list[str] = []
+    closer = {"{": "}", "[": "]"}
+    quoted = escaped = False
+
+    def drop_comma() -> None:
+        k = len(out) - 1
+        while k >= 0 and out[k].isspace():
+            k -= 1
+        if k >= 0 and out[k] == ",":
+            del out[k]
+
+    for c in text:
+        if quoted:
+            if escaped:
+                escaped = False
+            elif c == "\\":
+                escaped = True
+            elif c == '"':
+                quoted = False
+            elif ord(c) < 32:
+                c = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, f"\\u{ord(c):04x}")
+            out.append(c)
+        elif c == '"':
+            quoted = True
+            out.append(c)
+        elif c in closer:
+            stack.append(c)
+            out.append(c)
+        elif c in "}]":
+            drop_comma()
+            if stack:
+                out.append(closer[stack.pop()])
+        elif c == ":" and "".join(out[-40:]).rstrip().endswith(("]", "}")):
+            out.append(",")
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+@F.pandas_udf("string")
+def mended_json(s: pd.Series) -> pd.Series:
+    """Mended texts that are JSON then; null for hopeless ones."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return json.dumps(json.loads(mended(x or ""), strict=False), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return s.map(one)
+
+
+def parse_responses(responses: DataFrame) -> DataFrame:
+    """(group_key, attempt, status, json): ok, repaired or failed. The Python repair only sees rows
+    that the strict parse refused."""
+    p = responses.select("group_key", "attempt", collapsed(without_marks(payload(F.col("raw")))).alias("text"))
+    ok = F.expr("try_parse_json(text)").isNotNull()
+    good = p.where(ok).select("group_key", "attempt", F.lit("ok").alias("status"), F.col("text").alias("json"))
+    bad = p.where(~ok).select("group_key", "attempt", mended_json("text").alias("json"))
+    bad = bad.select("group_key", "attempt", F.when(F.col("json").isNull(), "failed").otherwise("repaired").alias("status"), "json")
+    return good.unionByName(bad)
+
+
+def first_usable(parsed: DataFrame) -> DataFrame:
+    """Each group's lowest attempt that isn't failed; groups without one have status failed."""
+    use = F.when(F.col("status") != "failed", F.struct("attempt"))
+    return parsed.groupBy("group_key").agg(F.coalesce(F.min_by("status", use), F.lit("failed")).alias("status"), F.min_by("attempt", use).alias("attempt"), F.min_by("json", use).alias("json"), F.max("attempt").alias("last_attempt"))
+
+
+def retry_queue(parsed: DataFrame) -> DataFrame:
+    """Groups to ask again, with the number of the next attempt."""
+    return first_usable(parsed).where("status = 'failed'").select("group_key", (F.col("last_attempt") + 1).alias("attempt"))
+
+
+def flatten_result(parsed: DataFrame, expected: DataFrame) -> DataFrame:
+    """(group_key, record): the record under the expected path (expected: group_key, main_path),
+    else the only one there is; null else."""
+    r = F.from_json("json", RESULT)["result"]
+    return parsed.join(expected, "group_key").select("group_key", F.coalesce(r[F.col("main_path")], F.when(F.size(r) == 1, F.map_values(r)[0])).alias("record"))
+
+
+RULES = ("three_keywords", "has_caption", "confidence_range", "import_date_form", "pattern_form", "date_keyword", "date_keyword_matches")
+
+
+def conformance(analyses: DataFrame) -> DataFrame:
+    """(group_key, ord, rule, ok) of every analysis and rule."""
+    k, conf = F.col("keywords"), F.col("date_confidence")
+    marker = F.array_max(F.filter(F.transform(k, rules.strip), lambda x: F.upper(x).startswith("DATE:")))
+    checks = {
+        "three_keywords": F.size(k) >= 3, "has_caption": rules.blank_to_null(F.col("caption")).isNotNull(), "confidence_range": conf.isNull() | conf.between(0, 1),
+        "import_date_form": F.col("import_date").isNull() | F.col("import_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), "pattern_form": F.col("pattern").isNull() | rules.valid_pattern(F.col("pattern")),
+        "date_keyword": marker.isNotNull(), "date_keyword_matches": marker.isNull() | (marker == F.concat(F.lit("DATE: "), F.col("pattern"))),
+    }
+    named = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("ok")) for n, c in checks.items()])
+    return analyses.select("group_key", "ord", F.explode(named).alias("r")).select("group_key", "ord", "r.rule", "r.ok")
+
+
+def conformance_rates(analyses: DataFrame) -> DataFrame:
+    return conformance(analyses).groupBy("rule").agg(F.count_if("ok").alias("n_ok"), F.count(F.lit(1)).alias("n"))
+
+
+def stamp_analyses(analyses: DataFrame, provider: str, model: str, day: str) -> DataFrame:
+    """Provenance keyword and dated caption."""
+    return analyses.withColumn("keywords", rules.provenance(F.col("keywords"), provider, model)).withColumn("ai_caption", rules.dated_caption(F.col("ai_caption"), day))
+
+
+def forbidden_audit(analyses: DataFrame, terms: Sequence[str] = rules.FORBIDDEN_TERMS, fail: bool = False) -> DataFrame:
+    """(group_key, ord, keyword, term): keywords that hold a forbidden word. With ``fail`` such a
+    keyword is an error when the rows are read."""
+    hits = analyses.select("group_key", "ord", F.explode("keywords").alias("keyword")).withColumn("term", rules.forbidden_term(F.col("keyword"), terms)).where("term IS NOT NULL")
+    return hits.withColumn("term", F.raise_error(F.concat(F.lit("forbidden keyword: "), "keyword")).cast("string")) if fail else hits

@@ -1,0 +1,521 @@
+"""A query for each job of the archive engine over the given tables, with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..operators import changes, consolidate, grouping, merging, metadata, naming, responses
+from ..sources import archive, fixtures
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+DAY, RUN, AT = "2024-05-01", "run-1", "2024-05-01T00:00:00Z"
+ALLOWED = (changes.DATE, changes.TITLE)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = fixtures.oracle(sql)
+        return f
+
+    return add
+
+
+# --- shared inputs --------------------------------------------------------------------------------
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return naming.media_files(fixtures.frame(spark, d, fixtures.FILES))
+
+
+def _words(c: str = "keywords_text") -> Column:
+    return F.split(c, r"\|")
+
+
+def _meta_items(spark: SparkSession, d: str) -> DataFrame:
+    return naming.media_files(fixtures.frame(spark, d, fixtures.META)).withColumn("keywords", _words())
+
+
+def _analyses(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.frame(spark, d, fixtures.ANALYSES).withColumn("keywords", _words())
+
+
+def _text(c: str | Column, sep: str = "|") -> Column:
+    """A list as text, a null entry as ``~``."""
+    return F.array_join(F.col(c) if isinstance(c, str) else c, sep, "~")
+
+
+def _ci(x: str) -> str:
+    """The list without blanks and repeated words, for the oracle."""
+    clean = f"list_filter(list_transform({x}, lambda z: trim(z)), lambda z: z <> '')"
+    return f"list_filter({clean}, lambda y, i: list_position(list_transform({clean}, lambda z: lower(z)), lower(y)) = i)"
+
+
+_NAME = """nm AS (SELECT *, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS nm FROM src WHERE regexp_matches(lower(path), '\\.(tif|tiff|jpg|jpeg|png)$')),
+bd AS (SELECT *, regexp_replace(nm, '-crop$', '', 'i') AS body FROM nm),
+rs AS (SELECT *, regexp_replace(body, '-(negative|back|front|page[0-9]+)$', '', 'i') AS rest, CASE WHEN regexp_matches(body, '(?i)-negative$') THEN 'negative' WHEN regexp_matches(body, '(?i)-back$') THEN 'back'
+ WHEN regexp_matches(body, '(?i)-front$') THEN 'front' WHEN regexp_matches(body, '(?i)-page[0-9]+$') THEN 'page' ELSE 'none' END AS part_kind,
+ CAST(nullif(regexp_extract(body, '(?i)-page([0-9]+)$', 1), '') AS INTEGER) AS page_num, nm <> body AS is_crop FROM bd),
+media AS (SELECT *, CASE WHEN regexp_matches(rest, '(?i)^.+-[a-z]$') THEN left(rest, length(rest) - 2) WHEN regexp_matches(rest, '(?i)^.*[0-9][a-z]$') THEN left(rest, length(rest) - 1) ELSE rest END AS group_key,
+ CASE WHEN regexp_matches(rest, '(?i)^.+-[a-z]$|^.*[0-9][a-z]$') THEN lower(right(rest, 1)) END AS variant_id FROM rs)"""
+MEDIA = f"WITH src AS ({fixtures.FILES}), {_NAME}"
+META = f"WITH src AS ({fixtures.META}), {_NAME}, items AS (SELECT *, string_split(keywords_text, '|') AS keywords FROM media)"
+AN = f"an AS (SELECT *, string_split(keywords_text, '|') AS keywords FROM ({fixtures.ANALYSES}) a0)"
+
+# --- names and groups -------------------------------------------------------------------------------
+
+
+@query("j01_media_files", MEDIA + " SELECT path, ord, group_key, variant_id, part_kind, page_num, is_crop, concat('sha1:', sha1(path)) AS photo_id FROM media")
+def j01(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("path", "ord", "group_key", "variant_id", "part_kind", "page_num", "is_crop", "photo_id")
+
+
+_SLOT = """, sl AS (SELECT group_key, (CASE WHEN part_kind IN ('negative', 'page', 'back') THEN part_kind ELSE 'front' END) || (CASE WHEN is_crop THEN '_crop' ELSE '' END) AS slot,
+ CASE WHEN part_kind NOT IN ('negative', 'page') THEN variant_id END AS version, page_num, max(path) AS path FROM media GROUP BY 1, 2, 3, 4),
+va AS (SELECT group_key, version, max(CASE WHEN slot = 'front' THEN path END) AS front, max(CASE WHEN slot = 'back' THEN path END) AS back FROM sl WHERE version IS NOT NULL GROUP BY 1, 2),
+vg AS (SELECT group_key, count(*) AS n_variants, string_agg(coalesce(front, '~'), '|' ORDER BY version) AS vf, string_agg(coalesce(back, '~'), '|' ORDER BY version) AS vb,
+ string_agg(front, '|' ORDER BY version) AS vfx, string_agg(back, '|' ORDER BY version) AS vbx FROM va GROUP BY 1),
+pg AS (SELECT group_key, """ + ", ".join(f"max(CASE WHEN slot = '{k}' AND version IS NULL THEN path END) AS {k}" for k in ("front", "back", "front_crop", "back_crop", "negative", "negative_crop")) + """,
+ count_if(slot = 'page') AS n_pages, string_agg(CASE WHEN slot = 'page' THEN path END, '|' ORDER BY page_num) AS pf, string_agg(CASE WHEN slot = 'page' THEN '~' END, '|') AS pb FROM sl GROUP BY 1),
+fg AS (SELECT group_key, front, back, front_crop, back_crop, negative, negative_crop, coalesce(n_variants, 0) AS n_variants, n_pages,
+ CASE WHEN n_pages > 0 THEN pf ELSE concat_ws('|', coalesce(front, '~'), vf) END AS all_fronts, CASE WHEN n_pages > 0 THEN pb ELSE concat_ws('|', coalesce(back, '~'), vb) END AS all_backs, vfx, vbx FROM pg LEFT JOIN vg USING (group_key))"""
+
+
+@query("j02_group_folder", MEDIA + _SLOT + " SELECT group_key, front, back, front_crop, back_crop, negative, negative_crop, n_variants, n_pages, all_fronts, all_backs FROM fg")
+def j02(spark: SparkSession, d: str) -> DataFrame:
+    g = naming.group_folder(_items(spark, d))
+    return g.select("group_key", "front", "back", "front_crop", "back_crop", "negative", "negative_crop", F.size("variants").cast("long").alias("n_variants"), F.size("pages").cast("long").alias("n_pages"), _text("all_fronts").alias("all_fronts"), _text("all_backs").alias("all_backs"))
+
+
+@query("j03_folder_plan", MEDIA + _SLOT + " SELECT group_key, front IS NULL AS skipped, front, back, CASE WHEN front IS NOT NULL THEN concat_ws('|', front, back, vfx, vbx) END AS files FROM fg")
+def j03(spark: SparkSession, d: str) -> DataFrame:
+    return naming.folder_analysis_plan(naming.group_folder(_items(spark, d))).select("group_key", "skipped", "front", "back", _text("files").alias("files"))
+
+
+@query("j04_group_manifest", MEDIA + " SELECT group_key, count(*) AS n_items, arg_min(path, ord) AS first_path, count_if(part_kind = 'back') AS n_backs FROM media GROUP BY 1 ORDER BY lower(group_key), group_key")
+def j04(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.group_manifest(_items(spark, d))
+
+
+def _primary_sql(exact: bool) -> str:
+    return MEDIA + f""", rk AS (SELECT *, CASE WHEN preferred THEN 0 WHEN {exact} AND part_kind <> 'back' THEN 1 WHEN part_kind <> 'back' AND variant_id IS NULL THEN 2 ELSE 3 END AS r FROM media),
+pr AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY r, CASE WHEN r = 1 THEN coalesce(variant_id, '') ELSE '' END, ord) AS n FROM rk),
+p AS (SELECT group_key, path, variant_id, part_kind FROM pr WHERE n = 1),
+bk AS (SELECT m.group_key, arg_min(m.path, (CASE WHEN m.variant_id IS NOT DISTINCT FROM p.variant_id THEN 0 WHEN m.variant_id IS NULL THEN 1 ELSE 2 END) * 1000 + m.ord) AS back_path FROM media m JOIN p USING (group_key) WHERE m.part_kind = 'back' GROUP BY 1),
+af AS (SELECT group_key, arg_min(path, ord) AS f FROM media WHERE part_kind <> 'back' GROUP BY 1)
+SELECT p.group_key, p.path AS primary_path, p.variant_id AS primary_version, back_path, CASE WHEN p.part_kind = 'back' THEN coalesce(f, p.path) ELSE p.path END AS primary_front FROM p LEFT JOIN bk USING (group_key) LEFT JOIN af USING (group_key)"""
+
+
+@query("j05_select_primary", _primary_sql(True))
+def j05(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.select_primary(_items(spark, d))
+
+
+@query("j05b_select_primary_merge", _primary_sql(False))
+def j05b(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.select_primary(_items(spark, d), grouping.MERGE)
+
+
+_PARTS = """, pp AS (SELECT group_key, variant_id AS version, CASE WHEN part_kind IN ('front', 'back') THEN part_kind WHEN part_kind = 'page' THEN 'page:' || page_num ELSE 'none' END AS part, arg_min(path, ord) AS path, min(ord) AS fo FROM media GROUP BY 1, 2, 3),
+pm AS (SELECT *, bool_or(part LIKE 'page:%') OVER (PARTITION BY group_key) AS mp, bool_or(part = 'page:1') OVER (PARTITION BY group_key, version) AS h1 FROM pp),
+pt AS (SELECT group_key, version, CASE WHEN mp AND NOT h1 AND part = 'none' THEN 'page:1' ELSE part END AS part, path, mp, fo FROM pm)"""
+_ASSEMBLE = """, lb AS (SELECT group_key, version, path, fo, CASE WHEN part LIKE 'page:%' THEN 'Page ' || substr(part, 6) WHEN part = 'front' OR (part = 'none' AND NOT mp) THEN 'Front' WHEN part = 'back' THEN 'Back' END AS label,
+ CASE WHEN part LIKE 'page:%' THEN CAST(substr(part, 6) AS BIGINT) WHEN part = 'back' THEN 2000000000 ELSE 1000000000 END AS place, CASE WHEN part = 'front' THEN 0 ELSE 1 END AS tg FROM pt),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY group_key, place, path ORDER BY version NULLS LAST, tg, fo) AS k FROM lb WHERE label IS NOT NULL),
+ap AS (SELECT group_key, CAST(dense_rank() OVER (PARTITION BY group_key ORDER BY place) AS INTEGER) AS part_ord, label, CAST(row_number() OVER (PARTITION BY group_key, place ORDER BY version NULLS LAST, tg, fo, path) AS INTEGER) AS img_ord, path FROM l1 WHERE k = 1)"""
+
+
+@query("j06_assemble_parts", MEDIA + _PARTS + _ASSEMBLE + " SELECT * FROM ap")
+def j06(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.assemble_parts(_items(spark, d))
+
+
+_PAIRS = """, vp AS (SELECT group_key, version, coalesce(max(CASE WHEN part = CASE WHEN mp THEN 'page:1' ELSE 'none' END THEN path END), max(CASE WHEN part = 'front' THEN path END)) AS front, max(CASE WHEN part = 'back' THEN path END) AS back FROM pt GROUP BY 1, 2)"""
+
+
+@query("j07_variant_pairs", MEDIA + _PARTS + _PAIRS + " SELECT * FROM vp WHERE front IS NOT NULL OR back IS NOT NULL")
+def j07(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.variant_pairs(_items(spark, d))
+
+
+@query("j08_variant_files", MEDIA + " SELECT group_key, coalesce(string_agg(CASE WHEN part_kind <> 'back' THEN path END, '|' ORDER BY ord), '') AS front, coalesce(string_agg(CASE WHEN part_kind = 'back' THEN path END, '|' ORDER BY ord), '') AS back, string_agg(path, '|' ORDER BY ord) AS all_paths, string_agg(coalesce(variant_id, '~') || CASE WHEN preferred THEN '+' ELSE '-' END, '|' ORDER BY ord) AS versions FROM media GROUP BY 1")
+def j08(spark: SparkSession, d: str) -> DataFrame:
+    g = grouping.variant_files(_items(spark, d))
+    marks = F.transform("variants", lambda v: F.concat(F.coalesce(v["version"], F.lit("~")), F.when(v["preferred"], "+").otherwise("-")))
+    return g.select("group_key", _text("front").alias("front"), _text("back").alias("back"), _text("all").alias("all_paths"), _text(marks).alias("versions"))
+
+
+@query("j08b_page_map", MEDIA + _PARTS + _ASSEMBLE + ", pgs AS (SELECT group_key, CAST(substr(label, 6) AS INTEGER) AS page, string_agg(path, '|' ORDER BY img_ord) AS paths FROM ap WHERE label LIKE 'Page %' GROUP BY 1, 2) SELECT * FROM pgs")
+def j08b(spark: SparkSession, d: str) -> DataFrame:
+    g = grouping.page_map(_items(spark, d)).select("group_key", F.explode("pages").alias("page", "paths"))
+    return g.select("group_key", F.col("page").cast("int").alias("page"), _text("paths").alias("paths"))
+
+
+# --- metadata ---------------------------------------------------------------------------------------
+
+
+@query("j09_hydrate_comments", META + f""", tg AS ({fixtures.TAGS}), cm AS (SELECT source_file, arg_min(value, tag_ord) AS new FROM tg WHERE tag IN ('ExifIFD:UserComment', 'XMP:Instructions') AND trim(value) <> '' GROUP BY 1)
+SELECT path, ord, CASE WHEN trim(coalesce(user_comment, '')) = '' THEN coalesce(new, user_comment) ELSE user_comment END AS user_comment FROM items LEFT JOIN cm ON path = source_file""")
+def j09(spark: SparkSession, d: str) -> DataFrame:
+    tags = fixtures.frame(spark, d, fixtures.TAGS).where(F.col("tag").isin("ExifIFD:UserComment", "XMP:Instructions")).withColumnRenamed("value", "user_comment")
+    return metadata.hydrate_comments(_meta_items(spark, d), tags).select("path", "ord", "user_comment")
+
+
+_KEY = "CASE regexp_extract(tag, '[^:]*$') " + " ".join(f"WHEN '{b}' THEN '{k}'" for b, k in dict((t.rsplit(":", 1)[-1], k) for t, k in metadata.TAG_KEYS).items()) + " END"
+
+
+@query("j10_map_exif_tags", f"WITH tg AS ({fixtures.TAGS}), k AS (SELECT *, {_KEY} AS k FROM tg) SELECT source_file, " + ", ".join(f"arg_min(trim(value), tag_ord) FILTER (WHERE k = '{c}' AND trim(value) <> '') AS \"{c}\"" for c in ("dateTimeOriginal", "userComment", "caption", "title")) + ", count(k) AS n_mapped FROM k GROUP BY 1")
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.map_exif_tags(fixtures.frame(spark, d, fixtures.TAGS))
+
+
+_F = ("title", "caption", "date_original", "location", "state_province", "city", "country", "user_comment")
+_CMB = f""", so AS (SELECT *, CASE WHEN preferred THEN 0 ELSE 1 END * 100000 + ord AS so FROM items),
+cmb AS (SELECT group_key, {_ci("flatten(list(keywords ORDER BY so))")} AS keywords, {", ".join(f"arg_min(trim({c}), so) FILTER (WHERE trim({c}) <> '') AS {c}" for c in _F)} FROM so GROUP BY 1)"""
+
+
+@query("j11_combine_metadata", META + _CMB + f" SELECT group_key, array_to_string(keywords, '|') AS keywords, {', '.join(_F)} FROM cmb")
+def j11(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.combine_group_metadata(_meta_items(spark, d)).withColumn("keywords", _text("keywords"))
+
+
+def _combined(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.combine_group_metadata(_meta_items(spark, d))
+
+
+def _forwarded(spark: SparkSession, d: str) -> DataFrame:
+    c = _combined(spark, d).select("group_key", "keywords", "title", "caption", F.col("user_comment").alias("userComment"), F.col("date_original").alias("dateTimeOriginal"), "location", "city", F.col("state_province").alias("stateProvince"), "country")
+    return metadata.forwarded_metadata(c)
+
+
+_FWD = (("title", "title"), ("caption", "caption"), ("userComment", "user_comment"), ("city", "city"), ("state", "state_province"), ("stateProvince", "state_province"), ("country", "country"))
+
+
+@query("j12_forwarded_metadata", META + _CMB + " SELECT group_key, len(keywords) AS n_keywords, " + ", ".join(f"{c} AS \"f_{k}\"" for k, c in _FWD) + " FROM cmb")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    f = _forwarded(spark, d)
+    return f.select("group_key", F.size(F.from_json(F.get_json_object("forwarded", "$.keywords"), "array<string>")).cast("long").alias("n_keywords"), *[F.get_json_object("forwarded", f"$.{k}").alias(f"f_{k}") for k, _ in _FWD])
+
+
+FACES = """SELECT concat('/p', CAST(vec_id % 400 AS STRING)) AS path, vec_id AS pos, CASE WHEN vec_id % 5 = 0 THEN ' ' ELSE concat('P', CAST(label AS STRING)) END AS name,
+ CAST(vec_id % 97 AS DOUBLE) / 128 AS center_x, CAST(vec_id % 89 AS DOUBLE) / 64 AS center_y, CAST(vec_id % 8 AS DOUBLE) / 8 AS width, CASE WHEN vec_id % 7 <> 0 THEN 0.25 END AS height FROM {embeddings}"""
+
+
+@query("j13_face_blocks", f"WITH f AS ({FACES}), n AS (SELECT *, trim(name) AS nm, coalesce(height, 0) AS h, row_number() OVER (PARTITION BY path ORDER BY center_x, center_y, pos) AS i FROM f WHERE trim(name) <> '') SELECT path, count(*) AS n_faces, string_agg(nm || '@' || i, '|' ORDER BY i) AS order_of FROM n GROUP BY 1")
+def j13(spark: SparkSession, d: str) -> DataFrame:
+    b = metadata.face_blocks(fixtures.frame(spark, d, FACES))
+    lines = F.transform(F.split("block", "\n"), lambda x: F.concat(F.regexp_extract(x, r"^\d+\. (.*) \(cx=", 1), F.lit("@"), F.regexp_extract(x, r"^(\d+)\.", 1)))
+    return b.select("path", F.col("n_faces").cast("long").alias("n_faces"), _text(lines).alias("order_of"))
+
+
+_PIECES = {k: f"{k} of the archive" for k in ("header", "instructions", "image_rules", "categories", "forbidden", "vocabulary", "output_format")}
+
+
+@query("j14_build_requests", META + _CMB + f""", rq AS (SELECT group_key, unnest(list_filter([{", ".join(f"'{k}'" for k in _PIECES)}, 'metadata', CASE WHEN hash_even THEN 'context' END, 'guardrail'], lambda x: x IS NOT NULL)) AS kind,
+ generate_subscripts(list_filter([{", ".join("1" for _ in _PIECES)}, 1, CASE WHEN hash_even THEN 1 END, 1], lambda x: x IS NOT NULL), 1) - 1 AS piece_ord FROM (SELECT group_key, length(group_key) % 2 = 0 AS hash_even FROM cmb) z)
+SELECT group_key, CAST(piece_ord AS INTEGER) AS piece_ord, kind FROM rq""")
+def j14(spark: SparkSession, d: str) -> DataFrame:
+    g = _forwarded(spark, d).withColumn("face_block", F.lit(None).cast("string")).withColumn("photo_context", F.when(F.length("group_key") % 2 == 0, F.concat(F.lit("about "), "group_key")))
+    return metadata.build_requests(g, _PIECES).select("group_key", "piece_ord", "kind")
+
+
+@query("j15_payload_plan", MEDIA + """, im AS (SELECT path, ord, CAST(l_partkey % 4000 + 1 AS INTEGER) AS width, CAST(l_suppkey * 37 % 3000 + 1 AS INTEGER) AS height FROM media)
+SELECT path, ord, CASE WHEN greatest(width, height) > 1024 THEN greatest(1, CAST(round_even(width * (1024.0::DOUBLE / greatest(width, height)), 0) AS INTEGER)) ELSE width END AS sent_width,
+ CASE WHEN greatest(width, height) > 1024 THEN greatest(1, CAST(round_even(height * (1024.0::DOUBLE / greatest(width, height)), 0) AS INTEGER)) ELSE height END AS sent_height, greatest(width, height) > 1024 AS resized, 'image/jpeg' AS mime FROM im""")
+def j15(spark: SparkSession, d: str) -> DataFrame:
+    im = _items(spark, d).select("path", "ord", (F.col("l_partkey") % 4000 + 1).cast("int").alias("width"), (F.col("l_suppkey") * 37 % 3000 + 1).cast("int").alias("height"))
+    return metadata.payload_plan(im).select("path", "ord", "sent_width", "sent_height", "resized", "mime")
+
+
+# --- responses ----------------------------------------------------------------------------------------
+
+
+@query("j16_parse_responses", "SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, CASE WHEN o_orderkey % 6 IN (0, 1) OR o_orderkey % 12 = 5 THEN 'ok' WHEN o_orderkey % 6 IN (2, 3, 4) THEN 'repaired' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 12 = 5 THEN 2 WHEN o_orderkey % 6 < 5 THEN 1 END AS attempt FROM orders")
+def j16(spark: SparkSession, d: str) -> DataFrame:
+    return responses.first_usable(responses.parse_responses(fixtures.frame(spark, d, fixtures.RESPONSES))).select("group_key", "status", "attempt")
+
+
+@query("j16b_retry_queue", "SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, 3 AS attempt FROM orders WHERE o_orderkey % 12 = 11")
+def j16b(spark: SparkSession, d: str) -> DataFrame:
+    return responses.retry_queue(responses.parse_responses(fixtures.frame(spark, d, fixtures.RESPONSES)))
+
+
+_CHECKS = """, cf AS (SELECT group_key, ord, len(keywords) >= 3 AS three_keywords, trim(caption) <> '' AS has_caption, date_confidence BETWEEN 0 AND 1 AS confidence_range, regexp_matches(date_import, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS import_date_form,
+ regexp_matches(date_pattern, '^Y[!?~@](M[!?~@])?(D[!?~@])?$') AS pattern_form, list_contains(keywords, 'DATE: Y~') AS date_keyword, NOT list_contains(keywords, 'DATE: Y~') OR date_pattern = 'Y~' AS date_keyword_matches FROM an)"""
+
+
+@query("j17_validate_responses", f"WITH {AN}{_CHECKS} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, count_if({r}) AS n_ok, count(*) AS n FROM cf" for r in responses.RULES))
+def j17(spark: SparkSession, d: str) -> DataFrame:
+    return responses.conformance_rates(_analyses(spark, d).withColumnsRenamed({"date_import": "import_date", "date_pattern": "pattern"}))
+
+
+@query("j18_stamp_analyses", f"WITH {AN} SELECT group_key, ord, array_to_string(list_filter(keywords, lambda x: NOT ends_with(x, ' Analyzed')), '|') || '|Acme m-1 Analyzed' AS keywords, replace(ai_caption, '[AI Analysis]:', '[AI Analysis on {DAY}]:') AS ai_caption FROM an")
+def j18(spark: SparkSession, d: str) -> DataFrame:
+    return responses.stamp_analyses(_analyses(spark, d), "Acme", "m-1", DAY).select("group_key", "ord", _text("keywords").alias("keywords"), "ai_caption")
+
+
+@query("j19_forbidden_audit", f"WITH {AN}, k AS (SELECT group_key, ord, unnest(keywords) AS keyword FROM an) SELECT group_key, ord, keyword, regexp_extract(lower(keyword), '\\b({'|'.join(rules.FORBIDDEN_TERMS)})\\b', 1) AS term FROM k WHERE regexp_matches(lower(keyword), '\\b({'|'.join(rules.FORBIDDEN_TERMS)})\\b')")
+def j19(spark: SparkSession, d: str) -> DataFrame:
+    return responses.forbidden_audit(_analyses(spark, d))
+
+
+# --- consolidation --------------------------------------------------------------------------------------
+
+
+@query("j20_best_guesses", f"WITH {AN} SELECT group_key, max(date_confidence) AS date_confidence, arg_max(date_import, date_confidence * 1000 - ord) AS date_import, arg_max(ord, date_confidence * 1000 - ord) AS ord FROM an GROUP BY 1")
+def j20(spark: SparkSession, d: str) -> DataFrame:
+    return consolidate.best_guesses(_analyses(spark, d), "date_confidence", "date_import", "ord")
+
+
+_SCOPE = f""", bs AS (SELECT group_key, -1 AS ord, keywords FROM cmb UNION ALL SELECT group_key, ord, keywords FROM an),
+sh AS (SELECT group_key, {_ci("flatten(list(list_filter(keywords, lambda k: lower(trim(k)) <> 'back' AND NOT starts_with(upper(trim(k)), 'PC')) ORDER BY ord))")} AS shared FROM bs GROUP BY 1),
+cd AS (SELECT group_key, version, {_ci("flatten(list(list_filter(keywords, lambda k: starts_with(upper(trim(k)), 'PC')) ORDER BY ord))")} AS codes FROM an GROUP BY 1, 2),
+sk AS (SELECT i.*, {_ci("list_concat(shared, coalesce(codes, []))")} AS kw FROM (SELECT group_key, path, ord, variant_id, part_kind FROM items) i JOIN sh USING (group_key) LEFT JOIN cd ON i.group_key = cd.group_key AND variant_id IS NOT DISTINCT FROM version)"""
+
+
+@query("j21_scope_keywords", META + _CMB + f", {AN}" + _SCOPE + " SELECT path, ord, array_to_string(kw, '|') || CASE WHEN part_kind = 'back' THEN '|back' ELSE '' END AS keywords FROM sk")
+def j21(spark: SparkSession, d: str) -> DataFrame:
+    return consolidate.scope_keywords(_meta_items(spark, d), _combined(spark, d), _analyses(spark, d)).select("path", "ord", _text("keywords").alias("keywords"))
+
+
+_CAPS = """, mb AS (SELECT group_key, count_if(part_kind = 'back') > 1 AS backs, count_if(part_kind <> 'back') > 1 AS fronts FROM media GROUP BY 1),
+ct AS (SELECT a.group_key, a.ord, a.version, CASE WHEN a.caption = '' THEN a.ai_caption WHEN a.caption LIKE '[Front]%' THEN split_part(a.caption, chr(10) || '[Back]', 1) ELSE a.caption END AS t, coalesce(vp.back IS NOT NULL, false) AS hb, backs, fronts
+ FROM an a JOIN mb USING (group_key) LEFT JOIN vp ON a.group_key = vp.group_key AND a.version IS NOT DISTINCT FROM vp.version),
+cl AS (SELECT group_key, ord, '[' || CASE WHEN hb THEN 'Back' ELSE 'Front' END || CASE WHEN version IS NOT NULL AND CASE WHEN hb THEN backs ELSE fronts END THEN ' ' || version ELSE '' END || '] ' ||
+ CASE WHEN hb THEN regexp_replace(t, '^back\\b\\s*:?\\s*', '', 'i') ELSE regexp_replace(regexp_replace(t, '^\\[front\\]\\s*', '', 'i'), '^front\\b\\s*:?\\s*', '', 'i') END AS line FROM ct),
+ce AS (SELECT group_key, ord, line, row_number() OVER (PARTITION BY group_key, lower(regexp_replace(line, '\\s+', ' ', 'g')) ORDER BY ord) AS k FROM cl)"""
+
+
+@query("j22_caption_entries", MEDIA + _PARTS + _PAIRS + f", {AN}" + _CAPS + " SELECT group_key, string_agg(line, '|' ORDER BY ord) AS entries FROM ce WHERE k = 1 GROUP BY 1")
+def j22(spark: SparkSession, d: str) -> DataFrame:
+    return consolidate.caption_entries(_items(spark, d), _analyses(spark, d)).select("group_key", _text("entries").alias("entries"))
+
+
+@query("j22b_build_captions", META + f", {AN}, " + """fa AS (SELECT group_key, CASE WHEN caption LIKE '[Front]%' THEN split_part(caption, chr(10) || '[Back]', 1) ELSE caption END AS c FROM an WHERE ord = 0)
+SELECT i.path, i.ord, nullif(concat_ws(chr(10), nullif(trim(i.caption), ''), nullif(c, '')), '') AS caption FROM items i LEFT JOIN fa USING (group_key)""")
+def j22b(spark: SparkSession, d: str) -> DataFrame:
+    items = _meta_items(spark, d)
+    got = consolidate.build_captions(items, consolidate.caption_entries(items, _analyses(spark, d), all_variants=True))
+    return items.select("path", "ord", "group_key").distinct().join(got.select("group_key", "path", "caption").distinct(), ["group_key", "path"]).select("path", "ord", "caption")
+
+
+@query("j23_usage_rollup", f"WITH {AN} SELECT group_key, CAST(nullif(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(nullif(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens, CAST(nullif(sum(prompt_tokens + completion_tokens), 0) AS BIGINT) AS total_tokens, arg_min(model, ord) AS model FROM an GROUP BY 1")
+def j23(spark: SparkSession, d: str) -> DataFrame:
+    return consolidate.usage_rollup(_analyses(spark, d))
+
+
+@query("j23b_event_usage", "SELECT CAST(user_id AS VARCHAR) AS group_key, CAST(nullif(sum(CAST(floor(value * 100) AS BIGINT)), 0) AS BIGINT) AS prompt_tokens, CAST(nullif(sum(event_id % 500), 0) AS BIGINT) AS completion_tokens, CAST(nullif(sum(CAST(floor(value * 100) AS BIGINT) + event_id % 500), 0) AS BIGINT) AS total_tokens, arg_min(event_type, event_id) AS model FROM events GROUP BY 1")
+def j23b(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    raw = e.select(F.col("user_id").cast("string").alias("group_key"), F.col("event_id").alias("ord"), F.floor(F.col("value") * 100).alias("input_tokens"), (F.col("event_id") % 500).alias("output_tokens"), F.col("event_type").alias("model"))
+    return consolidate.usage_rollup(consolidate.normalized_usage(raw))
+
+
+@query("j24_fan_out", META + f", {AN} SELECT path, i.ord, i.group_key, sum(prompt_tokens) AS prompt_tokens FROM (SELECT path, ord, group_key FROM items) i JOIN (SELECT group_key, prompt_tokens FROM an) a USING (group_key) GROUP BY 1, 2, 3")
+def j24(spark: SparkSession, d: str) -> DataFrame:
+    g = _analyses(spark, d).groupBy("group_key").agg(F.sum("prompt_tokens").alias("prompt_tokens"))
+    return grouping.fan_out(g, _meta_items(spark, d)).groupBy("path", "ord", "group_key").agg(F.max("prompt_tokens").cast("decimal(38,0)").cast("long").alias("prompt_tokens"))
+
+
+# --- merging ------------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    files = _meta_items(spark, d).select("group_key", "path", "ord", "part_kind", "keywords", "title", "caption", F.when(F.col("ord") % 2 == 0, F.col("date_original")).alias("date"), "location", F.col("state_province").alias("state"), "city", "country", "user_comment")
+    both = _combined(spark, d).select("group_key", "keywords", "title", "caption", F.col("date_original").alias("date"), "location", F.col("state_province").alias("state"), "city", "country")
+    return files, both
+
+
+_MS = f""", ms AS (SELECT i.path, i.ord, i.group_key, i.part_kind, {_ci("list_concat(i.keywords, c.keywords)")} AS keywords, coalesce(nullif(trim(i.title), ''), c.title) AS title, coalesce(nullif(trim(i.caption), ''), c.caption) AS caption,
+ coalesce(CASE WHEN i.ord % 2 = 0 THEN i.date_original END, c.date_original) AS date, coalesce(i.location, c.location) AS location, coalesce(i.state_province, c.state_province) AS state, coalesce(i.city, c.city) AS city, i.country, i.user_comment FROM items i JOIN cmb c USING (group_key))"""
+
+
+@query("j25_merge_sources", META + _CMB + _MS + " SELECT path, array_to_string(keywords, '|') AS keywords, title, caption, date, location, state, city, country FROM ms")
+def j25(spark: SparkSession, d: str) -> DataFrame:
+    return merging.merge_sources(*_sources(spark, d)).select("path", _text("keywords").alias("keywords"), *merging.FIELDS)
+
+
+def _merged(spark: SparkSession, d: str) -> DataFrame:
+    files = _meta_items(spark, d)
+    rec = _analyses(spark, d).where("ord = 0").drop("ord", "version")
+    own = files.select("group_key", "path", "ord", "part_kind", F.col("keywords").alias("o_keywords"), F.col("title").alias("o_title"), F.col("caption").alias("o_caption"), F.when(F.col("ord") % 3 < 2, F.col("date_original")).alias("o_date"), F.col("location").alias("o_location"),
+        F.when(F.col("ord") % 4 == 1, F.struct("country", F.col("state_province").alias("state"), "city", F.lit(None).cast("string").alias("sublocation"))).alias("o_shown"), "user_comment")
+    return merging.with_back_rule(merging.merge_with_original(own.join(rec.withColumn("title", F.lit("Boat at sea")), "group_key")))
+
+
+_MG = f""", mo AS (SELECT i.path, i.ord, i.group_key, i.part_kind, i.title AS o_title, i.caption AS o_caption, i.user_comment, CASE WHEN i.ord % 3 < 2 THEN i.date_original ELSE '' END AS o_date, {_ci("list_concat(i.keywords, a.keywords)")} AS un, a.keywords AS ai, a.caption, a.ai_caption,
+ a.date_iso, a.date_import, a.date_pattern, a.date_confidence, a.loc_country, a.loc_state, a.loc_confidence, i.ord % 4 = 1 AS sh, i.country AS s_country, i.state_province AS s_state, i.city AS s_city, i.location AS o_location
+ FROM items i JOIN an a ON i.group_key = a.group_key AND a.ord = 0),
+mf AS (SELECT *, coalesce(NOT list_contains(un, 'DATE: Y~') AND date_confidence >= 0.6 AND abs(CAST(left(date_import, 4) AS INTEGER) - TRY_CAST(left(o_date, 4) AS INTEGER)) > CASE WHEN date_pattern IN ('Y!M!D!', 'Y!M!') AND date_confidence >= 0.8 THEN 5 ELSE 20 END, false) AS fires,
+ (CASE WHEN sh THEN coalesce(s_country, s_state, s_city) ELSE o_location END) IS NOT NULL AS ol FROM mo),
+mk AS (SELECT *, fires AND date_pattern <> 'bogus' AS marked, CASE WHEN ol THEN CASE WHEN sh THEN s_country END ELSE loc_country END AS lc, CASE WHEN ol THEN CASE WHEN sh THEN s_state END ELSE loc_state END AS ls, CASE WHEN ol AND sh THEN s_city END AS ly, CASE WHEN ol AND NOT sh THEN o_location END AS lu FROM mf),
+mg AS (SELECT path, ord, group_key, part_kind, caption, ai_caption, user_comment, list_filter(CASE WHEN marked THEN list_append(un, 'DATE: ' || date_pattern) ELSE un END, lambda x: lower(x) <> 'back') || CASE WHEN part_kind = 'back' THEN [coalesce(list_filter(un, lambda x: lower(x) = 'back')[1], 'back')] ELSE [] END AS keywords,
+ coalesce(o_title, 'Boat at sea') AS title, nullif(trim(o_caption), '') AS caption_original, CASE WHEN fires THEN date_import || 'T12:00:00' END AS dto, coalesce(nullif(o_date, ''), date_iso) AS date_iso, CASE WHEN o_date = '' THEN date_import END AS date_import,
+ CASE WHEN o_date <> '' THEN 1.0 ELSE date_confidence END AS date_confidence, lc, ls, ly, lu, CASE WHEN ol THEN 1.0 ELSE loc_confidence END AS loc_confidence, nullif(concat_ws(chr(10), lc, ls, ly, lu), '') AS location,
+ concat_ws('|', CASE WHEN fires THEN 'dateTimeOriginal' END, CASE WHEN o_title IS NOT NULL THEN 'title' END, CASE WHEN o_date <> '' THEN 'date_guess' END, CASE WHEN ol THEN 'location_guess' END) AS overrides, concat_ws('|', CASE WHEN un <> ai THEN 'keywords' END, CASE WHEN marked THEN 'keywords' END) AS unions FROM mk)"""
+
+
+@query("j26_merge_with_original", META + f", {AN}" + _MG + " SELECT path, ord, array_to_string(list_sort(keywords), '|') AS keywords, title, caption_original, dto AS \"dateTimeOriginal\", date_iso, date_import, round(date_confidence, 6) AS date_confidence, round(loc_confidence, 6) AS loc_confidence, location, overrides, unions FROM mg")
+def j26(spark: SparkSession, d: str) -> DataFrame:
+    m = _merged(spark, d)
+    return m.select("path", "ord", _text(F.array_sort("keywords")).alias("keywords"), "title", "caption_original", "dateTimeOriginal", "date_iso", "date_import", F.round("date_confidence", 6).alias("date_confidence"), F.round("loc_confidence", 6).alias("loc_confidence"), "location", _text("overrides").alias("overrides"), _text("unions").alias("unions"))
+
+
+_PATCH = ", pt0 AS (SELECT DISTINCT path, ord, unnest([" + ", ".join(
+    f"{{'tag': '{t}', 'value': {v}, 'confidence': {c}}}" for t, v, c in (
+        (changes.TITLE, "title", "NULL::DOUBLE"), (changes.DESCRIPTION, "nullif(caption, '')", "NULL::DOUBLE"), (changes.COMMENT, "ai_caption", "NULL::DOUBLE"), (changes.LOCATION["country"], "lc", "loc_confidence"), (changes.LOCATION["state"], "ls", "loc_confidence"),
+        (changes.LOCATION["city"], "ly", "loc_confidence"), (changes.LOCATION["sublocation"], "lu", "loc_confidence"), (changes.DATE, "coalesce(dto, date_import, date_iso)", "CASE WHEN dto IS NULL THEN date_confidence END"),
+    )) + "]) AS e FROM mg), pch AS (SELECT path, ord, e.tag AS tag, e.value AS value, e.confidence AS confidence, CASE WHEN e.confidence IS NULL OR e.confidence >= 0.7 THEN 'set' ELSE 'suggest' END AS decision FROM pt0 WHERE e.value IS NOT NULL)"
+
+
+def _patch(spark: SparkSession, d: str) -> DataFrame:
+    m = _merged(spark, d).withColumn("path", F.concat_ws("#", "path", "ord"))
+    return changes.canonical_patch(m)
+
+
+@query("j28_canonical_patch", META + f", {AN}" + _MG + _PATCH + " SELECT path || '#' || ord AS path, tag, value, round(confidence, 6) AS confidence, decision FROM pch")
+def j28(spark: SparkSession, d: str) -> DataFrame:
+    return _patch(spark, d).where(F.col("tag") != changes.KEYWORDS).select("path", "tag", "value", F.round("confidence", 6).alias("confidence"), "decision")
+
+
+@query("j27_canonical_from_patch", META + f", {AN}" + _MG + _PATCH + " SELECT tag, count(*) AS n, count(DISTINCT value) AS n_values FROM pch WHERE decision = 'set' GROUP BY 1")
+def j27(spark: SparkSession, d: str) -> DataFrame:
+    return changes.canonical_from_patch(_patch(spark, d)).where(F.col("tag") != changes.KEYWORDS).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+def _before(spark: SparkSession, d: str) -> DataFrame:
+    m = _meta_items(spark, d).select(F.concat_ws("#", "path", "ord").alias("path"), "keywords", "title", "caption", F.col("date_original").alias("date"), "user_comment", F.lit(1.0).alias("loc_confidence"), F.lit(None).cast("double").alias("date_confidence"),
+        F.col("country").alias("loc_country"), F.col("state_province").alias("loc_state"), F.col("city").alias("loc_city"), F.col("location").alias("loc_sublocation"))
+    return changes.canonical_values(m)
+
+
+_BEFORE = ", bf0 AS (SELECT path || '#' || ord AS path, keywords, unnest([" + ", ".join(
+    f"{{'tag': '{t}', 'value': {v}}}" for t, v in (
+        (changes.TITLE, "title"), (changes.DESCRIPTION, "nullif(trim(caption), '')"), (changes.COMMENT, "nullif(user_comment, '')"), (changes.LOCATION["country"], "country"), (changes.LOCATION["state"], "state_province"),
+        (changes.LOCATION["city"], "city"), (changes.LOCATION["sublocation"], "location"), (changes.DATE, "date_original"),
+    )) + "]) AS e FROM items), bf AS (SELECT path, e.tag AS tag, e.value AS value FROM bf0 WHERE e.value IS NOT NULL)"
+
+
+@query("j27b_canonical_values", META + _BEFORE + " SELECT path, tag, value FROM bf")
+def j27b(spark: SparkSession, d: str) -> DataFrame:
+    return _before(spark, d).where(F.col("tag") != changes.KEYWORDS).select("path", "tag", "value")
+
+
+_DIFF = f""", sd AS (SELECT a.path || '#' || a.ord AS path, a.tag, a.value FROM pch a LEFT JOIN bf b ON b.path = a.path || '#' || a.ord AND b.tag = a.tag WHERE a.decision = 'set' AND a.value IS DISTINCT FROM b.value),
+sg AS (SELECT path, string_agg(tag || '=' || value, '|' ORDER BY tag) AS changed FROM sd GROUP BY 1),
+kd AS (SELECT g.path || '#' || g.ord AS path, {_ci("i.keywords")} AS b, {_ci("g.keywords")} AS a FROM mg g JOIN items i ON g.path = i.path AND g.ord = i.ord)
+SELECT kd.path, coalesce(changed, '') AS changed, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(list_transform(b, lambda y: lower(y)), lower(x)))), '|') AS added, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(list_transform(a, lambda y: lower(y)), lower(x)))), '|') AS removed FROM kd LEFT JOIN sg USING (path)"""
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    return changes.diff_canonical(_before(spark, d), changes.canonical_from_patch(_patch(spark, d)))
+
+
+def _diff_text(df: DataFrame, s: str = "set", a: str = "keywords_add", r: str = "keywords_remove") -> list[Column]:
+    pairs = F.transform(F.array_sort(F.map_entries(s)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return [_text(pairs).alias("changed"), _text(F.array_sort(a)).alias("added"), _text(F.array_sort(r)).alias("removed")]
+
+
+@query("j29_diff_canonical", META + f", {AN}" + _MG + _PATCH + _BEFORE + _DIFF)
+def j29(spark: SparkSession, d: str) -> DataFrame:
+    df = _diff(spark, d)
+    return df.select("path", *_diff_text(df))
+
+
+@query("j30_changeset_records", META + f", {AN}" + _MG + _PATCH + _BEFORE + _DIFF.replace("SELECT kd.path,", f"SELECT kd.path, 1 AS schema_version, '{RUN}' AS run_id, regexp_extract(kd.path, '(box[0-9]+)[^/]*$', 1) AS group_key, 'sha1:' || sha1(kd.path) AS photo_id,"))
+def j30(spark: SparkSession, d: str) -> DataFrame:
+    groups = _meta_items(spark, d).select(F.concat_ws("#", "path", "ord").alias("path"), "group_key").join(_forwarded(spark, d), "group_key").select("path", "group_key", F.col("forwarded").alias("sent"))
+    r = changes.changeset_records(_diff(spark, d), _before(spark, d), groups, RUN, AT)
+    return r.select("path", "schema_version", "run_id", "group_key", "photo_id", *_diff_text(r, "proposed_changes.set", "proposed_changes.keywords_add", "proposed_changes.keywords_remove"))
+
+
+# --- records, vocabulary, write plans ---------------------------------------------------------------------------
+
+
+@query("j31_result_records", MEDIA + f", {AN}, us AS (SELECT group_key, nullif(sum(prompt_tokens), 0) AS p, nullif(sum(prompt_tokens + completion_tokens), 0) AS t, arg_min(model, ord) AS model FROM an GROUP BY 1), f AS (SELECT path, arg_max(group_key, ord) AS group_key FROM media GROUP BY 1) SELECT path, group_key, 'ok' AS status, CAST(p AS BIGINT) AS prompt_tokens, CAST(t AS BIGINT) AS total_tokens, model, 'b1' AS batch_id, true AS dry_run FROM f JOIN us USING (group_key)")
+def j31(spark: SparkSession, d: str) -> DataFrame:
+    return changes.result_records(_items(spark, d), consolidate.usage_rollup(_analyses(spark, d)), "b1", True).drop("completion_tokens")
+
+
+FAILURES = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, CASE o_orderkey % 3 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'length' ELSE 'ValueError' END AS type, concat('order ', CAST(o_orderkey AS STRING)) AS message, 'line 1' AS traceback FROM {orders} WHERE o_orderkey % 6 = 5 OR o_orderkey % 8 = 0"""
+
+
+@query("j32_error_records", MEDIA + f", fl AS ({FAILURES}) SELECT path, group_key, 'error' AS status, type, message, CASE WHEN type = 'ValueError' THEN traceback END AS traceback FROM media JOIN fl USING (group_key)")
+def j32(spark: SparkSession, d: str) -> DataFrame:
+    return changes.error_records(_items(spark, d), fixtures.frame(spark, d, FAILURES))
+
+
+@query("j33_dedupe_captions", "WITH c AS (SELECT source AS scope, doc_id AS ord, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS caption FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY scope, lower(regexp_replace(caption, '\\s+', ' ', 'g')) ORDER BY ord) AS n FROM c WHERE caption <> '') SELECT scope, ord, md5(caption) AS caption_md5 FROM k WHERE n = 1")
+def j33(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("source").alias("scope"), F.col("doc_id").alias("ord"), F.col("text").alias("caption"))
+    return consolidate.dedupe_captions(docs).select("scope", "ord", F.md5("caption").alias("caption_md5"))
+
+
+_SECTIONS = ", ".join(f"'{s}'" for s in responses.SECTIONS)
+
+
+@query("j34_admit_vocabulary", f"""WITH vo AS ({fixtures.VOCABULARY}), w AS ({fixtures.WORDS}), pr AS ({fixtures.PROPOSALS}), al(a, t) AS (VALUES {", ".join(f"('{a}', '{t}')" for a, t in changes.SECTION_ALIASES)}),
+lp AS (SELECT group_key, keyword, arg_max(section, pos) AS section, arg_max(note, pos) AS note, count(*) AS n FROM pr GROUP BY 1, 2),
+r AS (SELECT w.group_key, w.ord, w.keyword, n, coalesce(t, lower(trim(section))) AS section, trim(note) AS note FROM w LEFT JOIN lp USING (group_key, keyword) LEFT JOIN al ON lower(trim(section)) = a WHERE w.keyword NOT IN (SELECT keyword FROM vo)),
+q AS (SELECT *, CASE WHEN starts_with(upper(keyword), 'PC-') THEN 'code' WHEN n IS NULL THEN 'no proposal' WHEN coalesce(section, '') = '' THEN 'no section' WHEN coalesce(note, '') = '' OR contains(lower(note), 'todo') THEN 'placeholder note' WHEN section NOT IN ({_SECTIONS}) THEN 'unknown section' END AS reason FROM r)
+SELECT keyword, section, note, reason, group_key, ord FROM q WHERE reason IS NOT NULL UNION ALL SELECT keyword, section, note, reason, group_key, ord FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY group_key, ord) AS k FROM q WHERE reason IS NULL) z WHERE k = 1""")
+def j34(spark: SparkSession, d: str) -> DataFrame:
+    return changes.admit_vocabulary(fixtures.frame(spark, d, fixtures.WORDS), fixtures.frame(spark, d, fixtures.PROPOSALS), fixtures.frame(spark, d, fixtures.VOCABULARY), responses.SECTIONS)
+
+
+@query("a06_known_keywords", f"SELECT keyword FROM ({fixtures.VOCABULARY}) v UNION SELECT DISTINCT keyword FROM ({fixtures.WORDS}) w WHERE ord = 1")
+def a06(spark: SparkSession, d: str) -> DataFrame:
+    return changes.known_keywords(fixtures.frame(spark, d, fixtures.VOCABULARY), fixtures.frame(spark, d, fixtures.WORDS).where("ord = 1"))
+
+
+_CS = f"""WITH cs AS (SELECT value, o_orderkey, o_orderdate FROM ({fixtures.CHANGESETS.replace(" AS value FROM", " AS value, o_orderkey, o_orderdate FROM")}) x WHERE trim(value) <> ''),
+ok AS (SELECT 'box' AS b, '/archive/box' || o_orderkey || '.jpg' AS path, o_orderkey, strftime(o_orderdate, '%Y:%m:%d') AS day FROM cs WHERE o_orderkey % 50 <> 0 AND o_orderkey % 41 <> 0),
+pl AS (SELECT path, '{changes.TITLE}' AS tag, 'T' || o_orderkey AS value, NULL AS warning FROM ok UNION ALL SELECT path, '{changes.DATE}' AS tag,
+ CASE o_orderkey % 7 WHEN 0 THEN day || ' 10:20:30' WHEN 1 THEN day || ' 00:00:00' WHEN 2 THEN day || ' 00:00:00' WHEN 5 THEN day || ' 08:15:00' WHEN 6 THEN day || ' 01:02:03' END AS value, CASE WHEN o_orderkey % 7 IN (3, 4) THEN 'unknown date form' END AS warning FROM ok)"""
+
+
+def _changesets(spark: SparkSession, d: str) -> DataFrame:
+    return archive.parse_changesets(fixtures.frame(spark, d, fixtures.CHANGESETS))
+
+
+@query("j35_plan_tag_writes", _CS + " SELECT path, tag, value, warning FROM pl")
+def j35(spark: SparkSession, d: str) -> DataFrame:
+    return changes.plan_tag_writes(_changesets(spark, d), ALLOWED)
+
+
+@query("j36_apply_summary", _CS + " SELECT (SELECT count_if(o_orderkey % 50 <> 0) FROM cs) AS files_seen, count(DISTINCT CASE WHEN value IS NOT NULL THEN path END) AS files_written, count(value) AS tags_written, (SELECT count_if(o_orderkey % 50 = 0) FROM cs) AS errors, count(warning) + (SELECT count_if(o_orderkey % 50 <> 0 AND o_orderkey % 41 = 0) FROM cs) AS warnings FROM pl")
+def j36(spark: SparkSession, d: str) -> DataFrame:
+    return changes.apply_summary(_changesets(spark, d), ALLOWED)
+
+
+@query("a09_context", "SELECT item_id AS batch_id, CASE WHEN item_id % 4 = 0 THEN 'given ' || item_id WHEN item_id % 4 = 3 THEN NULL ELSE left(text, 60) END AS photo_context FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM benchmark) b")
+def a09(spark: SparkSession, d: str) -> DataFrame:
+    k, text = F.col("item_id"), F.regexp_replace("text", "[^ -~]", "?")
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select(k.alias("batch_id"), F.when(k % 4 == 0, F.concat(F.lit("given "), k.cast("string"))).otherwise(" ").alias("arg_text"), F.lit(None).cast("string").alias("arg_file"), F.when(k % 4 == 1, text).alias("manifest_text"), F.when(k % 4 != 3, text).alias("manifest_file"))
+    return archive.effective_context(b, 60).select("batch_id", "photo_context")
+
+
+@query("b01_normalize_path", "SELECT page_id, regexp_replace('/' || coalesce(regexp_extract(url, '://(.*)$', 1), ''), '/+$', '') AS path FROM pages")
+def b01(spark: SparkSession, d: str) -> DataFrame:
+    messy = F.concat(F.lit(' "//./x/../'), F.coalesce(F.regexp_extract("url", "://(.*)$", 1), F.lit("")), F.lit('" '))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", rules.normalize_path(messy).alias("path"))
+
+
+@query("c03_reply_attempts", "SELECT CAST(conv_id AS VARCHAR) AS group_key, CAST(min(turn) AS INTEGER) AS attempt, arg_min(text, turn) AS reply FROM conversations WHERE role = 'assistant' AND trim(text) <> '' GROUP BY 1")
+def c03(spark: SparkSession, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'")
+    tries = c.select(F.col("conv_id").cast("string").alias("group_key"), F.col("turn").cast("int").alias("attempt"), F.when(F.trim("text") == "", "failed").otherwise("ok").alias("status"), F.col("text").alias("json"))
+    return responses.first_usable(tries).where("status <> 'failed'").select("group_key", "attempt", F.col("json").alias("reply"))
+
+
+@query("flagship", MEDIA + """, v AS (SELECT group_key, count(DISTINCT variant_id) AS n_variants, count(DISTINCT page_num) AS n_pages, count(*) AS n_files FROM media GROUP BY 1), p AS (SELECT * FROM (""" + _primary_sql(True) + """) z) SELECT p.*, n_variants, n_pages, n_files FROM p JOIN v USING (group_key)""")
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Each group's primary file, its back, and its numbers of variants, pages and files."""
+    items = _items(spark, d)
+    n = items.groupBy("group_key").agg(F.count_distinct("variant_id").alias("n_variants"), F.count_distinct("page_num").alias("n_pages"), F.count(F.lit(1)).alias("n_files"))
+    return grouping.select_primary(items).join(n, "group_key")
