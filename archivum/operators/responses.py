@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules
 
@@ -44,8 +45,8 @@ def collapsed(raw: Column) -> Column:
 
 
 def mended(text: str) -> str:
-    """Brackets that close the wrong way, colons after lists, trailing commas, and raw control
-    characters in strings put right; one pass with a stack of open brackets."""
+    """Brackets that close the wrong way, colons after lists, trailing commas, missing ends and raw
+    control characters in strings put right; one pass with a stack of open brackets."""
     out: list[str] = []
     stack: list[str] = []
     closer = {"{": "}", "[": "]"}
@@ -83,11 +84,10 @@ def mended(text: str) -> str:
             out.append(",")
         else:
             out.append(c)
-    return "".join(out)
+    return "".join(out + [closer[c] for c in reversed(stack)])
 
 
-@F.pandas_udf("string")
-def mended_json(s: pd.Series) -> pd.Series:
+def _mended_json(s: pd.Series) -> pd.Series:
     """Mended texts that are JSON then; null for hopeless ones."""
 
     def one(x: str | None) -> str | None:
@@ -96,7 +96,7 @@ def mended_json(s: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return s.map(one)
+    return s.map(one).astype(object)
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     p = responses.select("group_key", "attempt", collapsed(without_marks(payload(F.col("raw")))).alias("text"))
     ok = F.expr("try_parse_json(text)").isNotNull()
     good = p.where(ok).select("group_key", "attempt", F.lit("ok").alias("status"), F.col("text").alias("json"))
-    bad = p.where(~ok).select("group_key", "attempt", mended_json("text").alias("json"))
+    bad = p.where(~ok).select("group_key", "attempt", F.pandas_udf(_mended_json, T.StringType())("text").alias("json"))
     bad = bad.select("group_key", "attempt", F.when(F.col("json").isNull(), "failed").otherwise("repaired").alias("status"), "json")
     return good.unionByName(bad)
 

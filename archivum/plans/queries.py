@@ -273,9 +273,12 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCOPE = f""", bs AS (SELECT group_key, -1 AS ord, keywords FROM cmb UNION ALL SELECT group_key, ord, keywords FROM an),
-sh AS (SELECT group_key, {_ci("flatten(list(list_filter(keywords, lambda k: lower(trim(k)) <> 'back' AND NOT starts_with(upper(trim(k)), 'PC')) ORDER BY ord))")} AS shared FROM bs GROUP BY 1),
-cd AS (SELECT group_key, version, {_ci("flatten(list(list_filter(keywords, lambda k: starts_with(upper(trim(k)), 'PC')) ORDER BY ord))")} AS codes FROM an GROUP BY 1, 2),
-sk AS (SELECT i.*, {_ci("list_concat(shared, coalesce(codes, []))")} AS kw FROM (SELECT group_key, path, ord, variant_id, part_kind FROM items) i JOIN sh USING (group_key) LEFT JOIN cd ON i.group_key = cd.group_key AND variant_id IS NOT DISTINCT FROM version)"""
+b1 AS (SELECT group_key, ord, list_filter(keywords, lambda k: lower(trim(k)) <> 'back' AND NOT starts_with(upper(trim(k)), 'PC')) AS k FROM bs),
+b2 AS (SELECT group_key, flatten(list(k ORDER BY ord)) AS k FROM b1 GROUP BY 1), sh AS (SELECT group_key, {_ci("k")} AS shared FROM b2),
+c1 AS (SELECT group_key, version, ord, list_filter(keywords, lambda k: starts_with(upper(trim(k)), 'PC')) AS k FROM an),
+c2 AS (SELECT group_key, version, flatten(list(k ORDER BY ord)) AS k FROM c1 GROUP BY 1, 2), cd AS (SELECT group_key, version, {_ci("k")} AS codes FROM c2),
+s1 AS (SELECT i.*, list_concat(shared, coalesce(codes, [])) AS k FROM (SELECT group_key, path, ord, variant_id, part_kind FROM items) i JOIN sh USING (group_key) LEFT JOIN cd ON i.group_key = cd.group_key AND variant_id IS NOT DISTINCT FROM version),
+sk AS (SELECT path, ord, part_kind, {_ci("k")} AS kw FROM s1)"""
 
 
 @query("j21_scope_keywords", META + _CMB + f", {AN}" + _SCOPE + " SELECT path, ord, array_to_string(kw, '|') || CASE WHEN part_kind = 'back' THEN '|back' ELSE '' END AS keywords FROM sk")
