@@ -45,11 +45,11 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_text(docs: DataFrame, text_col: str, keep: Sequence[str], fields: Sequence[T.StructField], per_batch: Callable[[list], dict]) -> DataFrame:
+def map_text(docs: DataFrame, text_col: str, keep: Sequence[str], fields: Sequence[T.StructField], per_batch: Callable[[list], dict], rows: int = BATCH_ROWS) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the new ``fields``, which ``per_batch`` makes from the
     list of texts (None for null) of an Arrow batch. New fields win over kept columns of the
     same name (compared without case). A narrow step: rows stay in their partitions."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows)
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(TEXT))

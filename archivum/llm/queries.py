@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, langid, ngramjoin, packing, pii, quality, secrets, urlrules
+from . import ann, htmltext, langid, ngramjoin, packing, pii, quality, secrets, spiece, urlrules
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_ivf_pq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.sample_pieces(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = langid.identify(docs, langid.learn(docs))
@@ -52,5 +56,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_personal_data, op3_line_quality, op4_ivf_pq_search, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_personal_data, op3_line_quality, op4_ivf_pq_search, op5_sampled_pieces, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan)}
 ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
