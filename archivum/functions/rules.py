@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,17 +48,20 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where lambdas in it look at it often."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ci_distinct(values: Column) -> Column:
     """Trimmed strings without blanks, the first of those that differ in case only."""
     clean = F.filter(F.transform(values, strip), lambda x: x.isNotNull() & (x != ""))
-    low = F.transform(clean, F.lower)
-    return F.filter(clean, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return bind(clean, lambda c: bind(F.transform(c, F.lower), lambda low: F.filter(c, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
 
 def without(values: Column, others: Column) -> Column:
     """The values whose lower case isn't among the others'."""
-    low = F.transform(others, F.lower)
-    return F.filter(values, lambda x: ~F.array_contains(low, F.lower(x)))
+    return bind(F.transform(others, F.lower), lambda low: F.filter(values, lambda x: ~F.array_contains(low, F.lower(x))))
 
 
 def one_or_many(c: Column) -> Column:
