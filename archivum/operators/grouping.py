@@ -72,6 +72,11 @@ def assemble_parts(items: DataFrame) -> DataFrame:
     return rows.select("group_key", F.dense_rank().over(w.orderBy("place")).alias("part_ord"), "label", F.row_number().over(Window.partitionBy("group_key", "place").orderBy("o", "path")).alias("img_ord"), "path")
 
 
+def part_counts(parts: DataFrame) -> DataFrame:
+    """(group_key, part_ord, label, n_images) of assembled parts."""
+    return parts.groupBy("group_key", "part_ord", "label").agg(F.count(F.lit(1)).alias("n_images"))
+
+
 def variant_pairs(items: DataFrame) -> DataFrame:
     """(group_key, version, front, back): untagged files, or page 1 in groups with pages, are
     fronts, and come before a file tagged front."""

@@ -83,7 +83,8 @@ def face_blocks(faces: DataFrame) -> DataFrame:
 def build_requests(groups: DataFrame, pieces: dict[str, str]) -> DataFrame:
     """(group_key, piece_ord, kind, text): the ordered pieces of every group's request.
 
-    ``groups`` has forwarded, face_block and photo_context (null where there is none); ``pieces``
+    ``groups`` has forwarded, face_block and photo_context (null where there is none), and may have
+    group_note, which stands last; ``pieces``
     are the constant texts header, instructions, image_rules, categories, forbidden, vocabulary
     and output_format."""
     fixed = ("header", "instructions", "image_rules", "categories", "forbidden", "vocabulary", "output_format")
@@ -92,11 +93,20 @@ def build_requests(groups: DataFrame, pieces: dict[str, str]) -> DataFrame:
     every = [piece(k, F.lit(pieces[k].strip())) for k in fixed] + [
         piece("metadata", given("forwarded", "Forwarded metadata: ")), piece("faces", given("face_block", "[FACE TAGS — AUTHORITATIVE]\n")),
         piece("context", given("photo_context", "[PHOTO CONTEXT — AUTHORITATIVE]\n")), piece("guardrail", F.lit(GUARDRAIL)),
+        *([piece("group_note", F.col("group_note"))] if "group_note" in groups.columns else []),
     ]
     kept = F.filter(F.array(*every), lambda p: p["text"].isNotNull())
     return groups.select("group_key", F.posexplode(kept).alias("piece_ord", "p")).select("group_key", "piece_ord", "p.kind", "p.text")
 
 
+def group_notes(counts: DataFrame) -> DataFrame:
+    """(group_key, group_note): which parts a request shows, for groups with more than one image
+    (counts: group_key, part_ord, label, n_images)."""
+    g = counts.groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("part_ord", "n_images", "label"))).alias("p"), F.sum("n_images").alias("n"))
+    parts = F.array_join(F.transform("p", lambda x: F.concat(x["n_images"].cast("string"), F.lit(" x "), x["label"])), ", ")
+    return g.where("n > 1").select("group_key", F.concat(F.lit("These images show one object, in this order: "), parts).alias("group_note"))
+
+
 def payload_plan(images: DataFrame, max_edge: int | None = 1024) -> DataFrame:
     """Adds sent_width, sent_height, resized and mime to images with path, width and height."""
     w, h = F.col("width"), F.col("height")

@@ -135,6 +135,11 @@ def j06(spark: SparkSession, d: str) -> DataFrame:
     return grouping.assemble_parts(_items(spark, d))
 
 
+@query("d07_part_counts", MEDIA + _PARTS + _ASSEMBLE + " SELECT group_key, part_ord, label, count(*) AS n_images FROM ap GROUP BY 1, 2, 3")
+def d07(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.part_counts(grouping.assemble_parts(_items(spark, d)))
+
+
 _PAIRS = """, vp AS (SELECT group_key, version, coalesce(max(CASE WHEN part = CASE WHEN mp THEN 'page:1' ELSE 'none' END THEN path END), max(CASE WHEN part = 'front' THEN path END)) AS front, max(CASE WHEN part = 'back' THEN path END) AS back FROM pt GROUP BY 1, 2)"""
 
 
@@ -213,6 +218,11 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return b.select("path", F.col("n_faces").cast("long").alias("n_faces"), _text(lines).alias("order_of"))
 
 
+@query("j14b_group_notes", MEDIA + _PARTS + _ASSEMBLE + ", pc AS (SELECT group_key, part_ord, label, count(*) AS n FROM ap GROUP BY 1, 2, 3) SELECT group_key, 'These images show one object, in this order: ' || string_agg(n || ' x ' || label, ', ' ORDER BY part_ord) AS group_note FROM pc GROUP BY 1 HAVING sum(n) > 1")
+def j14b(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.group_notes(grouping.part_counts(grouping.assemble_parts(_items(spark, d))))
+
+
 _PIECES = {k: f"{k} of the archive" for k in ("header", "instructions", "image_rules", "categories", "forbidden", "vocabulary", "output_format")}
 
 
