@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Times that pointers are doubled in a round.
+HOPS = 2
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` has columns a and b. Returns (v, c): every vertex that has an edge, and a vertex
     that stands for its component.
 
     In each round every vertex joins the neighbour (or itself) with the smallest hash, under
-    another hash each round; the edges between what remains go to the next round. The number of
-    vertices shrinks by a constant share a round, so rounds grow with the logarithm of the
-    input. Each round is a written table; nothing but the number of edges reaches the driver."""
+    another hash each round, and pointers are followed four steps; the edges between what remains go
+    to the next round. The number of vertices shrinks by a constant share a round, so rounds grow
+    with the logarithm of the input. Each round is a written table; nothing but the number of edges reaches the driver."""
     cur = written(edges.where("a <> b").select("a", "b").distinct())
     label, salt = None, 0
     while cur.limit(1).count():
         both = cur.select("a", "b").union(cur.select("b", "a"))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), F.col(c).alias("x"))
         step = written(both.groupBy("a").agg(F.min(rank("b")).alias("best")).select(F.col("a").alias("v"), F.when(rank("a") <= F.col("best"), F.col("a")).otherwise(F.col("best.x")).alias("c")))
+        for _ in range(HOPS):  # follow the neighbours chosen, so that chains fall together at once
+            step = step.join(step.select(F.col("v").alias("c"), F.col("c").alias("c2")), "c").select("v", F.col("c2").alias("c"))
+        step = written(step)
         left = cur.join(step.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").select("ca", "b")
         cur = written(left.join(step.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
         if label is None:
