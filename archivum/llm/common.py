@@ -99,9 +99,11 @@ def double(name: str) -> T.StructField:
 
 def sample(df: DataFrame, key: str, rows: int, cols: Sequence[str]) -> DataFrame:
     """A bounded sample for a classifier: the ``rows`` rows with the smallest hash of the key,
-    the same rows on every run and for every partitioning."""
-    rank = F.xxhash64(F.col(key).cast("string"), F.lit(11))
-    return df.select(*[F.col(c) for c in cols], rank.alias("__rank")).orderBy("__rank", *cols).limit(rows).drop("__rank")
+    the same rows on every run and for every partitioning. The hashes alone are ranked first, so
+    that no task meets more than the sample's own rows."""
+    ranked = df.select(*[F.col(c) for c in cols], F.xxhash64(F.col(key).cast("string"), F.lit(11)).alias("__rank"))
+    last = ranked.select("__rank").orderBy("__rank").limit(rows).agg(F.max("__rank")).first()[0]
+    return ranked.where(F.col("__rank") <= F.lit(last).cast("long")).orderBy("__rank", *cols).limit(rows).drop("__rank")
 
 
 def trained(df: DataFrame, key: str, rows: int, cols: Sequence[str], fit: Callable[[list[dict]], object]) -> object:
