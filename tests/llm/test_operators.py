@@ -135,6 +135,16 @@ def test_personal_data(docs, none, tagger):
     assert "<email>" in hidden[1] and "<phone>" in hidden[1] and hidden[2] is None and hidden[5] == dict(TEXTS)[5]
 
 
+def test_base_patterns_on_odd_strings():
+    rng = np.random.default_rng(12)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(4000):
+        t = "".join(rng.choice(list("a1.@_- 2+"), int(rng.integers(1, 30))))
+        want = [(m.start(), 0, m.end()) for m in email.finditer(t)] + [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [s for s in pii.base_spans(t) if s[1] < 2] == sorted(want)
+    assert pii.base_spans("7" * 200_000 + "@" + "a" * 200_000) == []
+
+
 def test_tagger_finds_most_base_spans(spark, tagger):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).collect()]
     found = pii.network_spans(texts, tagger)
