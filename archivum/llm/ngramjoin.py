@@ -104,8 +104,8 @@ def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[n
     shared = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.zeros(1 << BUCKET_BITS, np.int64)
-        often[shared.value[0]] = shared.value[1]
+        often = np.zeros(1 << BUCKET_BITS, np.uint32)
+        often[shared.value[0]] = np.minimum(shared.value[1], (1 << 32) - 1)
         with np.errstate(over="ignore"):
             for batch in batches:
                 ns, digests, levels, prefixes, sketches = [], [], [], [], []
