@@ -3,8 +3,11 @@
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
 (``sample_rows``); every vector is indexed: nearest centroid and one byte a subspace. A query
 visits its ``probes`` cells with the largest inner products. There, tables of its inner products
-with all codewords score every row (asymmetric distances), the best ``shortlist`` of a block are
-scored exactly in double precision, and those that can still be among the query's best go on.
+with all codewords score every row (asymmetric distances), and the best ``shortlist`` of a block
+are scored exactly in double precision. A row's quantisation error, whose norm stands with its
+codes, says how much its score can exceed its guess: every other row of the block that can still
+reach the k-th of those scores is scored exactly too. So a block's k best are exact, also where
+guesses tie in a cluster of near copies.
 What can't is known from the sample: 2 k of its rows score no less than the bound, so even
 where some of them stand in cells that aren't visited, k better rows are found in practice.
 
@@ -74,13 +77,15 @@ class Index:
     def cell_of(self, x: np.ndarray) -> np.ndarray:
         return ((self.centroids**2).sum(1) - 2 * x @ self.centroids.T).argmin(1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes and the norms of what the codes leave of the residuals."""
         cell = self.cell_of(x)
         rest = self.split(x - self.centroids[cell])
         codes = np.empty((len(x), SUBSPACES), np.uint8)
         for m, book in enumerate(self.books):
             codes[:, m] = ((book**2).sum(1) - 2 * rest[:, m] @ book.T).argmin(1)
-        return cell, codes
+            rest[:, m] -= book[codes[:, m]]
+        return cell, codes, np.sqrt((rest**2).sum((1, 2)))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries x subspaces x codes: inner products with the codewords."""
@@ -132,10 +137,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("v").flatten().to_numpy().reshape(-1, dims)
-                cell, codes = shared.value.encode(x)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], names=["id", "cell", "codes", "v"])
+                cell, codes, err = shared.value.encode(x)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype(np.int64)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], names=["id", "cell", "codes", "err", "v"])
 
-    indexed = written(rows.where(F.size("v") == dims).mapInArrow(encode, "id long, cell long, codes binary, v binary"))
+    indexed = written(rows.where(F.size("v") == dims).mapInArrow(encode, "id long, cell long, codes binary, err double, v binary"))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +157,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     d_cuts, q_cuts = cuts(indexed), cuts(queries.select("cell"))
     size = spark.createDataFrame([(c, d, q_cuts.get(c, 0)) for c, d in d_cuts.items()], "cell long, nd int, nq int")
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    d = indexed.join(F.broadcast(size), "cell").where("nq > 0").select("cell", part("nd", 1).alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "id", "codes", "v")
+    d = indexed.join(F.broadcast(size), "cell").where("nq > 0").select("cell", part("nd", 1).alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "id", "codes", "err", "v")
     q = queries.join(F.broadcast(size), "cell").where("nq > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), part("nq", 2).alias("qb"), "id", "v", "low")
 
     def search(key: tuple, data: pa.Table, asks: pa.Table) -> pa.Table:
@@ -161,15 +166,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
             ix = shared.value
             ids, x = data["id"].to_numpy(), _matrix(data["v"], dims)
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
+            ids, x, err = ids[order], x[order], data["err"].to_numpy()[order]
             codes = np.frombuffer(b"".join(data["codes"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)[order].astype(np.int64)
             qx, low, qid = _matrix(asks["v"], dims), asks["low"].to_numpy(), asks["id"].to_numpy()
-            tables = ix.tables(qx)
+            tables, middle, norm = ix.tables(qx), qx @ ix.centroids[key[0]], np.sqrt((qx**2).sum(1))
+            slack = 1e-9 * np.maximum(1, norm * np.sqrt((x**2).sum(1).max()))
             for i in range(len(qid)):
-                guess = tables[i][np.arange(SUBSPACES), codes].sum(1)
-                best = np.argsort(-guess, kind="stable")[:shortlist] if len(ids) > shortlist else np.arange(len(ids))
+                own = ids == qid[i]
+                best = np.arange(len(ids))
+                if len(ids) > shortlist:
+                    guess = middle[i] + tables[i][np.arange(SUBSPACES), codes].sum(1)
+                    short = np.argpartition(-guess, shortlist)[:shortlist]
+                    exact = np.sort(np.einsum("nd,d->n", x[short], qx[i])[~own[short]])
+                    reach = max(low[i], exact[-k]) if len(exact) >= k else low[i]
+                    best = np.flatnonzero(~(guess + norm[i] * err < reach - slack[i]))
                 exact = np.einsum("nd,d->n", x[best], qx[i])
-                good = (exact >= low[i] - 1e-9) & (ids[best] != qid[i])
+                good = (exact >= low[i] - slack[i]) & ~own[best]
                 best, exact = best[good], exact[good]
                 first = np.lexsort((ids[best], -exact))[:k]
                 got[0].extend([qid[i]] * len(first))

@@ -301,6 +301,28 @@ def test_vectors(spark):
     assert len(few) <= 4 and {r.query_id for r in few} <= {0}
 
 
+def recall_of(found, x, queries, k=20):
+    hit = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found.get(q, set()) & set(np.lexsort((np.arange(len(x)), -s))[:k].tolist()))
+    return hit / (k * len(queries))
+
+
+def test_vectors_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    x[:1500] = x[0] + 0.001 * rng.normal(size=(1500, 32))  # one cluster of near copies
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, F.col("id") % 50 == 0, sample_rows=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert recall_of(got, x, range(0, 1500, 50)) >= 0.9
+    assert recall_of(got, x, range(1500, 6000, 50)) >= 0.9
+
+
 # --- pages ---------------------------------------------------------------------------------------------------------
 def test_page_text(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
