@@ -8,8 +8,9 @@ are scored exactly in double precision. A row's quantisation error, whose norm s
 codes, says how much its score can exceed its guess: every other row of the block that can still
 reach the k-th of those scores is scored exactly too. So a block's k best are exact, also where
 guesses tie in a cluster of near copies.
-What can't is known from the sample: 2 k of its rows score no less than the bound, so even
-where some of them stand in cells that aren't visited, k better rows are found in practice.
+What can't is known from the sample: 2 k of its rows score no less than the bound. A query for
+which that finds fewer than k rows searches all other cells too, without the bound: together they
+hold those 2 k rows, or all rows where the sample has fewer.
 
 Cells are cut into blocks of about ``block`` rows and their queries into blocks too, so that a
 cell that holds a third of all rows is many small groups. Largest inner product is nearest, ties
@@ -24,7 +25,7 @@ give empty results. Other columns aren't read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,8 @@ class Index:
         return np.einsum("qmw,mcw->qmc", self.split(q), self.books)
 
     def visits(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")[:, : self.probes]
+        """All cells of each query, the best first; it visits ``probes`` of them."""
+        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")
 
     def bounds(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
         """For each query its k-th best score among the sample: at least k rows aren't below it."""
@@ -142,23 +144,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
 
     indexed = written(rows.where(F.size("v") == dims).mapInArrow(encode, "id long, cell long, codes binary, err double, v binary"))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                q, ids = _matrix(batch.column("v"), dims), batch.column("id").to_numpy()
-                cells, low = shared.value.visits(q), shared.value.bounds(ids, q, 2 * k)
-                n = cells.shape[1]
-                again = np.repeat(np.arange(len(q)), n)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(again)), pa.array(cells.ravel()), batch.column("v").take(pa.array(again)), pa.array(np.repeat(low, n))], names=["id", "cell", "v", "low"])
+    def visit(rest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The cells that a query visits, or the rest of them."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    q, ids, ix = _matrix(batch.column("v"), dims), batch.column("id").to_numpy(), shared.value
+                    cells = ix.visits(q)[:, ix.probes :] if rest else ix.visits(q)[:, : ix.probes]
+                    low = np.full(len(q), -np.inf) if rest else ix.bounds(ids, q, 2 * k)
+                    n = cells.shape[1]
+                    again = np.repeat(np.arange(len(q)), n)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(again)), pa.array(cells.ravel()), batch.column("v").take(pa.array(again)), pa.array(np.repeat(low, n))], names=["id", "cell", "v", "low"])
+
+        return run
 
-    queries = indexed.where(is_query).select("id", "v").mapInArrow(visit, "id long, cell long, v binary, low double")
     # at most 256 cells: their numbers of rows and of queries say into how many blocks they go
     cuts = lambda df: {r["cell"]: -(-r["count"] // block) for r in df.groupBy("cell").count().collect()}
-    d_cuts, q_cuts = cuts(indexed), cuts(queries.select("cell"))
-    size = spark.createDataFrame([(c, d, q_cuts.get(c, 0)) for c, d in d_cuts.items()], "cell long, nd int, nq int")
+    d_cuts = cuts(indexed)
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
-    d = indexed.join(F.broadcast(size), "cell").where("nq > 0").select("cell", part("nd", 1).alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "id", "codes", "err", "v")
-    q = queries.join(F.broadcast(size), "cell").where("nq > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), part("nq", 2).alias("qb"), "id", "v", "low")
 
     def search(key: tuple, data: pa.Table, asks: pa.Table) -> pa.Table:
         got: tuple[list, list, list] = ([], [], [])
@@ -189,7 +193,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
                 got[2].extend(exact[first].tolist())
         return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.float64())})
 
-    by = ["cell", "db", "qb"]
-    found = d.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(search, T._parse_datatype_string("query_id long, vec_id long, score double"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def found(asked: DataFrame, rest: bool) -> DataFrame:
+        queries = asked.mapInArrow(visit(rest), "id long, cell long, v binary, low double")
+        q_cuts = cuts(queries.select("cell"))
+        size = spark.createDataFrame([(c, d, q_cuts.get(c, 0)) for c, d in d_cuts.items()], "cell long, nd int, nq int")
+        d = indexed.join(F.broadcast(size), "cell").where("nq > 0").select("cell", part("nd", 1).alias("db"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "id", "codes", "err", "v")
+        q = queries.join(F.broadcast(size), "cell").where("nq > 0").select("cell", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("db"), part("nq", 2).alias("qb"), "id", "v", "low")
+        by = ["cell", "db", "qb"]
+        return d.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(search, T._parse_datatype_string("query_id long, vec_id long, score double"))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asked = indexed.where(is_query).select("id", "v")
+    first = written(ranked(found(asked, False)))
+    enough = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = asked.join(enough, "id", "left_anti")
+    if short.isEmpty():
+        return first
+    return ranked(first.drop("rank").unionByName(found(short, True)))

@@ -323,6 +323,14 @@ def test_vectors_of_near_copies(spark):
     assert recall_of(got, x, range(1500, 6000, 50)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [14, 18, 22])
+def test_few_vectors_are_all_found(spark, n):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").limit(n)
+    ids = [r.vec_id for r in df.collect()]
+    got = [r.vec_id for r in ann.nearest(df, F.col("id") == ids[0]).collect()]
+    assert len(got) == len(set(got)) == min(20, n - 1) and set(got) <= set(ids[1:])
+
+
 # --- pages ---------------------------------------------------------------------------------------------------------
 def test_page_text(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
