@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 TEXT = "__text"
 #: Rows of one Arrow batch: with documents of megabytes a batch still fits a Python worker.
@@ -106,15 +107,33 @@ def sample(df: DataFrame, key: str, rows: int, cols: Sequence[str]) -> DataFrame
     return ranked.where(F.col("__rank") <= F.lit(last).cast("long")).orderBy("__rank", *cols).limit(rows).drop("__rank")
 
 
-def trained(df: DataFrame, key: str, rows: int, cols: Sequence[str], fit: Callable[[list[dict]], object]) -> object:
-    """What ``fit`` makes of the sample. It runs in one task, as the sample is small by its bound
-    and a task has a core of its own, which the driver may not have."""
+def sample_each(df: DataFrame, key: str, rows: int, cols: Sequence[str], group: str, each: int) -> DataFrame:
+    """``sample``, and besides the ``each`` rows with the smallest hash of every value of ``group``
+    (all rows of a value that has fewer). Hashes are ranked first here too; one number a value
+    comes to the driver."""
+    common = {r[0]: r[1] for r in sample(df, key, rows, cols).groupBy(group).count().collect()}
+    ranked = df.select(*[F.col(c) for c in cols], F.xxhash64(F.col(key).cast("string"), F.lit(11)).alias("__rank"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy(group).orderBy("__rank", *order))
+    most = max([each, *common.values()])
+    hashes = ranked.select(group, "__rank").withColumn("__n", nth()).where(F.col("__n") <= most)
+    quota = df.sparkSession.createDataFrame([(g, max(each, n)) for g, n in common.items()], f"{group} {df.schema[group].dataType.simpleString()}, __quota int")
+    last = hashes.join(F.broadcast(quota), group, "left").where(F.col("__n") <= F.coalesce("__quota", F.lit(each))).groupBy(group).agg(F.max("__rank"), F.max(F.coalesce("__quota", F.lit(each))))
+    bounds = df.sparkSession.createDataFrame([tuple(r) for r in last.collect()], f"{group} {df.schema[group].dataType.simpleString()}, __last long, __quota int")
+    kept = ranked.join(F.broadcast(bounds), group).where(F.col("__rank") <= F.col("__last"))
+    return kept.withColumn("__n", nth(*cols)).where((F.col("__n") <= most) & (F.col("__n") <= F.col("__quota"))).select(*cols)
+
+
+def trained(df: DataFrame, key: str, rows: int, cols: Sequence[str], fit: Callable[[list[dict]], object], group: str | None = None, each: int = 0) -> object:
+    """What ``fit`` makes of the sample (with a ``group``, of ``sample_each``). It runs in one task,
+    as the sample is small by its bound and a task has a core of its own, which the driver may not
+    have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for b in batches for r in b.to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(got))], pa.binary())], names=["model"])
 
-    made = sample(df, key, rows, cols).mapInArrow(run, "model binary").first()
+    drawn = sample(df, key, rows, cols) if group is None else sample_each(df, key, rows, cols, group, each).coalesce(1)
+    made = drawn.mapInArrow(run, "model binary").first()
     return pickle.loads(made[0]) if made else fit([])
 
 

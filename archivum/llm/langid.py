@@ -1,11 +1,12 @@
 """Language identification with bit-sliced Bloom filters over character trigrams.
 
-Training takes a bounded sample of labelled rows (``rows``), counts in how many of a language's
+Training takes a bounded sample of labelled rows (``rows``, and at least ``each`` of every language,
+or all that it has, so that no labelled language stays unknown), counts in how many of a language's
 texts each trigram stands, and puts its ``top`` commonest trigrams into that language's Bloom
 filter. The filters are bit-sliced: slot s holds one bit a language, so the AND of a trigram's
 slots is the set of all languages that contain it. A text's languages are then counted (the
 popcount of each bit over all its trigrams) and corrected for the false positives that the fill
-of each filter predicts; the largest corrected count decides, ties go to the language with more
+of each filter predicts (a slot has as many 64-bit words as the languages need); the largest corrected count decides, ties go to the language with more
 training rows, then to the smaller name. ``score`` is the share of the text's trigrams that the
 chosen language explains, from 0 to 1.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks_of, double, judged, map_text, mix64, string, trained
 
 ROWS, TOP, SLOT_BITS, HASHES = 800, 1000, 16, 3
+EACH = 200
 MIN_SCORE = 0.3
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _letters: list[np.ndarray] = []
@@ -58,25 +60,24 @@ def _slots(grams: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """The bit-sliced filters of up to 64 languages."""
+    """The bit-sliced filters; languages beyond 64 stand in further words of each slot."""
 
     def __init__(self, rows: list[tuple[str, str]], top: int = TOP) -> None:
         share = Counter(lang for lang, _ in rows)
-        if len(share) > 64:
-            raise ValueError("more than 64 languages")
         self.langs = sorted(share, key=lambda x: (-share[x], x))
-        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(self.langs) <= n)
-        self.slots = np.zeros(1 << SLOT_BITS, kind)
+        kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(self.langs) <= n), np.uint64)
+        self.slots = np.zeros((max(1, -(-len(self.langs) // 64)), 1 << SLOT_BITS), kind)
         with np.errstate(over="ignore"):
-            for bit, lang in enumerate(self.langs):
+            for i, lang in enumerate(self.langs):
+                word, bit = divmod(i, 64)
                 texts = [t for x, t in rows if x == lang]
                 grams, edges, _ = trigrams(texts)
                 own = [np.unique(grams[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
                 value, count = np.unique(np.concatenate(own), return_counts=True)
                 best = value[np.lexsort((value, -count))[:top]]
                 for s in _slots(best):
-                    np.bitwise_or.at(self.slots, s, kind(1 << bit))
-        fill = [np.count_nonzero(self.slots & kind(1 << b)) / len(self.slots) for b in range(len(self.langs))]
+                    np.bitwise_or.at(self.slots[word], s, kind(1 << bit))
+        fill = [np.count_nonzero(self.slots[i // 64] & kind(1 << i % 64)) / (1 << SLOT_BITS) for i in range(len(self.langs))]
         self.false_rate = np.array([f**HASHES for f in fill])
 
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
@@ -85,13 +86,15 @@ class Filters:
         with np.errstate(over="ignore"):
             for lo, hi in blocks_of(["" if t is None else t for t in texts]):
                 grams, edges, letters = trigrams(texts[lo:hi])
-                a, b, c = (self.slots[s] for s in _slots(grams))
-                mask = a & b & c
+                a, b, c = _slots(grams)
                 n = np.maximum(letters, 1)[:, None]
                 pops = np.zeros((hi - lo, max(1, len(self.langs))))
-                for bit in range(len(self.langs)):
+                for i in range(len(self.langs)):
+                    word, bit = divmod(i, 64)
+                    if bit == 0:
+                        mask = self.slots[word][a] & self.slots[word][b] & self.slots[word][c]
                     total = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(bit)) & mask.dtype.type(1), dtype=np.int64)))
-                    pops[:, bit] = total[edges[1:]] - total[edges[:-1]]
+                    pops[:, i] = total[edges[1:]] - total[edges[:-1]]
                 if self.langs:
                     pops = (pops - n * self.false_rate) / (1 - self.false_rate)
                 best = pops.argmax(1)
@@ -106,11 +109,12 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Filters:
-    """Filters from a sample of at most ``rows`` labelled rows that aren't held out."""
+def learn(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, each: int = EACH) -> Filters:
+    """Filters from labelled rows that aren't held out: at most ``rows``, and besides what brings
+    every language to ``each``."""
     src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"))
     src = src.where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k")))
-    return trained(src, "k", rows, ["k", "t", "l"], lambda got: Filters([(r["l"], r["t"]) for r in got]))
+    return trained(src, "k", rows, ["k", "t", "l"], lambda got: Filters([(r["l"], r["t"]) for r in got]), group="l", each=each)
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -173,6 +173,18 @@ def test_language(spark, docs, none):
     assert kept.columns == docs.columns and not {2, 3, 4} & {r.doc_id for r in kept.collect()}
 
 
+def test_rare_and_many_languages(spark):
+    rng = np.random.default_rng(8)
+    text = lambda i: " ".join("".join(chr(0x4E00 + 40 * i + int(c)) for c in rng.integers(0, 12, 5)) for _ in range(40))
+    data = [(k, f"l{k % 70:02d}", text(k % 70)) for k in range(700)] + [(k, "big", prose(k, 40)) for k in range(1000, 3000)] + [(k, "rare", text(80)) for k in range(5000, 5004)]
+    df = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    filters = langid.learn(df, rows=100, each=5)
+    known = {r[0] for r in df.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert "rare" in known and len(known) == 72 and set(filters.langs) == known and filters.langs[0] == "big"
+    got = langid.identify(df, filters, keep=("doc_id", "lang")).collect()
+    assert len(got) == len(data) and all(r.lang_pred == r.lang for r in got)
+
+
 # --- near duplicates -------------------------------------------------------------------------------------
 def brute_components(texts, words, percent):
     sets = {}
