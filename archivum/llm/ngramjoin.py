@@ -156,10 +156,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            own = dict(zip(a, batch.column("ta").to_pylist(), strict=True)) | dict(zip(b, batch.column("tb").to_pylist(), strict=True))
+            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            own = list(dict.fromkeys(a + b))  # by text: a document id can stand on several
             with np.errstate(over="ignore"):
-                sets = dict(zip(own, shingle_sets(list(own.values()), words), strict=True))
+                sets = dict(zip(own, shingle_sets(own, words), strict=True))
             ok = []
             for x, y in zip(a, b, strict=True):
                 x, y = sets[x], sets[y]

@@ -226,6 +226,13 @@ def test_jaccard_awkward(docs, none):
     assert one.columns == docs.columns and one.count() == len(TEXTS) - 1
 
 
+def test_pairs_of_a_key_with_two_texts(spark):
+    one, two = prose(30, 60), prose(31, 60)
+    texts = spark.createDataFrame([(1, one), (1, two), (2, one + " end"), (3, two + " end")], "v long, text string").coalesce(1)
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long").coalesce(1)
+    assert {tuple(r) for r in ngramjoin.verified(pairs, texts, 3, 90).collect()} == {(1, 2), (1, 3)}
+
+
 # --- packing ----------------------------------------------------------------------------------------------
 def test_packing(docs, none):
     from tokenizers import Tokenizer
