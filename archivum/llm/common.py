@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,8 @@ from pyspark.sql.window import Window
 TEXT = "__text"
 #: Rows of one Arrow batch: with documents of megabytes a batch still fits a Python worker.
 BATCH_ROWS = 512
+#: Characters of a text that a model is fitted on; texts that it is applied to are read whole.
+SAMPLE_CHARS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in pieces of at most ``rows`` rows, whatever the session's batch size is."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which driver and executors share.
 
-    The setting is only given a value here where nobody gave one (tests on one machine)."""
+    Where nobody set it, a session on one machine gets a temporary folder; a cluster, whose machines
+    share none, gets an error."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/archivum-checkpoints"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/archivum-{uuid.uuid4().hex}"
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
+    return f"{sc.getCheckpointDir()}/archivum-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -46,11 +60,17 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(*tables: DataFrame) -> None:
+    """Gives back the space of tables that ``written`` made and nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            df.sparkSession.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def map_text(docs: DataFrame, text_col: str, keep: Sequence[str], fields: Sequence[T.StructField], per_batch: Callable[[list], dict], rows: int = BATCH_ROWS) -> DataFrame:
     """Columns ``keep`` of ``docs`` and the new ``fields``, which ``per_batch`` makes from the
     list of texts (None for null) of an Arrow batch. New fields win over kept columns of the
     same name (compared without case). A narrow step: rows stay in their partitions."""
-    small_batches(docs.sparkSession, rows)
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(TEXT))
@@ -58,9 +78,7 @@ def map_text(docs: DataFrame, text_col: str, keep: Sequence[str], fields: Sequen
     kinds = [(f.name, _arrow(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, rows):
             made = per_batch(batch.column(TEXT).to_pylist())
             arrays = [batch.column(c) for c in keep] + [pa.array(made[n], type=t) for n, t in kinds]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *[n for n, _ in kinds]])
@@ -82,6 +100,12 @@ def _arrow(t: T.DataType) -> pa.DataType:
     return pa.list_(_arrow(t.elementType)) if isinstance(t, T.ArrayType) else simple[type(t)]
 
 
+def free_of(spans: Sequence[tuple], base: Sequence[tuple]) -> list[tuple]:
+    """Of ``spans`` (start, kind, end) those that overlap none of ``base``, which is sorted by start."""
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    return [m for m in spans if not (k := bisect_left(starts, m[2])) or reach[k - 1] <= m[0]]
+
+
 def long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
 
@@ -166,19 +190,26 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, start and end (in bytes) of the words ``[^\\x20\\x09-\\x0D]+`` of ``data``."""
-    a = np.frombuffer(data, np.uint8)
-    if not len(a):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    space = _SPACE[a]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+def word_spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (in bytes) of the words ``[^\\x20\\x09-\\x0D]+``."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[a], [True])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def hashed_spans(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
     p, inv = _powers(len(a) + 1)
     h = np.empty(len(a) + 1, np.uint64)
     h[0] = 0
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * p[: len(a)], out=h[1:])
-    return mix64((h[end] - h[start]) * inv[start] + (end - start).astype(np.uint64)), start, end
+    return mix64((h[end] - h[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, start and end (in bytes) of the words of ``data``."""
+    a = np.frombuffer(data, np.uint8)
+    start, end = word_spans(a)
+    return hashed_spans(a, start, end), start, end
 
 
 def blocks_of(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
