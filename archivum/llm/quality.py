@@ -5,9 +5,15 @@ Line rules (a line is what stands between two ``\\n``; words are ``[^\\x20\\x09-
   symbols      a symbol of ``#*$%&|<>`` for every three words (markup remains, menus of ``a | b``)
   shouting     three words or more, and an exclamation mark for every two words
   repetition   ten words or more, fewer than three in ten of them distinct
-  boilerplate  one of ``BOILERPLATE`` in the lower-cased (A-Z) line
-  unfinished   five words or more and no closing punctuation at the end
-  repeated     equal to an earlier line of the document
+  boilerplate  one of ``BOILERPLATE`` in the lower-cased (A-Z) line, at word borders
+  navigation   a line that is one of ``NAVIGATION``, has a separator for every three words, or
+               stands in a run of ``MENU`` lines or more of at most four words each, none of which
+               ends a sentence (lines without a word don't break a run)
+  unfinished   five words or more and no closing punctuation (of any script) at the end
+  repeated     equal to an earlier line of the document, or a third line that differs from earlier
+               ones in its digits only
+Boilerplate and unfinished lines have at most ``LONG_LINE`` words: longer ones are paragraphs, which
+one phrase or a missing mark doesn't make a loss.
 
 Lines without a word are neither kept text nor a loss. A document is rejected when more than
 ``max_loss`` percent of its words stood in failing lines, or by the base rules (``min_words``
@@ -18,6 +24,8 @@ columns other than the key and the text are only carried when named in ``keep``.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -32,12 +40,26 @@ BOILERPLATE = (
     "privacy policy", "cookie policy", "use cookies", "click here", "read more", "sign in", "log in",
     "subscribe to", "enable javascript", "lorem ipsum", "skip to content",
 )
-CLOSING = ".!?:;\"')]}»”’…"
+#: Whole lines of menus, separators of trails and menus, and marks that close a line or
+#: a sentence (Latin, CJK, Arabic, Devanagari, Armenian, Ethiopic, Khmer, Tibetan).
+NAVIGATION = (
+    "home", "about", "about us", "contact", "contact us", "menu", "search", "sitemap", "site map", "next", "next page", "previous", "previous page",
+    "back to top", "back", "more", "login", "register", "share", "print", "help", "faq", "archive", "categories", "tags", "comments", "related posts",
+)
+SEPARATORS = ("/", "\\", "-", "–", "—", "·", "•", "›", "»", "→", "::")
+SENTENCE = ".!?…。！？｡؟۔।॥։።፧។།"
+CLOSING = ".!?:;\"')]}»”’…。！？；：」』）】》〉｡؟۔؛।॥։።፧។།"
+MENU, LONG_LINE = 3, 60
 MIN_WORDS, MAX_REPEAT, MAX_LOSS = 50, 50, 50
 SPACES = " \t\n\x0b\x0c\r"
 _phrases = tuple(p.encode() for p in BOILERPLATE)
 _symbols = tuple(s.encode() for s in SYMBOLS)
 _closing = tuple(s.encode() for s in CLOSING)
+_sentence = tuple(s.encode() for s in SENTENCE)
+_separators = frozenset(s.encode() for s in SEPARATORS)
+_navigation = frozenset(s.encode() for s in NAVIGATION)
+_bordered = re.compile(b"(?:^|[^a-z0-9])(?:" + b"|".join(_phrases) + b")(?:[^a-z0-9]|$)")
+_digits = re.compile(rb"[0-9]+")
 
 
 def repeated_window_words(words: list) -> int:
@@ -76,31 +98,48 @@ def failed_rule(line: bytes, words: list) -> str | None:
     if n >= 10 and 10 * len(set(words)) < 3 * n:
         return "repetition"
     low = line.lower()
-    if any(p in low for p in _phrases):
+    if n <= LONG_LINE and any(p in low for p in _phrases) and _bordered.search(low):
         return "boilerplate"
-    if n >= 5 and not words[-1].endswith(_closing):
+    if n <= 3 and b" ".join(words).lower() in _navigation or n >= 3 and 3 * sum(w in _separators for w in words) >= n:
+        return "navigation"
+    if 5 <= n <= LONG_LINE and not words[-1].endswith(_closing):
         return "unfinished"
     return None
 
 
+def menu_lines(lines: list[list]) -> list[bool]:
+    """Of lines (their words) whether each stands in a run of short ones that end no sentence."""
+    out = [len(w) <= 4 and not w[-1].endswith(_sentence) for w in lines]
+    i = 0
+    while i < len(out):
+        k = i
+        while k < len(out) and out[k]:
+            k += 1
+        if 0 < k - i < MENU:
+            out[i:k] = [False] * (k - i)
+        i = k + 1
+    return out
+
+
 def judge(text: str | None, want_text: bool = False) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost words, cleaned text)."""
     text = text or ""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     seen: set = set()
+    shapes: Counter = Counter()
     dup = lost = 0
     good = []
-    for line in data.split(b"\n"):
-        own = line.split()
-        if not own:
-            continue
+    lines = [(line, own) for line in data.split(b"\n") if (own := line.split())]
+    for (line, own), menu in zip(lines, menu_lines([own for _, own in lines]), strict=True):
         if line in seen:
             dup += 1
             lost += len(own)
             continue
         seen.add(line)
-        if failed_rule(line, own):
+        shape = _digits.sub(b"0", line)
+        shapes[shape] += 1
+        if menu or shapes[shape] > 2 or failed_rule(line, own):
             lost += len(own)
         elif want_text:
             good.append(line)
@@ -131,8 +170,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return back(got.where("kept"))
 
 
-def _like(column: str) -> str:
-    return " OR ".join(f"contains({column}, '{p}')" for p in BOILERPLATE)
+def _quoted(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
 #: DuckDB: the same, with its own string functions.
@@ -141,11 +180,17 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 w AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
 ln AS (SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM w),
 lw AS (SELECT rid, k, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lws FROM ln),
-lg AS (SELECT rid, line, len(lws) AS n, row_number() OVER (PARTITION BY rid, line ORDER BY k) AS nth,
+lg AS (SELECT rid, k, line, len(lws) AS n, row_number() OVER (PARTITION BY rid, line ORDER BY k) AS nth, row_number() OVER (PARTITION BY rid ORDER BY k) AS place,
   length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS sy, length(regexp_replace(line, '[^!]', '', 'g')) AS ex,
-  len(list_distinct(lws)) AS dw, lws[len(lws)][-1] AS tail, lower(line) AS lo FROM lw WHERE len(lws) > 0),
-lv AS (SELECT rid, n, nth > 1 AS dup, (nth > 1 OR 3 * sy >= n OR (n >= 3 AND 2 * ex >= n) OR (n >= 10 AND 10 * dw < 3 * n)
-  OR {_like("lo")} OR (n >= 5 AND NOT contains('{CLOSING.replace("'", "''")}', tail))) AS bad FROM lg),
+  len(list_distinct(lws)) AS dw, lws[len(lws)][-1] AS tail, lower(line) AS lo, lower(array_to_string(lws, ' ')) AS flat,
+  len(list_filter(lws, lambda x: x IN ({_quoted(SEPARATORS)}))) AS sp, regexp_replace(line, '[0-9]+', '0', 'g') AS shape FROM lw WHERE len(lws) > 0),
+mn AS (SELECT *, n <= 4 AND NOT contains('{SENTENCE}', tail) AS low FROM lg),
+mg AS (SELECT *, sum(CASE WHEN low THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY place) AS run FROM mn),
+mr AS (SELECT *, low AND sum(CASE WHEN low THEN 1 ELSE 0 END) OVER (PARTITION BY rid, run) >= {MENU} AS menu,
+  sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rid, shape ORDER BY place) AS alike FROM mg),
+lv AS (SELECT rid, n, nth > 1 AS dup, (nth > 1 OR menu OR alike > 2 OR 3 * sy >= n OR (n >= 3 AND 2 * ex >= n) OR (n >= 10 AND 10 * dw < 3 * n)
+  OR (n <= {LONG_LINE} AND regexp_matches(lo, '(^|[^a-z0-9])({"|".join(BOILERPLATE)})([^a-z0-9]|$)')) OR (n <= 3 AND flat IN ({_quoted(NAVIGATION)})) OR (n >= 3 AND 3 * sp >= n)
+  OR (n BETWEEN 5 AND {LONG_LINE} AND NOT contains('{CLOSING.replace("'", "''")}', tail))) AS bad FROM mr),
 la AS (SELECT rid, sum(CASE WHEN dup THEN 1 ELSE 0 END) AS dups, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM lv GROUP BY rid),
 g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
 g3 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g),
