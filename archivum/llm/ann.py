@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
-(``sample_rows``); every vector is indexed: nearest centroid and one byte a subspace. A query
-visits its ``probes`` cells with the largest inner products. There, tables of its inner products
-with all codewords score every row (asymmetric distances), and the best ``shortlist`` of a block
-are scored exactly in double precision. A row's quantisation error, whose norm stands with its
-codes, says how much its score can exceed its guess: every other row of the block that can still
-reach the k-th of those scores is scored exactly too. So a block's k best are exact, also where
-guesses tie in a cluster of near copies.
+(``sample_rows``); every vector is indexed: nearest centroid and one byte a subspace. There are as
+many cells as the square root of the number of rows, as far as the sample goes round (``PER_CELL``
+rows each). A query visits the cells with the largest inner products: as many as the sample's own
+rows, asked as queries, need to find ``TARGET`` of their k nearest in the sample. So clustered
+vectors are searched in few cells, and vectors without structure in most.
+
+In a cell, tables of a query's inner products with all codewords score every row (asymmetric
+distances), and the best ``shortlist`` of a block are scored exactly in double precision. A row's
+quantisation error, whose norm stands with its codes, says how much its score can exceed its guess:
+every other row of the block that can still reach the k-th of those scores is scored exactly too.
+So a block's k best are exact, also where guesses tie in a cluster of near copies.
 What can't is known from the sample: 2 k of its rows score no less than the bound. A query for
 which that finds fewer than k rows searches all other cells too, without the bound: together they
 hold those 2 k rows, or all rows where the sample has fewer.
@@ -34,10 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import trained, written
+from .common import slices, trained, written
 
 K, SAMPLE_ROWS, SUBSPACES, CODES = 20, 8192, 8, 256
-PROBE_SHARE, SHORTLIST, BLOCK = 0.75, 96, 512
+TARGET, TRIED, PER_CELL = 0.95, 512, 32
+SHORTLIST, BLOCK, TOGETHER = 96, 2048, 64
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -60,14 +65,24 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Index:
     """Centroids (cells x dims), codebooks (subspaces x codes x dims of one) and the sample."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, x: np.ndarray, rows: int, k: int) -> None:
         self.ids, self.sample, self.dims = ids, x, x.shape[1]
-        cells = int(np.clip(round(len(x) ** 0.5), 1, 256))
-        self.probes = max(1, int(np.ceil(cells * PROBE_SHARE)))
+        cells = int(np.clip(round(rows**0.5), 1, max(1, len(x) // PER_CELL)))
         self.centroids = k_means(x, cells, 10, 1)
+        self.probes = self.needed(k)
         rest = self.split(x - self.centroids[self.cell_of(x)])
         self.books = np.stack([k_means(rest[:, m], min(CODES, len(x)), 6, 2 + m) for m in range(SUBSPACES)])
 
+    def needed(self, k: int) -> int:
+        """The cells that rows of the sample must visit to find ``TARGET`` of their k nearest."""
+        q, own = self.sample[:TRIED], self.ids[:TRIED]
+        s = q @ self.sample.T
+        s[own[:, None] == self.ids[None, :]] = -np.inf
+        near = np.argpartition(-s, min(k, s.shape[1] - 1), 1)[:, :k]
+        place = np.argsort(self.visits(q), 1)  # of every cell in a query's order
+        at = np.take_along_axis(place, self.cell_of(self.sample)[near], 1).ravel()
+        return int(np.sort(at)[min(len(at) - 1, int(np.ceil(TARGET * len(at))))]) + 1
+
     def split(self, x: np.ndarray) -> np.ndarray:
         """Rows cut into subspaces, with zeros behind where the dimensions don't divide."""
         width = -(-self.dims // SUBSPACES)
@@ -103,14 +118,14 @@ class Index:
         return -np.partition(-s, k - 1, 1)[:, k - 1] if s.shape[1] >= k else np.full(len(q), -np.inf)
 
 
-def fitted(rows: list[dict]) -> Index | None:
-    """The index of a sample; vectors of its commonest length (the longer of two) count."""
+def fitted(rows: list[dict], total: int, k: int) -> Index | None:
+    """The index of a sample of ``total`` rows; vectors of its commonest length (the longer of two) count."""
     if not rows:
         return None
     lengths = Counter(len(r["v"]) for r in rows)
     dims = max(lengths, key=lambda n: (lengths[n], n))
     rows = [r for r in rows if len(r["v"]) == dims]
-    return Index(np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows]))
+    return Index(np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows]), total, k)
 
 
 def usable(v: Column) -> Column:
@@ -127,16 +142,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     condition on the column ``id``)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["id", "v"])
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
+    total, ids = rows.agg(F.count("id"), F.count_distinct("id")).first()
+    if ids < total:  # only then can a row be repeated
+        rows = rows.dropDuplicates(["id", "v"])
     out_type = "query_id long, rank int, vec_id long, score double"
-    index = trained(rows, "id", sample_rows, ["id", "v"], fitted)
+    index = trained(rows, "id", sample_rows, ["id", "v"], lambda got: fitted(got, total, k))
     if index is None:
         return spark.createDataFrame([], out_type)
     dims = index.dims
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, block):
             if batch.num_rows:
                 x = batch.column("v").flatten().to_numpy().reshape(-1, dims)
                 cell, codes, err = shared.value.encode(x)
@@ -148,7 +166,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
         """The cells that a query visits, or the rest of them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, 256):
                 if batch.num_rows:
                     q, ids, ix = _matrix(batch.column("v"), dims), batch.column("id").to_numpy(), shared.value
                     cells = ix.visits(q)[:, ix.probes :] if rest else ix.visits(q)[:, : ix.probes]
@@ -159,7 +177,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
 
         return run
 
-    # at most 256 cells: their numbers of rows and of queries say into how many blocks they go
+    # cells are few (PER_CELL rows of the sample each): their numbers of rows and of queries say into how many blocks they go
     cuts = lambda df: {r["cell"]: -(-r["count"] // block) for r in df.groupBy("cell").count().collect()}
     d_cuts = cuts(indexed)
     part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
@@ -175,11 +193,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
             qx, low, qid = _matrix(asks["v"], dims), asks["low"].to_numpy(), asks["id"].to_numpy()
             tables, middle, norm = ix.tables(qx), qx @ ix.centroids[key[0]], np.sqrt((qx**2).sum(1))
             slack = 1e-9 * np.maximum(1, norm * np.sqrt((x**2).sum(1).max()))
+            guesses = np.zeros((0, 0))
             for i in range(len(qid)):
                 own = ids == qid[i]
                 best = np.arange(len(ids))
                 if len(ids) > shortlist:
-                    guess = middle[i] + tables[i][np.arange(SUBSPACES), codes].sum(1)
+                    if i % TOGETHER == 0:
+                        part = tables[i : i + TOGETHER]
+                        guesses = sum((part[:, m, codes[:, m]] for m in range(SUBSPACES)), middle[i : i + TOGETHER, None])
+                    guess = guesses[i % TOGETHER]
                     short = np.argpartition(-guess, shortlist)[:shortlist]
                     exact = np.sort(np.einsum("nd,d->n", x[short], qx[i])[~own[short]])
                     reach = max(low[i], exact[-k]) if len(exact) >= k else low[i]
