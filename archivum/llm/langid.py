@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, double, judged, map_text, mix64, string, trained
+from .common import SAMPLE_CHARS, blocks_of, double, judged, map_text, mix64, string, trained
 
 ROWS, TOP, SLOT_BITS, HASHES = 800, 1000, 16, 3
 EACH = 200
@@ -111,8 +111,8 @@ def held_out(key: Column) -> Column:
 
 def learn(docs: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, each: int = EACH) -> Filters:
     """Filters from labelled rows that aren't held out: at most ``rows``, and besides what brings
-    every language to ``each``."""
-    src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"))
+    every language to ``each``; of a text its first ``SAMPLE_CHARS`` characters."""
+    src = docs.select(F.col(f"`{key}`").alias("k"), F.substring(F.col(f"`{text_col}`").cast("string"), 1, SAMPLE_CHARS).alias("t"), F.col(f"`{lang_col}`").alias("l"))
     src = src.where(F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("k")))
     return trained(src, "k", rows, ["k", "t", "l"], lambda got: Filters([(r["l"], r["t"]) for r in got]), group="l", each=each)
 

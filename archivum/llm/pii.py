@@ -7,8 +7,7 @@ The network labels characters (outside, or begin / inside of a kind). It is trai
 windows of a bounded sample of texts: their base spans are the labels, and written-out variants
 (national phone numbers, cards in groups, spelt-out addresses with digits) and look-alikes without
 personal data (years, versions, hashes, prices) are set into them. A span of any kind holds a
-digit or ``@``; so the lattice admits no other state further than ``REACH`` characters from one,
-and only overlapping windows around them are run. Windows are decoded one by one (Viterbi);
+digit or ``@``; so only overlapping windows that reach ``REACH`` characters around one are run. Windows are decoded one by one (Viterbi);
 spans of one kind that touch are joined across windows, and over the whole text the set of
 spans that don't overlap with the largest total score is taken. Those that touch no base span,
 reach ``MIN_SCORE`` and hold ``@`` or seven digits are added to the base spans.
@@ -28,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import judged, long, map_text, string, trained
+from .common import SAMPLE_CHARS, free_of, judged, long, map_text, string, trained
 from .neural import Adam, BiLstm
 
 KINDS = ("email", "ip", "card", "phone")
@@ -322,8 +321,10 @@ def fitted(rows: list[dict]) -> Tagger:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> Tagger:
-    """A tagger trained on windows of at most ``rows`` texts with a digit or ``@``."""
+    """A tagger trained on windows of at most ``rows`` texts with a digit or ``@``, of each the
+    ``SAMPLE_CHARS`` characters from a little before its first one on."""
     src = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t")).where(F.col("t").rlike("[0-9@]"))
+    src = src.withColumn("t", F.substring("t", F.greatest(F.lit(1), F.regexp_instr("t", F.lit("[0-9@]")) - SAMPLE_CHARS // 2), F.lit(SAMPLE_CHARS)))
     return trained(src, "k", rows, ["k", "t"], fitted)
 
 
@@ -336,7 +337,7 @@ def all_spans(texts: list, model: Tagger) -> list[tuple[list, list]]:
     for i in near:
         base[i] = base_spans(texts[i])
     for i, more in zip(near, network_spans([texts[i] for i in near], model), strict=True):
-        every[i] = sorted(base[i] + [m for m in more if all(m[2] <= b[0] or m[0] >= b[2] for b in base[i])])
+        every[i] = sorted(base[i] + free_of(more, base[i]))
     return list(zip(base, every, strict=True))
 
 
