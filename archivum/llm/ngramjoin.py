@@ -7,7 +7,10 @@ without words or text the set is empty and links with nothing. Two documents lin
 
 1. One pass counts all shingles in a fixed table of 2^22 buckets; those above 1 / 2^18 of all
    shingles (so at most 2^18) are the frequent ones. Every set is ordered by that count, then hash.
-2. Documents with equal sets become one class; copies never meet again.
+2. Documents with equal sets become one class; copies never meet again. The prefixes' own shingles
+   are then counted exactly: those in more than ``HOT_LIST`` prefixes go to the end of the order,
+   by their count (the ``2^HOT_BITS`` most frequent in each of ``REORDERS`` rounds), and sets that had
+   one in their prefix get another prefix. Shingles only ever move back, so all other prefixes stay.
 3. A pair with overlap o shares at least l shingles of the prefixes of lengths n - o + l. Each
    class takes the l with the least estimated cost (list lengths, and verifications of at most
    lists / l candidates) for the least overlap of any partner; a pair must then share what its own
@@ -36,12 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, hashed_words, mix64, small_batches, written
+from .common import blocks_of, emptied, hashed_words, mix64, slices, written
 from .components import connected_components
 
 BUCKET_BITS, FREQUENT_BITS = 22, 18
 LEVELS, VERIFY_COST = 4, 50.0
 SKETCH_BITS, STAR_ROUNDS = 1024, 2
+HOT_LIST, HOT_BITS, REORDERS = 500, 20, 2
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0676A9A99)]
 
 
@@ -80,7 +84,7 @@ def frequent_buckets(src: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total = np.zeros(1 << BUCKET_BITS, np.uint32), 0
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 for s in shingle_sets(batch.column("text").to_pylist(), words):
                     np.add.at(sums, _bucket(s), np.uint32(1))
                     total += len(s)
@@ -99,15 +103,16 @@ def _ceil(a: int, b: int) -> int:
     return -(-a // b)
 
 
-def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc, n, digest of the set, level l, and the ordered prefix of the set for that level."""
-    shared = src.sparkSession.sparkContext.broadcast(frequent)
+def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """doc, n, digest of the set, level l, and the ordered prefix of the set for that level; ``hot``
+    has shingles (sorted) whose counts are known exactly."""
+    shared = src.sparkSession.sparkContext.broadcast((*frequent, *(hot or ())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(1 << BUCKET_BITS, np.uint32)
         often[shared.value[0]] = np.minimum(shared.value[1], (1 << 32) - 1)
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 ns, digests, levels, prefixes, sketches = [], [], [], [], []
                 for s in shingle_sets(batch.column("text").to_pylist(), words):
                     n = len(s)
@@ -116,6 +121,9 @@ def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[n
                     odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
                     sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     c = often[_bucket(s)]
+                    if hot is not None and n:
+                        at = np.minimum(np.searchsorted(shared.value[2], s), len(shared.value[2]) - 1)
+                        c = np.where(shared.value[2][at] == s, np.maximum(c, shared.value[3][at]), c)
                     if c.any():
                         order = np.lexsort((s, c))
                         s, c = s[order], c[order]
@@ -134,6 +142,35 @@ def ordered_prefixes(src: DataFrame, words: int, percent: int, frequent: tuple[n
     return src.mapInArrow(run, "doc long, n long, digest binary, lvl int, prefix array<long>, sketch array<long>")
 
 
+def reordered(src: DataFrame, own: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The classes' rows with shingles of long posting lists at the end of the order, the shingles
+    (token, k) that k > 1 of their prefixes share, and tables that are read no more."""
+    spent: list[DataFrame] = []
+    hot, hot_n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    for step in range(REORDERS + 1):
+        token = own.select("v", F.explode("prefix").alias("token"))
+        shared = written(token.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+        if step == REORDERS:
+            break
+        top = shared.where(F.col("k") > HOT_LIST).orderBy(F.desc("k"), "token").limit(len(hot) + (1 << HOT_BITS)).toArrow()  # bounded
+        new, k = top["token"].to_numpy().view(np.uint64), np.minimum(top["k"].to_numpy(), (1 << 32) - 1).astype(np.uint32)
+        fresh = ~np.isin(new, hot)
+        if not fresh.any():
+            break
+        new = new[fresh]
+        hot, hot_n = np.concatenate((hot, new)), np.concatenate((hot_n, k[fresh]))
+        order = np.argsort(hot)
+        hot, hot_n = hot[order], hot_n[order]
+        moved = F.broadcast(src.sparkSession.createDataFrame(pa.table({"token": pa.array(new.view(np.int64))})))
+        held = written(token.join(moved, "token", "left_semi").select("v").distinct())
+        keys = own.join(held, "v", "left_semi").select(F.col("v").alias("doc"), "digest")
+        again = ordered_prefixes(src.join(held.withColumnRenamed("v", "doc"), "doc", "left_semi"), words, percent, frequent, (hot, hot_n))
+        again = again.dropDuplicates(["doc", "digest"]).join(keys, ["doc", "digest"], "left_semi").withColumnRenamed("doc", "v")
+        spent += [own, shared, held]
+        own = written(own.join(held, "v", "left_anti").unionByName(again.select(own.columns)))
+    return own, shared, spent
+
+
 def _need(nx: Column, ny: Column, percent: int) -> Column:
     """The least overlap of a link between sets of these sizes."""
     return F.ceil((nx + ny) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
@@ -216,17 +253,17 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key that links reach) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     src = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sets = written(ordered_prefixes(src, words, percent, frequent_buckets(src, words)))
+    frequent = frequent_buckets(src, words)
+    sets = written(ordered_prefixes(src, words, percent, frequent))
     reps = written(sets.where("n > 0 AND doc IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep")))
 
     # postings of one document a class; only prefix shingles that two classes share stay
     own = sets.where("n > 0").join(reps.withColumnRenamed("rep", "doc"), ["digest", "doc"], "left_semi")
-    own = written(own.select(F.col("doc").alias("v"), "n", "lvl", "prefix", "sketch"))
+    own = written(own.select(F.col("doc").alias("v"), "digest", "n", "lvl", "prefix", "sketch"))
+    own, shared, spent = reordered(src, own, words, percent, frequent)
     posts = own.select("v", "n", "lvl", F.posexplode("prefix").alias("pos", "token"))
-    shared = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
-    met = posts.join(shared, "token").select("token", "v", "n", "lvl", "pos")
+    met = posts.join(shared.select("token"), "token").select("token", "v", "n", "lvl", "pos")
     met = written(met.selectExpr("*", "row_number() OVER (PARTITION BY v ORDER BY pos) - 1 AS u"))
 
     # 4. every class against the centres of its buckets; then what is left between components
@@ -236,14 +273,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
         mine = written(met.join(comp, "v", "left").withColumn("c", F.coalesce("c", "v")))
         pairs = star_pairs(mine, percent, step) if step < STAR_ROUNDS else mixed_pairs(mine, percent)
         pairs = written(plausible(pairs, own, percent))
+        spent += [mine, pairs]
         fresh = written(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(known.select("v"), "v", "left_anti"))
-        known = known.unionByName(full_texts(src, fresh))
+        texts = full_texts(src, fresh)
+        spent += [fresh, texts]
+        known = known.unionByName(texts)
         comp = merged(comp, written(verified(pairs, known, words, percent)))
 
     # every class's component, then every document's
     named_c = written(reps.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", F.coalesce("c", "rep").alias("c")))
     least = written(named_c.groupBy("c").agg(F.min("rep").alias("component")))
     answer = written(named_c.join(least, "c").select("digest", "component"))
+    emptied(*spent, own, met)
     return sets.select("doc", "n", "digest").join(answer, "digest", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
