@@ -4,11 +4,13 @@ prefixes of these expressions with the rules, confirm full digests, apply rule p
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: from
 there up to ``?``, ``#`` or the end; a null url or one without ``://`` has neither (both empty).
 A rule ``host/path`` fits its host and all subdomains if the path starts with the rule's path.
-The longest rule wins. Listed rules (``tier`` 0) come before the library's own list of junk
-hosts (``tier`` 1), which decides where no listed rule fits; else the verdict is allow.
+The longest rule wins. Rules of ``tier`` 0 come before those of ``tier`` 1, which decide where none
+of the first fits; else the verdict is allow.
 
 Repeated rows are judged once and given back as often as they came; null keys are kept. An empty
-table gives an empty table; further columns of the input are not read.
+table gives an empty table, and without rules every url is allowed; further columns of the input are
+not read. A url of any length or number of labels becomes as many expressions as there are pairs of
+a number of labels and a path length among the rules.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values: (verdict, rule).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Hosts known for junk, with all their pages.
+#: Hosts known for junk, with all their pages; a caller's own rules may take their place.
 JUNK_HOSTS = ("adult-x", "casino-win", "free-bets", "spam-farm")
 JUNK_ZONES = ("example.com", "example.net", "example.org")
+#: Rules up to this number (some 200 bytes each) are broadcast, more are joined as Spark chooses.
+MOST_BROADCAST = 50_000
 
 
 def url_host(url: Column) -> Column:
@@ -39,36 +43,48 @@ def url_path(url: Column) -> Column:
     return F.when(at > 0, F.substring(rest, at, F.length(rest))).otherwise(F.lit(""))
 
 
-def rule_table(spark, rules=RULES) -> DataFrame:
-    """Listed rules and the library's list: (tier, verdict, rule)."""
-    own = [(1, "block", f"{h}.{z}/") for h in JUNK_HOSTS for z in JUNK_ZONES]
-    return spark.createDataFrame([(0, v, r) for v, r in rules] + own, "tier int, verdict string, rule string")
+def junk_rules() -> tuple:
+    return tuple(("block", f"{h}.{z}/") for h in JUNK_HOSTS for z in JUNK_ZONES)
 
 
-def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every host suffix joined with every path prefix that is as long as some rule's path."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
+def rule_table(spark, rules=RULES, second=None) -> DataFrame:
+    """(tier, verdict, rule) of listed rules and of those that decide where none of them fits."""
+    both = [(0, v, r) for v, r in rules] + [(1, v, r) for v, r in (junk_rules() if second is None else second)]
+    return spark.createDataFrame(both, "tier int, verdict string, rule string")
+
+
+def expressions(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    """The host's suffixes of as many labels as some rule has, each joined with the path's prefixes
+    that are as long as some rule's path."""
+    some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    dots = F.length(host) - F.length(F.replace(host, F.lit(".")))
+    suffixes = some([F.when(dots >= n - 1, F.substring_index(host, ".", -n)) for n in labels])
+    prefixes = some([F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
 def judge_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url_col: str = "url") -> DataFrame:
     """key, url, host, path, rule (of tier 0 or null), verdict and method_rule (of tier 1 or null).
 
-    Rows of one key and url are counted first, so a hot url is one row afterwards. The rules'
-    path lengths are few; the rules themselves are joined by Spark's own choice, which is a
-    broadcast only below the session's size limit."""
+    Rules that share a short hash are one row, so the join keeps a row an expression. Expressions of
+    a row are next to each other, and one row is left of them before the only exchange, which brings
+    equal rows together; a hot url is one row for each partition there. Numbers of labels and path
+    lengths of the rules come to the driver; they are no more than the longest rule is long."""
     digest = F.sha2(F.col("rule"), 256)
-    r = rules.select("tier", F.col("verdict").alias("r_verdict"), "rule", F.length(F.regexp_extract("rule", r"^[^/]*(.*)$", 1)).alias("plen"), digest.alias("r_digest"), F.substring(digest, 1, 8).alias("short"))
-    lengths = sorted(x["plen"] for x in r.select("plen").distinct().collect())
-    once = urls.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url_col}`").alias("u")).groupBy("k", "u").agg(F.count(F.lit(1)).alias("copies"))
-    parts = once.select("*", url_host(F.col("u")).alias("host"), url_path(F.col("u")).alias("path"))
-    found = parts.select("k", "u", "copies", "host", "path", F.explode_outer(expressions(F.col("host"), F.col("path"), lengths)).alias("expr"))
-    found = found.withColumn("digest", F.sha2("expr", 256)).withColumn("short", F.substring("digest", 1, 8))
-    hit = found.join(r, "short", "left").withColumn("fits", F.coalesce(F.col("digest") == F.col("r_digest"), F.lit(False)))
-    best = lambda tier: F.max(F.when(F.col("fits") & (F.col("tier") == tier), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("r_verdict"))))
-    out = hit.groupBy("k", "u", "copies", "host", "path").agg(best(0).alias("a"), best(1).alias("b"))
+    host_part = F.substring_index("rule", "/", 1)
+    r = rules.select("tier", F.col("verdict").alias("r_verdict"), "rule", digest.alias("r_digest"), F.substring(digest, 1, 8).alias("short"))
+    labels, lengths = rules.select(
+        F.array_sort(F.collect_set(F.size(F.split(host_part, r"\.")))).alias("a"), F.array_sort(F.collect_set(F.length("rule") - F.length(host_part))).alias("b")
+    ).first()
+    r = r.groupBy("short").agg(F.collect_list(F.struct("tier", "r_verdict", "rule", "r_digest")).alias("held"))
+    if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        r = F.broadcast(r)
+    parts = urls.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url_col}`").alias("u"), url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"))
+    every = expressions(F.col("host"), F.col("path"), labels, lengths) if labels else F.array().cast("array<string>")
+    found = parts.select("*", F.posexplode_outer(every).alias("pos", "expr")).withColumn("digest", F.sha2("expr", 256)).withColumn("short", F.substring("digest", 1, 8))
+    hit = found.join(r, "short", "left").withColumn("fits", F.filter("held", lambda x: x["r_digest"] == F.col("digest")))
+    longest = lambda tier: F.max(F.array_max(F.transform(F.filter("fits", lambda x: x["tier"] == tier), lambda x: F.struct(F.length(x["rule"]).alias("n"), x["rule"].alias("rule"), x["r_verdict"].alias("r_verdict")))))
+    out = hit.groupBy("k", "u", "host", "path").agg(longest(0).alias("a"), longest(1).alias("b"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"))
     out = out.withColumn("i", F.explode(F.expr("sequence(1L, copies)")))
     return out.select(F.col("k").alias(key), F.col("u").alias(url_col), "host", "path", F.col("a.rule").alias("rule"), F.coalesce("a.r_verdict", "b.r_verdict", F.lit("allow")).alias("verdict"), F.col("b.rule").alias("method_rule"))
 
