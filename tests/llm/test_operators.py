@@ -84,6 +84,30 @@ def test_quality_verdicts(spark):
     assert [r.doc_id for r in quality.keep_good(df.withColumn("kept", F.lit(1))).collect()] == [1, 4]
 
 
+def against_sql(spark, df, sql, got, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register(name, df.toArrow())
+    want = con.sql(sql)
+    return {tuple(r) for r in got.select(want.columns).collect()}, set(want.fetchall())
+
+
+def test_line_rules(spark):
+    menu = "\n".join(["Home", "Our work", "Team", "News 2024", "Where we are"])
+    para = prose(5, 30) + "."
+    texts = [
+        menu + "\n" + para, "Home\n" + para, "Next page", "a / b / c\n" + para, "彼は行った と 私 は 思う。\n" + para, prose(6, 8) + "\n" + para, prose(7, 80), prose(8, 46) + " log in " + prose(9, 15),
+        "a design inlay and the catalog in print are fine.\n" + para, "Please log in here.\n" + para, "\n".join(f"Item {i} of the long list of things." for i in range(6)) + "\n" + para, "One\n\nTwo\n \nThree\n" + para, "One\nTwo\n" + para, None, "", "؟ هذا سؤال طويل جدا هنا؟\n" + para,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.line_first_quality(df, cleaned=True)
+    made, want = against_sql(spark, df, quality.SQL, got, "documents")
+    assert made == want
+    lost = {r.doc_id: r.n_lost_words for r in got.collect()}
+    assert [lost[i] for i in range(16)] == [9, 1, 2, 5, 0, 8, 0, 0, 0, 4, 32, 3, 0, 0, 0, 0]
+
+
 # --- secrets and personal data ------------------------------------------------------------------------
 def test_secrets(docs, none):
     kinds = (
@@ -108,6 +132,74 @@ def test_secret_names_and_constants():
     assert secrets.all_spans("token = abcdefghijkl9")[0] == [(0, 0, 21)]
 
 
+def test_secret_syntax():
+    def literals(t):
+        return [t[s:e] for s, e in secrets.literal_spans(t)]
+
+    assert literals("client_secret = a\na = \"Zk3v9QpL2m\"") == ["Zk3v9QpL2m"]
+    assert literals("<a><password>Zk3v9QpL2m</password></a>") == literals('<a token="Zk3v9QpL2m"/>') == ["Zk3v9QpL2m"]
+    assert literals('k = """\nZk3v9QpL2m\n"""\nsecret = k') == ["Zk3v9QpL2m"]
+    assert literals("api_key: |\n  Zk3v9QpL2m\n  Qq81mmZx2\nnext: x") == ["Zk3v9QpL2m", "Qq81mmZx2"]
+    assert literals("X=Zk3v9QpL2m\nexport TOKEN=${X}") == literals('auth_token := f("Zk3v9QpL2m")') == ["Zk3v9QpL2m"]
+    assert literals('a="Zk3v9QpL2m"\nb=a+"tail99Zz"\nsecret=b') == ["Zk3v9QpL2m", "tail99Zz"]
+    assert literals("a = b\nb = a\ntoken = a") == [] and literals("x" * 300 + '_password = "Zk3v9QpL2m"') == ["Zk3v9QpL2m"]
+
+
+def plain_literals(text):
+    """Scores by following every chain of names from every pair, without sharing."""
+    found = secrets.pairs(text)
+
+    def before(i, n):
+        k = max((k for k in range(i) if found[k][1] == n), default=min((k for k in range(len(found)) if found[k][1] == n), default=i))
+        return None if k == i else k
+
+    best: dict = {}
+
+    def reach(i, w, seen):
+        if i in seen:
+            return
+        known = {n: before(i, n) for n in found[i][3]}
+        for s in found[i][2]:
+            if known.get(text[s[0] : s[1]].strip("$")) is None:
+                best[s] = max(best.get(s, 0.0), w)
+        for k in known.values():
+            if k is not None:
+                reach(k, w, seen | {i})
+
+    for i, f in enumerate(found):
+        reach(i, secrets.name_score(f[1]), frozenset())
+    return sorted(s for s, w in best.items() if w >= 2 and w + secrets.literal_score(text[s[0] : s[1]]) >= secrets.MIN_SCORE)
+
+
+def test_literal_scores_against_plain_version():
+    rng = np.random.default_rng(3)
+    names = ["a", "b", "c", "token", "db_password", "title", "auth_key"]
+    for _ in range(400):
+        lines = [f"{rng.choice(names)} = " + " + ".join(rng.choice([*names[:3], '"Zk3v9QpL2m"', '"q81mmZx2Lw"', "plain7Xq9zz"], int(rng.integers(1, 3)))) for _ in range(int(rng.integers(1, 8)))]
+        text = "\n".join(lines)
+        assert secrets.literal_spans(text) == plain_literals(text), text
+
+
+def test_scans_grow_with_the_text():
+    import time
+
+    for t in ["s = \"x9\"\n" + "s = s + \"xQ9zzKm1p\"\n" * 20000 + "token = s\n", "a" * 2_000_000, "a" + " " * 2_000_000 + "=", "a: |\n" + " x\n" * 200_000, "token = \"04dbebab91ab85687d33eeaaf9ac699e\"\n" * 8000]:
+        at = time.process_time()
+        secrets.all_spans(t)
+        assert time.process_time() - at < 6
+
+
+def test_overlaps():
+    from archivum.llm.common import free_of
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = sorted((int(s), 0, int(s + n)) for s, n in zip(rng.integers(0, 60, 6), rng.integers(1, 9, 6), strict=True))
+        more = [(int(s), 1, int(s + n)) for s, n in zip(rng.integers(0, 60, 8), rng.integers(1, 9, 8), strict=True)]
+        assert free_of(more, base) == [m for m in more if all(m[2] <= b[0] or m[0] >= b[2] for b in base)]
+    assert free_of([(0, 1, 2)], []) == [(0, 1, 2)]
+
+
 @pytest.fixture(scope="module")
 def tagger(spark):
     return pii.learn(spark.read.parquet(f"{DATA}/documents.parquet"))
@@ -152,6 +244,74 @@ def test_tagger_finds_most_base_spans(spark, tagger):
     assert sum(b in set(n) for bs, n in zip(base, found, strict=True) for b in bs) >= 0.7 * sum(map(len, base))
 
 
+def small_crf(seed, n=5):
+    rng = np.random.default_rng(seed)
+    model = pii.Tagger(seed)
+    model.p["move"] = rng.normal(0, 1, model.p["move"].shape).astype(np.float32)
+    return model, rng.integers(0, 120, (1, n)), rng
+
+
+def every_path(emit, move):
+    """(score, tags) of all sequences."""
+    import itertools
+
+    n, tags = emit.shape
+    for p in itertools.product(range(tags), repeat=n):
+        yield sum(emit[t, p[t]] for t in range(n)) + sum(move[a, b] for a, b in zip(p, p[1:], strict=False)), p
+
+
+def test_viterbi_against_all_sequences():
+    for seed in range(4):
+        model, x, _ = small_crf(seed, 4)
+        emit, _, _, _ = model._emit(x)
+        best = max(every_path(emit[:, 0].astype(float), (model.p["move"] + model.never).astype(float)))
+        assert tuple(model.decode(x)[0][0].tolist()) == best[1]
+
+
+def test_crf_gradient_against_differences():
+    model, x, rng = small_crf(9, 3)
+    emit, mask, _, _ = model._emit(x)
+    emit = emit.astype(np.float64)
+    y = np.array([[1, 2, 0]])
+
+    def loss(e, move):
+        scores = [s for s, _ in every_path(e, move + model.never)]
+        own = sum(e[t, y[0, t]] for t in range(3)) + move[1, 2] + move[2, 0]
+        return np.logaddexp.reduce(scores) - own
+
+    d_emit, d_move = model._crf(emit, mask, y.T)
+    move, step = model.p["move"].astype(np.float64), 1e-4
+    for t, k in [(0, 1), (1, 2), (2, 0), (2, 5)]:
+        e = emit[:, 0].copy()
+        e[t, k] += step
+        up = loss(e, move)
+        e[t, k] -= 2 * step
+        assert abs((up - loss(e, move)) / (2 * step) - d_emit[t, 0, k]) < 1e-3
+    for a, b in [(1, 2), (2, 0), (0, 0), (3, 4)]:
+        m = move.copy()
+        m[a, b] += step
+        up = loss(emit[:, 0], m)
+        m[a, b] -= 2 * step
+        assert abs((up - loss(emit[:, 0], m)) / (2 * step) - d_move[a, b]) < 1e-3
+
+
+def test_reconciled_against_all_subsets():
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        found = [(int(s), int(k), int(s + n), float(w)) for s, k, n, w in zip(rng.integers(0, 20, 6), rng.integers(0, 2, 6), rng.integers(1, 6, 6), rng.random(6) + 0.1, strict=True)]
+        joined = []
+        for k in (0, 1):
+            for s, _, e, w in sorted(f for f in found if f[1] == k):
+                if joined and joined[-1][1] == k and s < joined[-1][2]:
+                    joined[-1][2], joined[-1][3] = max(joined[-1][2], e), max(joined[-1][3], w)
+                else:
+                    joined.append([s, k, e, w])
+        fits = [c for r in range(len(joined) + 1) for c in itertools.combinations(joined, r) if all(a[2] <= b[0] or b[2] <= a[0] for a, b in itertools.combinations(c, 2))]
+        assert abs(sum(f[3] for f in pii.reconciled(found)) - max(sum(f[3] for f in c) for c in fits)) < 1e-9
+
+
 def test_windows_are_reconciled():
     assert pii.reconciled([(0, 1, 5, 2.0), (3, 1, 8, 3.0), (6, 2, 9, 1.0), (20, 0, 22, 1.0)]) == [(0, 1, 8, 3.0), (20, 0, 22, 1.0)]
     assert pii.window_starts("no digits here") == []
@@ -173,6 +333,29 @@ def test_language(spark, docs, none):
     assert kept.columns == docs.columns and not {2, 3, 4} & {r.doc_id for r in kept.collect()}
 
 
+def test_filters_against_sets():
+    """With plain sets of trigrams in place of the filters; only their false positives may differ."""
+    def grams(t):
+        low = (t or "").lower()
+        return ["".join(c if c.isalpha() else "_" for c in (f"_{low}_")[i : i + 3]) for i in range(len(low)) if low[i].isalpha()]
+
+    rng = np.random.default_rng(7)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 7)))) for _ in range(30))
+    rows_ = [(lang, make(letters)) for lang, letters in (("x", "abcdef"), ("y", "defghi"), ("z", "ghijkl")) for _ in range(30)]
+    f = langid.Filters(rows_, top=10_000)
+    sets = {lang: {g for k, t in rows_ if k == lang for g in grams(t)} for lang in "xyz"}
+    texts = [make("abcdef"), make("defghi"), make("ghijkl"), make("cdefgh"), None, "", " .1", "AB CD", prose(1, 20), "é" * 50]
+    for t, lang, score in zip(texts, *f.predict(texts), strict=True):
+        g = grams(t)
+        if not g:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        count = {k: sum(x in s for x in g) / len(g) for k, s in sets.items()}
+        assert count[lang] >= max(count.values()) - 0.01 and abs(score - count[lang]) < 0.01
+    same = langid.Filters([("b", "one two"), ("a", "one two")])
+    assert same.langs == ["a", "b"] and same.predict(["one two"])[0] == ["a"]  # a tie goes to the smaller name
+
+
 def test_rare_and_many_languages(spark):
     rng = np.random.default_rng(8)
     text = lambda i: " ".join("".join(chr(0x4E00 + 40 * i + int(c)) for c in rng.integers(0, 12, 5)) for _ in range(40))
@@ -226,6 +409,27 @@ def test_jaccard_awkward(docs, none):
     assert one.columns == docs.columns and one.count() == len(TEXTS) - 1
 
 
+def test_hot_shingles_move_back(spark, monkeypatch):
+    """A passage that all documents share, and that no table of frequent shingles lists."""
+    passage = prose(40, 40)
+    rng = np.random.default_rng(41)
+    texts = [(i, passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60))) for i in range(400)]
+    texts += [(1000 + i, t + " end") for i, t in texts[:40]]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(ngramjoin, "FREQUENT_BITS", 0)
+    listed = []
+    counted = ngramjoin.plausible
+    monkeypatch.setattr(ngramjoin, "plausible", lambda pairs, *rest: listed.append(pairs.count()) or counted(pairs, *rest))
+    monkeypatch.setattr(ngramjoin, "HOT_LIST", 20)
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(df, 3, 90).collect()}
+    assert all(got[i] == (i - 1000 if i >= 1000 else i) for i, _ in texts)
+    assert sum(listed) <= len(texts)
+    before = sum(listed)
+    monkeypatch.setattr(ngramjoin, "REORDERS", 0)
+    assert {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(df, 3, 90).collect()} == got
+    assert sum(listed) - before > before
+
+
 def test_pairs_of_a_key_with_two_texts(spark):
     one, two = prose(30, 60), prose(31, 60)
     texts = spark.createDataFrame([(1, one), (1, two), (2, one + " end"), (3, two + " end")], "v long, text string").coalesce(1)
@@ -252,6 +456,37 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(packing.vocabulary_path()), packing.encoder(packing.vocabulary_path())
+    rng = np.random.default_rng(1)
+    odd = [*"aAbBiIwWyYtTjJhHsS  \n\t.,'\"<|>-_0129éÉßİıΣσςǅŉΐẘ漢字🎉\u0331\u0301\u0307\u030a\u0308\u030c\u0338\u00a0\u3000\u200d٣²ªµкК", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "'LL", " the"]
+    texts = ["".join(rng.choice(odd, int(rng.integers(0, 14)))) for _ in range(20_000)] + ["İ.", "word,word2 it's 3.5", "a" * 700 + " b" * 700, prose(9, 4000)]
+    for lo in range(0, len(texts), 500):
+        ids, sums = enc.encode(texts[lo : lo + 500])
+        for t, got, s in zip(texts[lo : lo + 500], ids, sums, strict=True):
+            want = np.array(tok.encode(t, add_special_tokens=False).ids, "<u2")
+            assert np.frombuffer(got, "<u2").tolist() == want.tolist(), t
+            assert np.allclose(s, enc.table[want].sum(0), atol=1e-2 * max(1, len(want)) ** 0.5)
+
+
+def test_encoder_forgets_and_cuts_long_texts(monkeypatch):
+    text = prose(10, 3000) + " " + "x" * 5000 + " end"
+    enc = packing.encoder(packing.vocabulary_path())
+    whole = enc.encode([text])[0][0]
+    monkeypatch.setattr(packing, "CACHE_UNITS", 3)
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    assert enc.encode(["first", text, None])[0][1] == whole
+
+
+def test_ranges_are_cut_by_tokens():
+    some = [(k, 0, 1000 if k < 10 else 1) for k in range(1000)]
+    keys, _ = packing.range_cuts(some, 4)
+    assert keys.tolist() == sorted(keys) and keys[0] < keys[1] < keys[2] < 10
+    assert [len(c) for c in packing.range_cuts([], 4)] == [0, 0]
+
+
 def test_hilbert_neighbours():
     import itertools
 
@@ -350,6 +585,15 @@ def test_few_vectors_are_all_found(spark, n):
     assert len(got) == len(set(got)) == min(20, n - 1) and set(got) <= set(ids[1:])
 
 
+def test_probes_follow_the_structure_of_the_vectors():
+    rng = np.random.default_rng(1)
+    loose, centre = rng.normal(size=(4000, 32)), rng.normal(size=(60, 32))
+    tight = centre[rng.integers(0, 60, 4000)] + 0.1 * rng.normal(size=(4000, 32))
+    few, many = (ann.Index(np.arange(4000), x, 4000, 20) for x in (tight, loose))
+    assert few.probes < 0.2 * len(few.centroids) < 0.3 * len(many.centroids) < many.probes
+    assert len(ann.Index(np.arange(5), loose[:5], 5, 20).centroids) == 1
+
+
 # --- pages ---------------------------------------------------------------------------------------------------------
 def test_page_text(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
@@ -367,6 +611,54 @@ def test_page_text(spark):
     assert htmltext.extract(odd.limit(0), model).count() == 0
 
 
+def articles(spark, name, odd):
+    import html as h
+
+    pages = spark.read.parquet(f"/root/testdata/{name}/pages.parquet").where(F.crc32(F.col("page_id").cast("string")) % 4 == 2 if odd else F.crc32(F.col("page_id").cast("string")) % 4 != 2)
+    inner = lambda r: re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+    parts = lambda r: [" ".join(h.unescape(re.sub(r"</?b>|<br>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner(r))]
+    return pages, {r.page_id: "\n\n".join(p for p in parts(r) if p) for r in pages.collect()}
+
+
+def test_page_text_of_pages_not_seen(spark):
+    train, _ = articles(spark, "sf0.01", False)
+    pages, want = articles(spark, "sf0.01", True)
+    got = {r.page_id: r.text for r in htmltext.extract(pages, htmltext.learn(train)).collect()}
+    assert len(want) > 40 and sum(got[k] == t for k, t in want.items()) >= 0.97 * len(want)
+
+
+def test_no_page_names_its_article(spark):
+    pages, want = articles(spark, "sf0.001", False)
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", '$1div>'))
+    model = htmltext.learn(bare)
+    blocks_ = [htmltext.blocks('<footer><p>Copyright 2020 Acme</p></footer><nav><ul><li>Home</li></ul></nav><article><h1>A long story</h1><p>It was a dark night, and the rain fell on the old town. Nobody was there.</p></article>')]
+    assert model.main(blocks_) == [[False, False, True, True]]
+    assert htmltext.extract(bare, model).count() == len(want)
+
+
+def test_hostile_pages_take_time_that_grows_with_their_length():
+    import time
+
+    model = htmltext.Labeller()
+    for t in ["<a " * 1_700_000, "<script " * 625_000, '<a "' * 1_250_000, "<" * 5_000_000, "<!--" * 1_250_000, '<div class="' + "a " * 2_500_000]:
+        at = time.process_time()
+        model.main([htmltext.blocks(t)])
+        assert time.process_time() - at < 5
+    deep = "<div>x" * 60_000 + "</p>" * 60_000 + "</div>" * 60_000
+    at = time.process_time()
+    found = htmltext.blocks(deep)
+    assert len(found) == 60_000 and len(model.main([found])[0]) == 60_000 and time.process_time() - at < 8
+
+
+def test_windows_of_long_pages(monkeypatch):
+    page = [(prose(i, 5), ("html", "body", "p"), 0.0) for i in range(50)]
+    model = htmltext.Labeller()
+    whole = model._logits(htmltext.Features([page, page[:3]]))
+    monkeypatch.setattr(htmltext, "STEPS", 20)
+    monkeypatch.setattr(htmltext, "OVERLAP", 50)  # every window then reads the whole page
+    assert np.abs(model._logits(htmltext.Features([page, page[:3]])) - whole).max() < 1e-5
+
+
 def test_blocks():
     b = htmltext.blocks('<body><nav><a href="x">Home</a></nav><article><h1>A &lt; B</h1><p>one<br>two <b>three</b><p>four<script>no</script></article><form>say</form> tail < end')
     assert [x[0] for x in b] == ["Home", "A < B", "one two three", "four", "say", "tail < end"]
@@ -389,3 +681,14 @@ def test_urls(spark):
     got = rows(urlrules.judge_urls(df, urlrules.rule_table(spark)), "page_id", "host", "path", "rule", "verdict")
     assert got == sorted([(i, *plain(u)) for i, u in [*enumerate(urls), (0, urls[0])]], key=str)
     assert urlrules.judge_urls(df.limit(0), urlrules.rule_table(spark)).count() == 0
+    own = urlrules.rule_table(spark, [("block", "b.example.com/"), ("allow", "com/de/2")], [])
+    assert (2, "block", "b.example.com/") in rows(urlrules.judge_urls(df, own), "page_id", "verdict", "rule")
+    assert {r.verdict for r in urlrules.judge_urls(df, own.limit(0)).collect()} == {"allow"}
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "net/x"), (2, "http://x.net/" + "y" * 200_000)], "page_id long, url string")
+    assert [r.rule for r in urlrules.judge_urls(long, urlrules.rule_table(spark)).collect()] == ["net/", "net/"]
+
+
+def test_many_url_rules_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "MOST_BROADCAST", 2)
+    df = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://spam-farm.example.org/1"), (3, None)], "page_id long, url string")
+    assert rows(urlrules.judge_urls(df, urlrules.rule_table(spark)), "page_id", "rule", "verdict") == [(1, "net/", "block"), (2, None, "block"), (3, None, "allow")]

@@ -34,7 +34,7 @@ def test_stages(spark):
         assert hidden[r.doc_id].n_chars == len(hidden[r.doc_id].text)
     before, after = seen["packing"]
     enc = packing.encoder(packing.vocabulary_path())
-    whole = {r.doc_id: len(enc.encode([r.text])[0]) // 2 + 1 for r in before.collect()}
+    whole = {r.doc_id: len(enc.encode([r.text])[0][0]) // 2 + 1 for r in before.collect()}
     got: dict = {}
     for r in after.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
