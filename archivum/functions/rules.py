@@ -32,10 +32,13 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def normalize_path(c: Column, home: str = "/home/archive") -> Column:
-    """Trimmed, without one pair of quotes, ``~`` expanded, and ``//``, ``.`` and ``..`` resolved."""
-    c = strip(c)
-    c = F.regexp_replace(c, r"^([\"'])(.*)\1$", "$2")
-    c = F.regexp_replace(c, r"^~(?=/|$)", home)
+    """Trimmed, without one pair of quotes, ``~`` expanded, and ``//``, ``.`` and ``..`` resolved. A
+    path that is normal already, as most are, is told by one pattern."""
+    normal = c.rlike(r"^(?:/(?!\.{1,2}(?:/|$))[^/\s\"']+)+$")
+    return F.when(normal, c).otherwise(bind(strip(c), lambda x: bind(F.regexp_replace(F.regexp_replace(x, r"^([\"'])(.*)\1$", "$2"), r"^~(?=/|$)", home), _resolved)))
+
+
+def _resolved(c: Column) -> Column:
     parts = F.filter(F.split(c, "/"), lambda p: ~p.isin("", "."))
     # keep what no later ".." takes back: fold to a stack
     stack = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when((p == "..") & (F.size(s) > 0) & (F.element_at(s, -1) != ".."), F.slice(s, 1, F.size(s) - 1)).when((p == "..") & c.startswith("/"), s).otherwise(F.array_append(s, p)))
@@ -45,7 +48,9 @@ def normalize_path(c: Column, home: str = "/home/archive") -> Column:
 
 def stem(path: Column) -> Column:
     """The file name without its last extension; a leading dot is part of the name."""
-    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    name = F.substring_index(path, "/", -1)
+    keep = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
+    return F.when(keep > 0, F.substring(name, F.lit(1), keep)).otherwise(name)
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -28,22 +28,40 @@ def group_manifest(items: DataFrame) -> DataFrame:
     return g.orderBy(F.lower("group_key"), "group_key")
 
 
-def select_primary(items: DataFrame, policy: str = EXACT) -> DataFrame:
-    """group_key, primary_path, primary_version, back_path, primary_front of every group.
+def group_summary(items: DataFrame, policy: str = EXACT) -> DataFrame:
+    """group_key, primary_path, primary_version, back_path, primary_front, and the numbers of
+    variants, pages and files of every group.
 
     Primary: the first preferred item; with ``master_exact`` else the non-back of lowest version
     (none before any letter); else the first unversioned non-back; else the first item. Back: of
-    the primary's version, else unversioned, else any; the first of its rank."""
+    the primary's version, else unversioned, else any; the first of its rank.
+
+    The table is read once. Rows are first reduced to one a version and page, so a giant group is
+    small when its rows meet; a group's backs are then one a version."""
     v, front = F.col("variant_id"), ~is_back()
     exact = F.lit(policy == EXACT)
     rank = F.when(F.col("preferred"), 0).when(exact & front, 1).when(front & v.isNull(), 2).otherwise(3)
     by_version = F.when(rank == 1, F.coalesce(v, F.lit("")))
     best = F.min(F.struct(rank.alias("r"), F.coalesce(by_version, F.lit("")).alias("s"), F.col("ord"), F.col("path"), v.alias("version"), is_back().alias("back")))
-    g = items.groupBy("group_key").agg(best.alias("p"), first_by("path", "ord", "path", when=front).alias("any_front"))
-    backs = items.where(is_back()).select("group_key", F.col("path").alias("b"), F.col("ord").alias("b_ord"), v.alias("b_version"))
-    close = F.when(F.col("b_version").eqNullSafe(F.col("p.version")), 0).when(F.col("b_version").isNull(), 1).otherwise(2)
-    best_back = g.join(backs, "group_key").groupBy("group_key").agg(first_by("b", close.alias("c"), "b_ord", "b").alias("back_path"))
-    return g.join(best_back, "group_key", "left").select("group_key", F.col("p.path").alias("primary_path"), F.col("p.version").alias("primary_version"), "back_path", F.when(F.col("p.back"), F.coalesce("any_front", "p.path")).otherwise(F.col("p.path")).alias("primary_front"))
+    earliest = lambda c: F.min(F.when(c, F.struct("ord", "path")))
+    one = items.groupBy("group_key", "variant_id", "page_num").agg(best.alias("p"), earliest(front).alias("f"), earliest(is_back()).alias("b"), F.count(F.lit(1)).alias("n"))
+    backs = F.collect_list(F.when(F.col("b").isNotNull(), F.struct(v.alias("version"), "b")))
+    g = one.groupBy("group_key").agg(
+        F.min("p").alias("p"), F.min("f").alias("f"), backs.alias("backs"), F.sum("n").alias("n_files"),
+        F.size(F.collect_set("variant_id")).alias("letters"), F.count_distinct("page_num").alias("n_pages"),
+    )
+    close = lambda x: F.when(x["version"].eqNullSafe(F.col("p.version")), 0).when(x["version"].isNull(), 1).otherwise(2)
+    back = F.array_min(F.transform("backs", lambda x: F.struct(close(x).alias("c"), x["b"].alias("b"))))
+    return g.select(
+        "group_key", F.col("p.path").alias("primary_path"), F.col("p.version").alias("primary_version"), back["b"]["path"].alias("back_path"),
+        F.when(F.col("p.back"), F.coalesce("f.path", "p.path")).otherwise(F.col("p.path")).alias("primary_front"),
+        F.col("letters").cast("long").alias("n_variants"), "n_pages", "n_files",
+    )
+
+
+def select_primary(items: DataFrame, policy: str = EXACT) -> DataFrame:
+    """group_key, primary_path, primary_version, back_path, primary_front (see ``group_summary``)."""
+    return group_summary(items, policy).select("group_key", "primary_path", "primary_version", "back_path", "primary_front")
 
 
 def variant_parts(items: DataFrame) -> DataFrame:
@@ -58,9 +76,20 @@ def variant_parts(items: DataFrame) -> DataFrame:
     return one.withColumn("part", F.when(moved, "page:1").otherwise(F.col("part"))).drop("has_1")
 
 
-def assemble_parts(items: DataFrame) -> DataFrame:
+def primary_parts(items: DataFrame, policy: str = EXACT) -> DataFrame:
+    """``assemble_parts`` of the primary pair alone: the primary's front, then its back if it is
+    another file."""
+    g = select_primary(items, policy)
+    pair = F.array(F.struct(F.lit("Front").alias("label"), F.col("primary_front").alias("path")), F.when(F.col("back_path") != F.col("primary_front"), F.struct(F.lit("Back").alias("label"), F.col("back_path").alias("path"))))
+    return g.select("group_key", F.posexplode(F.array_compact(pair)).alias("i", "x")).select("group_key", (F.col("i") + 1).alias("part_ord"), "x.label", F.lit(1).alias("img_ord"), "x.path")
+
+
+def assemble_parts(items: DataFrame, all_variants: bool = True, policy: str = EXACT) -> DataFrame:
     """(group_key, part_ord, label, img_ord, path): pages in order, then fronts, then backs; within
-    a part versions by letter, the unversioned last; a path once a part."""
+    a part versions by letter, the unversioned last; a path once a part. Without ``all_variants``
+    the primary pair alone."""
+    if not all_variants:
+        return primary_parts(items, policy)
     p = variant_parts(items)
     num = F.regexp_extract("part", r"^page:([0-9]+)$", 1).try_cast("int")
     front = (F.col("part") == "front") | ((F.col("part") == "none") & ~F.col("multipage"))

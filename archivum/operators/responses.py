@@ -20,14 +20,16 @@ SECTIONS = (
 )
 
 
-def payload(raw: Column) -> Column:
+def payload(s: Column) -> Column:
     """The JSON text of a reply: a fence marked json, else any fence, else from the first brace to
     the last, else all of it."""
-    s = rules.strip(F.coalesce(raw, F.lit("")))
+    s = F.coalesce(s, F.lit(""))
     marked = F.regexp_extract(s, r"(?is)```json\s*(.*?)\s*```", 1)
     fenced = F.regexp_extract(s, r"(?s)```\s*(.*?)\s*```", 1)
-    braces = F.regexp_extract(s, r"(?s)\{.*\}", 0)
-    return rules.strip(F.when(s.rlike(r"(?is)```json.*```"), marked).when(s.rlike(r"(?s)```.*```"), fenced).when(braces != "", braces).otherwise(s))
+    first, last = F.instr(s, "{"), F.length(s) - F.instr(F.reverse(s), "}") + 1
+    braces = (first > 0) & (last > first) & (F.instr(s, "}") > 0)
+    fence = F.when(s.rlike(r"(?is)```json.*```"), marked).when(s.rlike(r"(?s)```.*```"), fenced)
+    return F.coalesce(F.when(s.contains("```"), fence), F.when(braces, F.substring(s, first, last - first + 1)), s)
 
 
 def without_marks(raw: Column) -> Column:
@@ -52,12 +54,7 @@ def mended(text: str) -> str:
     closer = {"{": "}", "[": "]"}
     quoted = escaped = False
 
-    def drop_comma() -> None:
-        k = len(out) - 1
-        while k >= 0 and out[k].isspace():
-            k -= 1
-        if k >= 0 and out[k] == ",":
-            del out[k]
+    solid = -1  # where in ``out`` the last character outside strings stands that isn't white space
 
     for c in text:
         if quoted:
@@ -70,44 +67,75 @@ def mended(text: str) -> str:
             elif ord(c) < 32:
                 c = {"\n": "\\n", "\r": "\\r", "\t": "\\t"}.get(c, f"\\u{ord(c):04x}")
             out.append(c)
-        elif c == '"':
-            quoted = True
+            solid = len(out) - 1
+        elif c.isspace():
             out.append(c)
-        elif c in closer:
-            stack.append(c)
-            out.append(c)
-        elif c in "}]":
-            drop_comma()
-            if stack:
-                out.append(closer[stack.pop()])
-        elif c == ":" and "".join(out[-40:]).rstrip().endswith(("]", "}")):
-            out.append(",")
         else:
-            out.append(c)
+            before = out[solid] if solid >= 0 else ""
+            if c in "}]":
+                if before == ",":
+                    out[solid] = ""
+                c = closer[stack.pop()] if stack else ""
+            elif c in closer:
+                stack.append(c)
+            elif c == ":" and before in ("]", "}"):
+                c = ","
+            quoted = c == '"'
+            if c:
+                out.append(c)
+                solid = len(out) - 1
     return "".join(out + [closer[c] for c in reversed(stack)])
 
 
-def _mended_json(s: pd.Series) -> pd.Series:
-    """Mended texts that are JSON then; null for hopeless ones."""
+def _mended_json(s: pd.Series) -> pd.DataFrame:
+    """Mended texts that are JSON then; null for hopeless ones, with the place of the fault in the
+    text as it came."""
 
-    def one(x: str | None) -> str | None:
+    def one(x: str | None) -> tuple[str | None, int | None]:
+        if x is None:
+            return None, None
         try:
-            return json.dumps(json.loads(mended(x or ""), strict=False), ensure_ascii=False)
+            return json.dumps(json.loads(mended(x), strict=False), ensure_ascii=False), None
         except ValueError:
-            return None
-
-    return s.map(one).astype(object)
-
-
-def parse_responses(responses: DataFrame) -> DataFrame:
-    """(group_key, attempt, status, json): ok, repaired or failed. The Python repair only sees rows
-    that the strict parse refused."""
-    p = responses.select("group_key", "attempt", collapsed(without_marks(payload(F.col("raw")))).alias("text"))
-    ok = F.expr("try_parse_json(text)").isNotNull()
-    good = p.where(ok).select("group_key", "attempt", F.lit("ok").alias("status"), F.col("text").alias("json"))
-    bad = p.where(~ok).select("group_key", "attempt", F.pandas_udf(_mended_json, T.StringType())("text").alias("json"))
-    bad = bad.select("group_key", "attempt", F.when(F.col("json").isNull(), "failed").otherwise("repaired").alias("status"), "json")
-    return good.unionByName(bad)
+            try:
+                json.loads(x, strict=False)
+            except json.JSONDecodeError as e:
+                return None, e.pos
+            return None, 0
+
+    return pd.DataFrame([one(x) for x in s], columns=["json", "at"]).astype({"json": object, "at": "Int32"})
+
+
+CONTEXT = 80
+
+
+def parse_responses(responses: DataFrame, details: bool = False) -> DataFrame:
+    """(group_key, attempt, status, json): ok, repaired or failed; with ``details`` also stage and
+    context of failures: where the repair stopped, and the text around that place.
+
+    Every reply is read and parsed once, step by step in projections of their own. The Python repair
+    gets nulls for what the strict parse accepted."""
+    keys = ("group_key", "attempt")
+    p = responses.select(*keys, rules.strip(F.coalesce("raw", F.lit(""))).alias("s")).select(*keys, payload(F.col("s")).alias("s"))
+    p = p.select(*keys, rules.strip(F.col("s")).alias("s")).select(*keys, without_marks(F.col("s")).alias("s")).select(*keys, collapsed(F.col("s")).alias("text"))
+    p = p.withColumn("ok", F.expr("try_parse_json(text)").isNotNull())
+    p = p.withColumn("m", F.pandas_udf(_mended_json, "json string, at int")(F.when(~F.col("ok"), F.col("text"))))
+    fixed = F.col("m.json")
+    status = F.when(F.col("ok"), "ok").when(fixed.isNull(), "failed").otherwise("repaired")
+    out = p.select(*keys, status.alias("status"), F.when(F.col("ok"), F.col("text")).otherwise(fixed).alias("json"), "text", F.col("m.at").alias("at"))
+    if not details:
+        return out.drop("text", "at")
+    failed = F.col("status") == "failed"
+    around = F.substring("text", F.greatest(F.lit(1), F.col("at") - CONTEXT + 1), F.least(F.col("at"), F.lit(CONTEXT)) + CONTEXT)
+    stage = F.when(F.col("text") == "", "empty").when(~F.contains("text", F.lit("{")), "no object").otherwise("lenient parse")
+    return out.select(*keys, "status", "json", F.when(failed, stage).alias("stage"), F.when(failed, around).alias("context"))
+
+
+def failures(parsed: DataFrame) -> DataFrame:
+    """(group_key, attempt, stage, context) of groups without a usable reply, for their last one
+    (parsed: ``parse_responses`` with details)."""
+    g = parsed.groupBy("group_key").agg(F.count_if(F.col("status") != "failed").alias("good"), F.max_by(F.struct("attempt", "stage", "context"), "attempt").alias("x"))
+    return g.where("good = 0").select("group_key", "x.*")
 
 
 def first_usable(parsed: DataFrame) -> DataFrame:

@@ -529,6 +529,4 @@ def c03(spark: SparkSession, d: str) -> DataFrame:
 @query("flagship", MEDIA + """, v AS (SELECT group_key, count(DISTINCT variant_id) AS n_variants, count(DISTINCT page_num) AS n_pages, count(*) AS n_files FROM media GROUP BY 1), p AS (SELECT * FROM (""" + _primary_sql(True) + """) z) SELECT p.*, n_variants, n_pages, n_files FROM p JOIN v USING (group_key)""")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Each group's primary file, its back, and its numbers of variants, pages and files."""
-    items = _items(spark, d)
-    n = items.groupBy("group_key").agg(F.count_distinct("variant_id").alias("n_variants"), F.count_distinct("page_num").alias("n_pages"), F.count(F.lit(1)).alias("n_files"))
-    return grouping.select_primary(items).join(n, "group_key")
+    return grouping.group_summary(_items(spark, d))

@@ -13,7 +13,7 @@ CHANGESET = "path string, proposed_changes struct<set: map<string, string>>"
 
 
 def is_image(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(" + "|".join(rules.IMAGE_EXTENSIONS) + ")$")
+    return F.contains(path, F.lit(".")) & F.lower(F.substring_index(path, ".", -1)).isin(*rules.IMAGE_EXTENSIONS)
 
 
 def scan_media(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
