@@ -26,12 +26,13 @@ SECTION_ALIASES = (
 THRESHOLD = 0.7
 
 
-def _entries(rows: DataFrame) -> Column:
-    """All candidate (tag, value, values, confidence) of a merged record."""
-    b, col = rules.blank_to_null, F.col
-    have = lambda *names: F.coalesce(*[b(col(n)) for n in names if n in rows.columns], F.lit(None).cast("string"))
+def _entries(rows: DataFrame, prefix: str = "") -> Column:
+    """All candidate (tag, value, values, confidence) of a merged record, whose columns have this
+    prefix."""
+    b, col = rules.blank_to_null, lambda n: F.col(prefix + n)
+    have = lambda *names: F.coalesce(*[b(col(n)) for n in names if prefix + n in rows.columns], F.lit(None).cast("string"))
     none = F.lit(None).cast("double")
-    words = rules.ci_distinct(F.coalesce("keywords", F.array().cast("array<string>")))
+    words = rules.ci_distinct(F.coalesce(col("keywords"), F.array().cast("array<string>")))
     entry = lambda tag, value, conf=none, values=F.lit(None).cast("array<string>"): F.struct(F.lit(tag).alias("tag"), value.alias("value"), values.alias("values"), conf.alias("confidence"))
     fixed = have("dateTimeOriginal", "date")
     guess = have("date_import", "date_iso")
@@ -76,12 +77,28 @@ def diff_canonical(before: DataFrame, after: DataFrame) -> DataFrame:
     return g.select("path", F.map_from_entries("s").alias("set"), F.coalesce("add", none).alias("keywords_add"), F.coalesce("remove", none).alias("keywords_remove"))
 
 
+def diff_rows(rows: DataFrame, before: str, threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """``diff_canonical`` where before (columns with that prefix) and after stand on one row: nothing
+    is exploded or joined. (keep, path, file_metadata, set, keywords_add, keywords_remove)"""
+    sure = lambda e: F.filter(e, lambda x: x["value"].isNotNull() & (x["confidence"].isNull() | (x["confidence"] >= threshold)))
+    r = rows.select(*keep, "path", sure(_entries(rows, before)).alias("b"), sure(_entries(rows)).alias("a"))
+    plain = lambda c: F.map_from_entries(F.transform(F.filter(c, lambda x: x["tag"] != KEYWORDS), lambda x: F.struct(x["tag"].alias("tag"), x["value"].alias("value"))))
+    words = lambda c: F.flatten(F.transform(F.filter(c, lambda x: x["tag"] == KEYWORDS), lambda x: x["values"]))
+    r = r.select(*keep, "path", plain("b").alias("was"), plain("a").alias("now"), words("b").alias("bw"), words("a").alias("aw"))
+    every = F.when(F.size("bw") > 0, F.map_concat("was", F.create_map(F.lit(KEYWORDS), F.array_join("bw", "|")))).otherwise(F.col("was"))
+    return r.select(*keep, "path", every.alias("file_metadata"), F.map_filter("now", lambda k, v: ~v.eqNullSafe(F.col("was")[k])).alias("set"), rules.without(F.col("aw"), F.col("bw")).alias("keywords_add"), rules.without(F.col("bw"), F.col("aw")).alias("keywords_remove"))
+
+
 def changeset_records(diffs: DataFrame, before: DataFrame, groups: DataFrame, run_id: str, created_at: str, version: int = 1) -> DataFrame:
     """Auditable records: ids, the file's values before, what the model was sent (groups: path,
     group_key, sent), and the proposed changes."""
     was = before.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "value")))).alias("file_metadata"))
-    r = diffs.join(groups, "path").join(was, "path", "left")
-    return r.select(
+    return as_changesets(diffs.join(groups, "path").join(was, "path", "left"), run_id, created_at, version)
+
+
+def as_changesets(rows: DataFrame, run_id: str, created_at: str, version: int = 1) -> DataFrame:
+    """Records of rows with path, group_key, sent, file_metadata, set, keywords_add, keywords_remove."""
+    return rows.select(
         F.lit(version).alias("schema_version"), F.lit(run_id).alias("run_id"), F.lit(created_at).alias("created_at"), F.col("group_key").alias("group_id"), "group_key",
         F.concat(F.lit("sha1:"), F.sha1(rules.normalize_path(F.col("path")))).alias("photo_id"), "path",
         F.struct("file_metadata", F.struct(F.col("sent").alias("metadata")).alias("sent_to_model")).alias("original_data"), F.struct("set", "keywords_add", "keywords_remove").alias("proposed_changes"),
@@ -130,11 +147,14 @@ def admit_vocabulary(words: DataFrame, proposals: DataFrame, known: DataFrame, s
 
 def plan_tag_writes(changesets: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """(path, tag, value, warning) of parsed changesets: allowed tags that are set; dates as the
-    files hold them, a null value and a warning where a date can't be read."""
-    s = changesets.where(~F.col("bad") & (F.coalesce("path", F.lit("")) != "")).select("path", F.explode("set").alias("tag", "raw")).where(F.col("tag").isin(*allowed) & F.col("raw").isNotNull())
+    files hold them, a null value and a warning where a date can't be read or the value is a list or
+    a map."""
+    nested = F.coalesce("nested", F.array().cast("array<string>"))
+    s = changesets.where(~F.col("bad") & (F.coalesce("path", F.lit("")) != "")).select("path", nested.alias("nested"), F.explode("set").alias("tag", "raw")).where(F.col("tag").isin(*allowed) & F.col("raw").isNotNull())
+    s = s.withColumn("list", F.array_contains("nested", F.col("tag")))
     date = F.col("tag").isin(*DATE_TAGS)
-    value = F.when(date, rules.exif_date(F.col("raw"))).otherwise(F.col("raw"))
-    return s.select("path", "tag", value.alias("value"), F.when(date & value.isNull(), F.when(rules.strip(F.col("raw")) == "", "empty date").otherwise("unknown date form")).alias("warning"))
+    value = F.when(F.col("list"), F.lit(None).cast("string")).when(date, rules.exif_date(F.col("raw"))).otherwise(F.col("raw"))
+    return s.select("path", "tag", value.alias("value"), F.when(F.col("list"), "list or map value").when(date & value.isNull(), F.when(rules.strip(F.col("raw")) == "", "empty date").otherwise("unknown date form")).alias("warning"))
 
 
 def apply_summary(changesets: DataFrame, allowed: Sequence[str], enabled: bool = True) -> DataFrame:

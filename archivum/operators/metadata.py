@@ -18,8 +18,8 @@ TAG_KEYS = (
     ("XMP:Description", "caption"), ("XMP-dc:Description", "caption"), ("IPTC:Caption-Abstract", "caption"),
     ("XMP:Title", "title"), ("XMP-dc:Title", "title"), ("IPTC:ObjectName", "title"),
 )
+DEFAULT_GUARDRAIL = "Answer with one JSON object of the shape above and nothing else."
 FORWARDED = ("keywords", "title", "caption", "userComment", "dateTimeOriginal", "location", "city", "state", "stateProvince", "country", "locationShown", "gps", "faceTags")
-GUARDRAIL = "Return strictly valid JSON per the specified shape. No markdown, no commentary. Do not use triple-quote markers; use \\n."
 
 
 def hydrate_comments(items: DataFrame, comments: DataFrame) -> DataFrame:
@@ -31,33 +31,58 @@ def hydrate_comments(items: DataFrame, comments: DataFrame) -> DataFrame:
     return filled.unionByName(items.where(~blank))
 
 
+def field_list(fields: Sequence[str]) -> list[str]:
+    """Names from a list whose entries may hold several, parted by commas; each once, in order."""
+    return list(dict.fromkeys(p.strip() for f in fields if f for p in f.split(",") if p.strip()))
+
+
 def tag_keys(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TAG_KEYS), "map_tag string, map_key string")
 
 
-def map_exif_tags(tags: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
-    """(source_file, dateTimeOriginal, userComment, caption, title): the first value in tag order
-    that isn't blank, of the tags that map to each key, by full name or else by bare name.
+def map_exif_tags(tags: DataFrame, fields: Sequence[str] = (), raw: bool = False) -> DataFrame:
+    """(source_file, dateTimeOriginal, userComment, caption, title, n_mapped): the first value in tag
+    order that isn't blank, of the tags that map to each key, by full name or else by bare name; with
+    ``raw`` also the map of all tags as they came.
 
     ``fields`` keeps tags of these names (full or bare) only. The tag map has 15 rows."""
     keys = tag_keys(tags.sparkSession)
     bare = keys.groupBy(rules.bare_tag(F.col("map_tag")).alias("map_bare")).agg(F.max("map_key").alias("bare_key"))
     t = tags.withColumn("bare", rules.bare_tag(F.col("tag")))
+    fields = field_list(fields)
     if fields:
         t = t.where(F.col("tag").isin(*fields) | F.col("bare").isin(*[f.rsplit(":", 1)[-1] for f in fields]))
     t = t.join(F.broadcast(keys), F.col("tag") == F.col("map_tag"), "left").join(F.broadcast(bare), F.col("bare") == F.col("map_bare"), "left").withColumn("k", F.coalesce("map_key", "bare_key"))
     value = rules.blank_to_null(F.col("value"))
+    kept = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("tag_ord", "tag", "value"))), lambda x: F.struct(x["tag"], x["value"])))
     pick = lambda k: first_by(value, "tag_ord", "tag", when=(F.col("k") == k) & value.isNotNull()).alias(k)
-    return t.groupBy("source_file").agg(*[pick(k) for k in ("dateTimeOriginal", "userComment", "caption", "title")], F.count_if(F.col("k").isNotNull()).alias("n_mapped"))
+    return t.groupBy("source_file").agg(*[pick(k) for k in ("dateTimeOriginal", "userComment", "caption", "title")], F.count_if(F.col("k").isNotNull()).alias("n_mapped"), *([kept.alias("raw")] if raw else []))
 
 
 def combine_group_metadata(items: DataFrame) -> DataFrame:
     """One row a group: the keywords of all its files (preferred files first, in order, without
-    regard to case) and the first value of each field that isn't blank, preferred files first."""
+    regard to case) and the first value of each field that isn't blank, preferred files first; so too
+    gps, face_tags and location_shown, where the items have them."""
     pref = F.when(F.col("preferred"), 0).otherwise(1)
     field = lambda c: first_by(rules.strip(F.col(c)), pref.alias("p"), "ord", "path", when=rules.blank_to_null(F.col(c)).isNotNull()).alias(c)
     words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(pref.alias("p"), "ord", "path", F.coalesce("keywords", F.array().cast("array<string>")).alias("k")))), lambda x: x["k"]))
-    return items.groupBy("group_key").agg(rules.ci_distinct(words).alias("keywords"), *[field(c) for c in ("title", "caption", "date_original", "location", "state_province", "city", "country", "user_comment")])
+    whole = lambda c: first_by(c, pref.alias("p"), "ord", "path", when=F.col(c).isNotNull()).alias(c)
+    nested = [whole(c) for c in ("gps", "face_tags", "location_shown") if c in items.columns]
+    return items.groupBy("group_key").agg(rules.ci_distinct(words).alias("keywords"), *nested, *[field(c) for c in ("title", "caption", "date_original", "location", "state_province", "city", "country", "user_comment")])
+
+
+def request_fields(combined: DataFrame) -> DataFrame:
+    """Combined metadata under the names that requests carry."""
+    names = {"user_comment": "userComment", "date_original": "dateTimeOriginal", "state_province": "stateProvince", "face_tags": "faceTags", "location_shown": "locationShown"}
+    return combined.withColumnsRenamed(names)
+
+
+def face_rows(combined: DataFrame, key: str = "group_key") -> DataFrame:
+    """(path, pos, name, center_x, center_y, width, height) of combined face tags; ``path`` is the
+    key. Centres come nested or flat, sizes under long or short names; what isn't a number is 0."""
+    f = combined.where(F.col("face_tags").isNotNull()).select(F.col(key).alias("path"), F.posexplode("face_tags.faces").alias("pos", "f"))
+    num = lambda *names: F.coalesce(*[F.col(f"f.{n}").try_cast("double") for n in names], F.lit(0.0))
+    return f.select("path", "pos", "f.name", num("center.x", "centerX").alias("center_x"), num("center.y", "centerY").alias("center_y"), num("width", "w").alias("width"), num("height", "h").alias("height"))
 
 
 def forwarded_metadata(meta: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -86,13 +111,13 @@ def build_requests(groups: DataFrame, pieces: dict[str, str]) -> DataFrame:
     ``groups`` has forwarded, face_block and photo_context (null where there is none), and may have
     group_note, which stands last; ``pieces``
     are the constant texts header, instructions, image_rules, categories, forbidden, vocabulary
-    and output_format."""
+    and output_format, and may have guardrail, which follows the group's own pieces."""
     fixed = ("header", "instructions", "image_rules", "categories", "forbidden", "vocabulary", "output_format")
     piece = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
     given = lambda c, head: F.when(rules.blank_to_null(F.col(c)).isNotNull(), F.concat(F.lit(head), F.col(c)))
     every = [piece(k, F.lit(pieces[k].strip())) for k in fixed] + [
         piece("metadata", given("forwarded", "Forwarded metadata: ")), piece("faces", given("face_block", "[FACE TAGS — AUTHORITATIVE]\n")),
-        piece("context", given("photo_context", "[PHOTO CONTEXT — AUTHORITATIVE]\n")), piece("guardrail", F.lit(GUARDRAIL)),
+        piece("context", given("photo_context", "[PHOTO CONTEXT — AUTHORITATIVE]\n")), piece("guardrail", F.lit(pieces.get("guardrail", DEFAULT_GUARDRAIL))),
         *([piece("group_note", F.col("group_note"))] if "group_note" in groups.columns else []),
     ]
     kept = F.filter(F.array(*every), lambda p: p["text"].isNotNull())

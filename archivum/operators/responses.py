@@ -176,8 +176,79 @@ def conformance_rates(analyses: DataFrame) -> DataFrame:
     return conformance(analyses).groupBy("rule").agg(F.count_if("ok").alias("n_ok"), F.count(F.lit(1)).alias("n"))
 
 
-def stamp_analyses(analyses: DataFrame, provider: str, model: str, day: str) -> DataFrame:
-    """Provenance keyword and dated caption."""
+# The categories, scopes and fields of a record.
+CATEGORIES = ("Portrait", "Group photo", "Photo Page", "Candid", "Landscape", "Cityscape", "Document", "Postcard", "Travel Photo", "Event", "Art photo")
+SCOPES = ("general", "specific")
+REQUIRED = ("keywords", "caption", "ai_caption", "title", "category", "location_guess", "date_guess")
+FIELDS = {"record": (*REQUIRED, "proposed_new_keywords"), "location_guess": ("country", "state", "city", "sublocation", "confidence"), "date_guess": ("iso", "confidence", "import_date", "pattern"), "proposal": ("keyword", "note", "section", "scope")}
+RECORD = (
+    "keywords array<string>, caption string, ai_caption string, title string, category string, location_guess struct<country: string, state: string, city: string, sublocation: string, confidence: double>, "
+    "date_guess struct<iso: string, confidence: double, import_date: string, pattern: string>, proposed_new_keywords array<struct<keyword: string, note: string, section: string, scope: string>>, analysis_notes string"
+)
+RECORD_RULES = (
+    "is_object", "required_fields", "no_extra_fields", "category_known", "category_keyword", "provenance_keyword", "ai_caption_start", "ai_caption_end", "location_fields", "location_range", "date_fields", "date_range", "proposal_fields", "proposal_sections", "proposal_scopes",
+)
+
+
+def record_conformance(records: DataFrame) -> DataFrame:
+    """(group_key, ord, rule, ok) of every record (group_key, ord, record as JSON text) and rule of
+    ``RECORD_RULES``: fields that must and may stand, known values, ranges, and what keywords and the
+    dated caption have to hold."""
+    keys = lambda path, text="record": F.json_object_keys(F.get_json_object(text, path) if path else F.col(text))
+    r = records.withColumn("r", F.from_json("record", RECORD)).withColumn("p", F.from_json(F.get_json_object("record", "$.proposed_new_keywords"), "array<string>"))
+    has = lambda k, names: F.coalesce(F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(k, n)), F.lit(False))
+    only = lambda k, names: F.coalesce(F.forall(k, lambda n: n.isin(*names)), F.lit(False))
+    exact = lambda k, names: has(k, names) & only(k, names)
+    conf = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    words, ai = F.coalesce("r.keywords", F.array().cast("array<string>")), F.coalesce("r.ai_caption", F.lit(""))
+    heads = (F.length(ai) - F.length(F.replace(ai, F.lit("[AI Analysis]:"), F.lit("")))) / len("[AI Analysis]:")
+    listed = F.coalesce("r.proposed_new_keywords", F.array().cast("array<struct<keyword: string, note: string, section: string, scope: string>>"))
+    checks = {
+        "is_object": keys(None).isNotNull(), "required_fields": has(keys(None), REQUIRED), "no_extra_fields": only(keys(None), FIELDS["record"]),
+        "category_known": F.col("r.category").isin(*CATEGORIES), "category_keyword": F.array_contains(words, F.col("r.category")), "provenance_keyword": F.exists(words, lambda k: k.endswith(" Analyzed")),
+        "ai_caption_start": ai.startswith("[AI Analysis]:") & (heads == 1), "ai_caption_end": ai.rlike(r"Inferred date: .+ \(confidence [01]?\.\d{2}; evidence: .+\)\.\s*$") & F.contains(ai, F.concat(F.lit("Inferred date: "), F.col("r.date_guess.iso"))),
+        "location_fields": exact(keys("$.location_guess"), FIELDS["location_guess"]), "location_range": conf("r.location_guess.confidence"),
+        "date_fields": exact(keys("$.date_guess"), FIELDS["date_guess"]), "date_range": conf("r.date_guess.confidence"),
+        "proposal_fields": F.forall(F.coalesce("p", F.array().cast("array<string>")), lambda x: exact(F.json_object_keys(x), FIELDS["proposal"])),
+        "proposal_sections": F.forall(listed, lambda x: F.coalesce(x["section"].isin(*[s for s in SECTIONS if s != "date_reference"]), F.lit(False))), "proposal_scopes": F.forall(listed, lambda x: F.coalesce(x["scope"].isin(*SCOPES), F.lit(False))),
+    }
+    named = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(checks[n], F.lit(False)).alias("ok")) for n in RECORD_RULES])
+    return r.select("group_key", "ord", F.explode(named).alias("c")).select("group_key", "ord", "c.rule", "c.ok")
+
+
+def record_analyses(records: DataFrame) -> DataFrame:
+    """Records (group_key, ord, record as JSON text) as the analyses that the later jobs read."""
+    r = records.withColumn("r", F.from_json("record", RECORD))
+    loc = [F.col(f"r.location_guess.{k}").alias(f"loc_{k}") for k in ("country", "state", "city", "sublocation", "confidence")]
+    date = [F.col(f"r.date_guess.{k}").alias(f"date_{n}") for k, n in (("iso", "iso"), ("import_date", "import"), ("pattern", "pattern"), ("confidence", "confidence"))]
+    return r.select("group_key", "ord", "r.keywords", "r.caption", "r.ai_caption", "r.title", "r.category", "r.analysis_notes", *loc, *date, F.col("r.proposed_new_keywords").alias("proposals"))
+
+
+# The services' names as settings give them, and as keywords show them.
+PROVIDERS = {"claude": "anthropic", "anthropic": "anthropic", "gemini": "gemini", "google": "gemini", "openrouter": "openrouter"}
+PROVIDER_NAMES = {"anthropic": "Claude", "gemini": "Gemini", "openrouter": "OpenRouter", "openai": "ChatGPT"}
+
+
+def provider(c: Column) -> Column:
+    """The service that a setting names; what isn't known is the default one."""
+    known = F.create_map(*[F.lit(x) for kv in PROVIDERS.items() for x in kv])
+    return F.coalesce(known[F.lower(rules.strip(c))], F.lit("openai"))
+
+
+def provider_name(c: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in PROVIDER_NAMES.items() for x in kv])[provider(c)]
+
+
+def model_name(answered: Column, requested: Column) -> Column:
+    """The model that a reply names, else the one that was asked."""
+    return F.coalesce(F.when(rules.blank_to_null(answered).isNotNull(), answered), requested)
+
+
+def stamp_analyses(analyses: DataFrame, provider: str, model: str, day: str, sizes: DataFrame | None = None) -> DataFrame:
+    """Provenance keyword and dated caption; with ``sizes`` (group_key, sent_width, sent_height) also
+    what was sent."""
+    if sizes is not None:
+        analyses = analyses.join(sizes, "group_key", "left")
     return analyses.withColumn("keywords", rules.provenance(F.col("keywords"), provider, model)).withColumn("ai_caption", rules.dated_caption(F.col("ai_caption"), day))
 
 

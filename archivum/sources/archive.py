@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 
-METADATA = "keywords string, title string, caption string, dateTimeOriginal string, date string, location string, city string, stateProvince string, country string, userComment string"
-MANIFEST = f"items array<struct<path: string, preferred: boolean, metadata: struct<{', '.join(x.replace(' ', ': ', 1) for x in METADATA.split(', ')) }>, metadata_path: string>>, photo_context string"
+FACES = "struct<faces: array<struct<name: string, center: struct<x: string, y: string>, centerX: string, centerY: string, w: string, width: string, h: string, height: string>>>"
+PLACE = "struct<country: string, state: string, city: string, sublocation: string>"
+METADATA = (
+    "keywords: string, tags: string, title: string, caption: string, description: string, dateTimeOriginal: string, date: string, location: string, city: string, state: string, stateProvince: string, province: string, "
+    f"country: string, userComment: string, user_comment: string, gps: struct<lat: double, lon: double>, faceTags: {FACES}, locationShown: {PLACE}"
+)
+MANIFEST = f"items array<struct<path: string, preferred: boolean, is_back: boolean, version: string, metadata: struct<{METADATA}>, metadata_path: string>>, photo_context string"
+# Fixed value: the misspelt header that older vocabularies have.
+LEGACY_SECTIONS = {"date_refernce": "date_reference"}
 CHANGESET = "path string, proposed_changes struct<set: map<string, string>>"
 
 
@@ -22,30 +29,69 @@ def scan_media(spark: SparkSession, root: str, recursive: bool = False) -> DataF
     return files.select("path", "length", "modificationTime").where(is_image(F.col("path")))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The items of manifests with their order; a manifest without an ``items`` array is an error."""
-    raw = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The items of manifests (one a file, or with ``lines`` one a line) with their order; a manifest
+    without an ``items`` array is an error."""
+    raw = spark.read.schema(MANIFEST).option("multiLine", not lines).json(path)
     checked = raw.withColumn("items", F.when(F.col("items").isNull(), F.raise_error(F.lit("manifest has no items array"))).otherwise(F.col("items")))
     items = checked.select(F.input_file_name().alias("batch_id"), "photo_context", F.posexplode("items").alias("ord", "i"))
     return items.select("batch_id", "photo_context", "ord", "i.*").where(rules.blank_to_null(F.col("path")).isNotNull())
 
 
+def item_metadata(items: DataFrame) -> DataFrame:
+    """The items with their metadata as columns under the names that the jobs read: one keyword list
+    (a single text counts as a list of one), and for each other field the first of its names."""
+    m = lambda *names: F.coalesce(*[rules.blank_to_null(F.col(f"metadata.{n}")) for n in names])
+    fields = {
+        "keywords": F.coalesce(rules.one_or_many(F.col("metadata.keywords")), rules.one_or_many(F.col("metadata.tags")), F.array().cast("array<string>")),
+        "title": m("title"), "caption": m("caption", "description"), "date_original": m("dateTimeOriginal", "date"), "location": m("location"), "city": m("city"),
+        "state_province": m("stateProvince", "state", "province"), "country": m("country"), "user_comment": m("userComment", "user_comment"),
+        "gps": F.col("metadata.gps"), "face_tags": F.col("metadata.faceTags"), "location_shown": F.col("metadata.locationShown"),
+    }
+    return items.select("*", *[c.alias(n) for n, c in fields.items()]).drop("metadata")
+
+
+def read_vocabulary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(section, keyword, note, source) of landed vocabularies: objects with a section a key, each
+    ``{"keywords": [...]}`` of texts or ``{"keyword", "note"}``, and a ``new_keywords`` log. Older
+    headers are accepted; a malformed section has no rows."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "map<string,string>")).alias("section", "body"))
+    log = F.col("section") == "new_keywords"
+    held = F.from_json(F.when(log, F.col("body")).otherwise(F.get_json_object("body", "$.keywords")), "array<string>")
+    one = raw.select("section", log.alias("log"), F.explode(held).alias("k"))
+    entry = F.from_json(F.when(F.col("k").startswith("{"), F.col("k")), "keyword string, note string, section string")
+    legacy = F.create_map(*[F.lit(x) for kv in LEGACY_SECTIONS.items() for x in kv])
+    section = F.when(F.col("log"), entry["section"]).otherwise(F.col("section"))
+    rows = one.select(F.coalesce(legacy[section], section).alias("section"), rules.blank_to_null(F.when(F.col("k").startswith("{"), entry["keyword"]).otherwise(F.col("k"))).alias("keyword"), entry["note"].alias("note"), F.when(F.col("log"), "log").otherwise("section").alias("source"))
+    return rows.where("keyword IS NOT NULL")
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """(group_key, attempt, raw) of landed replies; the first attempt where none is named."""
+    return spark.read.schema("group_key string, attempt int, raw string").json(path).withColumn("attempt", F.coalesce("attempt", F.lit(1)))
+
+
 def resolve_item_metadata(items: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Inline metadata, else that of the sidecar at ``metadata_path`` (sidecars: file_path, metadata)."""
     side = sidecars.select(rules.normalize_path(F.col("file_path")).alias("side_path"), F.col("metadata").alias("side"))
     return items.join(side, rules.normalize_path(F.col("metadata_path")) == F.col("side_path"), "left").withColumn("metadata", F.coalesce("metadata", "side")).drop("side", "side_path")
 
 
-def read_exif_export(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, tag_ord, tag, value of landed tag exports (JSON arrays of flat records)."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("r"))
+def read_exif_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """source_file, tag_ord, tag, value of landed tag exports (JSON arrays of flat records, one a
+    file, or with ``lines`` one a line)."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("r"))
     return raw.select(F.col("r")["SourceFile"].alias("source_file"), F.posexplode("r").alias("tag_ord", "tag", "value")).where("tag <> 'SourceFile'")
 
 
 def parse_changesets(lines: DataFrame) -> DataFrame:
-    """Lines (``value``) as changesets; a line that isn't JSON has ``bad`` and nothing else."""
-    kept = lines.where(F.trim("value") != "").withColumn("bad", F.expr("try_parse_json(value)").isNull())
-    return kept.withColumn("c", F.when(~F.col("bad"), F.from_json("value", CHANGESET))).select("value", "bad", "c.path", F.col("c.proposed_changes.set").alias("set"))
+    """Lines (``value``) as changesets, with the tags whose values are lists or maps (``nested``); a
+    line that isn't JSON has ``bad`` and nothing else."""
+    kept = lines.where(F.trim("value") != "").withColumn("v", F.expr("try_parse_json(value)")).withColumn("bad", F.col("v").isNull())
+    kept = kept.withColumn("c", F.when(~F.col("bad"), F.from_json("value", CHANGESET)))
+    kinds = F.expr("try_variant_get(v, '$.proposed_changes.set', 'map<string,variant>')")
+    nested = F.map_keys(F.map_filter(kinds, lambda k, x: F.schema_of_variant(x).rlike("^(ARRAY|OBJECT)")))
+    return kept.select("value", "bad", "c.path", F.col("c.proposed_changes.set").alias("set"), nested.alias("nested"))
 
 
 def read_changesets(spark: SparkSession, path: str) -> DataFrame:

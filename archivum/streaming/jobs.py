@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes, responses
+from ..plans.jobs import Run, merge_responses
 from ..sources.archive import parse_changesets
 
 RESPONSES = "group_key string, attempt int, raw string"
@@ -30,6 +31,18 @@ def stream_results(spark: SparkSession, landed: str, items: DataFrame, sink: Cal
     return spark.readStream.schema(RESPONSES).json(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_changesets(spark: SparkSession, landed: str, items: DataFrame, run: Run, out: str, checkpoint: str) -> StreamingQuery:
+    """Landed responses to result, error and changeset files (``out``/results, errors, changesets),
+    a folder a batch, which a repeated batch writes anew. ``items`` has the metadata columns."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        got = merge_responses(items.join(df.select("group_key").distinct(), "group_key", "left_semi"), df, run)
+        for name in ("results", "errors", "changesets"):
+            getattr(got, name).write.mode("overwrite").json(f"{out}/{name}/batch={number}")
+
+    return spark.readStream.schema(RESPONSES).json(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_tag_plan(spark: SparkSession, landed: str, out: str, allowed: Sequence[str], checkpoint: str) -> StreamingQuery:
     """Changeset lines as they land to planned tag writes, without state."""
     plan = changes.plan_tag_writes(parse_changesets(spark.readStream.text(landed)), allowed)
