@@ -18,8 +18,12 @@ PLACEHOLDER_NOTES = ("auto-added", "auto added", "provide a reason", "n/a", "tod
 MAX_CONTEXT_BYTES = 204_800
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:

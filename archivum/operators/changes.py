@@ -26,28 +26,34 @@ SECTION_ALIASES = (
 THRESHOLD = 0.7
 
 
-def _entries(rows: DataFrame, prefix: str = "") -> Column:
-    """All candidate (tag, value, values, confidence) of a merged record, whose columns have this
+def _words(rows: DataFrame, prefix: str = "") -> Column:
+    return rules.ci_distinct(F.coalesce(F.col(f"{prefix}keywords"), F.array().cast("array<string>")))
+
+
+def _scalars(rows: DataFrame, prefix: str = "") -> list[tuple[str, Column, Column | None]]:
+    """(tag, value, confidence) of every tag but keywords of a merged record, whose columns have this
     prefix."""
     b, col = rules.blank_to_null, lambda n: F.col(prefix + n)
     have = lambda *names: F.coalesce(*[b(col(n)) for n in names if prefix + n in rows.columns], F.lit(None).cast("string"))
-    none = F.lit(None).cast("double")
-    words = rules.ci_distinct(F.coalesce(col("keywords"), F.array().cast("array<string>")))
-    entry = lambda tag, value, conf=none, values=F.lit(None).cast("array<string>"): F.struct(F.lit(tag).alias("tag"), value.alias("value"), values.alias("values"), conf.alias("confidence"))
-    fixed = have("dateTimeOriginal", "date")
-    guess = have("date_import", "date_iso")
-    date = F.coalesce(fixed, guess)
-    return F.array(
-        entry(KEYWORDS, F.nullif(F.array_join(words, "|"), F.lit("")), none, words), entry(TITLE, have("title")), entry(DESCRIPTION, have("description", "caption")),
-        entry(COMMENT, have("analysis_notes", "ai_caption", "user_comment")), *[entry(t, have(f"loc_{k}"), col("loc_confidence")) for k, t in LOCATION.items()],
-        entry(DATE, date, F.when(fixed.isNull(), col("date_confidence"))),
-    )
+    fixed, guess = have("dateTimeOriginal", "date"), have("date_import", "date_iso")
+    return [
+        (TITLE, have("title"), None), (DESCRIPTION, have("description", "caption"), None), (COMMENT, have("analysis_notes", "ai_caption", "user_comment"), None),
+        *[(t, have(f"loc_{k}"), col("loc_confidence")) for k, t in LOCATION.items()], (DATE, F.coalesce(fixed, guess), F.when(fixed.isNull(), col("date_confidence"))),
+    ]
+
+
+def _entries(rows: DataFrame) -> Column:
+    """All candidate (tag, value, values, confidence) of a merged record."""
+    none, words = F.lit(None).cast("double"), F.col("__words")
+    entry = lambda tag, value, conf, values=F.lit(None).cast("array<string>"): F.struct(F.lit(tag).alias("tag"), value.alias("value"), values.alias("values"), (none if conf is None else conf).alias("confidence"))
+    return F.array(entry(KEYWORDS, F.nullif(F.array_join(words, "|"), F.lit("")), None, words), *[entry(*x) for x in _scalars(rows)])
 
 
 def canonical_patch(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(path, tag, value, values, decision, confidence): ``set`` where nothing or enough confidence
     is given, else ``suggest``. A row a tag."""
     keep = [c for c in ("group_key", "path") if c in rows.columns]
+    rows = rows.withColumn("__words", _words(rows))
     e = rows.select(*keep, F.explode(_entries(rows)).alias("e")).select(*keep, "e.*").where("value IS NOT NULL")
     return e.withColumn("decision", F.when(F.col("confidence").isNull() | (F.col("confidence") >= threshold), "set").otherwise("suggest"))
 
@@ -80,13 +86,15 @@ def diff_canonical(before: DataFrame, after: DataFrame) -> DataFrame:
 def diff_rows(rows: DataFrame, before: str, threshold: float = THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
     """``diff_canonical`` where before (columns with that prefix) and after stand on one row: nothing
     is exploded or joined. (keep, path, file_metadata, set, keywords_add, keywords_remove)"""
-    sure = lambda e: F.filter(e, lambda x: x["value"].isNotNull() & (x["confidence"].isNull() | (x["confidence"] >= threshold)))
-    r = rows.select(*keep, "path", sure(_entries(rows, before)).alias("b"), sure(_entries(rows)).alias("a"))
-    plain = lambda c: F.map_from_entries(F.transform(F.filter(c, lambda x: x["tag"] != KEYWORDS), lambda x: F.struct(x["tag"].alias("tag"), x["value"].alias("value"))))
-    words = lambda c: F.flatten(F.transform(F.filter(c, lambda x: x["tag"] == KEYWORDS), lambda x: x["values"]))
-    r = r.select(*keep, "path", plain("b").alias("was"), plain("a").alias("now"), words("b").alias("bw"), words("a").alias("aw"))
-    every = F.when(F.size("bw") > 0, F.map_concat("was", F.create_map(F.lit(KEYWORDS), F.array_join("bw", "|")))).otherwise(F.col("was"))
-    return r.select(*keep, "path", every.alias("file_metadata"), F.map_filter("now", lambda k, v: ~v.eqNullSafe(F.col("was")[k])).alias("set"), rules.without(F.col("aw"), F.col("bw")).alias("keywords_add"), rules.without(F.col("bw"), F.col("aw")).alias("keywords_remove"))
+    sure = lambda side: [(v if c is None else F.when(c.isNull() | (c >= threshold), v)) for _, v, c in side]
+    was, now = _scalars(rows, before), _scalars(rows)
+    tags = [t for t, _, _ in now]
+    r = rows.select(*keep, "path", _words(rows, before).alias("bw"), _words(rows).alias("aw"), *[v.alias(f"b{i}") for i, v in enumerate(sure(was))], *[v.alias(f"a{i}") for i, v in enumerate(sure(now))])
+    pairs = lambda cases: F.map_from_entries(F.array_compact(F.array(*cases)))
+    pair = lambda ok, tag, value: F.when(ok, F.struct(F.lit(tag).alias("tag"), value.alias("value")))
+    old = [pair(F.size("bw") > 0, KEYWORDS, F.array_join("bw", "|"))] + [pair(F.col(f"b{i}").isNotNull(), t, F.col(f"b{i}")) for i, t in enumerate(tags)]
+    new = [pair(F.col(f"a{i}").isNotNull() & ~F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")), t, F.col(f"a{i}")) for i, t in enumerate(tags)]
+    return r.select(*keep, "path", pairs(old).alias("file_metadata"), pairs(new).alias("set"), rules.without(F.col("aw"), F.col("bw")).alias("keywords_add"), rules.without(F.col("bw"), F.col("aw")).alias("keywords_remove"))
 
 
 def changeset_records(diffs: DataFrame, before: DataFrame, groups: DataFrame, run_id: str, created_at: str, version: int = 1) -> DataFrame:

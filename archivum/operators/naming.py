@@ -37,8 +37,10 @@ def parse_media_names(files: DataFrame, by_dir: bool = False, explicit: bool = T
         kind = F.when(F.col("is_back"), "back").when(~F.col("is_back") & (kind == "back"), "none").otherwise(kind)
     if explicit and "version" in files.columns:
         variant = F.coalesce(F.lower(rules.blank_to_null(F.col("version"))), variant)
-    base = cut(x("rest"), x("drop"))
-    key = F.concat(F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(F.substring_index("path", "/", -1))), base) if by_dir else base
+    # never null, so that joins by group need no null filter, which would be pushed below all steps
+    base = F.coalesce(cut(x("rest"), x("drop")), F.lit(""))
+    folder = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length(F.substring_index("path", "/", -1)))
+    key = F.concat(F.coalesce(folder, F.lit("")), base) if by_dir else base
     names = [c.alias(n) for n, c in zip(NAMED, (base, variant, kind, F.when(page, F.substring("__tag", 5, 9)).try_cast("int"), F.col("is_crop"), key), strict=True)]
     return out.select(*given, *names)
 

@@ -353,12 +353,16 @@ def j25(spark: SparkSession, d: str) -> DataFrame:
     return merging.merge_sources(*_sources(spark, d)).select("path", _text("keywords").alias("keywords"), *merging.FIELDS)
 
 
-def _merged(spark: SparkSession, d: str) -> DataFrame:
+_WAS = (("keywords", "keywords"), ("title", "title"), ("caption", "caption"), ("date_original", "date"), ("user_comment", "user_comment"), ("country", "loc_country"), ("state_province", "loc_state"), ("city", "loc_city"), ("location", "loc_sublocation"))
+
+
+def _merged(spark: SparkSession, d: str, before: bool = False, reviewed_from: str = "union") -> DataFrame:
     files = _meta_items(spark, d)
     rec = _analyses(spark, d).where("ord = 0").drop("ord", "version")
-    own = files.select("group_key", "path", "ord", "part_kind", F.col("keywords").alias("o_keywords"), F.col("title").alias("o_title"), F.col("caption").alias("o_caption"), F.when(F.col("ord") % 3 < 2, F.col("date_original")).alias("o_date"), F.col("location").alias("o_location"),
+    was = [F.col(a).alias(f"b_{b}") for a, b in _WAS] + [F.lit(1.0).alias("b_loc_confidence"), F.lit(None).cast("double").alias("b_date_confidence")] if before else []
+    own = files.select(*was, "group_key", "path", "ord", "part_kind", F.col("keywords").alias("o_keywords"), F.col("title").alias("o_title"), F.col("caption").alias("o_caption"), F.when(F.col("ord") % 3 < 2, F.col("date_original")).alias("o_date"), F.col("location").alias("o_location"),
         F.when(F.col("ord") % 4 == 1, F.struct("country", F.col("state_province").alias("state"), "city", F.lit(None).cast("string").alias("sublocation"))).alias("o_shown"), "user_comment")
-    return merging.with_back_rule(merging.merge_with_original(own.join(rec.withColumn("title", F.lit("Boat at sea")), "group_key")))
+    return merging.with_back_rule(merging.merge_with_original(own.join(rec.withColumn("title", F.lit("Boat at sea")), "group_key"), keep=[c for c in own.columns if c.startswith("b_")], reviewed_from=reviewed_from))
 
 
 _MG = f""", mo AS (SELECT i.path, i.ord, i.group_key, i.part_kind, i.title AS o_title, i.caption AS o_caption, i.user_comment, CASE WHEN i.ord % 3 < 2 THEN i.date_original ELSE '' END AS o_date, {_ci("list_concat(i.keywords, a.keywords)")} AS un, a.keywords AS ai, a.caption, a.ai_caption,
@@ -383,7 +387,12 @@ _PATCH = ", pt0 AS (SELECT DISTINCT path, ord, unnest([" + ", ".join(
     f"{{'tag': '{t}', 'value': {v}, 'confidence': {c}}}" for t, v, c in (
         (changes.TITLE, "title", "NULL::DOUBLE"), (changes.DESCRIPTION, "nullif(caption, '')", "NULL::DOUBLE"), (changes.COMMENT, "ai_caption", "NULL::DOUBLE"), (changes.LOCATION["country"], "lc", "loc_confidence"), (changes.LOCATION["state"], "ls", "loc_confidence"),
         (changes.LOCATION["city"], "ly", "loc_confidence"), (changes.LOCATION["sublocation"], "lu", "loc_confidence"), (changes.DATE, "coalesce(dto, date_import, date_iso)", "CASE WHEN dto IS NULL THEN date_confidence END"),
-    )) + "]) AS e FROM mg), pch AS (SELECT path, ord, e.tag AS tag, e.value AS value, e.confidence AS confidence, CASE WHEN e.confidence IS NULL OR e.confidence >= 0.7 THEN 'set' ELSE 'suggest' END AS decision FROM pt0 WHERE e.value IS NOT NULL)"
+    )) + "]) AS e FROM mg), pch AS (SELECT path, ord, e.tag AS tag, e.value AS value, e.confidence AS confidence, CASE WHEN e.confidence IS NULL OR e.confidence >= 0.7 THEN 'set' ELSE 'suggest' END AS decision FROM pt0 WHERE e.value IS NOT NULL UNION ALL " + f"SELECT path, ord, '{changes.KEYWORDS}', array_to_string(list_sort(keywords), '|'), NULL, 'set' FROM mg WHERE len(keywords) > 0)"
+
+
+def _sorted_words(df: DataFrame) -> DataFrame:
+    """With the keywords tag's value in alphabetical order."""
+    return df.withColumn("value", F.when(F.col("tag") == changes.KEYWORDS, _text(F.array_sort("values"))).otherwise(F.col("value")))
 
 
 def _patch(spark: SparkSession, d: str) -> DataFrame:
@@ -393,12 +402,12 @@ def _patch(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j28_canonical_patch", META + f", {AN}" + _MG + _PATCH + " SELECT path || '#' || ord AS path, tag, value, round(confidence, 6) AS confidence, decision FROM pch")
 def j28(spark: SparkSession, d: str) -> DataFrame:
-    return _patch(spark, d).where(F.col("tag") != changes.KEYWORDS).select("path", "tag", "value", F.round("confidence", 6).alias("confidence"), "decision")
+    return _sorted_words(_patch(spark, d)).select("path", "tag", "value", F.round("confidence", 6).alias("confidence"), "decision")
 
 
 @query("j27_canonical_from_patch", META + f", {AN}" + _MG + _PATCH + " SELECT tag, count(*) AS n, count(DISTINCT value) AS n_values FROM pch WHERE decision = 'set' GROUP BY 1")
 def j27(spark: SparkSession, d: str) -> DataFrame:
-    return changes.canonical_from_patch(_patch(spark, d)).where(F.col("tag") != changes.KEYWORDS).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"))
+    return _sorted_words(changes.canonical_from_patch(_patch(spark, d))).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values"))
 
 
 def _before(spark: SparkSession, d: str) -> DataFrame:
@@ -411,20 +420,25 @@ _BEFORE = ", bf0 AS (SELECT path || '#' || ord AS path, keywords, unnest([" + ",
     f"{{'tag': '{t}', 'value': {v}}}" for t, v in (
         (changes.TITLE, "title"), (changes.DESCRIPTION, "nullif(trim(caption), '')"), (changes.COMMENT, "nullif(user_comment, '')"), (changes.LOCATION["country"], "country"), (changes.LOCATION["state"], "state_province"),
         (changes.LOCATION["city"], "city"), (changes.LOCATION["sublocation"], "location"), (changes.DATE, "date_original"),
-    )) + "]) AS e FROM items), bf AS (SELECT path, e.tag AS tag, e.value AS value FROM bf0 WHERE e.value IS NOT NULL)"
+    )) + "]) AS e FROM items), bf AS (SELECT path, e.tag AS tag, e.value AS value FROM bf0 WHERE e.value IS NOT NULL UNION ALL " + f"SELECT path || '#' || ord, '{changes.KEYWORDS}', array_to_string(list_sort({_ci('keywords')}), '|') FROM items)"
 
 
 @query("j27b_canonical_values", META + _BEFORE + " SELECT path, tag, value FROM bf")
 def j27b(spark: SparkSession, d: str) -> DataFrame:
-    return _before(spark, d).where(F.col("tag") != changes.KEYWORDS).select("path", "tag", "value")
+    return _sorted_words(_before(spark, d)).select("path", "tag", "value")
 
 
-_DIFF = f""", sd AS (SELECT a.path || '#' || a.ord AS path, a.tag, a.value FROM pch a LEFT JOIN bf b ON b.path = a.path || '#' || a.ord AND b.tag = a.tag WHERE a.decision = 'set' AND a.value IS DISTINCT FROM b.value),
+_DIFF = f""", sd AS (SELECT a.path || '#' || a.ord AS path, a.tag, a.value FROM pch a LEFT JOIN bf b ON b.path = a.path || '#' || a.ord AND b.tag = a.tag WHERE a.decision = 'set' AND a.tag <> '{changes.KEYWORDS}' AND a.value IS DISTINCT FROM b.value),
 sg AS (SELECT path, string_agg(tag || '=' || value, '|' ORDER BY tag) AS changed FROM sd GROUP BY 1),
 kd AS (SELECT g.path || '#' || g.ord AS path, {_ci("i.keywords")} AS b, {_ci("g.keywords")} AS a FROM mg g JOIN items i ON g.path = i.path AND g.ord = i.ord)
 SELECT kd.path, coalesce(changed, '') AS changed, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(list_transform(b, lambda y: lower(y)), lower(x)))), '|') AS added, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(list_transform(a, lambda y: lower(y)), lower(x)))), '|') AS removed FROM kd LEFT JOIN sg USING (path)"""
 
 
+def _diff_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _merged(spark, d, before=True).withColumn("path", F.concat_ws("#", "path", "ord"))
+    return changes.diff_rows(rows, "b_", keep=("group_key",))
+
+
 def _diff(spark: SparkSession, d: str) -> DataFrame:
     return changes.diff_canonical(_before(spark, d), changes.canonical_from_patch(_patch(spark, d)))
 
@@ -436,14 +450,35 @@ def _diff_text(df: DataFrame, s: str = "set", a: str = "keywords_add", r: str =
 
 @query("j29_diff_canonical", META + f", {AN}" + _MG + _PATCH + _BEFORE + _DIFF)
 def j29(spark: SparkSession, d: str) -> DataFrame:
+    df = _diff_rows(spark, d)
+    return df.select("path", *_diff_text(df))
+
+
+@query("j29b_diff_tables", META + f", {AN}" + _MG + _PATCH + _BEFORE + _DIFF)
+def j29b(spark: SparkSession, d: str) -> DataFrame:
     df = _diff(spark, d)
     return df.select("path", *_diff_text(df))
 
 
+def _changeset_rows(spark: SparkSession, d: str) -> DataFrame:
+    sent = _forwarded(spark, d).withColumnRenamed("forwarded", "sent")
+    return changes.as_changesets(_diff_rows(spark, d).join(sent, "group_key"), RUN, AT)
+
+
+_WAS_TEXT = "wt AS (SELECT path, string_agg(tag || '=' || value, '~' ORDER BY tag) AS file_metadata FROM bf GROUP BY 1)"
+
+
+@query("j30b_original_data", META + _CMB + _BEFORE + f", {_WAS_TEXT} SELECT i.path || '#' || i.ord AS path, file_metadata, c.title AS sent_title, c.caption AS sent_caption, c.date_original AS sent_date FROM items i JOIN cmb c USING (group_key) JOIN wt ON wt.path = i.path || '#' || i.ord")
+def j30b(spark: SparkSession, d: str) -> DataFrame:
+    r = _changeset_rows(spark, d)
+    ordered = F.transform(F.array_sort(F.map_entries("original_data.file_metadata")), lambda e: F.concat(e["key"], F.lit("="), F.when(e["key"] == changes.KEYWORDS, _text(F.array_sort(F.split(e["value"], r"\|")))).otherwise(e["value"])))
+    sent = lambda k, n: F.get_json_object("original_data.sent_to_model.metadata", f"$.{k}").alias(n)
+    return r.select("path", _text(ordered, "~").alias("file_metadata"), sent("title", "sent_title"), sent("caption", "sent_caption"), sent("dateTimeOriginal", "sent_date"))
+
+
 @query("j30_changeset_records", META + f", {AN}" + _MG + _PATCH + _BEFORE + _DIFF.replace("SELECT kd.path,", f"SELECT kd.path, 1 AS schema_version, '{RUN}' AS run_id, regexp_extract(kd.path, '(box[0-9]+)[^/]*$', 1) AS group_key, 'sha1:' || sha1(kd.path) AS photo_id,"))
 def j30(spark: SparkSession, d: str) -> DataFrame:
-    groups = _meta_items(spark, d).select(F.concat_ws("#", "path", "ord").alias("path"), "group_key").join(_forwarded(spark, d), "group_key").select("path", "group_key", F.col("forwarded").alias("sent"))
-    r = changes.changeset_records(_diff(spark, d), _before(spark, d), groups, RUN, AT)
+    r = _changeset_rows(spark, d)
     return r.select("path", "schema_version", "run_id", "group_key", "photo_id", *_diff_text(r, "proposed_changes.set", "proposed_changes.keywords_add", "proposed_changes.keywords_remove"))
 
 
@@ -481,9 +516,9 @@ def j34(spark: SparkSession, d: str) -> DataFrame:
     return changes.admit_vocabulary(fixtures.frame(spark, d, fixtures.WORDS), fixtures.frame(spark, d, fixtures.PROPOSALS), fixtures.frame(spark, d, fixtures.VOCABULARY), responses.SECTIONS)
 
 
-@query("a06_known_keywords", f"SELECT keyword FROM ({fixtures.VOCABULARY}) v UNION SELECT DISTINCT keyword FROM ({fixtures.WORDS}) w WHERE ord = 1")
+@query("a06_known_keywords", f"SELECT keyword FROM ({fixtures.VOCABULARY}) v UNION SELECT DISTINCT keyword FROM ({fixtures.WORDS}) w")
 def a06(spark: SparkSession, d: str) -> DataFrame:
-    return changes.known_keywords(fixtures.frame(spark, d, fixtures.VOCABULARY), fixtures.frame(spark, d, fixtures.WORDS).where("ord = 1"))
+    return changes.known_keywords(fixtures.frame(spark, d, fixtures.VOCABULARY), fixtures.frame(spark, d, fixtures.WORDS))
 
 
 _CS = f"""WITH cs AS (SELECT value, o_orderkey, o_orderdate FROM ({fixtures.CHANGESETS.replace(" AS value FROM", " AS value, o_orderkey, o_orderdate FROM")}) x WHERE trim(value) <> ''),

@@ -59,7 +59,7 @@ CHANGESETS = """SELECT CASE WHEN o_orderkey % 50 = 0 THEN '{"path": "/broken", '
 
 VOCABULARY = "SELECT DISTINCT p_brand AS keyword FROM {part} UNION SELECT DISTINCT p_type AS keyword FROM {part}"
 WORDS = f"""SELECT concat('box', CAST(l_orderkey AS STRING)) AS group_key, CAST(l_linenumber AS INT) AS ord, CASE WHEN l_suppkey % 9 = 0 THEN concat('PC-', CAST(l_suppkey AS STRING)) WHEN l_partkey % 4 = 0 THEN p_brand ELSE p_name END AS keyword
-FROM {{lineitem}} l JOIN {{part}} p ON l.l_partkey = p.p_partkey WHERE l_linenumber < 4"""
+FROM {{lineitem}} l JOIN {{part}} p ON l.l_partkey = p.p_partkey"""
 PROPOSALS = f"""SELECT group_key, ord AS pos, keyword, CASE ord % 3 WHEN 0 THEN 'People' WHEN 1 THEN 'objects_artifacts' ELSE CASE WHEN length(keyword) % 2 = 0 THEN 'nowhere' ELSE ' animals ' END END AS section,
  CASE WHEN length(keyword) % 5 = 0 THEN 'TODO later' WHEN length(keyword) % 7 = 0 THEN ' ' ELSE concat('seen in ', group_key) END AS note FROM ({WORDS}) w WHERE length(keyword) % 11 <> 0"""
 
