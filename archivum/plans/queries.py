@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import changes, consolidate, grouping, merging, metadata, naming, responses
-from ..sources import archive, fixtures
+from ..sources import archive, fixtures, folders, sinks
+from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,3 +566,214 @@ def c03(spark: SparkSession, d: str) -> DataFrame:
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Each group's primary file, its back, and its numbers of variants, pages and files."""
     return grouping.group_summary(_items(spark, d))
+
+
+# --- landed files, read back -------------------------------------------------------------------------------------
+
+
+def _quote(c: str | Column) -> Column:
+    """A JSON text."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+_GPS = "CASE WHEN l_linenumber % 3 = 0 THEN CAST(ord AS DOUBLE) + 0.5 END"
+_FLAG = "CASE WHEN l_linenumber % 4 = 1 THEN l_linenumber % 8 = 1 END"
+
+
+def _manifest_items(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest for each order, landed as a line and read back with its metadata."""
+    m = _meta_items_all(spark, d)
+    words = F.when(F.col("ord") % 2 == 0, F.to_json(F.split("keywords_text", r"\|"))).otherwise(_quote("keywords_text"))
+    field = lambda n, c: F.concat(F.lit(f', "{n}": '), F.coalesce(_quote(c), F.lit("null")))
+    lat = F.expr(_GPS).cast("string")
+    gps = F.coalesce(F.concat(F.lit(', "gps": {"lat": '), lat, F.lit(', "lon": 2.0}')), F.lit(""))
+    face = F.when(F.col("ord") % 3 == 1, F.concat(F.lit(', "faceTags": {"faces": [{"name": "P'), F.col("ord").cast("string"), F.lit('", "center": {"x": 0.25, "y": "0.5"}, "w": 0.125}]}'))).otherwise("")
+    flag = F.coalesce(F.concat(F.lit(', "is_back": '), F.expr(_FLAG).cast("string")), F.lit(""))
+    meta = F.concat(F.lit('{"keywords": '), words, field("title", "title"), field("caption", "caption"), field("userComment", "user_comment"), field("dateTimeOriginal", "date_original"), gps, face, F.lit("}"))
+    item = F.concat(F.lit('{"path": '), _quote("path"), F.lit(', "preferred": '), F.col("preferred").cast("string"), flag, F.lit(', "metadata": '), meta, F.lit("}"))
+    by_order = m.select(F.regexp_extract("path", "box([0-9]+)", 1).alias("box"), "ord", item.alias("item")).groupBy("box").agg(F.array_sort(F.collect_list(F.struct("ord", "item"))).alias("i"))
+    lines = by_order.select(F.concat(F.lit('{"items": ['), F.array_join(F.transform("i", lambda x: x["item"]), ", "), F.lit("]}")).alias("value"))
+    return archive.item_metadata(archive.read_manifest(spark, folders.landed(lines), lines=True))
+
+
+def _meta_items_all(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.frame(spark, d, fixtures.META)
+
+
+@query("a02_read_manifest", f"SELECT path, ord, preferred, {_FLAG} AS is_back, CASE WHEN ord % 2 = 0 THEN replace(keywords_text, '|', '+') ELSE keywords_text END AS keywords, title, nullif(trim(caption), '') AS caption, nullif(user_comment, '') AS user_comment, date_original, {_GPS} AS lat, CASE WHEN ord % 3 = 1 THEN 'P' || ord END AS face FROM ({fixtures.META}) m")
+def a02(spark: SparkSession, d: str) -> DataFrame:
+    m = _manifest_items(spark, d)
+    return m.select("path", "ord", "preferred", "is_back", _text("keywords", "+").alias("keywords"), "title", "caption", "user_comment", "date_original", F.col("gps.lat").alias("lat"), F.col("face_tags.faces")[0]["name"].alias("face"))
+
+
+@query("b02_explicit_flags", META.replace("items AS", f"fl AS (SELECT *, {_FLAG} AS flag FROM media), items AS") + " SELECT path, ord, group_key, CASE WHEN flag THEN 'back' WHEN NOT flag AND part_kind = 'back' THEN 'none' ELSE part_kind END AS part_kind FROM fl")
+def b02(spark: SparkSession, d: str) -> DataFrame:
+    return naming.media_files(_manifest_items(spark, d)).select("path", "ord", "group_key", "part_kind")
+
+
+_NESTED = META.replace("items AS (SELECT *,", f"items AS (SELECT *, {_GPS} AS lat, CASE WHEN ord % 3 = 1 THEN 'P' || ord END AS face,") + ", so AS (SELECT *, CASE WHEN preferred THEN 0 ELSE 1 END * 100000 + ord AS so FROM items), nc AS (SELECT group_key, arg_min(lat, so) FILTER (WHERE lat IS NOT NULL) AS lat, arg_min(face, so) FILTER (WHERE face IS NOT NULL) AS face FROM so GROUP BY 1)"
+
+
+def _manifest_media(spark: SparkSession, d: str) -> DataFrame:
+    return naming.media_files(_manifest_items(spark, d).drop("is_back", "version"))
+
+
+@query("j11b_nested_metadata", _NESTED + " SELECT group_key, lat, face, CASE WHEN face IS NOT NULL THEN '1. ' || face || ' (cx=0.250, cy=0.500, w=0.125, h=0.000)' END AS block FROM nc")
+def j11b(spark: SparkSession, d: str) -> DataFrame:
+    both = metadata.combine_group_metadata(_manifest_media(spark, d))
+    faces = metadata.face_blocks(metadata.face_rows(both)).select(F.col("path").alias("group_key"), "block")
+    sent = metadata.forwarded_metadata(metadata.request_fields(both)).join(faces, "group_key", "left")
+    return sent.select("group_key", F.get_json_object("forwarded", "$.gps.lat").cast("double").alias("lat"), F.get_json_object("forwarded", "$.faceTags.faces[0].name").alias("face"), "block")
+
+
+@query("j14c_request_texts", _NESTED + _PARTS + _ASSEMBLE + """, pc AS (SELECT group_key, part_ord, label, count(*) AS n FROM ap GROUP BY 1, 2, 3), gn AS (SELECT group_key, 'These images show one object, in this order: ' || string_agg(n || ' x ' || label, ', ' ORDER BY part_ord) AS t FROM pc GROUP BY 1 HAVING sum(n) > 1)
+SELECT group_key, 'header' AS kind, 'header of the archive' AS text FROM nc UNION ALL SELECT group_key, 'faces', '[FACE TAGS — AUTHORITATIVE]' || chr(10) || '1. ' || face || ' (cx=0.250, cy=0.500, w=0.125, h=0.000)' FROM nc WHERE face IS NOT NULL UNION ALL SELECT group_key, 'guardrail', 'JSON only' FROM nc UNION ALL SELECT group_key, 'group_note', t FROM gn""")
+def j14c(spark: SparkSession, d: str) -> DataFrame:
+    requests = jobs.plan_manifest(_manifest_media(spark, d), _PIECES | {"guardrail": "JSON only"})
+    return requests.where(F.col("kind").isin("header", "faces", "guardrail", "group_note")).select("group_key", "kind", "text")
+
+
+@query("a04_tag_export", f"SELECT source_file, tag_ord + 1 AS tag_ord, tag, value FROM ({fixtures.TAGS}) t")
+def a04(spark: SparkSession, d: str) -> DataFrame:
+    t = fixtures.frame(spark, d, fixtures.TAGS).groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("tag_ord", "tag", "value"))).alias("t"))
+    pairs = F.array_join(F.transform("t", lambda x: F.concat(_quote(x["tag"]), F.lit(": "), _quote(x["value"]))), ", ")
+    lines = t.select(F.concat(F.lit('[{"SourceFile": '), _quote("source_file"), F.lit(", "), pairs, F.lit("}]")).alias("value"))
+    return archive.read_exif_export(spark, folders.landed(lines), lines=True)
+
+
+@query("a05_read_vocabulary", "SELECT CASE WHEN p_size % 3 = 0 THEN 'date_reference' ELSE 'animals_pets' END AS section, p_name || '/' || p_partkey AS keyword, CASE WHEN p_partkey % 2 = 0 THEN 'note ' || p_partkey END AS note, 'section' AS source FROM part UNION ALL SELECT 'photo_format', p_brand || '/' || p_partkey, NULL, 'log' FROM part")
+def a05(spark: SparkSession, d: str) -> DataFrame:
+    p, k = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey").cast("string")
+    word = F.concat("p_name", F.lit("/"), k)
+    entry = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"keyword": '), _quote(word), F.lit(', "note": "note '), k, F.lit('"}'))).otherwise(_quote(word))
+    section = F.when(F.col("p_size") % 3 == 0, "date_refernce").otherwise("animals_pets")
+    log = F.concat(F.lit('[{"keyword": '), _quote(F.concat("p_brand", F.lit("/"), k)), F.lit(', "section": "photo_format"}]'))
+    lines = p.select(F.concat(F.lit('{"'), section, F.lit('": {"keywords": ['), entry, F.lit(', " "]}, "clothing_fashion": {"keywords": 3}, "new_keywords": '), log, F.lit("}")).alias("value"))
+    return archive.read_vocabulary(spark, folders.landed(lines), lines=True)
+
+
+@query("a10_results_written", MEDIA + " SELECT DISTINCT path, 'ok' AS status, 'b1' AS batch_id, 3 AS n_fields FROM media")
+def a10(spark: SparkSession, d: str) -> DataFrame:
+    out = folders.shared_folder(spark)
+    sinks.write_ndjson(_items(spark, d).select("path", F.lit("ok").alias("status"), F.lit("b1").alias("batch_id"), F.lit(None).cast("boolean").alias("dry_run")).distinct(), out)
+    j = lambda n: F.get_json_object("value", f"$.{n}").alias(n)
+    return spark.read.text(out).select(j("path"), j("status"), j("batch_id"), F.size(F.json_object_keys("value")).alias("n_fields"))
+
+
+@query("a12_changesets_written", META + f", {AN}" + _MG + _PATCH + _BEFORE + _DIFF.replace("SELECT kd.path, coalesce(changed, '') AS changed,", "SELECT kd.path, coalesce(changed, '') AS changed, false AS bad,").split(", array_to_string(list_sort(list_filter(a,")[0] + " FROM kd LEFT JOIN sg USING (path)")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    out = folders.shared_folder(spark)
+    sinks.write_ndjson(_changeset_rows(spark, d), out, partition="run_id")
+    r = archive.read_changesets(spark, f"{out}/run_id={RUN}")
+    pairs = F.transform(F.array_sort(F.map_entries("set")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return r.select("path", _text(pairs).alias("changed"), "bad")
+
+
+@query("a13_sidecars", MEDIA + " SELECT DISTINCT regexp_replace(path, '\\.[^./]*$', '') || '.json' AS sidecar_path, path FROM media")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.sidecars(_items(spark, d).select("path", "group_key").distinct()).select("sidecar_path", F.get_json_object("json", "$.path").alias("path"))
+
+
+# --- further jobs ----------------------------------------------------------------------------------------------------
+
+
+@query("j06b_primary_pair", "WITH p AS (" + _primary_sql(True) + ") SELECT group_key, 1 AS part_ord, 'Front' AS label, primary_front AS path FROM p UNION ALL SELECT group_key, 2, 'Back', back_path FROM p WHERE back_path <> primary_front")
+def j06b(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.assemble_parts(_items(spark, d), all_variants=False).drop("img_ord")
+
+
+FACE_ROWS = """SELECT concat('/p', CAST(vec_id % 400 AS STRING)) AS path, vec_id AS pos, concat('P', CAST(label AS STRING)) AS name, CAST((vec_id % 97) * 10 + 2 AS DOUBLE) / 10000 AS center_x, CAST((vec_id % 89) * 10 + 3 AS DOUBLE) / 1000 AS center_y,
+ CAST((vec_id % 8) * 10 + 1 AS DOUBLE) / 10000 AS width, CASE WHEN vec_id % 7 <> 0 THEN 0.3333 END AS height FROM {embeddings}"""
+
+
+@query("j13b_face_lines", f"WITH f AS ({FACE_ROWS}), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY center_x, center_y, pos) AS i FROM f) SELECT path, string_agg(printf('%d. %s (cx=%.3f, cy=%.3f, w=%.3f, h=%.3f)', i, name, center_x, center_y, width, coalesce(height, 0)), chr(10) ORDER BY i) AS block FROM n GROUP BY 1")
+def j13b(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.face_blocks(fixtures.frame(spark, d, FACE_ROWS)).select("path", "block")
+
+
+@query("j16c_records", "SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, CASE CASE WHEN o_orderkey % 12 = 5 THEN 0 ELSE o_orderkey % 6 END WHEN 0 THEN o_orderpriority WHEN 4 THEN 'two' || chr(10) || 'lines' ELSE 'x' END AS caption, CASE WHEN o_orderkey % 6 IN (0, 2, 3) OR o_orderkey % 12 = 5 THEN 'a|b' END AS keywords FROM orders WHERE o_orderkey % 12 <> 11")
+def j16c(spark: SparkSession, d: str) -> DataFrame:
+    first = responses.first_usable(responses.parse_responses(fixtures.frame(spark, d, fixtures.RESPONSES))).where("status <> 'failed'")
+    got = responses.flatten_result(first, first.select("group_key", F.col("group_key").alias("main_path")))
+    return got.select("group_key", F.get_json_object("record", "$.caption").alias("caption"), _text(F.from_json(F.get_json_object("record", "$.keywords"), "array<string>")).alias("keywords"))
+
+
+MARKED = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, 1 AS attempt, CASE o_orderkey % 4
+  WHEN 0 THEN concat('- {', chr(10), '- "a": "', o_orderpriority, '",', chr(10), '- "b": 2', chr(10), '- }')
+  WHEN 1 THEN concat('{', chr(10), '- "a": "old",', chr(10), '- "b": 1,', chr(10), '- "c": 3', chr(10), '+ "a": "', o_orderpriority, '",', chr(10), '+ "b": 2,', chr(10), '+ "c": 4', chr(10), '}')
+  WHEN 2 THEN concat('{"a": "[?] [?][?] [?][?]', o_orderpriority, '"}') ELSE concat('cannot read order ', CAST(o_orderkey AS STRING), ' {') END AS raw FROM {orders} o"""
+
+
+@query("i03_marked_replies", "SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, 'ok' AS status, CASE WHEN o_orderkey % 4 = 2 THEN '[illegible] ' || o_orderpriority ELSE o_orderpriority END AS a, CASE WHEN o_orderkey % 4 < 2 THEN '2' END AS b FROM orders WHERE o_orderkey % 4 < 3")
+def i03(spark: SparkSession, d: str) -> DataFrame:
+    p = responses.parse_responses(fixtures.frame(spark, d, MARKED)).where("status <> 'failed'")
+    return p.select("group_key", "status", F.get_json_object("json", "$.a").alias("a"), F.get_json_object("json", "$.b").alias("b"))
+
+
+@query("i08_failures", "SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, 1 AS attempt, 'lenient parse' AS stage, 'cannot read order ' || o_orderkey || ' {' AS context FROM orders WHERE o_orderkey % 4 = 3")
+def i08(spark: SparkSession, d: str) -> DataFrame:
+    return responses.failures(responses.parse_responses(fixtures.frame(spark, d, MARKED), details=True))
+
+
+RECORDS = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, 0 AS ord, concat('{"keywords": ["', CASE WHEN o_orderkey % 2 = 0 THEN 'Postcard' ELSE 'Boat' END, '", "x", "Acme m-1 Analyzed"], "caption": "c", "title": null, "category": "', CASE WHEN o_orderkey % 3 = 0 THEN 'Poster' ELSE 'Postcard' END,
+ '", "ai_caption": "[AI Analysis]: seen. Inferred date: 1960', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ' (confidence 0.60; evidence: stamp).' END, '"', CASE WHEN o_orderkey % 7 = 0 THEN ', "mood": "x"' ELSE '' END,
+ ', "location_guess": {"country": null, "state": null, "city": null, "sublocation": null, "confidence": ', CASE WHEN o_orderkey % 11 = 0 THEN '1.5' ELSE '0.5' END, '}', CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE ', "date_guess": {"iso": "1960", "confidence": 0.6, "import_date": "1960-06-15", "pattern": "Y!"}' END,
+ ', "proposed_new_keywords": [{"keyword": "k", "note": "n", "section": "', CASE WHEN o_orderkey % 17 = 0 THEN 'nowhere' ELSE 'animals_pets' END, '", "scope": "', CASE WHEN o_orderkey % 19 = 0 THEN 'wide' ELSE 'general' END, '"}]}') AS record FROM {orders} o"""
+_RULE_SQL = {
+    "required_fields": "o_orderkey % 13 <> 0", "no_extra_fields": "o_orderkey % 7 <> 0", "category_known": "o_orderkey % 3 <> 0", "category_keyword": "o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0", "ai_caption_end": "o_orderkey % 5 <> 0 AND o_orderkey % 13 <> 0",
+    "location_range": "o_orderkey % 11 <> 0", "date_fields": "o_orderkey % 13 <> 0", "date_range": "o_orderkey % 13 <> 0", "proposal_sections": "o_orderkey % 17 <> 0", "proposal_scopes": "o_orderkey % 19 <> 0",
+}
+
+
+@query("j17b_record_conformance", " UNION ALL ".join(f"SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, '{r}' AS rule, {_RULE_SQL.get(r, 'true')} AS ok FROM orders" for r in responses.RECORD_RULES))
+def j17b(spark: SparkSession, d: str) -> DataFrame:
+    return responses.record_conformance(fixtures.frame(spark, d, RECORDS)).drop("ord")
+
+
+@query("d12_first_notes", f"WITH {AN} SELECT group_key, arg_min(nullif(caption, ''), ord) FILTER (WHERE caption <> '') AS analysis_notes FROM an WHERE caption <> '' GROUP BY 1")
+def d12(spark: SparkSession, d: str) -> DataFrame:
+    return consolidate.first_notes(_analyses(spark, d).withColumn("analysis_notes", F.col("caption")))
+
+
+@query("h12_service_names", "SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 'Claude' WHEN event_id % 5 = 2 THEN 'Gemini' WHEN event_id % 5 = 3 THEN 'OpenRouter' ELSE 'ChatGPT' END AS service, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'asked' END AS model FROM events")
+def h12(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    named = F.element_at(F.array(*map(F.lit, (" Claude", "anthropic", "GOOGLE", "openrouter ", "other"))), (F.col("event_id") % 5 + 1).cast("int"))
+    answered = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, " ")
+    return e.select("event_id", responses.provider_name(named).alias("service"), responses.model_name(answered, F.lit("asked")).alias("model"))
+
+
+VALUES = """SELECT concat('{"path": "/a/', CAST(o_orderkey AS STRING), '.jpg", "proposed_changes": {"set": {"XMP:dc:Title": ', CASE o_orderkey % 4 WHEN 0 THEN '["a"]' WHEN 1 THEN '{"a": 1}' WHEN 2 THEN CAST(o_orderkey AS STRING) ELSE '"[text]"' END, '}}}') AS value FROM {orders} o"""
+
+
+@query("h25_nested_values", "SELECT '/a/' || o_orderkey || '.jpg' AS path, CASE o_orderkey % 4 WHEN 2 THEN CAST(o_orderkey AS VARCHAR) WHEN 3 THEN '[text]' END AS value, CASE WHEN o_orderkey % 4 < 2 THEN 'list or map value' END AS warning FROM orders")
+def h25(spark: SparkSession, d: str) -> DataFrame:
+    return changes.plan_tag_writes(archive.parse_changesets(fixtures.frame(spark, d, VALUES)), ALLOWED).drop("tag")
+
+
+@query("a09b_context_bytes", "SELECT doc_id AS batch_id, left(t, CAST(list_max(list_filter(range(0, 62), lambda k: strlen(left(t, CAST(k AS INTEGER))) <= 61)) AS INTEGER)) AS photo_context FROM (SELECT doc_id, text AS t FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '') d")
+def a09b(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("batch_id"), none.alias("arg_text"), none.alias("arg_file"), F.col("text").alias("manifest_text"), none.alias("manifest_file"))
+    return archive.effective_context(docs, 61).where("photo_context IS NOT NULL").select("batch_id", "photo_context")
+
+
+REPLIES = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, 1 AS attempt, CASE WHEN o_orderkey % 6 = 5 THEN 'no' ELSE concat('{"result": {"main": {"keywords": ["Boat", "', o_orderstatus, '"], "caption": "c", "ai_caption": "[AI Analysis]: order ', CAST(o_orderkey AS STRING),
+ '", "title": "Boat at sea", "date_guess": {"iso": "1960", "confidence": 0.5, "import_date": "1960-06-15", "pattern": "Y~"},', CASE WHEN o_orderkey % 6 = 1 THEN '}}}' ELSE ' "analysis_notes": null}}}' END) END AS raw FROM {orders} o"""
+
+
+def _run(spark: SparkSession, d: str) -> jobs.Merged:
+    return jobs.merge_responses(_meta_items(spark, d), fixtures.frame(spark, d, REPLIES), jobs.Run(RUN, AT, DAY))
+
+
+@query("changeset_pipeline", META + f""", rp AS (SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 6 <> 5), f AS (SELECT i.*, o_orderkey, {_ci("list_concat(keywords, ['Boat', o_orderstatus, 'Acme m-1 Analyzed'])")} AS un, {_ci("keywords")} AS own FROM items i JOIN rp USING (group_key))
+SELECT path, group_key, '{RUN}' AS run_id, CASE WHEN title IS NULL THEN 'Boat at sea' END AS title, '[AI Analysis on {DAY}]: order ' || o_orderkey AS comment, array_to_string(list_sort(list_filter(un, lambda x: NOT list_contains(own, x) AND lower(x) <> 'back') || CASE WHEN part_kind = 'back' THEN ['back'] ELSE [] END), '|') AS added FROM f""")
+def changeset_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """From the items' metadata and raw replies to changesets."""
+    c = _run(spark, d).changesets
+    return c.select("path", "group_key", "run_id", F.col("proposed_changes.set")[changes.TITLE].alias("title"), F.col("proposed_changes.set")[changes.COMMENT].alias("comment"), _text(F.array_sort("proposed_changes.keywords_add")).alias("added"))
+
+
+@query("d15_result_counts", META + ", s AS (SELECT CASE WHEN CAST(substr(group_key, 4) AS BIGINT) % 6 = 5 THEN 'error' ELSE 'ok' END AS status, group_key FROM items) SELECT status, count(DISTINCT group_key) AS n_groups, count(*) AS n_files FROM s GROUP BY 1")
+def d15(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.run_counts(_run(spark, d))
