@@ -55,10 +55,11 @@ def stream_unique_responses(stream: DataFrame, delay: str = "1 hour") -> DataFra
 
 
 def grow_vocabulary(spark: SparkSession, landed: DataFrame, vocabulary: str, checkpoint: str) -> StreamingQuery:
-    """Appends keywords of a stream (keyword, section, note) that the vocabulary table lacks."""
+    """Appends keywords of a stream (keyword, section, note) that the vocabulary table lacks; a null
+    or blank keyword is none. A repeated batch finds its keywords known and adds nothing."""
 
     def batch(df: DataFrame, _: int) -> None:
         known = spark.read.parquet(vocabulary)
-        df.dropDuplicates(["keyword"]).join(known.select("keyword"), "keyword", "left_anti").select(known.columns).write.mode("append").parquet(vocabulary)
+        df.where("trim(keyword) <> ''").dropDuplicates(["keyword"]).join(known.select("keyword"), "keyword", "left_anti").select(known.columns).write.mode("append").parquet(vocabulary)
 
     return landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -318,3 +318,27 @@ def test_streams(spark, tmp_path):
     (lines / "a.ndjson").write_text("\n".join(LINES))
     jobs.stream_tag_plan(spark, str(lines), str(tmp_path / "plan"), ALLOWED, str(tmp_path / "cp2")).awaitTermination(60)
     assert spark.read.schema("path string, tag string, value string, warning string").json(str(tmp_path / "plan")).count() == 3
+
+
+def test_growing_vocabulary(spark, tmp_path):
+    land, table = tmp_path / "land", str(tmp_path / "words")
+    land.mkdir()
+    spark.createDataFrame([("boat", "Things", None)], "keyword string, section string, note string").write.parquet(table)
+    offers = [["boat", "pier", "pier", None, " "], ["pier", "gull"]]
+    for n, words in enumerate(offers):
+        (land / f"{n}.json").write_text("\n".join(json.dumps({"keyword": w, "section": "Things"}) for w in words))
+        stream = spark.readStream.schema("keyword string, section string, note string").json(str(land))
+        jobs.grow_vocabulary(spark, stream, table, str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(r.keyword for r in spark.read.parquet(table).collect()) == ["boat", "gull", "pier"]
+
+
+def test_repeated_deliveries(spark, tmp_path):
+    land, out = tmp_path / "land", str(tmp_path / "out")
+    land.mkdir()
+    times = ["2024-05-01T10:00:00", "2024-05-01T10:10:00"]
+    for n, at in enumerate(times):  # the second file repeats the first delivery and brings another attempt
+        (land / f"{n}.json").write_text("\n".join(json.dumps({"group_key": "x", "attempt": a, "landed_at": at}) for a in (1, 1 + n)))
+        stream = spark.readStream.schema("group_key string, attempt int, landed_at timestamp").json(str(land))
+        once = jobs.stream_unique_responses(stream).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+        once.trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.attempt for r in spark.read.json(out).collect()) == [1, 2]
