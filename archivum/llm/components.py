@@ -1,4 +1,9 @@
-"""Connected components of an edge table, by repeated contraction."""
+"""Connected components of an edge table, by repeated contraction.
+
+Vertices are integers. Repeated edges and edges in both directions count once; an edge from a vertex to
+itself and one with a null end link nothing, and a vertex that has no other edge isn't in the result. Other
+columns are not read, ties of hashes go to the smaller vertex, and no edges give an empty result.
+"""
 
 from __future__ import annotations
 
