@@ -8,6 +8,12 @@ returns a DataFrame; all but the last return the columns of ``documents``.
 3. duplicates  of documents linked by a Jaccard similarity of 0.8 of five-word shingles one stays
 4. personal    personal data in the text is masked
 5. packing     what is left is cut into sequences along a Hilbert curve
+
+``documents`` needs doc_id, text and lang; other columns, whatever their names, are carried as they
+are (but ``n_chars``, which masking counts again). A null, empty or blank text has no letter and goes in
+stage 1, a null lang is only not learned from. Rows without an id link with nothing and stay; a repeated row
+stays once, and of an id with several texts every text stays or goes with it. Among linked documents that
+with the smallest id stays. Texts of any length are read whole. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -40,8 +46,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("quality", good_lines), ("duplicates", near_duplicates), ("personal", personal), ("packing", packed)]
 
-#: Language, spans and ids come from trained models and a tokenizer, which SQL can't express; the
-#: tests hold each stage against a brute-force version.
+#: Language, spans and ids come from trained models and a tokenizer, which SQL can't express. The tests hold
+#: quality, duplicates and packing against plain versions, and masking against the base spans.
 ORACLE_SQL = None
 
 
