@@ -43,7 +43,12 @@ PAGE_CHARS, TAG_CHARS = 200_000, 4096
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title noscript template svg textarea iframe object".split())
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Of these, elements that hold markup: without an end tag their start tag alone is passed over.
+NESTING = frozenset("template svg object".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+COMMENT_END = re.compile("--!?>")
+#: Numeric references of eight digits and more.
+WIDE_REF = re.compile("&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 STOP = re.compile("[>\"']")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -54,10 +59,17 @@ OTHER_TAGS = frozenset(("nav", "header", "footer", "aside", "form", "button", "s
 OTHER_WORDS = frozenset("ad ads advert advertisement banner promo sponsor sponsored menu nav navbar breadcrumb sidebar widget related footer header notice cookie consent popup modal newsletter subscribe share social comment comments reply respond form login search".split())
 
 
+def narrowed(m: re.Match) -> str:
+    """A numeric reference without leading zeros; one beyond every character is U+FFFD."""
+    hexadecimal = m[0][2] in "xX"
+    digits = m[0][2 + hexadecimal :].rstrip(";").lstrip("0") or "0"
+    return f"&#{'x' * hexadecimal}{digits};" if len(digits) < 8 else "\ufffd"
+
+
 def decoded(text: str) -> str:
     """With character references resolved and white space folded."""
     if "&" in text:
-        text = text.replace("&amp;", "&") if text.count("&") == text.count("&amp;") else html.unescape(text)
+        text = text.replace("&amp;", "&") if text.count("&") == text.count("&amp;") else html.unescape(WIDE_REF.sub(narrowed, text))
     return " ".join(text.split())
 
 
@@ -86,13 +98,21 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool]]:
         if m:
             name, closing = m[1].lower(), page[at + 1] == "/"
             end = tag_end(page, at, absent)
-            if name in RAW and not closing:
-                stop = RAW_END[name].search(page, end)
-                end = stop.end() if stop else len(page)
+            if name in RAW and not closing and not (name == "svg" and page[end - 2] == "/"):
+                stop = None if name in absent else RAW_END[name].search(page, end)
+                if stop:
+                    end = tag_end(page, stop.start(), absent) or len(page)
+                elif name in NESTING:
+                    absent.add(name)
+                else:
+                    end = len(page)
             yield at, end, name, closing
         elif page.startswith("<!--", at):
-            end = page.find("-->", at + 4) + 3
-            end = end if end > 2 else len(page)
+            if page.startswith((">", "->"), at + 4):  # an empty comment
+                end = page.find(">", at) + 1
+            else:
+                stop = COMMENT_END.search(page, at + 4)
+                end = stop.end() if stop else len(page)
             yield at, end, "", False
         elif page.startswith(("<!", "<?"), at):
             end = page.find(">", at) + 1

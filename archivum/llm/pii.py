@@ -78,7 +78,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         found += [(s, 0, e) for s, e in emails(text)]
     if "." in text:
-        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
             d = m[0].replace(" ", "").replace("-", "")

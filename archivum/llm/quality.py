@@ -192,8 +192,9 @@ lv AS (SELECT rid, n, nth > 1 AS dup, (nth > 1 OR menu OR alike > 2 OR 3 * sy >=
   OR (n <= {LONG_LINE} AND regexp_matches(lo, '(^|[^a-z0-9])({"|".join(BOILERPLATE)})([^a-z0-9]|$)')) OR (n <= 3 AND flat IN ({_quoted(NAVIGATION)})) OR (n >= 3 AND 3 * sp >= n)
   OR (n BETWEEN 5 AND {LONG_LINE} AND NOT contains('{CLOSING.replace("'", "''")}', tail))) AS bad FROM mr),
 la AS (SELECT rid, sum(CASE WHEN dup THEN 1 ELSE 0 END) AS dups, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM lv GROUP BY rid),
-g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) > 2),
-g3 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g),
+wd AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT rid, i, x, lead(x, 1) OVER o AS y, lead(x, 2) OVER o AS z FROM wd WINDOW o AS (PARTITION BY rid ORDER BY i)),
+g3 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS c FROM g WHERE z IS NOT NULL),
 rp AS (SELECT rid, count(DISTINCT i + j) AS reps FROM g3, (VALUES (0), (1), (2)) AS o(j) WHERE c >= 2 GROUP BY rid),
 s AS (SELECT w.rid, doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, coalesce(reps, 0) AS n_repeat_words,

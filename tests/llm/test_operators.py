@@ -237,6 +237,25 @@ def test_base_patterns_on_odd_strings():
     assert pii.base_spans("7" * 200_000 + "@" + "a" * 200_000) == []
 
 
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_long_runs_of_digits(n):
+    zeros = "0" * n
+    assert pii.base_spans(f"{zeros}.1.1.1 x") == [(0, 1, n + 6)]
+    assert pii.base_spans(f"{zeros}256.1.1.1") == [] == pii.base_spans("1" * n + ".1.1.1")
+    assert pii.base_spans(f"1.1.1.{zeros}") == [(0, 1, n + 6)]
+    assert htmltext.decoded(f"a&#{'1' * n};b &#x{'f' * n}c &#{zeros}65; &#x{zeros}41;") == "a\ufffdb \ufffd A A"
+
+
+def test_markup_ends():
+    text = lambda page: [b[0] for b in htmltext.blocks(page)]
+    assert text('<p>one<svg/></p><p>two<svg width="1" /> three</p>') == ["one", "two three"]
+    assert text("<p>one<svg><path></svg>two</p>") == ["onetwo"]
+    assert text("<p>one<!-- x --!>two</p><!--><p>three</p><!---><p>four</p><!-- five <b>") == ["onetwo", "three", "four"]
+    assert text('<script>x</script foo=">">one</p><style>y</style\n><p>two') == ["one", "two"]
+    assert text("<p>one<svg><template><object>two</p><p>three</p>") == ["onetwo", "three"]
+    assert text("<p>one<script>two</p>") == ["one"]
+
+
 def test_tagger_finds_most_base_spans(spark, tagger):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").rlike("[0-9@]")).collect()]
     found = pii.network_spans(texts, tagger)
@@ -640,7 +659,7 @@ def test_hostile_pages_take_time_that_grows_with_their_length():
     import time
 
     model = htmltext.Labeller()
-    for t in ["<a " * 1_700_000, "<script " * 625_000, '<a "' * 1_250_000, "<" * 5_000_000, "<!--" * 1_250_000, '<div class="' + "a " * 2_500_000]:
+    for t in ["<a " * 1_700_000, "<script " * 625_000, '<a "' * 1_250_000, "<" * 5_000_000, "<!--" * 1_250_000, "<svg>" * 1_000_000, "<svg>" * 500_000 + "</svg " * 400_000, '<div class="' + "a " * 2_500_000]:
         at = time.process_time()
         model.main([htmltext.blocks(t)])
         assert time.process_time() - at < 5
