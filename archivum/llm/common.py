@@ -57,14 +57,17 @@ def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = folder or shared_folder(spark)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def emptied(*tables: DataFrame) -> None:
-    """Gives back the space of tables that ``written`` made and nothing reads any more."""
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            df.sparkSession.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_text(docs: DataFrame, text_col: str, keep: Sequence[str], fields: Sequence[T.StructField], per_batch: Callable[[list], dict], rows: int = BATCH_ROWS) -> DataFrame:

@@ -39,13 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, emptied, hashed_words, mix64, slices, written
+from .common import blocks_of, hashed_words, mix64, removed, slices, written
 from .components import connected_components
 
 BUCKET_BITS, FREQUENT_BITS = 22, 18
 LEVELS, VERIFY_COST = 4, 50.0
 SKETCH_BITS, STAR_ROUNDS = 1024, 2
 HOT_LIST, HOT_BITS, REORDERS = 500, 20, 2
+#: Pairs of one document that are verified together.
+SHARE = 256
 _K = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9E6C63D0676A9A99)]
 
 
@@ -186,25 +188,34 @@ def plausible(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Texts travel, as they are smaller
-    than their sets; a text that many pairs of a batch share is cut into shingles once."""
-    side = lambda k: texts.select(F.col("v").alias(k), F.col("text").alias(f"t{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    """The pairs (a, b) whose full sets reach the threshold, in either order. Texts travel, as they are
+    smaller than their sets: for each pair that of the end with fewer pairs, and with every ``SHARE`` of
+    them once that of the other end."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+    side = lambda k: ends.select(F.col("v").alias(k), F.struct("k", "v").alias(f"k{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select(F.greatest("ka", "kb").alias("hub"), F.least("ka", "kb")["v"].alias("b"))
+    both = written(both.select(F.col("hub.v").alias("a"), "b", F.ceil(F.col("hub.k") / SHARE).cast("int").alias("parts")))
+    own = both.select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b").join(texts.withColumnRenamed("v", "b"), "b")
+    hubs = both.select("a", "parts").distinct().select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    rows = own.select("a", "part", "b", "text").unionByName(hubs.join(texts.withColumnRenamed("v", "a"), "a").select("a", "part", "b", "text"))
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
-            own = list(dict.fromkeys(a + b))  # by text: a document id can stand on several
-            with np.errstate(over="ignore"):
-                sets = dict(zip(own, shingle_sets(own, words), strict=True))
+        at, hub = None, []  # the hub's sets: a document id can stand on several texts
+        for batch in slices(batches, 128):
+            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
             ok = []
-            for x, y in zip(a, b, strict=True):
-                x, y = sets[x], sets[y]
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * o >= percent * (len(x) + len(y) - o))
+            with np.errstate(over="ignore"):
+                for x, p, y, mine in zip(a, part, b, shingle_sets(batch.column("text").to_pylist(), words), strict=True):
+                    if at != (x, p):
+                        at, hub = (x, p), []
+                    if y is None:
+                        hub.append(mine)
+                    ok.append(y is not None and any(100 * (o := len(np.intersect1d(h, mine, assume_unique=True))) >= percent * (len(h) + len(mine) - o) for h in hub))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def full_texts(src: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -284,7 +295,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, key:
     named_c = written(reps.join(comp.withColumnRenamed("v", "rep"), "rep", "left").select("digest", "rep", F.coalesce("c", "rep").alias("c")))
     least = written(named_c.groupBy("c").agg(F.min("rep").alias("component")))
     answer = written(named_c.join(least, "c").select("digest", "component"))
-    emptied(*spent, own, met)
+    removed(*spent, own, met)
     return sets.select("doc", "n", "digest").join(answer, "digest", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
