@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, htmltext, langid, ngramjoin, packing, pii, quality, secrets, spiece, urlrules
+from . import ann, htmltext, langid, minhash, ngramjoin, packing, phrases, pii, quality, runs, secrets, spiece, urlrules
 from .common import table
 
 
@@ -56,5 +56,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_personal_data, op3_line_quality, op4_ivf_pq_search, op5_sampled_pieces, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan)}
-ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_personal_data, op3_line_quality, op4_ivf_pq_search, op5_sampled_pieces, op6_language, op7_ngram_join, op8_main_text, op9_url_rules, op10_secret_scan, op11_periodic_runs, op12_collocations, op13_minhash_dedup)}
+ORACLE_SQL = {"op3_line_quality": quality.SQL, "op7_ngram_join": ngramjoin.SQL, "op9_url_rules": urlrules.SQL, "op11_periodic_runs": runs.SQL, "op12_collocations": phrases.SQL, "op13_minhash_dedup": minhash.SQL}
