@@ -43,7 +43,7 @@ from .common import mix64, removed, slices, written
 LEAST, TOP, COVER = 10, 2000, 50
 PLACES = 23
 #: Words that a task counts at a time, bytes of a text that are cut at a time, rows of a batch that leaves.
-CHUNK, WINDOW, ROWS = 3_000_000, 1 << 22, 100_000
+CHUNK, WINDOW, ROWS = 1_500_000, 1 << 21, 100_000
 STARTS, ENDS, MEETS = 1, 2, 4
 SALTS = 64
 UNKNOWN = "und"
