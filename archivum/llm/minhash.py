@@ -13,13 +13,14 @@ set is empty and links with nothing. Two documents link when ``100 * intersectio
    round's empty bins filled up from others don't give.
 2. Bands. ``BANDS`` bands of ``DEPTH`` coordinates: two sets with similarity 0.8 share none with a chance
    of (1 - 0.8^6)^80 = 3e-11. Equal sets are one class beforehand, so copies never meet.
-3. In each band bucket one class is the centre; the others are compared with it, and what links
-   is joined. After ``STARS`` rounds with other centres, the pairs that are still in different components
-   are listed, all of them. Large groups of near copies so become one component without all
-   pairs being listed. Links inside a component can't change it.
-4. A pair is dropped without looking at its texts where its sizes rule a link out, or where more than
-   ``APART`` of the sketches' parity bits differ: of 480 bits 48 do at 0.8, and 102 or more with a
-   chance of 4e-12. All others are verified on the full sets.
+3. In each band bucket one class is the centre. Every class is compared with one of its buckets' centres in
+   another component, and what links is joined. After ``STARS`` rounds with other orders of centres, the pairs
+   that are still in different components are listed, all of them. Large groups of near copies so become
+   one component from a pair or two for each. Links inside a component can't change it.
+4. A pair is dropped without looking at its texts where its sizes rule a link out; where more bits differ
+   in the sets' parities (``PARITY`` bits, each odd or even by the elements that hash to it) than elements may; or
+   where more than ``APART`` of the sketches' parity bits differ: of 480 bits 48 do at 0.8, and 102 or more with
+   a chance of 4e-12. All others are verified on the full sets.
 
 Keys may be any integers. A null key has a null component and is kept; a repeated row gets the same
 answer again; a key with two texts counts as two documents that share a name. Null, empty and blank texts
@@ -31,6 +32,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, removed, slices, written
-from .ngramjoin import full_texts, merged, shingle_sets, verified
+from .ngramjoin import _need, full_texts, merged, shingle_sets, verified
 
 BANDS, DEPTH = 80, 6
 BINS = BANDS * DEPTH
-APART = 101
-STARS = 2
+APART, PARITY = 101, 1024
+STARS = 3
 #: Hashes for each bin in the first rounds of a small set: nearly all then have no empty bin.
 THROWS = 9
 #: Sets that are sketched together: what they throw fits a cache.
@@ -101,9 +104,19 @@ def banded(sketch: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 
 def signed(sketch: np.ndarray) -> np.ndarray:
     """A parity bit for each coordinate, in words of 64."""
-    bits = np.packbits((sketch & np.uint64(1)).astype(np.uint8), axis=1)
-    wide = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
-    wide[:, : bits.shape[1]] = bits
+    return packed((sketch & np.uint64(1)).astype(np.uint8))
+
+
+def odd(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of ``PARITY`` places whether an odd number of a set's elements hash to it."""
+    rows = [np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1 for s in sets]
+    return packed(np.array(rows, np.uint8).reshape(len(sets), PARITY))
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    got = np.packbits(bits, axis=1)
+    wide = np.zeros((len(got), -(-got.shape[1] // 8) * 8), np.uint8)
+    wide[:, : got.shape[1]] = got
     return wide.view(np.int64)
 
 
@@ -116,7 +129,7 @@ def sketch_table(src: DataFrame, words: int) -> DataFrame:
             with np.errstate(over="ignore"):
                 sets = list(shingle_sets(batch.column("text").to_pylist(), words))
                 sketch = sketched(sets)
-                bands, bits = banded(sketch), signed(sketch)
+                bands, bits = banded(sketch), np.concatenate((signed(sketch), odd(sets)), axis=1)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), n, pa.array(digest, pa.binary()), lists(bands), lists(bits)], names=["doc", "n", "digest", "bands", "bits"])
@@ -125,25 +138,27 @@ def sketch_table(src: DataFrame, words: int) -> DataFrame:
 
 
 def near(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
-    """Whether sizes and parity bits leave a link possible."""
-    apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart <= APART)
+    """Whether sizes, the sets' parities and the sketches' leave a link possible."""
+    cut = -(-BINS // 64)
+    apart = lambda lo, hi: reduce(add, [F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(lo, hi)])
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return sizes & (apart(cut, cut + PARITY // 64) <= na + nb - 2 * _need(na, nb, percent)) & (apart(0, cut) <= APART)
 
 
 def met_pairs(mine: DataFrame, own: DataFrame, percent: int, step: int | None) -> DataFrame:
-    """(a, b): classes (token, v, c) of buckets in which several components stand, with the bucket's centre of
-    that ``step`` where it is in another component; without a step all pairs of different components."""
+    """(a, b): of the classes (token, v, c) in buckets with several components, each with one centre of its buckets in
+    another component, by the order of that ``step``; without a step all pairs of different components."""
     rank = F.col("v") if step == 0 else F.xxhash64("v", F.lit(step or 0))
     mixed = mine.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(rank.alias("r"), "v", "c")).alias("m")).where("lo < hi")
+    side = lambda k: own.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
+    close = near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
     if step is not None:
-        met = mine.join(mixed.select("token", F.col("m.v").alias("cv"), F.col("m.c").alias("cc")), "token").where("c <> cc")
-        pairs = met.select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b")).distinct()
-        side = lambda k: own.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
+        met = mine.join(mixed.select("token", "m"), "token").where(F.col("c") != F.col("m.c"))
+        pairs = met.groupBy(F.col("v").alias("b")).agg(F.min("m").alias("m")).select(F.col("m.v").alias("a"), "b")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b")
     rest = written(mine.join(mixed.select("token"), "token").join(own.select("v", "n", "bits"), "v"))
     x, y = (rest.select("token", F.col("v").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab")
-    both = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent))
-    return both.select("a", "b").distinct()
+    return x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text_col: str = "text") -> DataFrame:
