@@ -13,10 +13,10 @@ set is empty and links with nothing. Two documents link when ``100 * intersectio
    round's empty bins filled up from others don't give.
 2. Bands. ``BANDS`` bands of ``DEPTH`` coordinates: two sets with similarity 0.8 share none with a chance
    of (1 - 0.8^6)^80 = 3e-11. Equal sets are one class beforehand, so copies never meet.
-3. In each band bucket one class is the centre. Every class is compared with one of its buckets' centres in
-   another component, and what links is joined. After ``STARS`` rounds with other orders of centres, the pairs
-   that are still in different components are listed, all of them. Large groups of near copies so become
-   one component from a pair or two for each. Links inside a component can't change it.
+3. In each band bucket one class is the centre. Every class is compared with two of its buckets' centres in
+   other components (that with which it shares most bands, and the first), and what links is joined. After
+   ``STARS`` such rounds, each with another order of centres, the pairs that are still in different components are listed, all of them. Large groups of near copies so become
+   one component from a few pairs for each. Links inside a component can't change it.
 4. A pair is dropped without looking at its texts where its sizes rule a link out; where more bits differ
    in the sets' parities (``PARITY`` bits, each odd or even by the elements that hash to it) than elements may; or
    where more than ``APART`` of the sketches' parity bits differ: of 480 bits 48 do at 0.8, and 102 or more with
@@ -46,7 +46,7 @@ from .ngramjoin import _need, full_texts, merged, shingle_sets, verified
 BANDS, DEPTH = 80, 6
 BINS = BANDS * DEPTH
 APART, PARITY = 101, 1024
-STARS = 3
+STARS = 1
 #: Hashes for each bin in the first rounds of a small set: nearly all then have no empty bin.
 THROWS = 9
 #: Sets that are sketched together: what they throw fits a cache.
@@ -146,15 +146,18 @@ def near(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column
 
 
 def met_pairs(mine: DataFrame, own: DataFrame, percent: int, step: int | None) -> DataFrame:
-    """(a, b): of the classes (token, v, c) in buckets with several components, each with one centre of its buckets in
-    another component, by the order of that ``step``; without a step all pairs of different components."""
+    """(a, b): of the classes (token, v, c) in buckets with several components, each with two centres of its buckets in
+    other components, that which it meets most often and the first by the order of that ``step``; without a step all pairs
+    of different components."""
     rank = F.col("v") if step == 0 else F.xxhash64("v", F.lit(step or 0))
     mixed = mine.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(rank.alias("r"), "v", "c")).alias("m")).where("lo < hi")
     side = lambda k: own.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}"))
     close = near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)
     if step is not None:
         met = mine.join(mixed.select("token", "m"), "token").where(F.col("c") != F.col("m.c"))
-        pairs = met.groupBy(F.col("v").alias("b")).agg(F.min("m").alias("m")).select(F.col("m.v").alias("a"), "b")
+        often = met.groupBy(F.col("v").alias("b"), "m").agg(F.count(F.lit(1)).alias("k"))
+        two = often.groupBy("b").agg(F.min("m").alias("x"), F.max(F.struct("k", "m")).alias("y"))
+        pairs = two.select(F.explode(F.array_distinct(F.array("x.v", "y.m.v"))).alias("a"), "b")
         return pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b")
     rest = written(mine.join(mixed.select("token"), "token").join(own.select("v", "n", "bits"), "v"))
     x, y = (rest.select("token", F.col("v").alias(k), F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"s{k}")) for k in "ab")
