@@ -97,6 +97,17 @@ def diff_rows(rows: DataFrame, before: str, threshold: float = THRESHOLD, keep:
     return r.select(*keep, "path", pairs(old).alias("file_metadata"), pairs(new).alias("set"), rules.without(F.col("aw"), F.col("bw")).alias("keywords_add"), rules.without(F.col("bw"), F.col("aw")).alias("keywords_remove"))
 
 
+def patch_columns(rows: DataFrame, threshold: float = THRESHOLD) -> list[Column]:
+    """``canonical_patch`` on the row itself: patch (tag to value, keywords joined by ``|``) and suggestions (tag, value, confidence)."""
+    every = _scalars(rows)
+    sure = lambda c: F.lit(True) if c is None else c.isNull() | (c >= threshold)
+    words = F.nullif(F.array_join(_words(rows), "|"), F.lit(""))
+    pair = lambda ok, t, v: F.when(ok & v.isNotNull(), F.struct(F.lit(t).alias("tag"), v.alias("value")))
+    patch = F.map_from_entries(F.array_compact(F.array(pair(F.lit(True), KEYWORDS, words), *[pair(sure(c), t, v) for t, v, c in every])))
+    offers = [F.when(~sure(c) & v.isNotNull(), F.struct(F.lit(t).alias("tag"), v.alias("value"), c.alias("confidence"))) for t, v, c in every if c is not None]
+    return [patch.alias("patch"), F.array_compact(F.array(*offers)).alias("suggestions")]
+
+
 def changeset_records(diffs: DataFrame, before: DataFrame, groups: DataFrame, run_id: str, created_at: str, version: int = 1) -> DataFrame:
     """Auditable records: ids, the file's values before, what the model was sent (groups: path,
     group_key, sent), and the proposed changes."""

@@ -28,6 +28,14 @@ def group_manifest(items: DataFrame) -> DataFrame:
     return g.orderBy(F.lower("group_key"), "group_key")
 
 
+def primary_order(policy: str = EXACT) -> Column:
+    """What orders a group's files by: the first is its primary (r, s, ord, path, version, back)."""
+    v, front = F.col("variant_id"), ~is_back()
+    rank = F.when(F.col("preferred"), 0).when(F.lit(policy == EXACT) & front, 1).when(front & v.isNull(), 2).otherwise(3)
+    by_version = F.when(rank == 1, F.coalesce(v, F.lit("")))
+    return F.struct(rank.alias("r"), F.coalesce(by_version, F.lit("")).alias("s"), F.col("ord"), F.col("path"), v.alias("version"), is_back().alias("back"))
+
+
 def group_summary(items: DataFrame, policy: str = EXACT) -> DataFrame:
     """group_key, primary_path, primary_version, back_path, primary_front, and the numbers of
     variants, pages and files of every group.
@@ -39,10 +47,7 @@ def group_summary(items: DataFrame, policy: str = EXACT) -> DataFrame:
     The table is read once. Rows are first reduced to one a version and page, so a giant group is
     small when its rows meet; a group's backs are then one a version."""
     v, front = F.col("variant_id"), ~is_back()
-    exact = F.lit(policy == EXACT)
-    rank = F.when(F.col("preferred"), 0).when(exact & front, 1).when(front & v.isNull(), 2).otherwise(3)
-    by_version = F.when(rank == 1, F.coalesce(v, F.lit("")))
-    best = F.min(F.struct(rank.alias("r"), F.coalesce(by_version, F.lit("")).alias("s"), F.col("ord"), F.col("path"), v.alias("version"), is_back().alias("back")))
+    best = F.min(primary_order(policy))
     earliest = lambda c: F.min(F.when(c, F.struct("ord", "path")))
     one = items.groupBy("group_key", "variant_id", "page_num").agg(best.alias("p"), earliest(front).alias("f"), earliest(is_back()).alias("b"), F.count(F.lit(1)).alias("n"))
     backs = F.collect_list(F.when(F.col("b").isNotNull(), F.struct(v.alias("version"), "b")))

@@ -59,16 +59,16 @@ def map_exif_tags(tags: DataFrame, fields: Sequence[str] = (), raw: bool = False
     return t.groupBy("source_file").agg(*[pick(k) for k in ("dateTimeOriginal", "userComment", "caption", "title")], F.count_if(F.col("k").isNotNull()).alias("n_mapped"), *([kept.alias("raw")] if raw else []))
 
 
-def combine_group_metadata(items: DataFrame) -> DataFrame:
+def combine_group_metadata(items: DataFrame, *also: Column) -> DataFrame:
     """One row a group: the keywords of all its files (preferred files first, in order, without
     regard to case) and the first value of each field that isn't blank, preferred files first; so too
-    gps, face_tags and location_shown, where the items have them."""
+    gps, face_tags and location_shown, where the items have them, and what further aggregates are asked for."""
     pref = F.when(F.col("preferred"), 0).otherwise(1)
     field = lambda c: first_by(rules.strip(F.col(c)), pref.alias("p"), "ord", "path", when=rules.blank_to_null(F.col(c)).isNotNull()).alias(c)
     words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(pref.alias("p"), "ord", "path", F.coalesce("keywords", F.array().cast("array<string>")).alias("k")))), lambda x: x["k"]))
     whole = lambda c: first_by(c, pref.alias("p"), "ord", "path", when=F.col(c).isNotNull()).alias(c)
     nested = [whole(c) for c in ("gps", "face_tags", "location_shown") if c in items.columns]
-    return items.groupBy("group_key").agg(rules.ci_distinct(words).alias("keywords"), *nested, *[field(c) for c in ("title", "caption", "date_original", "location", "state_province", "city", "country", "user_comment")])
+    return items.groupBy("group_key").agg(rules.ci_distinct(words).alias("keywords"), *nested, *[field(c) for c in ("title", "caption", "date_original", "location", "state_province", "city", "country", "user_comment")], *also)
 
 
 def request_fields(combined: DataFrame) -> DataFrame:

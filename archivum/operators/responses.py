@@ -109,13 +109,12 @@ def _mended_json(s: pd.Series) -> pd.DataFrame:
 CONTEXT = 80
 
 
-def parse_responses(responses: DataFrame, details: bool = False) -> DataFrame:
-    """(group_key, attempt, status, json): ok, repaired or failed; with ``details`` also stage and
+def parse_responses(responses: DataFrame, details: bool = False, keys: Sequence[str] = ("group_key", "attempt")) -> DataFrame:
+    """(group_key, attempt, or other ``keys``; status, json): ok, repaired or failed; with ``details`` also stage and
     context of failures: where the repair stopped, and the text around that place.
 
     Every reply is read and parsed once, step by step in projections of their own. The Python repair
     gets nulls for what the strict parse accepted."""
-    keys = ("group_key", "attempt")
     p = responses.select(*keys, rules.strip(F.coalesce("raw", F.lit(""))).alias("s")).select(*keys, payload(F.col("s")).alias("s"))
     p = p.select(*keys, rules.strip(F.col("s")).alias("s")).select(*keys, without_marks(F.col("s")).alias("s")).select(*keys, collapsed(F.col("s")).alias("text"))
     p = p.withColumn("ok", F.expr("try_parse_json(text)").isNotNull())
@@ -138,10 +137,11 @@ def failures(parsed: DataFrame) -> DataFrame:
     return g.where("good = 0").select("group_key", "x.*")
 
 
-def first_usable(parsed: DataFrame) -> DataFrame:
-    """Each group's lowest attempt that isn't failed; groups without one have status failed."""
+def first_usable(parsed: DataFrame, *further: str) -> DataFrame:
+    """Each group's lowest attempt that isn't failed; groups without one have status failed. ``further`` keys part a
+    group's replies."""
     use = F.when(F.col("status") != "failed", F.struct("attempt"))
-    return parsed.groupBy("group_key").agg(F.coalesce(F.min_by("status", use), F.lit("failed")).alias("status"), F.min_by("attempt", use).alias("attempt"), F.min_by("json", use).alias("json"), F.max("attempt").alias("last_attempt"))
+    return parsed.groupBy("group_key", *further).agg(F.coalesce(F.min_by("status", use), F.lit("failed")).alias("status"), F.min_by("attempt", use).alias("attempt"), F.min_by("json", use).alias("json"), F.max("attempt").alias("last_attempt"))
 
 
 def retry_queue(parsed: DataFrame) -> DataFrame:
@@ -149,11 +149,11 @@ def retry_queue(parsed: DataFrame) -> DataFrame:
     return first_usable(parsed).where("status = 'failed'").select("group_key", (F.col("last_attempt") + 1).alias("attempt"))
 
 
-def flatten_result(parsed: DataFrame, expected: DataFrame) -> DataFrame:
-    """(group_key, record): the record under the expected path (expected: group_key, main_path),
+def flatten_result(parsed: DataFrame, expected: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(group_key, keep, record): the record under the expected path (expected: group_key, main_path),
     else the only one there is; null else."""
     r = F.from_json("json", RESULT)["result"]
-    return parsed.join(expected, "group_key").select("group_key", F.coalesce(r[F.col("main_path")], F.when(F.size(r) == 1, F.map_values(r)[0])).alias("record"))
+    return parsed.join(expected, "group_key").select("group_key", *keep, F.coalesce(r[F.col("main_path")], F.when(F.size(r) == 1, F.map_values(r)[0])).alias("record"))
 
 
 RULES = ("three_keywords", "has_caption", "confidence_range", "import_date_form", "pattern_form", "date_keyword", "date_keyword_matches")
@@ -216,12 +216,15 @@ def record_conformance(records: DataFrame) -> DataFrame:
     return r.select("group_key", "ord", F.explode(named).alias("c")).select("group_key", "ord", "c.rule", "c.ok")
 
 
-def record_analyses(records: DataFrame) -> DataFrame:
-    """Records (group_key, ord, record as JSON text) as the analyses that the later jobs read."""
+def record_analyses(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Records (group_key, ord, keep, record as JSON text) as the analyses that the later jobs read, with the tokens that
+    the record says were used."""
     r = records.withColumn("r", F.from_json("record", RECORD))
     loc = [F.col(f"r.location_guess.{k}").alias(f"loc_{k}") for k in ("country", "state", "city", "sublocation", "confidence")]
     date = [F.col(f"r.date_guess.{k}").alias(f"date_{n}") for k, n in (("iso", "iso"), ("import_date", "import"), ("pattern", "pattern"), ("confidence", "confidence"))]
-    return r.select("group_key", "ord", "r.keywords", "r.caption", "r.ai_caption", "r.title", "r.category", "r.analysis_notes", *loc, *date, F.col("r.proposed_new_keywords").alias("proposals"))
+    used = lambda k: F.get_json_object("record", f"$._usage.{k}")
+    tokens = [used(k).try_cast("bigint").alias(k) for k in ("prompt_tokens", "completion_tokens")] + [used("model").alias("model")]
+    return r.select("group_key", "ord", *keep, *tokens, "r.keywords", "r.caption", "r.ai_caption", "r.title", "r.category", "r.analysis_notes", *loc, *date, F.col("r.proposed_new_keywords").alias("proposals"))
 
 
 # The services' names as settings give them, and as keywords show them.

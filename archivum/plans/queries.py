@@ -758,20 +758,66 @@ def a09b(spark: SparkSession, d: str) -> DataFrame:
     return archive.effective_context(docs, 61).where("photo_context IS NOT NULL").select("batch_id", "photo_context")
 
 
-REPLIES = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, 1 AS attempt, CASE WHEN o_orderkey % 6 = 5 THEN 'no' ELSE concat('{"result": {"main": {"keywords": ["Boat", "', o_orderstatus, '"], "caption": "c", "ai_caption": "[AI Analysis]: order ', CAST(o_orderkey AS STRING),
- '", "title": "Boat at sea", "date_guess": {"iso": "1960", "confidence": 0.5, "import_date": "1960-06-15", "pattern": "Y~"},', CASE WHEN o_orderkey % 6 = 1 THEN '}}}' ELSE ' "analysis_notes": null}}}' END) END AS raw FROM {orders} o"""
+def _run_items(spark: SparkSession, d: str) -> DataFrame:
+    """Files with their own key, some without a date, some with a shown place."""
+    m = _meta_items(spark, d).withColumn("path", F.concat_ws("#", "path", "ord")).withColumn("date_original", F.when(F.col("ord") % 3 < 2, F.col("date_original")))
+    return m.withColumn("location_shown", F.when(F.col("ord") % 4 == 1, F.struct("country", F.col("state_province").alias("state"), "city", F.lit(None).cast("string").alias("sublocation"))))
+
+
+def _run_replies(spark: SparkSession, d: str) -> DataFrame:
+    """A reply for each analysis: some in a fence, some cut off, some refused, some that succeed on the second attempt."""
+    a, k = _analyses(spark, d), F.col("o_orderkey")
+    place = F.struct(F.col("loc_country").alias("country"), F.col("loc_state").alias("state"), F.col("loc_confidence").alias("confidence"))
+    date = F.struct(F.col("date_iso").alias("iso"), F.col("date_import").alias("import_date"), F.col("date_pattern").alias("pattern"), F.col("date_confidence").alias("confidence"))
+    offers = F.array(F.struct(F.lit("Boat").alias("keyword"), F.lit("on the water").alias("note"), F.lit("objects").alias("section")))
+    usage = F.struct("prompt_tokens", "completion_tokens", "model")
+    text = F.to_json(F.struct(F.struct(F.struct("keywords", "caption", "ai_caption", F.lit("Boat at sea").alias("title"), place.alias("location_guess"), date.alias("date_guess"), offers.alias("proposed_new_keywords"), usage.alias("_usage")).alias("main")).alias("result")))
+    raw = F.when(k % 6 == 5, "no").when(k % 6 == 1, F.expr("substring(t, 1, length(t) - 2)")).when(k % 6 == 2, F.concat(F.lit("```json\n"), "t", F.lit("\n```"))).otherwise(F.col("t"))
+    a = a.select("group_key", "ord", "version", k, text.alias("t")).withColumn("raw", raw)
+    tried = F.when(k % 6 == 3, F.array(F.struct(F.lit(1).alias("attempt"), F.lit("cannot").alias("raw")), F.struct(F.lit(2).alias("attempt"), "raw"))).otherwise(F.array(F.struct(F.lit(1).alias("attempt"), "raw")))
+    return a.select("group_key", "ord", "version", F.explode(tried).alias("x")).select("group_key", "ord", "version", "x.*")
 
 
 def _run(spark: SparkSession, d: str) -> jobs.Merged:
-    return jobs.merge_responses(_meta_items(spark, d), fixtures.frame(spark, d, REPLIES), jobs.Run(RUN, AT, DAY))
+    return jobs.merge_responses(_run_items(spark, d), _run_replies(spark, d), jobs.Run(RUN, AT, DAY))
 
 
-@query("changeset_pipeline", META + f""", rp AS (SELECT concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 6 <> 5), f AS (SELECT i.*, o_orderkey, {_ci("list_concat(keywords, ['Boat', o_orderstatus, 'Acme m-1 Analyzed'])")} AS un, {_ci("keywords")} AS own FROM items i JOIN rp USING (group_key))
-SELECT path, group_key, '{RUN}' AS run_id, CASE WHEN title IS NULL THEN 'Boat at sea' END AS title, '[AI Analysis on {DAY}]: order ' || o_orderkey AS comment, array_to_string(list_sort(list_filter(un, lambda x: NOT list_contains(own, x) AND lower(x) <> 'back') || CASE WHEN part_kind = 'back' THEN ['back'] ELSE [] END), '|') AS added FROM f""")
+_RUN_SQL = (
+    META.replace("items AS (SELECT *,", "items AS (SELECT * REPLACE (CASE WHEN ord % 3 < 2 THEN date_original END AS date_original),") + _CMB
+    + f""", an AS (SELECT * REPLACE (replace(ai_caption, '[AI Analysis]:', '[AI Analysis on {DAY}]:') AS ai_caption), list_filter(string_split(keywords_text, '|'), lambda x: NOT ends_with(x, ' Analyzed')) || ['Acme m-1 Analyzed'] AS keywords FROM ({fixtures.ANALYSES}) a0 WHERE o_orderkey % 6 <> 5)""" + _SCOPE
+    + f""", bg AS (SELECT group_key, arg_max(loc_country, loc_confidence * 1000 - ord) AS loc_country, arg_max(loc_state, loc_confidence * 1000 - ord) AS loc_state, max(loc_confidence) AS loc_confidence, arg_max(date_iso, date_confidence * 1000 - ord) AS date_iso,
+ arg_max(date_import, date_confidence * 1000 - ord) AS date_import, arg_max(date_pattern, date_confidence * 1000 - ord) AS date_pattern, max(date_confidence) AS date_confidence, arg_min(ai_caption, ord) AS ai_caption,
+ arg_min(CASE WHEN caption LIKE '[Front]%' THEN split_part(caption, chr(10) || '[Back]', 1) ELSE caption END, ord) AS c, CAST(nullif(sum(prompt_tokens), 0) AS BIGINT) AS pt, CAST(nullif(sum(completion_tokens), 0) AS BIGINT) AS ct, arg_min(model, ord) AS model FROM an GROUP BY 1),
+kw AS (SELECT path, ord, list_filter(kw, lambda x: lower(x) <> 'back') || CASE WHEN part_kind = 'back' THEN ['back'] ELSE [] END AS ai FROM sk),
+mo AS (SELECT i.path, i.ord, i.group_key, i.part_kind, i.title AS o_title, i.caption AS o_caption, i.user_comment, coalesce(i.date_original, '') AS o_date, {_ci("list_concat(i.keywords, kw.ai)")} AS un, kw.ai, nullif(concat_ws(chr(10), nullif(trim(i.caption), ''), nullif(c, '')), '') AS caption, ai_caption,
+ date_iso, date_import, date_pattern, date_confidence, loc_country, loc_state, loc_confidence, i.ord % 4 = 1 AS sh, i.country AS s_country, i.state_province AS s_state, i.city AS s_city, i.location AS o_location, pt, ct, model
+ FROM items i JOIN bg USING (group_key) JOIN kw ON kw.path = i.path AND kw.ord = i.ord),
+mf""" + _MG.split("\nmf", 1)[1]
+)
+
+
+@query("changeset_pipeline", _RUN_SQL + _PATCH + _BEFORE + _DIFF.replace("SELECT kd.path,", f"SELECT kd.path, '{RUN}' AS run_id, regexp_extract(kd.path, '(box[0-9]+)[^/]*$', 1) AS group_key,"))
 def changeset_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """From the items' metadata and raw replies to changesets."""
+    """From the items' metadata and raw replies to changesets: all tags, and the keywords that come and go."""
     c = _run(spark, d).changesets
-    return c.select("path", "group_key", "run_id", F.col("proposed_changes.set")[changes.TITLE].alias("title"), F.col("proposed_changes.set")[changes.COMMENT].alias("comment"), _text(F.array_sort("proposed_changes.keywords_add")).alias("added"))
+    return c.select("path", "run_id", "group_key", *_diff_text(c, "proposed_changes.set", "proposed_changes.keywords_add", "proposed_changes.keywords_remove"))
+
+
+@query("m04_run_results", _RUN_SQL + _PATCH + """, pn AS (SELECT path, ord, count_if(decision = 'set') AS n_set, string_agg(CASE WHEN decision = 'suggest' THEN tag || '=' || value END, '|' ORDER BY tag) AS suggested FROM pch GROUP BY 1, 2)
+SELECT mg.path || '#' || mg.ord AS path, mg.overrides, n_set, coalesce(suggested, '') AS suggested, bg.pt AS prompt_tokens, bg.ct AS completion_tokens, CAST(coalesce(bg.pt, 0) + coalesce(bg.ct, 0) AS BIGINT) AS total_tokens, bg.model FROM mg JOIN pn ON pn.path = mg.path AND pn.ord = mg.ord JOIN bg ON bg.group_key = mg.group_key""")
+def m04(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows: what was overridden, how many tags are set, what is only suggested, and the tokens used."""
+    r = _run(spark, d).results
+    over = F.from_json(F.get_json_object("result", "$.overrides"), "array<string>")
+    offers = F.array_sort(F.transform("suggestions", lambda x: F.concat(x["tag"], F.lit("="), x["value"])))
+    return r.select("path", _text(F.coalesce(over, F.array().cast("array<string>"))).alias("overrides"), F.size("patch").cast("long").alias("n_set"), _text(offers).alias("suggested"), *[F.col(f"usage.{c}") for c in ("prompt_tokens", "completion_tokens")], F.coalesce("usage.total_tokens", F.lit(0)).alias("total_tokens"), "usage.model")
+
+
+@query("m04b_run_vocabulary", MEDIA + f", {AN}, k AS (SELECT group_key, ord, unnest(list_filter(keywords, lambda x: NOT ends_with(x, ' Analyzed'))) AS keyword FROM an WHERE o_orderkey % 6 <> 5 AND group_key IN (SELECT group_key FROM media)), r AS (SELECT *, CASE WHEN starts_with(keyword, 'PC-') THEN 'code' WHEN keyword <> 'Boat' THEN 'no proposal' END AS reason FROM k) SELECT keyword, reason, count(*) AS n, min(group_key) AS first_group FROM r WHERE reason IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'Boat', NULL, 1, min(group_key) FROM r WHERE reason IS NULL")
+def m04b(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the keywords that a run's analyses bring."""
+    got = jobs.vocabulary_decisions(_run(spark, d).analyses, spark.createDataFrame([], "keyword string"))
+    return got.groupBy("keyword", "reason").agg(F.count(F.lit(1)).alias("n"), F.min("group_key").alias("first_group"))
 
 
 @query("d15_result_counts", META + ", s AS (SELECT CASE WHEN CAST(substr(group_key, 4) AS BIGINT) % 6 = 5 THEN 'error' ELSE 'ok' END AS status, group_key FROM items) SELECT status, count(DISTINCT group_key) AS n_groups, count(*) AS n_files FROM s GROUP BY 1")

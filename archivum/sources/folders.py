@@ -29,3 +29,10 @@ def landed(lines: DataFrame) -> str:
     path = shared_folder(lines.sparkSession)
     lines.write.text(path)
     return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, for frames that several others read."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Landed files as streams: results and write plans.
 
 One response is one whole group, so the group jobs of a micro-batch see every row they need;
-nothing is kept between batches but the checkpoint."""
+nothing is kept between batches but the checkpoint, and for changesets the replies, as a later batch may
+bring another attempt of a group."""
 
 from __future__ import annotations
 
@@ -31,18 +32,35 @@ def stream_results(spark: SparkSession, landed: str, items: DataFrame, sink: Cal
     return spark.readStream.schema(RESPONSES).json(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_changesets(spark: SparkSession, landed: str, items: DataFrame, run: Run, out: str, checkpoint: str) -> StreamingQuery:
+def stream_changesets(spark: SparkSession, landed: str, items: DataFrame, run: Run, out: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Landed responses to result, error and changeset files (``out``/results, errors, changesets),
-    a folder a batch, which a repeated batch writes anew. ``items`` has the metadata columns."""
+    a folder a batch, which a repeated batch writes anew. ``items`` has the metadata columns.
+
+    Replies are kept in ``out``/replies, by batch and hash bucket of their group. A group that answers again, in
+    whatever batch, is merged from all its replies so far, each attempt once; ``latest`` reads what counts then. A batch
+    reads the buckets of its own groups only."""
 
     def batch(df: DataFrame, number: int) -> None:
-        got = merge_responses(items.join(df.select("group_key").distinct(), "group_key", "left_semi"), df, run)
+        bucket = F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int")
+        df.select("group_key", "attempt", "raw", bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/replies/batch={number}")
+        known = spark.read.schema(f"{RESPONSES}, batch long, bucket int").parquet(f"{out}/replies").where(F.col("batch") <= number)
+        fresh = known.where(F.col("batch") == number)
+        own = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        groups = fresh.select("group_key").distinct()
+        replies = known.where(F.col("bucket").isin(own)).join(groups, "group_key", "left_semi").groupBy("group_key", "attempt").agg(F.min_by("raw", "batch").alias("raw"))
+        got = merge_responses(items.join(groups, "group_key", "left_semi"), replies, run)
         for name in ("results", "errors", "changesets"):
             getattr(got, name).write.mode("overwrite").json(f"{out}/{name}/batch={number}")
 
     return spark.readStream.schema(RESPONSES).json(landed).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The rows of ``out``/``name`` that count: of each group those of the last batch that had a reply of it."""
+    last = spark.read.schema(f"{RESPONSES}, batch long, bucket int").parquet(f"{out}/replies").groupBy("group_key").agg(F.max("batch").alias("batch"))
+    return spark.read.json(f"{out}/{name}").join(last, ["group_key", "batch"], "left_semi")
+
+
 def stream_tag_plan(spark: SparkSession, landed: str, out: str, allowed: Sequence[str], checkpoint: str) -> StreamingQuery:
     """Changeset lines as they land to planned tag writes, without state."""
     plan = changes.plan_tag_writes(parse_changesets(spark.readStream.text(landed)), allowed)

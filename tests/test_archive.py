@@ -306,6 +306,73 @@ def test_stream_to_changesets(spark, tmp_path):
     assert [r.path for r in spark.read.json(str(out / "errors")).collect()] == ["/a/y.jpg"]
 
 
+def blank_items(spark, *paths):
+    none = F.lit(None).cast("string")
+    return items(spark, *paths).withColumns({c: none for c in ("title", "caption", "date_original", "location", "state_province", "city", "country", "user_comment")}).withColumn("keywords", F.array().cast("array<string>"))
+
+
+def reply(**record):
+    return json.dumps({"result": {"m": record}})
+
+
+def test_late_retries(spark, tmp_path):
+    """An attempt that fails in one batch and one that succeeds in the next leave one row a file, also after a replay."""
+    from archivum.plans.jobs import Run
+
+    land, out, cp = tmp_path / "land", str(tmp_path / "out"), tmp_path / "cp"
+    land.mkdir()
+    files = blank_items(spark, "/a/x.jpg", "/a/x-back.jpg", "/a/y.jpg")
+    batches = [[("x", 1, "no"), ("y", 1, reply(title="Pier"))], [("x", 2, reply(title="Boat")), ("x", 1, "no")]]
+    for n, rows in enumerate(batches):
+        (land / f"{n}.json").write_text("\n".join(json.dumps({"group_key": g, "attempt": a, "raw": r}) for g, a, r in rows))
+        jobs.stream_changesets(spark, str(land), files, Run("r", "t", "2024-05-01"), out, str(cp)).awaitTermination(120)
+        if n:
+            for name in ("1", ".1.crc"):  # as if the run had ended before its commit
+                (cp / "commits" / name).unlink()
+            jobs.stream_changesets(spark, str(land), files, Run("r", "t", "2024-05-01"), out, str(cp)).awaitTermination(120)
+        bad = sorted(r.path for r in jobs.latest(spark, out, "errors").collect())
+        good = sorted(r.path for r in jobs.latest(spark, out, "results").collect())
+        assert (good, bad) == ((["/a/y.jpg"], ["/a/x-back.jpg", "/a/x.jpg"]) if n == 0 else (["/a/x-back.jpg", "/a/x.jpg", "/a/y.jpg"], []))
+
+
+def test_runs_stand_side_by_side(spark, tmp_path):
+    row = lambda run, v: spark.createDataFrame([(run, v)], "run_id string, v int")
+    for df in (row("a", 1), row("b", 2), row("a", 3)):
+        sinks.write_ndjson(df, str(tmp_path / "o"), partition="run_id")
+    assert sorted((r.run_id, r.v) for r in spark.read.json(str(tmp_path / "o")).collect()) == [("a", 3), ("b", 2)]
+
+
+def test_run_keeps_what_people_wrote(spark):
+    """Captions stay and are added to, shown places stand, codes go to their version, words to all files."""
+    from archivum.operators import grouping
+    from archivum.plans.jobs import Run, merge_responses, vocabulary_decisions
+
+    files = blank_items(spark, "/a/x.jpg", "/a/xb.jpg", "/a/x-back.jpg", "/a/z.jpg", "/a/w.jpg")
+    first = F.col("path") == "/a/x.jpg"
+    files = files.withColumn("caption", F.when(first, "Aunt May at the pier")).withColumn("keywords", F.when(first, F.array(F.lit("Pier"), F.lit("PC-1"))).otherwise(F.col("keywords")))
+    files = files.withColumn("location_shown", F.when(first, F.expr("named_struct('country', 'Peru', 'state', CAST(NULL AS STRING), 'city', 'Cusco', 'sublocation', CAST(NULL AS STRING))")))
+    place = {"country": "Italy", "city": "Rome", "confidence": 0.9}
+    rows = [
+        ("x", 0, None, 1, reply(keywords=["Boat", "PC-7"], caption="typed text", title="At sea", location_guess=dict(place, confidence=0.8), _usage={"prompt_tokens": 5, "completion_tokens": 2, "model": "m-9"}, proposed_new_keywords=[{"keyword": "Boat", "note": "seen", "section": "objects"}])),
+        ("x", 1, "b", 1, "cannot"), ("x", 1, "b", 2, reply(keywords=["son", "PC-8"], location_guess=place, _usage={"prompt_tokens": 4}, analysis_notes="look")), ("z", 0, None, 1, "no"),
+    ]
+    got = merge_responses(files, spark.createDataFrame(rows, "group_key string, ord int, version string, attempt int, raw string"), Run("r", "t", "2024-05-01"))
+    new = {r.path: r.proposed_changes for r in got.changesets.collect()}
+    country = changes.LOCATION["country"]
+    assert set(new) == {"/a/x.jpg", "/a/xb.jpg", "/a/x-back.jpg"}
+    assert new["/a/x.jpg"].set[changes.DESCRIPTION] == "Aunt May at the pier\ntyped text" and new["/a/xb.jpg"].set[changes.DESCRIPTION] == "typed text"
+    assert new["/a/x.jpg"].set[country] == "Peru" and new["/a/x.jpg"].set[changes.LOCATION["city"]] == "Cusco" and new["/a/xb.jpg"].set[country] == "Italy"
+    assert set(new["/a/x.jpg"].keywords_add) == {"Boat", "son", "PC-7", "Acme m-1 Analyzed"} and new["/a/x.jpg"].keywords_remove == []
+    assert set(new["/a/xb.jpg"].keywords_add) == {"Pier", "Boat", "son", "PC-8", "Acme m-1 Analyzed"} and "back" in new["/a/x-back.jpg"].keywords_add
+    ok = {r.path: r for r in got.results.collect()}
+    assert ok["/a/x.jpg"].usage.asDict() == {"prompt_tokens": 9, "completion_tokens": 2, "total_tokens": 11, "model": "m-9"} and json.loads(ok["/a/xb.jpg"].result)["analysis_notes"] == "look"
+    assert {(r.path, r.message.split(":")[0]) for r in got.errors.collect()} == {("/a/z.jpg", "no object"), ("/a/w.jpg", "no reply")}
+    assert [(r.keyword, r.term) for r in got.forbidden.collect()] == [("son", "son")]
+    assert {(r.keyword, r.section, r.reason) for r in vocabulary_decisions(got.analyses, spark.createDataFrame([], "keyword string")).collect()} >= {("Boat", "objects_artifacts", None), ("son", None, "no proposal")}
+    filled = merge_responses(files, spark.createDataFrame(rows[:1], "group_key string, ord int, version string, attempt int, raw string"), Run("r", "t", "2024-05-01", policy=grouping.MERGE, code="PC-"))
+    assert {r.path: r.proposed_changes.set[changes.DESCRIPTION] for r in filled.changesets.collect()}["/a/xb.jpg"] == "Aunt May at the pier\ntyped text"
+
+
 def test_streams(spark, tmp_path):
     land = tmp_path / "land"
     land.mkdir()
