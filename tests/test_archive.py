@@ -347,7 +347,7 @@ def test_run_keeps_what_people_wrote(spark):
     from archivum.operators import grouping
     from archivum.plans.jobs import Run, merge_responses, vocabulary_decisions
 
-    files = blank_items(spark, "/a/x.jpg", "/a/xb.jpg", "/a/x-back.jpg", "/a/z.jpg", "/a/w.jpg")
+    files = blank_items(spark, "/a/x.jpg", "/a/x-b.jpg", "/a/x-back.jpg", "/a/z.jpg", "/a/w.jpg")
     first = F.col("path") == "/a/x.jpg"
     files = files.withColumn("caption", F.when(first, "Aunt May at the pier")).withColumn("keywords", F.when(first, F.array(F.lit("Pier"), F.lit("PC-1"))).otherwise(F.col("keywords")))
     files = files.withColumn("location_shown", F.when(first, F.expr("named_struct('country', 'Peru', 'state', CAST(NULL AS STRING), 'city', 'Cusco', 'sublocation', CAST(NULL AS STRING))")))
@@ -359,18 +359,18 @@ def test_run_keeps_what_people_wrote(spark):
     got = merge_responses(files, spark.createDataFrame(rows, "group_key string, ord int, version string, attempt int, raw string"), Run("r", "t", "2024-05-01"))
     new = {r.path: r.proposed_changes for r in got.changesets.collect()}
     country = changes.LOCATION["country"]
-    assert set(new) == {"/a/x.jpg", "/a/xb.jpg", "/a/x-back.jpg"}
-    assert new["/a/x.jpg"].set[changes.DESCRIPTION] == "Aunt May at the pier\ntyped text" and new["/a/xb.jpg"].set[changes.DESCRIPTION] == "typed text"
-    assert new["/a/x.jpg"].set[country] == "Peru" and new["/a/x.jpg"].set[changes.LOCATION["city"]] == "Cusco" and new["/a/xb.jpg"].set[country] == "Italy"
+    assert set(new) == {"/a/x.jpg", "/a/x-b.jpg", "/a/x-back.jpg"}
+    assert new["/a/x.jpg"].set[changes.DESCRIPTION] == "Aunt May at the pier\ntyped text" and new["/a/x-b.jpg"].set[changes.DESCRIPTION] == "typed text"
+    assert new["/a/x.jpg"].set[country] == "Peru" and new["/a/x.jpg"].set[changes.LOCATION["city"]] == "Cusco" and new["/a/x-b.jpg"].set[country] == "Italy"
     assert set(new["/a/x.jpg"].keywords_add) == {"Boat", "son", "PC-7", "Acme m-1 Analyzed"} and new["/a/x.jpg"].keywords_remove == []
-    assert set(new["/a/xb.jpg"].keywords_add) == {"Pier", "Boat", "son", "PC-8", "Acme m-1 Analyzed"} and "back" in new["/a/x-back.jpg"].keywords_add
+    assert set(new["/a/x-b.jpg"].keywords_add) == {"Pier", "Boat", "son", "PC-8", "Acme m-1 Analyzed"} and "back" in new["/a/x-back.jpg"].keywords_add
     ok = {r.path: r for r in got.results.collect()}
-    assert ok["/a/x.jpg"].usage.asDict() == {"prompt_tokens": 9, "completion_tokens": 2, "total_tokens": 11, "model": "m-9"} and json.loads(ok["/a/xb.jpg"].result)["analysis_notes"] == "look"
+    assert ok["/a/x.jpg"].usage.asDict() == {"prompt_tokens": 9, "completion_tokens": 2, "total_tokens": 11, "model": "m-9"} and json.loads(ok["/a/x-b.jpg"].result)["analysis_notes"] == "look"
     assert {(r.path, r.message.split(":")[0]) for r in got.errors.collect()} == {("/a/z.jpg", "no object"), ("/a/w.jpg", "no reply")}
     assert [(r.keyword, r.term) for r in got.forbidden.collect()] == [("son", "son")]
     assert {(r.keyword, r.section, r.reason) for r in vocabulary_decisions(got.analyses, spark.createDataFrame([], "keyword string")).collect()} >= {("Boat", "objects_artifacts", None), ("son", None, "no proposal")}
     filled = merge_responses(files, spark.createDataFrame(rows[:1], "group_key string, ord int, version string, attempt int, raw string"), Run("r", "t", "2024-05-01", policy=grouping.MERGE, code="PC-"))
-    assert {r.path: r.proposed_changes.set[changes.DESCRIPTION] for r in filled.changesets.collect()}["/a/xb.jpg"] == "Aunt May at the pier\ntyped text"
+    assert {r.path: r.proposed_changes.set[changes.DESCRIPTION] for r in filled.changesets.collect()}["/a/x-b.jpg"] == "Aunt May at the pier\ntyped text"
 
 
 def test_streams(spark, tmp_path):
