@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
+from . import schema
 
 RESULT = "result map<string, string>"
 # The categories and sections that a record may name.
@@ -190,6 +191,25 @@ RECORD_RULES = (
 )
 
 
+def record_schema() -> dict:
+    """The schema of one record."""
+    text, maybe, share = {"type": "string"}, {"type": ["string", "null"]}, {"type": "number", "minimum": 0.0, "maximum": 1.0}
+    sections = [s for s in SECTIONS if s != "date_reference"]
+    proposal = schema.fixed_object({k: text for k in FIELDS["proposal"]} | {"section": {"type": "string", "enum": sections}, "scope": {"type": "string", "enum": list(SCOPES)}})
+    fields = {
+        "keywords": {"type": "array", "items": text, "minItems": 3}, "caption": text, "ai_caption": text, "title": maybe, "category": {"type": "string", "enum": list(CATEGORIES)},
+        "location_guess": schema.fixed_object({k: maybe for k in FIELDS["location_guess"]} | {"confidence": share}),
+        "date_guess": schema.fixed_object({k: text for k in FIELDS["date_guess"]} | {"confidence": share, "import_date": {"type": "string", "pattern": r"^\d{4}-\d{2}-\d{2}$"}}),
+        "proposed_new_keywords": {"type": "array", "items": proposal},
+    }
+    return schema.fixed_object(fields, optional=("proposed_new_keywords",))
+
+
+def reply_schema() -> dict:
+    """The schema of a whole reply: records keyed by path below ``result``."""
+    return schema.fixed_object({"result": {"type": "object", "additionalProperties": record_schema()}})
+
+
 def record_conformance(records: DataFrame) -> DataFrame:
     """(group_key, ord, rule, ok) of every record (group_key, ord, record as JSON text) and rule of
     ``RECORD_RULES``: fields that must and may stand, known values, ranges, and what keywords and the
@@ -247,9 +267,28 @@ def model_name(answered: Column, requested: Column) -> Column:
     return F.coalesce(F.when(rules.blank_to_null(answered).isNotNull(), answered), requested)
 
 
+def transport_sizes(parts: DataFrame, images: DataFrame, max_edge: int | None = 1024, quality: int | None = None) -> DataFrame:
+    """(group_key, transport), one row a group: what was sent of it, in order. ``parts`` are assembled parts, ``images``
+    planned payloads with one row a path (and ``bytes``, where they are known).
+
+    transport: max_edge, jpeg_quality, part_count, parts (label, count), front_count and back_count (null for none),
+    variants (path, part, bytes, mime, width, height, resized). A part whose image has no size keeps nulls."""
+    size = F.col("bytes").cast("long") if "bytes" in images.columns else F.lit(None).cast("long")
+    sent = images.select("path", size.alias("bytes"), "mime", F.col("sent_width").alias("width"), F.col("sent_height").alias("height"), "resized")
+    seen = F.struct("part_ord", "img_ord", "path", F.col("label").alias("part"), "bytes", "mime", "width", "height", "resized")
+    g = parts.join(sent, "path", "left").groupBy("group_key").agg(F.array_sort(F.collect_list(seen)).alias("v"))
+    g = g.withColumn("v", F.transform("v", lambda x: x.dropFields("part_ord", "img_ord")))
+    labels = F.array_distinct(F.transform("v", lambda x: x["part"]))
+    count = lambda same: F.size(F.filter("v", same))
+    g = g.withColumn("parts", F.transform(labels, lambda n: F.struct(n.alias("label"), count(lambda x: x["part"] == n).alias("count"))))
+    of = lambda name: F.nullif(count(lambda x: F.lower(rules.strip(x["part"])) == name), F.lit(0)).alias(f"{name}_count")
+    limits = (F.lit(max_edge).cast("int").alias("max_edge"), F.lit(quality).cast("int").alias("jpeg_quality"))
+    return g.select("group_key", F.struct(*limits, F.size("parts").alias("part_count"), "parts", of("front"), of("back"), F.col("v").alias("variants")).alias("transport"))
+
+
 def stamp_analyses(analyses: DataFrame, provider: str, model: str, day: str, sizes: DataFrame | None = None) -> DataFrame:
-    """Provenance keyword and dated caption; with ``sizes`` (group_key, sent_width, sent_height) also
-    what was sent."""
+    """Provenance keyword and dated caption; with ``sizes`` (see ``transport_sizes``, one row a group) also what was
+    sent."""
     if sizes is not None:
         analyses = analyses.join(sizes, "group_key", "left")
     return analyses.withColumn("keywords", rules.provenance(F.col("keywords"), provider, model)).withColumn("ai_caption", rules.dated_caption(F.col("ai_caption"), day))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import changes, consolidate, grouping, merging, metadata, naming, responses
+from ..operators import changes, consolidate, grouping, merging, metadata, naming, responses, schema
 from ..sources import archive, fixtures, folders, sinks
+from ..streaming import jobs as streams
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,9 +488,9 @@ def j30(spark: SparkSession, d: str) -> DataFrame:
 # --- records, vocabulary, write plans ---------------------------------------------------------------------------
 
 
-@query("j31_result_records", MEDIA + f", {AN}, us AS (SELECT group_key, nullif(sum(prompt_tokens), 0) AS p, nullif(sum(prompt_tokens + completion_tokens), 0) AS t, arg_min(model, ord) AS model FROM an GROUP BY 1), f AS (SELECT path, arg_max(group_key, ord) AS group_key FROM media GROUP BY 1) SELECT path, group_key, 'ok' AS status, CAST(p AS BIGINT) AS prompt_tokens, CAST(t AS BIGINT) AS total_tokens, model, 'b1' AS batch_id, true AS dry_run FROM f JOIN us USING (group_key)")
+@query("j31_result_records", MEDIA + f", {AN}, us AS (SELECT group_key, nullif(sum(prompt_tokens), 0) AS p, nullif(sum(completion_tokens), 0) AS c, nullif(sum(prompt_tokens + completion_tokens), 0) AS t, arg_min(model, ord) AS model FROM an GROUP BY 1), f AS (SELECT path, arg_max(group_key, ord) AS group_key FROM media GROUP BY 1) SELECT path, group_key, 'ok' AS status, CAST(p AS BIGINT) AS prompt_tokens, CAST(c AS BIGINT) AS completion_tokens, CAST(t AS BIGINT) AS total_tokens, model, 'b1' AS batch_id, true AS dry_run FROM f JOIN us USING (group_key)")
 def j31(spark: SparkSession, d: str) -> DataFrame:
-    return changes.result_records(_items(spark, d), consolidate.usage_rollup(_analyses(spark, d)), "b1", True).drop("completion_tokens")
+    return changes.result_records(_items(spark, d), consolidate.usage_rollup(_analyses(spark, d)), "b1", True)
 
 
 FAILURES = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, CASE o_orderkey % 3 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'length' ELSE 'ValueError' END AS type, concat('order ', CAST(o_orderkey AS STRING)) AS message, 'line 1' AS traceback FROM {orders} WHERE o_orderkey % 6 = 5 OR o_orderkey % 8 = 0"""
@@ -823,3 +825,182 @@ def m04b(spark: SparkSession, d: str) -> DataFrame:
 @query("d15_result_counts", META + ", s AS (SELECT CASE WHEN CAST(substr(group_key, 4) AS BIGINT) % 6 = 5 THEN 'error' ELSE 'ok' END AS status, group_key FROM items) SELECT status, count(DISTINCT group_key) AS n_groups, count(*) AS n_files FROM s GROUP BY 1")
 def d15(spark: SparkSession, d: str) -> DataFrame:
     return jobs.run_counts(_run(spark, d))
+
+
+# --- schemas, quarantine, sidecars, what was sent ---------------------------------------------------------------------
+
+REPLIES = """SELECT concat('box', CAST(o_orderkey AS STRING)) AS group_key, CASE WHEN o_orderkey % 31 = 0 THEN '{"result": {' ELSE concat('{"result": {"box', CAST(o_orderkey AS STRING), '": {"keywords": ',
+ CASE WHEN o_orderkey % 2 = 0 THEN '["a", "b"]' WHEN o_orderkey % 3 = 0 THEN '["a", 3, "c"]' ELSE '["a", "b", "c"]' END, ', "caption": ', CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"c"' END, ', "ai_caption": "x", "title": ', CASE WHEN o_orderkey % 7 = 0 THEN '4' ELSE 'null' END,
+ ', "category": "', CASE WHEN o_orderkey % 11 = 0 THEN 'Poster' ELSE 'Postcard' END, '", "location_guess": {"country": "x", "state": null, "sublocation": null, "confidence": ', CASE o_orderkey % 13 WHEN 0 THEN '1.5' WHEN 1 THEN '-0.5' WHEN 2 THEN '"high"' ELSE '1' END,
+ CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE ', "city": null' END, '}, "date_guess": {"iso": "1960", "confidence": 0.6, "pattern": "Y!", "import_date": "', CASE WHEN o_orderkey % 19 = 0 THEN '1960-6-15' ELSE '1960-06-15' END, '"}', CASE WHEN o_orderkey % 23 = 0 THEN ', "mood": [1]' ELSE '' END,
+ ', "proposed_new_keywords": [{"keyword": "k", "note": "n", "scope": "general", "section": "', CASE WHEN o_orderkey % 29 = 0 THEN 'nowhere' ELSE 'animals_pets' END, '"}]}}}') END AS json FROM {orders} o"""
+# (rows that break it, place, keyword, what it asks for)
+_BROKEN = (
+    ("o_orderkey % 2 = 0", ".keywords", "minItems", 3), ("o_orderkey % 2 <> 0 AND o_orderkey % 3 = 0", ".keywords[1]", "type", "string"), ("o_orderkey % 5 = 0", ".caption", "type", "string"),
+    ("o_orderkey % 7 = 0", ".title", "type", ["string", "null"]), ("o_orderkey % 11 = 0", ".category", "enum", list(responses.CATEGORIES)), ("o_orderkey % 13 = 0", ".location_guess.confidence", "maximum", 1.0),
+    ("o_orderkey % 13 = 1", ".location_guess.confidence", "minimum", 0.0), ("o_orderkey % 13 = 2", ".location_guess.confidence", "type", "number"), ("o_orderkey % 17 = 0", ".location_guess", "required", "city"),
+    ("o_orderkey % 19 = 0", ".date_guess.import_date", "pattern", r"^\d{4}-\d{2}-\d{2}$"), ("o_orderkey % 23 = 0", ".mood", "additionalProperties", False),
+    ("o_orderkey % 29 = 0", ".proposed_new_keywords[0].section", "enum", [s for s in responses.SECTIONS if s != "date_reference"]),
+)
+
+
+def _broken_sql(shown: str = "concat('box', CAST(o_orderkey AS VARCHAR)) AS group_key, ") -> str:
+    rows = [f"SELECT {shown}concat('$.result.box', CAST(o_orderkey AS VARCHAR), '{at}') AS path, '{k}' AS keyword, '{json.dumps(x)}' AS expected FROM orders WHERE o_orderkey % 31 <> 0 AND {where}" for where, at, k, x in _BROKEN]
+    return " UNION ALL ".join([*rows, f"SELECT {shown}'$', 'json', 'null' FROM orders WHERE o_orderkey % 31 = 0"])
+
+
+@query("i10_schema_violations", _broken_sql())
+def i10(spark: SparkSession, d: str) -> DataFrame:
+    return schema.violations(fixtures.frame(spark, d, REPLIES), responses.reply_schema())
+
+
+ORDER_SCHEMA = {
+    "type": "object", "additionalProperties": False,
+    "properties": {
+        "key": {"type": "integer", "exclusiveMinimum": 100}, "total": {"type": "integer", "exclusiveMaximum": 100000}, "status": {"const": "O"}, "names": {"maxItems": 2, "items": {"maxLength": 1}},
+        "priority": {"minLength": 6, "maxLength": 14, "anyOf": [{"const": "1-URGENT"}, {"pattern": "LOW$"}, {"type": "null"}]},
+    },
+}
+
+
+@query("i10b_schema_keywords", """WITH v AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, round(o_totalprice) AS t, o_orderkey % 4 + 1 AS n FROM orders), f AS (
+SELECT '$.key' AS place, 'exclusiveMinimum' AS keyword FROM v WHERE k <= 100 UNION ALL SELECT '$.total', 'exclusiveMaximum' FROM v WHERE t >= 100000 UNION ALL SELECT '$.total', 'type' FROM v WHERE k % 3 = 0 UNION ALL SELECT '$.status', 'const' FROM v WHERE s <> 'O'
+UNION ALL SELECT '$.names', 'maxItems' FROM v WHERE n > 2 UNION ALL SELECT '$.names[]', 'maxLength' FROM v WHERE n >= 2 UNION ALL SELECT '$.priority', 'minLength' FROM v WHERE length(p) < 6 UNION ALL SELECT '$.priority', 'maxLength' FROM v WHERE length(p) > 14
+UNION ALL SELECT '$.priority', 'anyOf' FROM v WHERE p <> '1-URGENT' AND NOT ends_with(p, 'LOW')) SELECT place, keyword, count(*) AS n FROM f GROUP BY 1, 2""")
+def i10b(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    total = F.round("o_totalprice").cast("long").cast("string")
+    names = F.slice(F.array(*map(F.lit, ("a", "bb", "c", "d"))), F.lit(1), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    fields = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), names.alias("names")))
+    text = F.concat(F.regexp_replace(fields, r"\}$", ', "total": '), total, F.when(F.col("o_orderkey") % 3 == 0, ".5").when(F.col("o_orderkey") % 3 == 1, ".0").otherwise(""), F.lit("}"))
+    return schema.violation_counts(schema.violations(o.select("o_orderkey", text.alias("json")), ORDER_SCHEMA, keys=("o_orderkey",)))
+
+
+_LINES = fixtures.CHANGESETS.replace(" AS value FROM", " AS value, o_orderkey, CAST(floor(o_orderkey / 10000) AS BIGINT) AS bucket FROM")
+
+
+@query("a08_changeset_issues", f"WITH x AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY o_orderkey) AS line FROM ({_LINES}) l) SELECT bucket, line, CASE WHEN o_orderkey % 50 = 0 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN o_orderkey % 50 = 0 THEN 'not JSON' ELSE 'no path' END AS reason, value AS text FROM x WHERE o_orderkey % 50 = 0 OR (o_orderkey % 50 <> 1 AND o_orderkey % 41 = 0)")
+def a08(spark: SparkSession, d: str) -> DataFrame:
+    files = fixtures.frame(spark, d, _LINES).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "value"))).alias("l"))
+    out = folders.shared_folder(spark)
+    files.select("bucket", F.array_join(F.transform("l", lambda x: x["value"]), "\n").alias("value")).write.partitionBy("bucket").text(out)
+    r = archive.changeset_issues(spark, out)
+    return r.select(F.regexp_extract("file", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), "line", "severity", "reason", "text")
+
+
+SIDE = """SELECT concat('/archive/side/', CAST(o_orderkey AS STRING), '.json') AS file_path, CASE o_orderkey % 4 WHEN 0 THEN concat('{"title": "T', CAST(o_orderkey AS STRING), '", "keywords": ["a", "b"]}') WHEN 1 THEN '{"title": "T' WHEN 2 THEN '[1, 2]' ELSE '{"caption": "c"}' END AS body FROM {orders} o"""
+
+
+@query("a03_sidecars", f"SELECT path, ord, CASE WHEN ord % 2 = 0 THEN 'inline ' || ord WHEN l_orderkey % 4 = 0 THEN 'T' || l_orderkey END AS title, CASE WHEN ord % 2 = 1 AND l_orderkey % 4 = 3 THEN 'c' END AS caption, CASE WHEN ord % 2 = 1 AND l_orderkey % 4 = 0 THEN 'a|b' ELSE '' END AS keywords FROM ({fixtures.FILES}) f")
+def a03(spark: SparkSession, d: str) -> DataFrame:
+    out = folders.shared_folder(spark)
+    sinks.write_ndjson(fixtures.frame(spark, d, SIDE), out)
+    inline = F.when(F.col("ord") % 2 == 0, F.from_json(F.concat(F.lit('{"title": "inline '), F.col("ord").cast("string"), F.lit('"}')), f"struct<{archive.METADATA}>"))
+    it = fixtures.frame(spark, d, fixtures.FILES).select("path", "ord", inline.alias("metadata"), F.concat(F.lit("/archive//side/./"), F.col("l_orderkey").cast("string"), F.lit(".json")).alias("metadata_path"))
+    got = archive.item_metadata(archive.resolve_item_metadata(it, archive.read_sidecars(spark, out, lines=True)))
+    return got.select("path", "ord", "title", "caption", _text("keywords").alias("keywords"))
+
+
+_SENT = "im AS (SELECT path, CAST(min(l_partkey) % 4000 + 1 AS INTEGER) AS width, CAST(min(l_suppkey) * 37 % 3000 + 1 AS INTEGER) AS height, min(l_partkey) * 10 AS bytes FROM media GROUP BY 1)"
+_EDGE = lambda c: f"CASE WHEN greatest(width, height) > 1024 THEN greatest(1, CAST(round_even({c} * (1024.0::DOUBLE / greatest(width, height)), 0) AS INTEGER)) ELSE {c} END"
+
+
+def _payload(spark: SparkSession, d: str, max_edge: int | None) -> DataFrame:
+    one = _items(spark, d).groupBy("path").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    im = one.select("path", (F.col("p") % 4000 + 1).cast("int").alias("width"), (F.col("s") * 37 % 3000 + 1).cast("int").alias("height"), (F.col("p") * 10).alias("bytes"))
+    return metadata.payload_plan(im, max_edge)
+
+
+@query("j15b_payload_as_it_is", MEDIA + f", {_SENT} SELECT path, width AS sent_width, height AS sent_height, false AS resized, CASE WHEN lower(path) LIKE '%.png' THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM im")
+def j15b(spark: SparkSession, d: str) -> DataFrame:
+    return _payload(spark, d, None).select("path", "sent_width", "sent_height", "resized", "mime")
+
+
+@query("j18b_transport", MEDIA + _PARTS + _ASSEMBLE + f""", {_SENT}, {AN}, pc AS (SELECT group_key, part_ord, label, count(*) AS n FROM ap GROUP BY 1, 2, 3), pg AS (SELECT group_key, count(*) AS part_count, string_agg(label || ':' || n, '|' ORDER BY part_ord) AS parts, sum(n) FILTER (WHERE label = 'Front') AS fc, sum(n) FILTER (WHERE label = 'Back') AS bc FROM pc GROUP BY 1),
+vs AS (SELECT group_key, string_agg(path || ' ' || label || ' ' || bytes || ' ' || {_EDGE("width")} || 'x' || {_EDGE("height")}, '|' ORDER BY part_ord, img_ord) AS variants FROM ap JOIN im USING (path) GROUP BY 1)
+SELECT group_key, ord, CAST(part_count AS INTEGER) AS part_count, parts, CAST(fc AS INTEGER) AS front_count, CAST(bc AS INTEGER) AS back_count, variants, CASE WHEN parts IS NOT NULL THEN 85 END AS jpeg_quality FROM an LEFT JOIN pg USING (group_key) LEFT JOIN vs USING (group_key)""")
+def j18b(spark: SparkSession, d: str) -> DataFrame:
+    sizes = responses.transport_sizes(grouping.assemble_parts(_items(spark, d)), _payload(spark, d, 1024), 1024, 85)
+    t = responses.stamp_analyses(_analyses(spark, d), "Acme", "m-1", DAY, sizes).select("group_key", "ord", "transport.*")
+    variant = F.transform("variants", lambda x: F.concat_ws(" ", x["path"], x["part"], x["bytes"].cast("string"), F.concat_ws("x", x["width"].cast("string"), x["height"].cast("string"))))
+    part = F.transform("parts", lambda x: F.concat_ws(":", x["label"], x["count"].cast("string")))
+    return t.select("group_key", "ord", "part_count", _text(part).alias("parts"), "front_count", "back_count", _text(variant).alias("variants"), "jpeg_quality")
+
+
+@query("a01_inventory_changes", f"WITH i AS (SELECT path, min(l_partkey) AS p FROM ({fixtures.FILES}) f GROUP BY 1) SELECT path, CASE WHEN p % 7 = 0 THEN 'added' WHEN p % 7 = 1 THEN 'removed' ELSE 'changed' END AS change FROM i WHERE p % 7 < 4")
+def a01(spark: SparkSession, d: str) -> DataFrame:
+    i = fixtures.frame(spark, d, fixtures.FILES).groupBy("path").agg(F.min("l_partkey").alias("p")).withColumn("k", F.col("p") % 7)
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    state = lambda more, late: ((F.col("p") + more).alias("length"), F.when(late, at + F.expr("INTERVAL 1 SECOND")).otherwise(at).alias("modificationTime"))
+    old = i.where("k <> 0").select("path", *state(F.lit(0), F.lit(False)))
+    return archive.inventory_changes(old, i.where("k <> 1").select("path", *state(F.when(F.col("k") == 2, 1).otherwise(0), F.col("k") == 3)))
+
+
+@query("a07_read_responses", f"SELECT group_key, attempt, raw FROM ({fixtures.RESPONSES}) r")
+def a07(spark: SparkSession, d: str) -> DataFrame:
+    out = folders.shared_folder(spark)
+    sinks.write_ndjson(fixtures.frame(spark, d, fixtures.RESPONSES).withColumn("attempt", F.nullif("attempt", F.lit(1))), out)
+    return archive.read_responses(spark, out)
+
+
+@query("a11_results_json", MEDIA + " SELECT path, max(ord) AS ord, path AS record_path FROM media GROUP BY 1")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    out = folders.shared_folder(spark)
+    sinks.write_results_json(_items(spark, d).groupBy("path").agg(F.max("ord").alias("ord")), out)
+    return spark.read.schema("path string, record struct<path: string, ord: int>").json(out).select("path", "record.ord", F.col("record.path").alias("record_path"))
+
+
+@query("a14_run_status", "SELECT *, 'tag_apply' AS run FROM (" + ORACLE_SQL["j36_apply_summary"] + ") s UNION ALL SELECT 0, 0, 0, 0, 1, 'tag_apply'")
+def a14(spark: SparkSession, d: str) -> DataFrame:
+    out, cs = folders.shared_folder(spark), _changesets(spark, d)
+    sinks.append_run_status(changes.apply_summary(cs, ALLOWED), out)
+    sinks.append_run_status(changes.apply_summary(cs, ALLOWED, enabled=False), out)
+    kinds = "files_seen: long, files_written: long, tags_written: long, errors: long, warnings: long"
+    return spark.read.schema(f"run string, summary struct<{kinds}>").json(out).select("run", "summary.*")
+
+
+@query("c09_field_filter", ORACLE_SQL["j10_map_exif_tags"].replace(" AS k FROM tg)", " AS k FROM tg WHERE tag IN ('ExifIFD:UserComment', 'IPTC:ObjectName', 'XMP:Instructions'))"))
+def c09(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.map_exif_tags(fixtures.frame(spark, d, fixtures.TAGS), [" ExifIFD:UserComment,, ObjectName ", "XMP:Instructions, ObjectName", ""])
+
+
+# --- streams over landed files, read to their end -----------------------------------------------------------------------
+
+
+@query("s01_stream_results", MEDIA + ", st AS (" + ORACLE_SQL["j16_parse_responses"] + ") SELECT path, ord, CASE WHEN status = 'failed' THEN 'error' ELSE 'ok' END AS status FROM media JOIN st USING (group_key)")
+def s01(spark: SparkSession, d: str) -> DataFrame:
+    land, out = folders.shared_folder(spark), folders.shared_folder(spark)
+    sinks.write_ndjson(fixtures.frame(spark, d, fixtures.RESPONSES), land)
+    sink = lambda df, n: df.select("path", "ord", "status").write.mode("overwrite").parquet(f"{out}/batch={n}")
+    streams.stream_results(spark, land, _items(spark, d), sink, folders.shared_folder(spark)).awaitTermination()
+    return spark.read.schema("path string, ord int, status string").parquet(f"{out}/batch=*")
+
+
+@query("s02_stream_tag_plan", ORACLE_SQL["j35_plan_tag_writes"])
+def s02(spark: SparkSession, d: str) -> DataFrame:
+    out = folders.shared_folder(spark)
+    streams.stream_tag_plan(spark, folders.landed(fixtures.frame(spark, d, fixtures.CHANGESETS)), out, ALLOWED, folders.shared_folder(spark)).awaitTermination()
+    return spark.read.schema("path string, tag string, value string, warning string").json(out)
+
+
+@query("s04_stream_vocabulary", "SELECT DISTINCT * FROM (" + ORACLE_SQL["j34_admit_vocabulary"] + ") v")
+def s04(spark: SparkSession, d: str) -> DataFrame:
+    words = fixtures.frame(spark, d, fixtures.WORDS).groupBy("group_key").agg(F.collect_list(F.struct("ord", "keyword")).alias("words"))
+    proposals = fixtures.frame(spark, d, fixtures.PROPOSALS).groupBy("group_key").agg(F.collect_list(F.struct("pos", "keyword", "section", "note")).alias("proposals"))
+    land, out = folders.shared_folder(spark), folders.shared_folder(spark)
+    words.join(proposals, "group_key", "left").repartition(4, "group_key").write.json(land)
+    offers = spark.readStream.schema(streams.OFFERS).option("maxFilesPerTrigger", 2).json(land)
+    streams.stream_vocabulary(offers, fixtures.frame(spark, d, fixtures.VOCABULARY), out, responses.SECTIONS, folders.shared_folder(spark)).awaitTermination()
+    return streams.vocabulary_outcomes(spark, out)
+
+
+@query("s05_stream_unique", f"SELECT group_key, attempt FROM ({fixtures.RESPONSES}) r")
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    land, out = folders.shared_folder(spark), folders.shared_folder(spark)
+    r = fixtures.frame(spark, d, fixtures.RESPONSES).select("group_key", "attempt")
+    again = F.explode(F.sequence(F.lit(0), F.col("attempt") + 1)).alias("delivery")
+    r.select("*", again).select("group_key", "attempt", (F.lit("2024-05-01 10:00:00").cast("timestamp") + F.make_interval(mins="delivery")).alias("landed_at")).write.json(land)
+    stream = spark.readStream.schema("group_key string, attempt int, landed_at timestamp").json(land)
+    once = streams.stream_unique_responses(stream).select("group_key", "attempt").writeStream.format("json").option("path", out)
+    once.option("checkpointLocation", folders.shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("group_key string, attempt int").json(out)

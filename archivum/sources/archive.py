@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -71,6 +71,17 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("group_key string, attempt int, raw string").json(path).withColumn("attempt", F.coalesce("attempt", F.lit(1)))
 
 
+def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file_path, metadata) of landed sidecars: a JSON object a file, or with ``lines`` many packed into few files, a line
+    ``{"file_path": ..., "body": ...}`` each. Metadata is null where the text isn't a JSON object."""
+    if lines:
+        raw = spark.read.schema("file_path string, body string").json(path)
+    else:
+        raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file_path"), F.col("value").alias("body"))
+    is_object = F.schema_of_variant(F.try_parse_json("body")).startswith("OBJECT")
+    return raw.select("file_path", F.when(is_object, F.from_json("body", f"struct<{METADATA}>")).alias("metadata"))
+
+
 def resolve_item_metadata(items: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Inline metadata, else that of the sidecar at ``metadata_path`` (sidecars: file_path, metadata)."""
     side = sidecars.select(rules.normalize_path(F.col("file_path")).alias("side_path"), F.col("metadata").alias("side"))
@@ -84,6 +95,47 @@ def read_exif_export(spark: SparkSession, path: str, lines: bool = False) -> Dat
     return raw.select(F.col("r")["SourceFile"].alias("source_file"), F.posexplode("r").alias("tag_ord", "tag", "value")).where("tag <> 'SourceFile'")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Two frames: (value, file, block, id) of the lines below ``path``, and (file, block, shift) of their splits, so that
+    the line's number in its file is ``id + shift`` (see ``with_numbers``).
+
+    A split is read in order by one task, so ids within it have no gaps. What is counted is lines a split; only these
+    counts, one row a split, are ordered: no window ever holds the lines."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = text.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return text, splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+
+
+def with_numbers(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """Lines, or what was made of some of them, with their ``line`` instead of block and id; it counts from 1."""
+    return lines.join(splits, ["file", "block"]).withColumn("line", F.col("id") + F.col("shift")).drop("block", "id", "shift")
+
+
+def changeset_issues(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, severity, reason, text): the quarantine of the changeset files below ``path``. Lines that aren't JSON are errors; records
+    without a path, and proposals that are no object, are warnings. Blank lines count as lines and have no row. Only lines at fault are joined with the counts of their split."""
+    text, splits = numbered_lines(spark, path)
+    v = text.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    kind = lambda at: F.coalesce(F.schema_of_variant(F.try_variant_get("v", at, "variant")), F.lit("VOID"))
+    pathless = (kind("$.path") != "STRING") | (F.coalesce(F.try_variant_get("v", "$.path", "string"), F.lit("")) == "")
+    empty = F.coalesce(F.to_json(F.try_variant_get("v", "$.proposed_changes", "variant")), F.lit("null")).isin("null", "[]", '""', "0", "false")
+    shapeless = ~empty & ~kind("$.proposed_changes").startswith("OBJECT")
+    reason = F.when(F.col("v").isNull(), "not JSON").when(pathless, "no path").when(shapeless, "proposals are no object")
+    bad = v.select("file", "block", "id", reason.alias("reason"), F.col("value").alias("text")).where("reason IS NOT NULL")
+    severity = F.when(F.col("reason") == "not JSON", "error").otherwise("warning")
+    return with_numbers(bad, splits).select("file", "line", severity.alias("severity"), "reason", "text")
+
+
+def inventory_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, change): added, removed or changed (another length or time) between two inventories (path, length,
+    modificationTime; one row a path). A plan over a growing archive reads what was added or changed only."""
+    same = F.col("o.length").eqNullSafe(F.col("n.length")) & F.col("o.modificationTime").eqNullSafe(F.col("n.modificationTime"))
+    both = old.alias("o").join(new.alias("n"), F.col("o.path") == F.col("n.path"), "full")
+    change = F.when(F.col("o.path").isNull(), "added").when(F.col("n.path").isNull(), "removed").when(~same, "changed")
+    return both.select(F.coalesce("o.path", "n.path").alias("path"), change.alias("change")).where("change IS NOT NULL")
+
+
 def parse_changesets(lines: DataFrame) -> DataFrame:
     """Lines (``value``) as changesets, with the tags whose values are lists or maps (``nested``); a
     line that isn't JSON has ``bad`` and nothing else."""

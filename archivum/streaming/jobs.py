@@ -81,3 +81,30 @@ def grow_vocabulary(spark: SparkSession, landed: DataFrame, vocabulary: str, che
         df.where("trim(keyword) <> ''").dropDuplicates(["keyword"]).join(known.select("keyword"), "keyword", "left_anti").select(known.columns).write.mode("append").parquet(vocabulary)
 
     return landed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+OFFERS = "group_key string, words array<struct<ord: int, keyword: string>>, proposals array<struct<pos: int, keyword: string, section: string, note: string>>"
+
+
+def stream_vocabulary(offers: DataFrame, known: DataFrame, out: str, sections: Sequence[str], checkpoint: str) -> StreamingQuery:
+    """Growth of a vocabulary by its rules: a stream of ``OFFERS``, a row with all words and proposals of a group, to the
+    outcomes of ``admit_vocabulary`` against the static table ``known`` (keyword), a folder ``out``/batch=N a batch.
+
+    What a batch writes depends on its own rows only, so a repeated batch replaces its folder with the same rows, and
+    ``vocabulary_outcomes`` gives the same table however the rows came in batches. A group that is delivered again,
+    in whatever batch, offers the same and changes no admission."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        words = df.select("group_key", F.inline("words")).where("trim(keyword) <> ''")
+        outcome = changes.admit_vocabulary(words, df.select("group_key", F.inline("proposals")), known, sections)
+        outcome.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return offers.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def vocabulary_outcomes(spark: SparkSession, out: str) -> DataFrame:
+    """(keyword, section, note, reason, group_key, ord) of all batches: each admitted keyword (no reason) by its first offer
+    in order of group and place, each rejection once."""
+    rows = spark.read.schema("keyword string, section string, note string, reason string, group_key string, ord int").parquet(f"{out}/batch=*")
+    first = rows.where("reason IS NULL").groupBy("keyword").agg(F.min_by(F.struct("section", "note", "reason", "group_key", "ord"), F.struct("group_key", "ord", "section", "note")).alias("x"))
+    return rows.where("reason IS NOT NULL").distinct().unionByName(first.select("keyword", "x.*"))

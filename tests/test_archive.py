@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from archivum.functions import rules
-from archivum.operators import changes, consolidate, grouping, merging, metadata, naming, responses
+from archivum.operators import changes, consolidate, grouping, merging, metadata, naming, responses, schema
 from archivum.sources import archive, sinks
 from archivum.streaming import jobs
 
@@ -409,3 +409,114 @@ def test_repeated_deliveries(spark, tmp_path):
         once = jobs.stream_unique_responses(stream).writeStream.format("json").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
         once.trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r.attempt for r in spark.read.json(out).collect()) == [1, 2]
+
+
+def test_quarantine_numbers_lines_of_split_files(spark, tmp_path):
+    land, want = tmp_path / "land", set()
+    land.mkdir()
+    for f in range(3):
+        lines = []
+        for n in range(1, 400):
+            bad = (n * 7 + f) % 23
+            text = "{broken " + "x" * (n % 50) if bad == 0 else "" if bad == 1 else '{"proposed_changes": {}}' if bad == 2 else '{"path": "/p", "proposed_changes": "no"}' if bad == 3 else '{"path": "/p", "proposed_changes": []}' if bad == 4 else json.dumps({"path": f"/{n}.jpg"})
+            lines.append(text)
+            reason = {0: "not JSON", 2: "no path", 3: "proposals are no object"}.get(bad)
+            want |= {(f"{f}.ndjson", n, reason, text)} if reason else set()
+        (land / f"{f}.ndjson").write_text("\n".join(lines) + "\n" * f)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        assert archive.numbered_lines(spark, str(land))[1].count() > 10
+        got = archive.changeset_issues(spark, str(land)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.file.rsplit("/", 1)[-1], r.line, r.reason, r.text) for r in got} == want and len(got) == len(want)
+    assert {(r.severity, r.reason == "not JSON") for r in got} == {("error", True), ("warning", False)}
+
+
+def test_sidecar_files(spark, tmp_path):
+    texts = {"a": '{"title": "t", "keywords": ["k", "l"], "gps": {"lat": 1.5, "lon": 2}}', "b": '{"title": ', "c": '["x"]', "d": "", "e": '{"title": {"not": "text"}}'}
+    for n, text in texts.items():
+        (tmp_path / f"{n}.json").write_text(text)
+    side = archive.read_sidecars(spark, str(tmp_path))
+    asked = spark.createDataFrame([(f"/{n}.jpg", f"{tmp_path}/./{n}.json") for n in (*texts, "none")] + [("/x.jpg", None)], "path string, metadata_path string")
+    it = archive.item_metadata(archive.resolve_item_metadata(asked.withColumn("metadata", F.lit(None).cast(f"struct<{archive.METADATA}>")), side))
+    got = {r.path: (r.title, r.keywords, r.gps and r.gps.lat) for r in it.collect()}
+    assert got.pop("/a.jpg") == ("t", ["k", "l"], 1.5)
+    assert got.pop("/e.jpg")[0] == '{"not":"text"}'
+    assert len(got) == 5 and all(x == (None, [], None) for x in got.values())
+
+
+CASES = [
+    ({"type": "integer"}, [("1", True), ("1.0", True), ("1.5", False), ('"1"', False), ("null", False), ("true", False)]),
+    ({"type": ["number", "null"]}, [("1e3", True), ("null", True), ("[]", False), ("12345678901234567890", True)]),
+    ({"enum": ["a", 1, None, True]}, [('"a"', True), ("1.0", True), ("null", True), ("true", True), ("false", False), ('"1"', False), ("[]", False)]),
+    ({"const": 0}, [("0", True), ("false", False), ("null", False)]),
+    ({"minimum": 2}, [("1", False), ("2", True), ('"1"', True)]),
+    ({"minLength": 2, "maxLength": 3}, [('"a"', False), ('"\U0001f600\U0001f600"', True), ('"abcd"', False), ("7", True)]),
+    ({"pattern": "b+"}, [('"abba"', True), ('"aa"', False), ("3", True)]),
+    ({"items": {"type": "string"}, "maxItems": 2}, [("[]", True), ('["a", "b"]', True), ('["a", 1]', False), ('["a", "b", "c"]', False), ('{"a": 1}', True), ("[[]]", False)]),
+    ({"properties": {"a": {"type": "null"}}, "required": ["a"]}, [('{"a": null}', True), ("{}", False), ('{"a": 0}', False), ("[]", True), ("3", True)]),
+    ({"properties": {"a": {}}, "additionalProperties": {"type": "object", "additionalProperties": False}}, [('{"a": 1, "b": {}}', True), ('{"b": 1}', False), ('{"b": {"c": 1}}', False)]),
+    ({"anyOf": [{"type": "string"}, {"type": "array", "items": {"type": "number"}}]}, [('"a"', True), ("[1, 2]", True), ('["a"]', False), ("null", False)]),
+    ({}, [("null", True), ("{", False), ("", False)]),
+]
+
+
+@pytest.mark.parametrize("rule, texts", CASES, ids=[next(iter(c[0]), "none") for c in CASES])
+def test_schema_keywords(spark, rule, texts):
+    rows = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(texts)], "group_key string, json string")
+    bad = {r.group_key for r in schema.violations(rows, rule).collect()}
+    assert [(t, str(i) not in bad) for i, (t, _) in enumerate(texts)] == texts
+
+
+def test_schema_paths_and_unknown_keywords(spark):
+    rows = spark.createDataFrame([("g", '{"result": {"/a.jpg": {"keywords": ["x", 1], "mood": 2}}}'), ("n", None)], "group_key string, json string")
+    found = schema.violations(rows, responses.reply_schema())
+    got = {(r.group_key, r.path, r.keyword, r.expected) for r in found.collect()}
+    at = "$.result./a.jpg"
+    missing = {("g", at, "required", json.dumps(k)) for k in responses.REQUIRED if k != "keywords"}
+    assert got == missing | {("g", f"{at}.keywords[1]", "type", '"string"'), ("g", f"{at}.keywords", "minItems", "3"), ("g", f"{at}.mood", "additionalProperties", "false"), ("n", "$", "json", "null")}
+    assert {(r.place, r.n) for r in schema.violation_counts(found).collect() if r.keyword == "type"} == {(f"{at}.keywords[]", 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    for odd in ({"oneOf": []}, {"items": {"format": "date"}}, {"enum": [[1]]}):
+        with pytest.raises(ValueError):
+            schema.violations(rows, odd)
+
+
+def test_transport(spark):
+    parts = spark.createDataFrame([("g", 1, "Front", 1, "/a"), ("g", 1, "Front", 2, "/b"), ("g", 2, "Back", 1, "/c"), ("h", 1, "Page 1", 1, "/d")], "group_key string, part_ord int, label string, img_ord int, path string")
+    images = spark.createDataFrame([("/c", 3000, 1500), ("/a", 100, 50), ("/b", 10, 10)], "path string, width int, height int")
+    sizes = responses.transport_sizes(parts, metadata.payload_plan(images, 1024), 1024, 80)
+    analyses = spark.createDataFrame([("g", 0, ["k"], None), ("g", 1, ["k"], None), ("h", 0, [], None), ("x", 0, [], None)], "group_key string, ord int, keywords array<string>, ai_caption string")
+    got = {(r.group_key, r.ord): r.transport for r in responses.stamp_analyses(analyses, "P", "m", "2024-05-01", sizes).collect()}
+    assert len(got) == 4 and got["x", 0] is None and got["g", 0] == got["g", 1]
+    g, h = got["g", 0], got["h", 0]
+    assert (g.part_count, g.front_count, g.back_count, g.jpeg_quality) == (2, 2, 1, 80) and [(p.label, p["count"]) for p in g.parts] == [("Front", 2), ("Back", 1)]
+    assert [(v.path, v.part, v.width, v.height, v.resized) for v in g.variants] == [("/a", "Front", 100, 50, False), ("/b", "Front", 10, 10, False), ("/c", "Back", 1024, 512, True)]
+    assert (h.part_count, h.front_count, h.variants[0].width) == (1, None, None)
+
+
+def test_vocabulary_by_rules_in_any_order(spark, tmp_path):
+    def offer(group, *words):
+        return json.dumps({"group_key": group, "words": [{"ord": i, "keyword": w} for i, (w, _, _) in enumerate(words)], "proposals": [{"pos": i, "keyword": w, "section": s, "note": n} for i, (w, s, n) in enumerate(words) if s]})
+
+    lines = [offer("b", ("New", "people", "second"), ("PC-1", None, None)), offer("a", ("New", "animals", "first"), ("Old", "people", "x"), ("Vague", "people", "tbd")), offer("c", ("Vague", "people", "seen"), (" ", None, None))]
+    known = spark.createDataFrame([("Old",)], "keyword string")
+    results = []
+    for name, batches in {"one": [lines], "each": [[x] for x in lines], "turned": [[x] for x in reversed(lines)], "again": [lines[:2], lines[1:], lines[:1]]}.items():
+        land, out = tmp_path / name / "land", str(tmp_path / name / "out")
+        land.mkdir(parents=True)
+        for n, part in enumerate(batches):
+            (land / f"{n}.json").write_text("\n".join(part))
+            jobs.stream_vocabulary(spark.readStream.schema(jobs.OFFERS).json(str(land)), known, out, responses.SECTIONS, str(tmp_path / name / "cp")).awaitTermination()
+        results.append(sorted(jobs.vocabulary_outcomes(spark, out).collect(), key=str))
+    assert all(r == results[0] for r in results)
+    assert {(r.keyword, r.reason, r.group_key) for r in results[0]} == {("New", None, "a"), ("PC-1", "code", "b"), ("Vague", "placeholder note", "a"), ("Vague", None, "c")}
+
+
+def test_inventory_changes(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "path string, length long, modificationTime string")
+    got = archive.inventory_changes(frame([("/a", 1, "t"), ("/b", 1, "t"), ("/c", 1, "t"), ("/d", None, "t")]), frame([("/a", 1, "t"), ("/b", 2, "t"), ("/d", None, "t"), ("/e", 1, "t")])).collect()
+    assert {(r.path, r.change) for r in got} == {("/b", "changed"), ("/c", "removed"), ("/e", "added")}
