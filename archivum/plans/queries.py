@@ -361,16 +361,16 @@ _WAS = (("keywords", "keywords"), ("title", "title"), ("caption", "caption"), ("
 
 def _merged(spark: SparkSession, d: str, before: bool = False, reviewed_from: str = "union") -> DataFrame:
     files = _meta_items(spark, d)
-    rec = _analyses(spark, d).where("ord = 0").drop("ord", "version")
+    rec = _analyses(spark, d)
     was = [F.col(a).alias(f"b_{b}") for a, b in _WAS] + [F.lit(1.0).alias("b_loc_confidence"), F.lit(None).cast("double").alias("b_date_confidence")] if before else []
-    own = files.select(*was, "group_key", "path", "ord", "part_kind", F.col("keywords").alias("o_keywords"), F.col("title").alias("o_title"), F.col("caption").alias("o_caption"), F.when(F.col("ord") % 3 < 2, F.col("date_original")).alias("o_date"), F.col("location").alias("o_location"),
+    own = files.select(*was, "group_key", "path", "ord", "part_kind", "variant_id", F.col("keywords").alias("o_keywords"), F.col("title").alias("o_title"), F.col("caption").alias("o_caption"), F.when(F.col("ord") % 3 < 2, F.col("date_original")).alias("o_date"), F.col("location").alias("o_location"),
         F.when(F.col("ord") % 4 == 1, F.struct("country", F.col("state_province").alias("state"), "city", F.lit(None).cast("string").alias("sublocation"))).alias("o_shown"), "user_comment")
-    return merging.with_back_rule(merging.merge_with_original(own.join(rec.withColumn("title", F.lit("Boat at sea")), "group_key"), keep=[c for c in own.columns if c.startswith("b_")], reviewed_from=reviewed_from))
+    return merging.with_back_rule(merging.merge_with_original(merging.with_own_analysis(own, rec.withColumn("title", F.lit("Boat at sea"))), keep=[c for c in own.columns if c.startswith("b_")], reviewed_from=reviewed_from))
 
 
 _MG = f""", mo AS (SELECT i.path, i.ord, i.group_key, i.part_kind, i.title AS o_title, i.caption AS o_caption, i.user_comment, CASE WHEN i.ord % 3 < 2 THEN i.date_original ELSE '' END AS o_date, {_ci("list_concat(i.keywords, a.keywords)")} AS un, a.keywords AS ai, a.caption, a.ai_caption,
  a.date_iso, a.date_import, a.date_pattern, a.date_confidence, a.loc_country, a.loc_state, a.loc_confidence, i.ord % 4 = 1 AS sh, i.country AS s_country, i.state_province AS s_state, i.city AS s_city, i.location AS o_location
- FROM items i JOIN an a ON i.group_key = a.group_key AND a.ord = 0),
+ FROM items i JOIN (SELECT *, max(ord) OVER (PARTITION BY group_key) AS last FROM an) a ON i.group_key = a.group_key AND a.ord = CASE WHEN i.variant_id = 'b' THEN last ELSE 0 END),
 mf AS (SELECT *, coalesce(NOT list_contains(un, 'DATE: Y~') AND date_confidence >= 0.6 AND abs(CAST(left(date_import, 4) AS INTEGER) - TRY_CAST(left(o_date, 4) AS INTEGER)) > CASE WHEN date_pattern IN ('Y!M!D!', 'Y!M!') AND date_confidence >= 0.8 THEN 5 ELSE 20 END, false) AS fires,
  (CASE WHEN sh THEN coalesce(s_country, s_state, s_city) ELSE o_location END) IS NOT NULL AS ol FROM mo),
 mk AS (SELECT *, fires AND date_pattern <> 'bogus' AS marked, CASE WHEN ol THEN CASE WHEN sh THEN s_country END ELSE loc_country END AS lc, CASE WHEN ol THEN CASE WHEN sh THEN s_state END ELSE loc_state END AS ls, CASE WHEN ol AND sh THEN s_city END AS ly, CASE WHEN ol AND NOT sh THEN o_location END AS lu FROM mf),

@@ -520,3 +520,10 @@ def test_inventory_changes(spark):
     frame = lambda rows: spark.createDataFrame(rows, "path string, length long, modificationTime string")
     got = archive.inventory_changes(frame([("/a", 1, "t"), ("/b", 1, "t"), ("/c", 1, "t"), ("/d", None, "t")]), frame([("/a", 1, "t"), ("/b", 2, "t"), ("/d", None, "t"), ("/e", 1, "t")])).collect()
     assert {(r.path, r.change) for r in got} == {("/b", "changed"), ("/c", "removed"), ("/e", "added")}
+
+
+def test_own_analysis(spark):
+    files = items(spark, "/a/x.jpg", "/a/xb.jpg", "/a/x-c.jpg", "/a/y.jpg", "/a/1.jpg", "/a/1b.jpg")
+    said = spark.createDataFrame([("1", 1, "b", "second"), ("1", 0, None, "first"), ("x", 0, None, "only"), ("z", 0, None, "none")], "group_key string, ord int, version string, title string")
+    got = {r.path: r.title for r in merging.with_own_analysis(files, said).collect()}
+    assert got["/a/1.jpg"] == "first" and got["/a/1b.jpg"] == "second" and got["/a/x-c.jpg"] == got["/a/x.jpg"] == "only" and "/a/y.jpg" not in got
