@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 FOUND = "array<struct<path: string, keyword: string, expected: string>>"
 NOTES = {"$schema", "$id", "$comment", "title", "description", "default", "examples"}
 NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
@@ -26,9 +28,8 @@ def _as(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _is(v: Column, name: str) -> Column:
-    """Whether the value is of the type that the schema language names so."""
-    t = F.schema_of_variant(v)
+def _is(v: Column, t: Column, name: str) -> Column:
+    """Whether the value, whose type Spark shows as ``t``, is of the type that the schema language names so."""
     number = t.rlike(NUMBER)
     kinds = {
         "null": t == "VOID", "string": t == "STRING", "boolean": t == "BOOLEAN", "array": t.startswith("ARRAY"), "object": t.startswith("OBJECT"),
@@ -44,7 +45,7 @@ def _any(columns: Sequence[Column]) -> Column:
     return out
 
 
-def _among(v: Column, values: Sequence[Any]) -> Column:
+def _among(v: Column, t: Column, values: Sequence[Any]) -> Column:
     """Whether the value is one of scalar values, each of its own type."""
     texts = [x for x in values if isinstance(x, str)]
     flags = [x for x in values if isinstance(x, bool)]
@@ -52,8 +53,8 @@ def _among(v: Column, values: Sequence[Any]) -> Column:
     if len(texts) + len(flags) + len(numbers) + sum(x is None for x in values) < len(values):
         raise ValueError("enum and const are for texts, numbers, booleans and null")
     return _any([
-        _is(v, "string") & _as(v, "string").isin(texts), _is(v, "boolean") & _as(v, "boolean").isin(flags),
-        _is(v, "number") & _as(v, "double").isin(numbers), _is(v, "null") & F.lit(None in values),
+        _is(v, t, "string") & _as(v, "string").isin(texts), _is(v, t, "boolean") & _as(v, "boolean").isin(flags),
+        _is(v, t, "number") & _as(v, "double").isin(numbers), _is(v, t, "null") & F.lit(None in values),
     ])
 
 
@@ -76,8 +77,15 @@ def _none() -> Column:
     return F.array().cast(FOUND)
 
 
-def _check(v: Column, path: Column, schema: Schema) -> Column:
-    """The violations at the value and below it, as a list that is never null."""
+def _check(value: Column, path: Column, schema: Schema) -> Column:
+    """The violations at the value and below it, as a list that is never null. The value, its type and its fields are
+    bound, so that each is read once however many keywords speak of it."""
+    fields = lambda v: rules.bind(_as(v, "map<string,variant>"), lambda m: rules.bind(F.schema_of_variant(v), lambda t: _wrong(v, t, m, path, schema)))
+    return rules.bind(value, fields)
+
+
+def _wrong(v: Column, t: Column, fields: Column, path: Column, schema: Schema) -> Column:
+    """The violations at a bound value of type ``t``; ``fields`` is null for what is no object."""
     odd = set(schema) - KNOWN - NOTES
     if odd:
         raise ValueError(f"schema keywords not known: {sorted(odd)}")
@@ -85,17 +93,16 @@ def _check(v: Column, path: Column, schema: Schema) -> Column:
     fails = lambda ok, keyword: broken.append(F.when(~F.coalesce(ok, F.lit(True)), _found(path, keyword, schema[keyword])))
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], (list, tuple)) else [schema["type"]]
-        fails(_any([_is(v, n) for n in names]), "type")
+        fails(_any([_is(v, t, n) for n in names]), "type")
     if "enum" in schema:
-        fails(_among(v, schema["enum"]), "enum")
+        fails(_among(v, t, schema["enum"]), "enum")
     if "const" in schema:
-        fails(_among(v, [schema["const"]]), "const")
+        fails(_among(v, t, [schema["const"]]), "const")
     if "anyOf" in schema:
         fails(_any([F.size(_check(v, path, s)) == 0 for s in schema["anyOf"]]), "anyOf")
     for keyword, (kind, test) in TESTS.items():
         if keyword in schema:
-            fails(~_is(v, kind) | test(v, schema[keyword]), keyword)
-    fields = _as(v, "map<string,variant>")  # null for what is no object
+            fails(~_is(v, t, kind) | test(v, schema[keyword]), keyword)
     for name in schema.get("required", ()):
         broken.append(F.when(~F.map_contains_key(fields, name), _found(path, "required", name)))
     below = [F.array_compact(F.array(*broken)).cast(FOUND)] if broken else []
