@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: inverted file with product-quantised residuals.
 
-Coarse centroids and the codebooks of the residuals are fitted on a bounded sample
-(``sample_rows``); every vector is indexed: nearest centroid and one byte a subspace. There are as
-many cells as the square root of the number of rows, as far as the sample goes round (``PER_CELL``
-rows each). A query visits the cells with the largest inner products: as many as the sample's own
+Coarse centroids and the codebooks of the residuals are fitted on a bounded sample: ``PER_CELL`` rows
+for each of as many cells as the square root of the number of rows, but at least ``SAMPLE_ROWS`` and at most
+``MOST_ROWS`` rows, so that there are 4,096 cells at most. More than ``FLAT`` centroids are fitted in two levels: first their
+square root, then each of those regions by itself, with a share of the cells that goes by its rows. Every vector is
+indexed: nearest centroid and one byte a subspace. A query visits the cells with the largest inner products: as many as the sample's own
 rows, asked as queries, need to find ``TARGET`` of their k nearest in the sample. So clustered
 vectors are searched in few cells, and vectors without structure in most.
 
@@ -12,7 +13,7 @@ distances), and the best ``shortlist`` of a block are scored exactly in double p
 quantisation error, whose norm stands with its codes, says how much its score can exceed its guess:
 every other row of the block that can still reach the k-th of those scores is scored exactly too.
 So a block's k best are exact, also where guesses tie in a cluster of near copies.
-What can't is known from the sample: 2 k of its rows score no less than the bound. A query for
+What can't is known from the sample's first ``SAMPLE_ROWS`` rows: 2 k of them score no less than the bound. A query for
 which that finds fewer than k rows searches all other cells too, without the bound: together they
 hold those 2 k rows, or all rows where the sample has fewer.
 
@@ -40,48 +41,74 @@ from pyspark.sql.window import Window
 
 from .common import slices, trained, written
 
-K, SAMPLE_ROWS, SUBSPACES, CODES = 20, 8192, 8, 256
-TARGET, TRIED, PER_CELL = 0.95, 512, 32
+K, SAMPLE_ROWS, MOST_ROWS, SUBSPACES, CODES = 20, 8192, 1 << 17, 8, 256
+TARGET, TRIED, PER_CELL, FLAT = 0.95, 512, 32, 256
+#: Distances that are held at a time.
+HELD = 1 << 22
 SHORTLIST, BLOCK, TOGETHER = 96, 2048, 64
 
 
+def closest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centroid, and its squared distance."""
+    near, far, norms = np.empty(len(x), np.int64), np.empty(len(x)), (c**2).sum(1)
+    for lo in range(0, len(x), step := max(1, HELD // len(c))):
+        own = x[lo : lo + step]
+        d = norms - 2 * own @ c.T
+        near[lo : lo + step] = first = d.argmin(1)
+        far[lo : lo + step] = d[np.arange(len(own)), first] + (own**2).sum(1)
+    return near, far
+
+
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Lloyd's centroids; an empty one moves to the point that is worst served."""
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        d = (c**2).sum(1) - 2 * x @ c.T
-        near = d.argmin(1)
+        near, worst = closest(x, c)
         size = np.bincount(near, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         full = size > 0
         c[full] = sums[full] / size[full, None]
-        far = np.argsort(-(d[np.arange(len(x)), near] + (x**2).sum(1)))
+        far = np.argsort(-worst)
         c[~full] = x[far[: (~full).sum()]]
     return c
 
 
+def coarse(x: np.ndarray, k: int) -> np.ndarray:
+    """k centroids, of more than ``FLAT`` in two levels."""
+    if k <= FLAT:
+        return k_means(x, k, 10, 1)
+    near = closest(x, k_means(x, round(k**0.5), 10, 1))[0]
+    sizes = np.bincount(near)
+    ends = np.round(np.cumsum(sizes) * (k / len(x))).astype(np.int64)  # shares that add up to k
+    parts = [(x[near == i], max(1, int(n))) for i, n in enumerate(np.diff(ends, prepend=0)) if sizes[i]]
+    return np.concatenate([k_means(own, min(n, len(own)), 10, 1) for own, n in parts])
+
+
 class Index:
     """Centroids (cells x dims), codebooks (subspaces x codes x dims of one) and the sample."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, rows: int, k: int) -> None:
-        self.ids, self.sample, self.dims = ids, x, x.shape[1]
-        cells = int(np.clip(round(rows**0.5), 1, max(1, len(x) // PER_CELL)))
-        self.centroids = k_means(x, cells, 10, 1)
-        self.probes = self.needed(k)
-        rest = self.split(x - self.centroids[self.cell_of(x)])
+        self.ids, self.sample, self.dims = ids[:SAMPLE_ROWS], x[:SAMPLE_ROWS], x.shape[1]  # those that queries are held against
+        self.centroids = coarse(x, int(np.clip(round(rows**0.5), 1, max(1, len(x) // PER_CELL))))
+        cell = self.cell_of(x)
+        self.probes = self.needed(ids, x, cell, k)
+        rest = self.split(x - self.centroids[cell])
         self.books = np.stack([k_means(rest[:, m], min(CODES, len(x)), 6, 2 + m) for m in range(SUBSPACES)])
 
-    def needed(self, k: int) -> int:
+    def needed(self, ids: np.ndarray, x: np.ndarray, cell: np.ndarray, k: int) -> int:
         """The cells that rows of the sample must visit to find ``TARGET`` of their k nearest."""
-        q, own = self.sample[:TRIED], self.ids[:TRIED]
-        s = q @ self.sample.T
-        s[own[:, None] == self.ids[None, :]] = -np.inf
-        near = np.argpartition(-s, min(k, s.shape[1] - 1), 1)[:, :k]
-        place = np.argsort(self.visits(q), 1)  # of every cell in a query's order
-        at = np.take_along_axis(place, self.cell_of(self.sample)[near], 1).ravel()
-        return int(np.sort(at)[min(len(at) - 1, int(np.ceil(TARGET * len(at))))]) + 1
+        at = []
+        for lo in range(0, min(TRIED, len(x)), 64):
+            q, own = x[lo : min(lo + 64, TRIED)], ids[lo : min(lo + 64, TRIED)]
+            s = q @ x.T
+            s[own[:, None] == ids[None, :]] = -np.inf
+            near = np.argpartition(-s, min(k, s.shape[1] - 1), 1)[:, :k]
+            place = np.argsort(self.visits(q), 1)  # of every cell in a query's order
+            at.append(np.take_along_axis(place, cell[near], 1).ravel())
+        at = np.sort(np.concatenate(at))
+        return int(at[min(len(at) - 1, int(np.ceil(TARGET * len(at))))]) + 1
 
     def split(self, x: np.ndarray) -> np.ndarray:
         """Rows cut into subspaces, with zeros behind where the dimensions don't divide."""
@@ -91,7 +118,7 @@ class Index:
         return out.reshape(len(x), SUBSPACES, width)
 
     def cell_of(self, x: np.ndarray) -> np.ndarray:
-        return ((self.centroids**2).sum(1) - 2 * x @ self.centroids.T).argmin(1)
+        return closest(x, self.centroids)[0]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cells, codes and the norms of what the codes leave of the residuals."""
@@ -137,9 +164,9 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector_col: str = "embedding", sample_rows: int = SAMPLE_ROWS, block: int = BLOCK, shortlist: int = SHORTLIST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id", vector_col: str = "embedding", sample_rows: int | None = None, block: int = BLOCK, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of the rows where ``is_query`` (a
-    condition on the column ``id``)."""
+    condition on the column ``id``). ``sample_rows``: another size of the sample."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -147,6 +174,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id
     if ids < total:  # only then can a row be repeated
         rows = rows.dropDuplicates(["id", "v"])
     out_type = "query_id long, rank int, vec_id long, score double"
+    sample_rows = sample_rows or int(np.clip(PER_CELL * round(total**0.5), SAMPLE_ROWS, MOST_ROWS))
     index = trained(rows, "id", sample_rows, ["id", "v"], lambda got: fitted(got, total, k))
     if index is None:
         return spark.createDataFrame([], out_type)

@@ -30,6 +30,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import boolean, judged, long, map_text, string
 
@@ -165,9 +166,17 @@ def line_first_quality(docs: DataFrame, text_col: str = "text", keep: Sequence[s
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text passes, with their columns unchanged."""
-    got, back = judged(docs, line_first_quality)
-    return back(got.where("kept"))
+    """The rows of ``docs`` whose text passes, with the lines that passed as their text; ``n_chars``, where there is
+    one, is counted again. Other columns stay as they are."""
+
+    got, back = judged(docs, lambda src, text, keep: line_first_quality(src, text, keep, cleaned=True))
+    names = [c.lower() for c in docs.columns]
+    text = f"__in_{names.index('text')}"
+    got = got.where("kept").withColumn(text, F.col("cleaned_text"))
+    if "n_chars" in names:
+        chars = f"__in_{names.index('n_chars')}"
+        got = got.withColumn(chars, F.length(text).cast(docs.schema[names.index("n_chars")].dataType))
+    return back(got)
 
 
 def _quoted(values: Sequence[str]) -> str:

@@ -16,14 +16,15 @@ length too; an empty table gives an empty one.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks_of, boolean, long, map_text, mix64
+from .common import blocks_of, boolean, long, map_text, mix64, slices
 
 MARK = "▁"
 THETA, SEED = 1.0, 17
@@ -238,6 +239,26 @@ def decode(ids: Sequence[int], v: Pieces) -> str:
     return b"".join(map(v.decoded.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
+def decode_pieces(table: DataFrame, key: str = "doc_id", ids_col: str = "ids", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """key and the text that the row's ids stand for: what ``sample_pieces`` cut comes back exactly. Null ids give a
+    null text, no ids an empty one; a null or an id outside the vocabulary makes the row's text null, and bytes that aren't
+    UTF-8 become U+FFFD. Repeated rows decode alike; other columns aren't read."""
+    path = model or vocabulary_path()
+    src = table.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{ids_col}`").cast("array<long>").alias("__ids"))
+    schema = T.StructType([T.StructField(key, src.schema["__key"].dataType), T.StructField(text_col, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = pieces(path, THETA)
+        for batch in slices(batches, BATCH):
+            texts = []
+            for ids in batch.column("__ids").to_pylist():
+                known = ids is not None and all(i is not None and 0 <= i < len(v.decoded) for i in ids)
+                texts.append(b"".join(map(v.decoded.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace") if known else None)
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(texts, pa.string())], names=[key, text_col])
+
+    return src.mapInArrow(run, schema)
+
+
 def sample_pieces(docs: DataFrame, key: str = "doc_id", text_col: str = "text", seed: int = SEED, theta: float = THETA, model: str | None = None, with_ids: bool = False) -> DataFrame:
     """key with n_pieces, ids_crc32 (unsigned, little-endian unsigned 32-bit ids), text_crc32 (of
     the decoded text's UTF-8) and lossless; with ``with_ids`` also the ids."""

@@ -529,6 +529,19 @@ def test_pieces(docs, none):
     assert spiece.sample_pieces(none).count() == 0
 
 
+def test_pieces_decode(spark, docs, none):
+    cut = spiece.sample_pieces(docs, with_ids=True)
+    assert rows(spiece.decode_pieces(cut), "doc_id", "text") == sorted(TEXTS, key=str)
+    assert spiece.decode_pieces(spiece.sample_pieces(none, with_ids=True)).count() == 0
+    v = spiece.pieces(spiece.vocabulary_path(), 1.0)
+    text = prose(8, 40_000)
+    odd = [("none", None), ("empty", []), ("null", [None]), ("outside", [len(v.decoded)]), ("below", [-1]), ("broken", [int(v.byte_id[0xC3])])]
+    df = spark.createDataFrame(odd, "doc_id string, ids array<int>").withColumns({"text": F.lit("mine"), "t": F.lit(1)})
+    assert rows(spiece.decode_pieces(df), "doc_id", "text") == sorted([("none", None), ("empty", ""), ("null", None), ("outside", None), ("below", None), ("broken", "\ufffd")])
+    long = spark.createDataFrame([(9, text), (9, text)], "doc_id long, text string")
+    assert [r.text for r in spiece.decode_pieces(spiece.sample_pieces(long, with_ids=True)).collect()] == [text] * 2
+
+
 def test_piece_probabilities():
     v = spiece.pieces(spiece.vocabulary_path(), 0.3)
     table = {v.decoded[i].decode(): i for i in v.piece.tolist() if i}
@@ -604,6 +617,37 @@ def test_few_vectors_are_all_found(spark, n):
     assert len(got) == len(set(got)) == min(20, n - 1) and set(got) <= set(ids[1:])
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_cells_grow_with_the_rows(clustered):
+    """Of 2,000, 50,000 and 200,000 vectors, in 200 clusters and loose, the share that a query meets falls, and its nearest are met."""
+    rng = np.random.default_rng(6)
+    share = []
+    for n in (2000, 50_000, 200_000):
+        x = rng.normal(size=(n, 32))
+        if clustered:
+            x = rng.normal(size=(200, 32))[rng.integers(0, 200, n)] + 0.2 * x
+        few = rng.permutation(n)[: min(n, max(ann.SAMPLE_ROWS, ann.PER_CELL * round(n**0.5)))]
+        index = ann.Index(few, x[few], n, 20)
+        assert abs(len(index.centroids) - n**0.5) < 0.02 * n**0.5 + 1 and len(index.sample) <= ann.SAMPLE_ROWS
+        cell, q = index.cell_of(x), rng.permutation(n)[:100]
+        near = np.argpartition(-(x[q] @ x.T), 20, 1)[:, :20]
+        visits = index.visits(x[q])[:, : index.probes]
+        assert np.mean([np.isin(cell[a], b).mean() for a, b in zip(near, visits, strict=True)]) >= 0.9
+        share.append(np.mean([np.isin(cell, b).mean() for b in visits]))
+    assert share[0] > share[1] > share[2]
+
+
+def test_centroids_in_two_levels():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 8))
+    x[:8000] = x[0]  # a region that holds a third of the sample
+    c = ann.coarse(x, 600)
+    assert 570 <= len(c) <= 630 and np.isfinite(c).all()
+    near, far = ann.closest(x[:500], c)
+    plain = ((x[:500, None] - c[None]) ** 2).sum(2)
+    assert np.allclose(far, plain.min(1)) and np.allclose(plain[np.arange(500), near], plain.min(1))
+
+
 def test_probes_follow_the_structure_of_the_vectors():
     rng = np.random.default_rng(1)
     loose, centre = rng.normal(size=(4000, 32)), rng.normal(size=(60, 32))

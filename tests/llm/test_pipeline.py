@@ -46,6 +46,28 @@ def plain_kept(docs):
         return Counter(k for (k,) in con.execute(f"SELECT doc_id FROM ({quality.SQL}) WHERE kept").fetchall())
 
 
+def lost_words(docs):
+    """The words in failing lines by the rules' SQL, of each key's texts."""
+    with duckdb.connect() as con:
+        con.register("documents", docs.select("doc_id", "text").toArrow())
+        out: dict = {}
+        for k, n in con.execute(f"SELECT doc_id, n_lost_words FROM ({quality.SQL})").fetchall():
+            out.setdefault(k, set()).add(n)
+        return out
+
+
+def texts_of(docs):
+    out: dict = {}
+    for r in docs.collect():
+        out.setdefault(r.doc_id, []).append((r.text, sum(1 for w in re.split(r"[\x20\x09-\x0D]+", r.text) if w)))
+    return out
+
+
+def in_order(some, lines):
+    it = iter(lines)
+    return all(x in it for x in some)
+
+
 def run_all(spark, docs):
     """name -> (input, output) of every stage."""
     seen = {}
@@ -63,12 +85,18 @@ def check(seen):
     for name, (before, after) in seen.items():
         if name != "packing":
             assert after.columns == before.columns, name
-        if name not in ("packing", "personal"):  # rows go or stay as they are, and never come twice
+        if name not in ("packing", "personal", "quality"):  # rows go or stay as they are, and never come twice
             assert not Counter(map(tuple, after.collect())) - Counter(map(tuple, before.collect())), name
     before, after = seen["language"]
     assert all(re.search(r"[^\W\d_]", r.text or "") for r in after.collect())
     before, after = seen["quality"]
     assert Counter(keys(after)) == plain_kept(before)
+    lost, old, new = lost_words(before), texts_of(before), texts_of(after)
+    for key in new:  # what is left are lines of the text, in order, and what is gone are the words that the SQL counts
+        assert len(old[key]) >= len(new[key])
+        for text, words in new[key]:
+            assert any(n - words in lost[key] and in_order(text.split("\n"), whole.split("\n")) for whole, n in old[key])
+    assert all(r.n_chars == len(r.text) for r in after.collect())
     before, after = seen["duplicates"]
     named = [(r.doc_id, r.text) for r in before.where("doc_id IS NOT NULL").collect()]
     assert keys(after.where("doc_id IS NOT NULL")) == plain_survivors(named)
@@ -109,7 +137,8 @@ def awkward(spark):
     long_one, menu = lines(1, 3000), "\n".join(["Home", "About us", "Contact", "Log in"] * 20)
     near = lines(2, 20)
     rows = [(1, long_one, "en"), (2, None, "en"), (3, "", "en"), (4, " \n\t ", None), (5, near, "en"), (5, near, "en"), (6, near, None), (7, near + "\nSeveral words more stand here.", "en"), (8, menu, "en"),
-            (9, lines(3, 20), "en"), (9, lines(4, 20), "en"), (10, lines(5, 20) + "\nWrite to who.ever@mail.example.org or call +1 (017) 555-7713 today.", "en"), (11, "1234 5678", "en"), (None, lines(6, 20), "en"), (None, lines(6, 20), None)]
+            (9, lines(3, 20), "en"), (9, lines(4, 20), "en"), (10, lines(5, 20) + "\nWrite to who.ever@mail.example.org or call +1 (017) 555-7713 today.", "en"), (11, "1234 5678", "en"), (None, lines(6, 20), "en"), (None, lines(6, 20), None),
+            (12, lines(8, 10) + "\nHome\nAbout us\nContact\nAll rights reserved.\n" + lines(9, 10), "en")]
     df = spark.createDataFrame([(k, t, lang, None if t is None else len(t)) for k, t, lang in rows], "doc_id long, text string, lang string, n_chars long")
     return df.withColumns({c: F.lit("mine") for c in CLASHES})
 
@@ -118,6 +147,7 @@ def test_awkward_rows(spark):
     seen = run_all(spark, awkward(spark))
     check({k: v for k, v in seen.items() if k != "personal"})
     assert {2, 3, 4, 11}.isdisjoint(keys(seen["language"][1])) and 8 not in keys(seen["quality"][1])
+    assert [r.text for r in seen["quality"][1].where("doc_id = 12").collect()] == [lines(8, 10) + "\n" + lines(9, 10)]
     left = keys(seen["duplicates"][1])
     assert left.count(5) == 1 and {6, 7}.isdisjoint(left) and left.count(None) == 2
     texts = {r.doc_id: r for r in seen["personal"][1].collect()}
