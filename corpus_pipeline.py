@@ -4,16 +4,16 @@ Every stage takes (spark, docs, sf_dir), works on all rows that the stage before
 returns a DataFrame; all but the last return the columns of ``documents``.
 
 1. language    documents without a letter, or in no language that was learned, go
-2. quality     documents that fail the base rules, or lose too much to the line rules, go
+2. quality     lines that fail a rule go, and documents that fail the base rules or lose too much to the line rules
 3. duplicates  of documents linked by a Jaccard similarity of 0.8 of five-word shingles one stays
 4. personal    personal data in the text is masked
 5. packing     what is left is cut into sequences along a Hilbert curve
 
 ``documents`` needs doc_id, text and lang; other columns, whatever their names, are carried as they
-are (but ``n_chars``, which masking counts again). A null, empty or blank text has no letter and goes in
+are (but ``n_chars``, which stages that change texts count again). A null, empty or blank text has no letter and goes in
 stage 1, a null lang is only not learned from. Rows without an id link with nothing and stay; a repeated row
 stays once, and of an id with several texts every text stays or goes with it. Among linked documents that
-with the smallest id stays. Texts of any length are read whole. An empty table gives no sequences.
+with the smallest id stays. Copies are looked for in what the line rules left. Texts of any length are read whole. An empty table gives no sequences.
 """
 
 from __future__ import annotations
