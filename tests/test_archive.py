@@ -447,7 +447,7 @@ def test_sidecar_files(spark, tmp_path):
     assert len(got) == 5 and all(x == (None, [], None) for x in got.values())
 
 
-CASES = [
+RULE_CASES = [
     ({"type": "integer"}, [("1", True), ("1.0", True), ("1.5", False), ('"1"', False), ("null", False), ("true", False)]),
     ({"type": ["number", "null"]}, [("1e3", True), ("null", True), ("[]", False), ("12345678901234567890", True)]),
     ({"enum": ["a", 1, None, True]}, [('"a"', True), ("1.0", True), ("null", True), ("true", True), ("false", False), ('"1"', False), ("[]", False)]),
@@ -463,7 +463,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("rule, texts", CASES, ids=[next(iter(c[0]), "none") for c in CASES])
+@pytest.mark.parametrize("rule, texts", RULE_CASES, ids=[next(iter(c[0]), "none") for c in RULE_CASES])
 def test_schema_keywords(spark, rule, texts):
     rows = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(texts)], "group_key string, json string")
     bad = {r.group_key for r in schema.violations(rows, rule).collect()}
