@@ -27,7 +27,8 @@ def hydrate_comments(items: DataFrame, comments: DataFrame) -> DataFrame:
     rows take part in the join."""
     blank = rules.blank_to_null(F.col("user_comment")).isNull()
     one = comments.where(rules.blank_to_null(F.col("user_comment")).isNotNull()).groupBy(rules.normalize_path(F.col("source_file")).alias("src")).agg(F.min_by("user_comment", F.struct("tag_ord", "user_comment")).alias("new"))
-    filled = items.where(blank).join(one, rules.normalize_path(F.col("path")) == F.col("src"), "left").withColumn("user_comment", F.coalesce("new", "user_comment")).drop("src", "new")
+    keyed = items.where(blank).withColumn("__src", rules.normalize_path(F.col("path")))  # a column, so that the join's sort doesn't work it out again
+    filled = keyed.join(one, F.col("__src") == F.col("src"), "left").withColumn("user_comment", F.coalesce("new", "user_comment")).drop("src", "new", "__src")
     return filled.unionByName(items.where(~blank))
 
 

@@ -83,9 +83,12 @@ def read_sidecars(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def resolve_item_metadata(items: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Inline metadata, else that of the sidecar at ``metadata_path`` (sidecars: file_path, metadata)."""
+    """Inline metadata, else that of the sidecar at ``metadata_path`` (sidecars: file_path, metadata).
+
+    The normal path is a column before the join: as an expression in the join it would be worked out for every comparison of the join's sort."""
     side = sidecars.select(rules.normalize_path(F.col("file_path")).alias("side_path"), F.col("metadata").alias("side"))
-    return items.join(side, rules.normalize_path(F.col("metadata_path")) == F.col("side_path"), "left").withColumn("metadata", F.coalesce("metadata", "side")).drop("side", "side_path")
+    keyed = items.withColumn("__side_path", rules.normalize_path(F.col("metadata_path")))
+    return keyed.join(side, F.col("__side_path") == F.col("side_path"), "left").withColumn("metadata", F.coalesce("metadata", "side")).drop("side", "side_path", "__side_path")
 
 
 def read_exif_export(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

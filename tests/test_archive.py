@@ -1,6 +1,7 @@
 """Jobs of the archive engine on tiny tables, case by case."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -527,3 +528,13 @@ def test_own_analysis(spark):
     said = spark.createDataFrame([("1", 1, "b", "second"), ("1", 0, None, "first"), ("x", 0, None, "only"), ("z", 0, None, "none")], "group_key string, ord int, version string, title string")
     got = {r.path: r.title for r in merging.with_own_analysis(files, said).collect()}
     assert got["/a/1.jpg"] == "first" and got["/a/1b.jpg"] == "second" and got["/a/x-c.jpg"] == got["/a/x.jpg"] == "only" and "/a/y.jpg" not in got
+
+
+def test_sidecar_paths_are_worked_out_before_the_join(spark, capsys):
+    items = spark.createDataFrame([("/a/x.jpg", "/a//x.json", None)], "path string, metadata_path string, metadata struct<title: string>")
+    side = spark.createDataFrame([("/a/./x.json", ("T",))], "file_path string, metadata struct<title: string>")
+    got = archive.resolve_item_metadata(items, side.hint("merge"))
+    assert [(r.path, r.metadata.title) for r in got.collect()] == [("/a/x.jpg", "T")]
+    got.explain()
+    sorts = re.findall(r"Sort \[(\S+)", capsys.readouterr().out)
+    assert len(sorts) >= 2 and all(re.fullmatch(r"\w+#\d+", x) for x in sorts)
