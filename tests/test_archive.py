@@ -538,3 +538,17 @@ def test_sidecar_paths_are_worked_out_before_the_join(spark, capsys):
     got.explain()
     sorts = re.findall(r"Sort \[(\S+)", capsys.readouterr().out)
     assert len(sorts) >= 2 and all(re.fullmatch(r"\w+#\d+", x) for x in sorts)
+
+
+def test_tables_of_tags_are_shuffled_once(spark, capsys):
+    kind = "path string, tag string, value string, values array<string>"
+    tags = lambda path, title, words: [(path, changes.TITLE, title, None), (path, changes.KEYWORDS, "|".join(words), words)]
+    before = spark.createDataFrame(tags("a", "x", ["Boat", "old"]) + tags("b", "x", []) + [("c", changes.DATE, "1950", None)], kind)
+    after = spark.createDataFrame(tags("a", "y", ["boat", "new"]) + tags("b", "x", []) + [("d", changes.TITLE, "z", None)], kind)
+    got = changes.diff_canonical(before, after)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {r.path: (r.set, r.keywords_add, r.keywords_remove) for r in got.collect()} == {
+        "a": ({changes.TITLE: "y"}, ["new"], ["old"]), "b": ({}, [], []), "c": ({}, [], []), "d": ({changes.TITLE: "z"}, [], []),
+    }
