@@ -552,3 +552,13 @@ def test_tables_of_tags_are_shuffled_once(spark, capsys):
     assert {r.path: (r.set, r.keywords_add, r.keywords_remove) for r in got.collect()} == {
         "a": ({changes.TITLE: "y"}, ["new"], ["old"]), "b": ({}, [], []), "c": ({}, [], []), "d": ({changes.TITLE: "z"}, [], []),
     }
+
+
+def test_compressed_sinks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_LINES", 3)
+    rows = spark.range(7).select(F.lit("r").alias("run_id"), F.concat(F.lit("/a/"), "id").alias("path")).coalesce(1)
+    sinks.write_ndjson(rows, f"{tmp_path}/plain", "run_id")
+    sinks.write_ndjson(rows, f"{tmp_path}/packed", "run_id", compression="snappy")
+    files = lambda name: sorted(p.name for p in tmp_path.glob(f"{name}/run_id=r/part-*"))
+    assert len(files("plain")) == 1 and len(files("packed")) == 3 and all(f.endswith(".json.snappy") for f in files("packed"))
+    assert sorted(r.path for r in spark.read.json(f"{tmp_path}/packed").collect()) == [f"/a/{i}" for i in range(7)]
