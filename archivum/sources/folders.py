@@ -25,9 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def landed(lines: DataFrame) -> str:
-    """The folder to which the lines (one text column) were written."""
+    """The folder to which the lines (one text column) were written, compressed, in files of bounded numbers of lines."""
     path = shared_folder(lines.sparkSession)
-    lines.write.text(path)
+    lines.write.option("compression", "snappy").option("maxRecordsPerFile", 100_000).text(path)
     return path
 
 

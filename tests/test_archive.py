@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from archivum.functions import rules
 from archivum.operators import changes, consolidate, grouping, merging, metadata, naming, responses, schema
-from archivum.sources import archive, sinks
+from archivum.plans import queries
+from archivum.sources import archive, folders, sinks
 from archivum.streaming import jobs
+from archivum.streaming import jobs as streams
 
 
 def one(spark, rule, values, kind="string"):
@@ -562,3 +564,10 @@ def test_compressed_sinks(spark, tmp_path, monkeypatch):
     files = lambda name: sorted(p.name for p in tmp_path.glob(f"{name}/run_id=r/part-*"))
     assert len(files("plain")) == 1 and len(files("packed")) == 3 and all(f.endswith(".json.snappy") for f in files("packed"))
     assert sorted(r.path for r in spark.read.json(f"{tmp_path}/packed").collect()) == [f"/a/{i}" for i in range(7)]
+
+
+def test_landed_lines_are_compressed(spark):
+    path = folders.landed(spark.range(5).select(F.concat(F.lit("line "), "id").alias("value")))
+    names = [n.rsplit("/", 1)[-1] for n in spark.read.text(path).inputFiles()]
+    assert names and all(n.endswith(".txt.snappy") for n in names)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == [f"line {i}" for i in range(5)]
