@@ -76,7 +76,8 @@ def variant_parts(items: DataFrame) -> DataFrame:
     part = F.when(F.col("part_kind").isin("front", "back"), F.col("part_kind")).when(F.col("part_kind") == "page", F.concat(F.lit("page:"), F.col("page_num").cast("string"))).otherwise("none")
     one = items.groupBy("group_key", F.col("variant_id").alias("version"), part.alias("part")).agg(first_by("path", "ord", "path").alias("path"), F.min("ord").alias("first_ord"))
     w, wv = Window.partitionBy("group_key"), Window.partitionBy("group_key", "version")
-    one = one.withColumn("multipage", F.max(F.col("part").startswith("page:")).over(w)).withColumn("has_1", F.max(F.col("part") == "page:1").over(wv))
+    # the finer window first, on rows that stand by group: its order serves the other too, so rows are sorted once for both
+    one = one.repartition("group_key").withColumn("has_1", F.max(F.col("part") == "page:1").over(wv)).withColumn("multipage", F.max(F.col("part").startswith("page:")).over(w))
     moved = F.col("multipage") & ~F.col("has_1") & (F.col("part") == "none")
     return one.withColumn("part", F.when(moved, "page:1").otherwise(F.col("part"))).drop("has_1")
 
@@ -101,7 +102,8 @@ def assemble_parts(items: DataFrame, all_variants: bool = True, policy: str = EX
     label = F.when(num.isNotNull(), F.concat(F.lit("Page "), num.cast("string"))).when(front, "Front").when(F.col("part") == "back", "Back")
     place = F.when(num.isNotNull(), num.cast("long")).when(front, F.lit(1 << 40)).otherwise(F.lit(1 << 41))
     rows = p.select("group_key", label.alias("label"), place.alias("place"), "version", "path", F.when(F.col("part") == "front", 0).otherwise(1).alias("tagged"), "first_ord").where("label IS NOT NULL")
-    rows = rows.groupBy("group_key", "label", "place", "path").agg(F.min(F.struct(F.col("version").isNull().alias("n"), "version", "tagged", "first_ord")).alias("o"))
+    # place second, so that the aggregation's order serves the rank of places
+    rows = rows.groupBy("group_key", "place", "path", "label").agg(F.min(F.struct(F.col("version").isNull().alias("n"), "version", "tagged", "first_ord")).alias("o"))
     w = Window.partitionBy("group_key")
     return rows.select("group_key", F.dense_rank().over(w.orderBy("place")).alias("part_ord"), "label", F.row_number().over(Window.partitionBy("group_key", "place").orderBy("o", "path")).alias("img_ord"), "path")
 

@@ -588,3 +588,9 @@ def test_offers_land_in_as_many_files_as_the_join_has_parts(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert len(spark.read.json(made[0]).inputFiles()) == 7
+
+
+def test_parts_are_sorted_three_times_after_the_last_shuffle(spark, capsys):
+    grouping.assemble_parts(items(spark, "/a/x1.jpg", "/a/x1-page1.jpg", "/a/x1b.jpg")).explain()
+    last = capsys.readouterr().out.split("Exchange")[0]
+    assert len(re.findall(r"\bSort \[", last)) == 3
