@@ -594,3 +594,49 @@ def test_parts_are_sorted_three_times_after_the_last_shuffle(spark, capsys):
     grouping.assemble_parts(items(spark, "/a/x1.jpg", "/a/x1-page1.jpg", "/a/x1b.jpg")).explain()
     last = capsys.readouterr().out.split("Exchange")[0]
     assert len(re.findall(r"\bSort \[", last)) == 3
+
+
+
+
+
+def _kept_first(words, fold=str.lower):
+    seen, out = set(), []
+    for w in (w.strip(rules.WHITE) for w in words if w is not None):
+        if w and fold(w) not in seen:
+            seen.add(fold(w))
+            out.append(w)
+    return out
+
+
+def test_lists_that_are_clean_and_lists_that_are_not(spark):
+    odd = [None, [], ["a"], ["a", None, "A"], ["", "b"], ["b", ""], [" b", "B"], ["b　", "c"], ["été", "ÉTÉ"], ["x\x01y", "X\x01Y", "\x01"], ["a\x01 ", "a\x01"], ["\x01", "\x01 "], ["\U0001f600", "\U0001f600"], ["　"], ["q", "Q", "q", "r"], ["a b", "A  b", "a b"], ["\x85x", "x"], [" "]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v array<string>")
+    got = {r.i: (r.c, r.d) for r in df.select("i", rules.clean(F.col("v")).alias("c"), rules.ci_distinct(F.col("v")).alias("d")).collect()}
+    for i, v in enumerate(odd):
+        assert got[i] == ((None, None) if v is None else ([w.strip(rules.WHITE) for w in v if w is not None and w.strip(rules.WHITE)], _kept_first(v))), v
+
+
+def test_back_rule_and_date_marker_of_odd_lists(spark):
+    rows = [(["a", " BACK "], True), (["a", " BACK "], False), (["Backyard"], False), (["Backyard"], True), (["a", None], False), (["a", None], True), ([], True), ([], False), (None, True), (["x", " date: Y!"], None), (["update: x"], None), ([None], None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k array<string>, b boolean")
+    got = [(r.k, r.m) for r in df.select("i", rules.back_rule(F.col("k"), F.col("b")).alias("k"), rules.has_date_marker(F.col("k")).alias("m")).orderBy("i").collect()]
+    assert [k for k, _ in got[:9]] == [["a", " BACK "], ["a"], ["Backyard"], ["Backyard", "back"], ["a"], ["a", None], ["back"], [], None]
+    assert [m for _, m in got] == [False, False, False, False, None, None, False, False, None, True, False, None]
+
+
+def test_words_of_a_group_are_compared_once(spark):
+    g = spark.createDataFrame([("g", [" Boat", "boat", "x"], [("b", "PC-1"), ("b", "pc-1"), ("b", "X"), (None, "PC-2")]), ("h", None, None)], "group_key string, w array<string>, c array<struct<version: string, code: string>>")
+    s = consolidate.with_shared_words(g, F.col("w"), F.col("c"))
+    assert {r.group_key: (r.shared, r.coded) for r in s.collect()} == {"g": (["Boat", "x"], [Row(version="b", codes=["PC-1"]), Row(version=None, codes=["PC-2"])]), "h": (None, None)}
+    files = spark.createDataFrame([("g", "b"), ("g", None), ("g", "c")], "group_key string, variant_id string")
+    got = {r.variant_id: r.w for r in files.join(s, "group_key").select("variant_id", consolidate.own_words().alias("w")).collect()}
+    assert got == {"b": ["Boat", "x", "PC-1"], None: ["Boat", "x", "PC-2"], "c": ["Boat", "x"]}
+
+
+def test_replies_are_dealt_before_they_are_parsed(spark, monkeypatch, capsys):
+    seen, parse = [], jobs.responses.parse_responses
+    monkeypatch.setattr(jobs.responses, "parse_responses", lambda r, **k: (seen.append(r), parse(r, **k))[1])
+    f = queries.QUERIES["d15_result_counts"]
+    f(spark, "/root/testdata/sf0.001")
+    seen[0].explain()
+    assert "hashpartitioning(group_key" in capsys.readouterr().out.split("FileScan")[0]
