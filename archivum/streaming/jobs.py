@@ -48,7 +48,7 @@ def stream_changesets(spark: SparkSession, landed: str, items: DataFrame, run: R
         own = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
         groups = fresh.select("group_key").distinct()
         replies = known.where(F.col("bucket").isin(own)).join(groups, "group_key", "left_semi").groupBy("group_key", "attempt").agg(F.min_by("raw", "batch").alias("raw"))
-        got = merge_responses(items.join(groups, "group_key", "left_semi"), replies, run)
+        got = merge_responses(items.join(groups, "group_key", "left_semi"), replies, run, keep=True)
         for name in ("results", "errors", "changesets"):
             getattr(got, name).write.mode("overwrite").json(f"{out}/{name}/batch={number}")
 
