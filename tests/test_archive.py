@@ -678,6 +678,7 @@ MOVED = {
     "m04b_run_vocabulary": 200,  # 374
     "m04_run_results": 220,  # 567
     "d15_result_counts": 180,  # 369
+    "changeset_pipeline": 220,  # 582
 }
 
 
