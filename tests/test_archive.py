@@ -679,6 +679,7 @@ MOVED = {
     "m04_run_results": 220,  # 567
     "d15_result_counts": 180,  # 369
     "changeset_pipeline": 220,  # 582
+    "j29b_diff_tables": 220,  # 598
 }
 
 
