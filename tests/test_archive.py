@@ -680,6 +680,7 @@ MOVED = {
     "d15_result_counts": 180,  # 369
     "changeset_pipeline": 220,  # 582
     "j29b_diff_tables": 220,  # 598
+    "j30_changeset_records": 220,  # 365
 }
 
 
