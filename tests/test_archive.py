@@ -681,6 +681,7 @@ MOVED = {
     "changeset_pipeline": 220,  # 582
     "j29b_diff_tables": 220,  # 598
     "j30_changeset_records": 220,  # 365
+    "a12_changesets_written": 260,  # 617
 }
 
 
