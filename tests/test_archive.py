@@ -682,6 +682,7 @@ MOVED = {
     "j29b_diff_tables": 220,  # 598
     "j30_changeset_records": 220,  # 365
     "a12_changesets_written": 260,  # 617
+    "j14c_request_texts": 330,  # 387
 }
 
 
