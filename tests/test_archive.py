@@ -683,6 +683,7 @@ MOVED = {
     "j30_changeset_records": 220,  # 365
     "a12_changesets_written": 260,  # 617
     "j14c_request_texts": 330,  # 387
+    "j11b_nested_metadata": 300,  # 354
 }
 
 
